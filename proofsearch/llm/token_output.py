@@ -143,7 +143,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             yield pd.DataFrame({"segment": [pack_segment(part, number, before, doc_ids, ids, rank_of)]})
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tokens.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = tokens.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     made = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(segments, "segment binary")
     one = {"maxRecordsPerFile": 1}
     made.select(F.col("segment").cast("string")).write.options(**one).text(f"{path}/segments")

@@ -1,10 +1,11 @@
-"""Exact token ids of whole texts, by way of a bounded cache of white-space units.
-
-A byte-pair tokenizer never merges across the places where its pre-tokenizer splits, and both
-vocabularies split at white space. So a text is cut into units there, each unit that is not in the
-cache is encoded by the tokenizers library, and the text's ids are its units' ids in order.
-Of a new unit that is letters and then marks, the two parts go to the library's merges directly, by way
-of a second cache; any other goes through the whole tokenizer.
+"""Exact token ids of whole texts, by way of bounded caches.
+
+A byte-pair tokenizer never merges across the places where its pre-tokenizer splits, and the public
+vocabularies split at white space. So a text is cut into chunks at spaces, and its ids are its chunks'
+ids in order. A chunk that is new is cut into runs of letters and runs of marks, again as the
+pre-tokenizer cuts, whose ids come from the library's merges and are cached too; a chunk of anything
+else goes through the whole tokenizer, and a text whose white space the cut would change does so by
+units of a pattern.
 """
 
 from __future__ import annotations
@@ -13,16 +14,17 @@ import os
 import re
 import struct
 from collections.abc import Iterable
-from itertools import chain
 
 import numpy as np
 
 #: White space as the tokenizers' pattern \s knows it.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Units kept in the cache; it is emptied when it is full.
-CACHE_UNITS = 800_000
-#: Letters, then marks: the pre-tokenizers of both vocabularies cut such a unit between the two.
-PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]{1,60})([.,;:!?]*)").fullmatch
+SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: Chunks and parts kept in the caches; one is emptied when it is full.
+CACHE_CHUNKS, CACHE_PARTS = 700_000, 400_000
+#: What is longer is encoded and not kept.
+LONG = 100
+#: Runs that the pre-tokenizers of both vocabularies keep whole: letters, marks (no apostrophe), one line end.
+PARTS = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[!-&(-/:-@\\[-`{{-~]+|\n(?![{SPACE}])").findall
 
 
 def _byte_chars() -> dict[int, int]:
@@ -35,10 +37,14 @@ def _byte_chars() -> dict[int, int]:
 BYTE_CHARS = _byte_chars()
 
 
-class UnitTokenizer:
-    """`ids(texts)` gives each text's ids as little-endian unsigned 16-bit bytes."""
+class SplitsWhiteSpace(Exception):
+    """A cut at single spaces would split a run of white space."""
 
-    def __init__(self, path: str, keeps_space: bool) -> None:
+
+class Bpe:
+    """A vocabulary file of the tokenizers library, and the cache of parts."""
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,55 +52,90 @@ class UnitTokenizer:
         self.whole.encode_special_tokens = True  # such strings in a text are ordinary text
         if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits; this vocabulary is larger")
-        self.keeps_space = keeps_space
-        pattern = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+(?=[{SPACE}])|[{SPACE}]" if keeps_space else f"[^{SPACE}]+"
-        self.units = re.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
+        self.merge = self.whole.model.tokenize
         self.parts: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
-        """A run of letters, or of marks, which the pre-tokenizer keeps whole: straight to the merges."""
-        if not self.keeps_space:
-            part = part.lower()
-        if (out := self.parts.get(part)) is None:
-            tokens = self.whole.model.tokenize(part.encode().decode("latin-1").translate(BYTE_CHARS))
-            out = self.parts[part] = struct.pack(f"<{len(tokens)}H", *[t.id for t in tokens])
+    def encode(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def pieces(self, chunk: str, lower: bool) -> bytes:
+        parts = PARTS(chunk)
+        if len(chunk) > LONG or "".join(parts) != chunk:
+            return self.encode(chunk)
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        out = b""
+        for p in parts:
+            if lower:
+                p = p.lower()
+            if (ids := self.parts.get(p)) is None:
+                tokens = self.merge(p.encode().decode("latin-1").translate(BYTE_CHARS))
+                ids = self.parts[p] = struct.pack(f"<{len(tokens)}H", *[t.id for t in tokens])
+            out += ids
+        return out
+
+
+class SpacedChunks(dict):
+    """Ids of chunks that follow a space which belongs to them (byte-level vocabularies)."""
+
+    def __init__(self, bpe: Bpe) -> None:
+        self.bpe = bpe
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0] in WHITE:
+            raise SplitsWhiteSpace
+        out = self.bpe.pieces(" " + chunk, False)
+        if len(chunk) <= LONG:
+            self[chunk] = out
         return out
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        out, other = {}, []
-        for u in new:
-            if m := PLAIN(u):
-                out[u] = self._part(m[1]) + self._part(m[2]) if m[2] else self._part(m[1])
-            else:
-                other.append(u)
-        for u, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False)):
-            out[u] = np.array(e.ids, "<u2").tobytes()
+
+class BareChunks(dict):
+    """Ids of chunks (UTF-8) between white space that the vocabulary drops, in lower case."""
+
+    def __init__(self, bpe: Bpe) -> None:
+        self.bpe = bpe
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        out = self.bpe.pieces(chunk.decode("utf-8", "surrogatepass"), True)
+        if len(chunk) <= LONG:
+            self[chunk] = out
         return out
 
+
+WHITE = frozenset(re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))))
+UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+(?=[{SPACE}])|[{SPACE}]").findall
+
+
+class UnitTokenizer:
+    """`ids(texts)` gives each text's ids as little-endian unsigned 16-bit bytes."""
+
+    def __init__(self, path: str, keeps_space: bool) -> None:
+        self.bpe, self.keeps_space = Bpe(path), keeps_space
+        self.chunks = (SpacedChunks if keeps_space else BareChunks)(self.bpe)
+
+    def _one(self, text: str) -> bytes:
+        known = self.chunks.__getitem__
+        if not self.keeps_space:
+            return b"".join(map(known, text.encode("utf-8", "surrogatepass").split()))
+        chunks = text.split(" ")
+        try:
+            return b"".join([self.bpe.pieces(chunks[0], False), *map(known, chunks[1:])])
+        except SplitsWhiteSpace:
+            return b"".join([known(u[1:]) if u[0] == " " and len(u) > 1 and u[1] not in WHITE else self.bpe.encode(u) for u in UNITS(text)])
+
     def ids(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of whole texts; a null text has none."""
-        split = [self.units(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        if len(self.parts) > CACHE_UNITS // 2:
-            self.parts.clear()
-        known = self.cache
-        new = list(set(chain.from_iterable(split)).difference(known))
-        if new:
-            learnt = self._learn(new)
-            if len(new) + len(known) > 2 * CACHE_UNITS:
-                known = {**known, **learnt}  # for this call only
-            else:
-                known.update(learnt)
-        return [b"".join(map(known.__getitem__, units)) for units in split]
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks.clear()
+        return [self._one(t) if t else b"" for t in texts]
 
 
 _OPEN: dict[tuple[str, bool], UnitTokenizer] = {}
 
 
 def unit_tokenizer(path: str, keeps_space: bool) -> UnitTokenizer:
-    """One for each Python worker: later tasks of the worker find its cache filled."""
+    """One for each Python worker: later tasks of the worker find its caches filled."""
     key = (path, keeps_space)
     if key not in _OPEN:
         _OPEN[key] = UnitTokenizer(*key)
