@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan
+from . import license_scan, mtree
 from .base import table
 
 
@@ -23,12 +23,22 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lang_id import identify
 
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -65,7 +75,9 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_mtree_topk": op2_mtree_topk,
     "op3_language_id": op3_language_id,
+    "op4_source_mixing": op4_source_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
@@ -74,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
-SQL: dict[str, str] = {"op9_license_scan": license_scan.oracle()}
+SQL: dict[str, str] = {"op2_mtree_topk": mtree.oracle(), "op9_license_scan": license_scan.oracle()}
