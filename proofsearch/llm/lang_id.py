@@ -11,20 +11,23 @@ of doc_id), and is itself bounded: the most frequent words and n-grams of that s
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import doc_columns, fresh, hash01, tune
+from .base import doc_columns, fresh, hash01, materialise, tune
 
 #: Labelled rows read for each language.
 SAMPLE_DOCS = 2_000
+#: The table of languages is broadcast up to this many, and joined by a shuffle beyond.
+BROADCAST_LANGS = 10_000
 #: The model's size: known words, and known n-grams of each length.
 MODEL_WORDS, MODEL_GRAMS, LONGEST_GRAM = 30_000, 20_000, 4
 #: What a score of a whole word or n-gram weighs less at each step of backoff.
@@ -34,17 +37,17 @@ EVIDENCE = 12.0
 #: Scores of unseen words kept by a worker.
 CACHE_WORDS = 300_000
 UNKNOWN = "und"
-LETTERS = regex.compile(r"\p{L}+").findall
+#: Runs of letters (and of the few numerals that are no digits).
+LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
 @dataclass
 class BackoffModel:
-    """Log frequencies by language of words, and of n-grams by length."""
+    """Log frequencies by language of words, and of n-grams by length, each less its mean over the languages."""
 
     langs: list[str]
     words: dict[str, np.ndarray]
     grams: list[dict[str, np.ndarray]]
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def fit(cls, counts: list[tuple[str, str, int]], langs: list[str]) -> BackoffModel:
@@ -55,44 +58,79 @@ class BackoffModel:
             level, key = (int(unit[0]), unit[2:]) if unit[1:2] == ":" else (0, unit)
             tables[level].setdefault(key, np.zeros(len(langs)))[at[lang]] += n
         out = []
-        for t in tables:
+        for level, t in enumerate(tables):
             total = sum(t.values(), np.zeros(len(langs))) + 0.5 * max(len(t), 1)
-            out.append({k: np.log((v + 0.5) / total) for k, v in t.items()})
+            weight = (1 - BACKOFF) ** (LONGEST_GRAM - level) if level else 1.0
+            logs = {k: np.log((v + 0.5) / total) for k, v in t.items()}
+            out.append({k: weight * (v - v.mean()) for k, v in logs.items()})
         return cls(langs, out[0], out)
 
-    def word(self, w: str) -> np.ndarray:
-        if (known := self.words.get(w)) is not None:
-            return known
-        if (known := self.cache.get(w)) is not None:
-            return known
-        padded, scores, at = f"<{w[:40]}>", [], 0
-        while at < len(padded):
-            for n in range(min(LONGEST_GRAM, len(padded) - at), 0, -1):
-                if (s := self.grams[n].get(padded[at : at + n])) is not None:
-                    scores.append((1 - BACKOFF) ** (LONGEST_GRAM - n) * (s - s.mean()))
+
+class Scores(dict):
+    """Row numbers of words in a table of their scores; a word is scored when it is first asked for."""
+
+    def __init__(self, model: BackoffModel) -> None:
+        self.model = model
+        self.known = np.array(list(model.words.values()) or np.zeros((0, len(model.langs))))
+        self.gram_at = [{g: k for k, g in enumerate(t)} for t in model.grams]
+        offsets = np.cumsum([0, *map(len, model.grams)])
+        self.gram_at = [{g: int(o) + k for g, k in t.items()} for t, o in zip(self.gram_at, offsets)]
+        self.gram_scores = np.array([v for t in model.grams for v in t.values()] or np.zeros((0, len(model.langs))))
+        self.table = np.zeros((0, 0))
+        self.empty()
+
+    def empty(self) -> None:
+        """Only the model's own words."""
+        self.clear()
+        self.update((w, k) for k, w in enumerate(self.model.words))
+        self.table = np.zeros((len(self.known) + CACHE_WORDS, len(self.model.langs)))
+        self.table[: len(self.known)] = self.known
+
+    def __missing__(self, word: str) -> int:
+        row = len(self)
+        if row >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        padded = f"<{word[:40]}>"
+        found, at, end = [], 0, len(padded)
+        while at < end:
+            for n in range(min(LONGEST_GRAM, end - at), 0, -1):
+                if (k := self.gram_at[n].get(padded[at : at + n])) is not None:
+                    found.append(k)
                     at += n
                     break
             else:
                 at += 1
-        out = np.mean(scores, axis=0) if scores else np.zeros(len(self.langs))
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        self.cache[w] = out
-        return out
+        if found:
+            self.table[row] = self.gram_scores.take(found, axis=0).sum(axis=0) / len(found)
+        self[word] = row
+        return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its posterior; `und` and 0 without a letter, or without a model."""
-        counts = Counter(LETTERS(text.lower())) if text else None
-        if not counts or not self.langs:
+        if not text or not self.model.langs or not any(c.isalpha() for c in text):
+            return UNKNOWN, 0.0
+        words = LETTERS(text.lower())
+        if len(self) > len(self.known) + CACHE_WORDS:
+            self.empty()
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if not len(rows):
             return UNKNOWN, 0.0
-        table = np.array([self.word(w) for w in counts])
-        table -= table.mean(axis=1, keepdims=True)
-        weight = np.fromiter(counts.values(), float, len(counts))
-        mean = weight @ table / weight.sum()
-        p = np.exp((mean - mean.max()) * min(weight.sum(), EVIDENCE))
+        mean = self.table.take(rows, axis=0).sum(axis=0) / len(rows)
+        p = np.exp((mean - mean.max()) * min(len(rows), EVIDENCE))
         p /= p.sum()
         best = int(np.argmax(p))  # ties to the first of the sorted languages
-        return self.langs[best], float(p[best])
+        return self.model.langs[best], float(p[best])
+
+
+_OPEN: dict[int, Scores] = {}
+
+
+def scores(key: int, model: BackoffModel) -> Scores:
+    """One for each Python worker and model: later tasks find its words scored."""
+    if key not in _OPEN:
+        _OPEN.clear()
+        _OPEN[key] = Scores(model)
+    return _OPEN[key]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -103,7 +141,8 @@ def fit(docs: DataFrame) -> BackoffModel:
     """A model of text and lang of rows that are not held out."""
     rows = doc_columns(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(SAMPLE_DOCS)) / F.count(F.lit(1))).alias("share"))
-    sample = rows.join(share, "lang").where(hash01(F.lit("lang-id"), "doc_id") < F.col("share")).select("lang", "text")
+    few = share.count() <= BROADCAST_LANGS
+    sample = rows.join(F.broadcast(share) if few else share, "lang").where(hash01(F.lit("lang-id"), "doc_id") < F.col("share")).select("lang", "text")
 
     def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_lang: dict[str, Counter] = {}
@@ -120,12 +159,11 @@ def fit(docs: DataFrame) -> BackoffModel:
             yield pd.DataFrame({"unit": list(found), "lang": lang, "n": list(found.values())})
 
     counted = sample.mapInPandas(units, "unit string, lang string, n long").groupBy("unit", "lang").agg(F.sum("n").alias("n"))
+    counted = materialise(counted, "unit-counts")
     level = F.when(F.substring("unit", 2, 1) == ":", F.substring("unit", 1, 1).cast("int")).otherwise(0)
     total = counted.groupBy("unit").agg(F.sum("n").alias("total")).where("total > 1").withColumn("level", level)
-    from pyspark.sql import Window as W
-
-    limit = F.when(F.col("level") == 0, MODEL_WORDS).otherwise(MODEL_GRAMS)
-    top = total.withColumn("r", F.row_number().over(W.partitionBy("level").orderBy(F.desc("total"), "unit"))).where((F.col("r") <= limit) & (F.col("r") <= max(MODEL_WORDS, MODEL_GRAMS))).select("unit")
+    parts = [total.where(F.col("level") == k).orderBy(F.desc("total"), "unit").limit(MODEL_GRAMS if k else MODEL_WORDS).select("unit") for k in range(LONGEST_GRAM + 1)]
+    top = reduce(DataFrame.unionByName, parts)
     # bounded by the model's size times the languages
     found = [(r["unit"], r["lang"], r["n"]) for r in counted.join(top, "unit").select("unit", "lang", "n").collect()]
     return BackoffModel.fit(sorted(found), sorted({lang for _, lang, _ in found}))
@@ -134,10 +172,12 @@ def fit(docs: DataFrame) -> BackoffModel:
 def predictor(docs: DataFrame, model: BackoffModel):
     """A column function: text to struct(lang_pred, score)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    number = int(shared._jbroadcast.id())
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        own = scores(number, shared.value)
+        return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     return predict
 
