@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .base import materialise
 
 SCALE = 256.0
-LEAF_ROWS, FAN = 64, 16
+LEAF_ROWS, FAN = 256, 16
 #: Rows in a block, at most on average; blocks, at least; queries in a block of queries; pilot rows.
 BLOCK_ROWS, LEAST_BLOCKS, QUERY_ROWS, PILOT_ROWS = 50_000, 16, 4_096, 1_024
 HEAD = struct.Struct("<BIId")
@@ -69,7 +69,7 @@ def unpack(raw: bytes) -> Leaf | Inner:
 
     if inner:
         return Inner(take("<i8", n), take("<f8", n * d).reshape(n, d), take("<f8", n), take("<f8", n), norm)
-    return Leaf(take("<i8", n), take("<i8", n * d).reshape(n, d), take("<f8", n), norm)
+    return Leaf(take("<i8", n), take("<i8", n * d).reshape(n, d).astype(float), take("<f8", n), norm)
 
 
 def _distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -149,12 +149,14 @@ class Tree:
             if not len(near):
                 continue
             self.computed += len(near)
-            scores = page.vectors[near] @ q
-            for j in np.lexsort((page.ids[near], -scores)).tolist():
-                s, i = int(scores[j]), int(page.ids[near[j]])
+            whole = len(near) == len(page.ids)
+            scores, ids = (page.vectors if whole else page.vectors[near]) @ q, page.ids if whole else page.ids[near]
+            enough = np.flatnonzero(scores >= (best[0][0] if len(best) == k else least))
+            for j in enough[np.lexsort((ids[enough], -scores[enough]))].tolist() if len(enough) else []:
+                s, i = int(scores[j]), int(ids[j])
                 if i == query_id:
                     continue
-                if s < least or len(best) == k and (s, -i) < best[0]:
+                if len(best) == k and (s, -i) < best[0]:
                     break
                 (heapq.heapreplace if len(best) == k else heapq.heappush)(best, (s, -i))
             if len(best) == k:
