@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .base import materialise
 
 SCALE = 256.0
-LEAF_ROWS, FAN = 256, 16
+LEAF_ROWS, FAN = 1024, 8
 #: Rows in a block, at most on average; blocks, at least; queries in a block of queries; pilot rows.
 BLOCK_ROWS, LEAST_BLOCKS, QUERY_ROWS, PILOT_ROWS = 50_000, 16, 4_096, 1_024
 HEAD = struct.Struct("<BIId")
@@ -90,13 +90,14 @@ def build(ids: np.ndarray, vectors: np.ndarray, seed: int = 5) -> list[bytes]:
         if len(rows) <= LEAF_ROWS:
             pages[me] = Leaf(ids[rows], vectors[rows], _distances(points[rows], pivot), norm).pack()
             return me
-        chosen = points[r.choice(rows, FAN, replace=False)]
+        fan = min(FAN, max(2, math.ceil(1.5 * len(rows) / LEAF_ROWS)))  # pages as full as may be
+        chosen = points[r.choice(rows, fan, replace=False)]
         gap = (points[rows] ** 2).sum(axis=1)[:, None] + (chosen**2).sum(axis=1) - 2 * points[rows] @ chosen.T
         nearest = gap.argmin(axis=1)
-        if np.bincount(nearest, minlength=FAN).max() > 0.9 * len(rows):  # many equal vectors: any even cut is as good
-            nearest = np.arange(len(rows)) * FAN // len(rows)
+        if np.bincount(nearest, minlength=fan).max() > 0.9 * len(rows):  # many equal vectors: any even cut is as good
+            nearest = np.arange(len(rows)) * fan // len(rows)
         children, pivots, radius = [], [], []
-        for k in range(FAN):
+        for k in range(fan):
             part = rows[nearest == k]
             if len(part):
                 pivots.append(chosen[k])
