@@ -27,6 +27,7 @@ BUCKETS = 1024
 #: Leaves up to this many are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LEAVES = 50_000
 NONE = "(none)"
+KEYS = ("domain", "lang", "source")
 
 
 def _default_domains() -> dict[str, str]:
@@ -86,23 +87,25 @@ class Mix:
     seed: int = 17
 
     def keyed(self, docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-        """`docs` with a leaf's keys, tokens and doc_id under names of our own."""
+        """`docs` with a leaf's keys and the doc_id under names of our own."""
         name = {k: fresh(docs, f"mix_{k}") for k in ("domain", "lang", "source", "tokens", "id", "full", "rest", "last", "start", "bucket", "hash", "at", "copies")}
         source = F.coalesce(F.col("source").cast("string"), F.lit(NONE))
         out = docs.withColumns({
             name["domain"]: _looked_up(self.tree.domain_of, source, NONE),
             name["lang"]: F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
             name["source"]: source,
-            name["tokens"]: words(F.col("text").cast("string")),
             name["id"]: F.col("doc_id").cast("long"),
         })
         return out, name
 
-    def budgets(self, docs: DataFrame) -> DataFrame:
-        """domain, lang, source, tokens, budget, full (whole epochs), rest (tokens of one more) of each leaf."""
+    def counted(self, docs: DataFrame) -> DataFrame:
+        """domain, lang, source, id, tokens of every row: the one pass over the texts that counts them."""
         rows, n = self.keyed(docs)
-        keys = [F.col(n[k]).alias(k) for k in ("domain", "lang", "source")]
-        leaf = rows.select(*keys, F.col(n["tokens"]).alias("tokens")).groupBy("domain", "lang", "source").agg(F.sum("tokens").alias("tokens"))
+        return materialise(rows.select(*[F.col(n[k]).alias(k) for k in (*KEYS, "id")], words(F.col("text").cast("string")).alias("tokens")), "counted")
+
+    def budgets(self, counted: DataFrame) -> DataFrame:
+        """domain, lang, source, tokens, budget, full (whole epochs), rest (tokens of one more) of each leaf."""
+        leaf = counted.groupBy(*KEYS).agg(F.sum("tokens").alias("tokens"))
         leaf = materialise(leaf.where("tokens > 0"), "leaves")
         leaf = leaf.withColumn("cap", F.col("tokens") * float(self.epochs))
         total = F.lit(float(self.total)) if self.total is not None else F.lit(self.share) * F.sum("tokens").over(W.partitionBy(F.lit(1)))
@@ -117,33 +120,35 @@ class Mix:
         leaf = _share(leaf, ["domain", "lang"], "cap", "w", "lang_budget", "budget")
         leaf = leaf.withColumn("budget", F.floor(F.col("budget") + 1e-6))
         leaf = leaf.withColumn("full", F.floor(F.col("budget") / F.col("tokens"))).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens"))
-        return leaf.select("domain", "lang", "source", "tokens", "budget", "full", "rest")
+        return leaf.select(*KEYS, "tokens", "budget", "full", "rest")
 
-    def copies(self, docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-        """`docs` with how often each row is taken, and the names of the added columns."""
-        leaves = materialise(self.budgets(docs), "budgets")
+    def _order(self, full, doc_id) -> tuple[Column, Column]:
+        """A row's place in its leaf's epoch after `full` whole ones, and the bucket of that place."""
+        place = F.xxhash64(F.lit(self.seed), F.coalesce(full, F.lit(0).cast("long")), doc_id)
+        return place, F.shiftrightunsigned(place, 54).cast("int")  # BUCKETS of them
+
+    def copies(self, rows: DataFrame, n: dict[str, str], counted: DataFrame, tokens: Column) -> DataFrame:
+        """Keyed rows with how often each is taken."""
+        leaves = materialise(self.budgets(counted), "budgets")
         few = leaves.count() <= BROADCAST_LEAVES
         near = lambda df: F.broadcast(df) if few else df
-        rows, n = self.keyed(docs)
-        keys = ["domain", "lang", "source"]
-        part = leaves.select(*[F.col(k).alias(n[k]) for k in keys], F.col("full").alias(n["full"]), F.col("rest").alias(n["rest"]))
-        rows = rows.join(near(part), [n[k] for k in keys], "left")
-        rows = rows.withColumn(n["hash"], F.xxhash64(F.lit(self.seed), F.coalesce(n["full"], F.lit(0).cast("long")), F.col(n["id"])))
-        rows = rows.withColumn(n["bucket"], F.shiftrightunsigned(n["hash"], 54).cast("int"))  # BUCKETS of them
         # each leaf's bucket in which its rest ends, and what the buckets before it hold
-        held = rows.select(*[F.col(n[k]).alias(k) for k in keys], F.col(n["bucket"]).alias("bucket"), F.col(n["rest"]).alias("rest"), F.col(n["tokens"]).alias("tokens")).where("rest > 0")
-        held = held.groupBy(*keys, "rest", "bucket").agg(F.sum("tokens").alias("tokens"))
-        end = held.withColumn("end", F.sum("tokens").over(W.partitionBy(*keys).orderBy("bucket"))).where(F.col("end") >= F.col("rest"))
-        end = end.groupBy(*keys).agg(F.min(F.struct("bucket", (F.col("end") - F.col("tokens")).alias("start"))).alias("x"))
-        end = end.select(*[F.col(k).alias(n[k]) for k in keys], F.col("x.bucket").alias(n["last"]), F.col("x.start").alias(n["start"]))
-        rows = rows.join(near(materialise(end, "ends")), [n[k] for k in keys], "left")
+        held = counted.join(near(leaves.select(*KEYS, "full", "rest").where("rest > 0")), list(KEYS))
+        held = held.select(*KEYS, "rest", "tokens", self._order(F.col("full"), F.col("id"))[1].alias("bucket")).groupBy(*KEYS, "rest", "bucket").agg(F.sum("tokens").alias("tokens"))
+        end = held.withColumn("end", F.sum("tokens").over(W.partitionBy(*KEYS).orderBy("bucket"))).where(F.col("end") >= F.col("rest"))
+        end = end.groupBy(*KEYS).agg(F.min(F.struct("bucket", (F.col("end") - F.col("tokens")).alias("start"))).alias("x"))
+        leaf = materialise(leaves.join(end, list(KEYS), "left").select(*[F.col(k).alias(n[k]) for k in KEYS], F.col("full").alias(n["full"]), F.col("rest").alias(n["rest"]), F.col("x.bucket").alias(n["last"]), F.col("x.start").alias(n["start"])), "ends")
+        rows = rows.join(near(leaf), [n[k] for k in KEYS], "left")
+        place, bucket = self._order(F.col(n["full"]), F.col(n["id"]))
+        rows = rows.withColumn(n["hash"], place).withColumn(n["bucket"], bucket)
         whole = F.coalesce(n["full"], F.lit(0).cast("long"))
         on_edge = F.coalesce(F.col(n["bucket"]) == F.col(n["last"]), F.lit(False))
         clear = rows.where(~on_edge).withColumn(n["copies"], whole + F.coalesce((F.col(n["bucket"]) < F.col(n["last"])).cast("long"), F.lit(0).cast("long")))
-        order = W.partitionBy(*[n[k] for k in keys]).orderBy(n["hash"], n["id"], n["tokens"]).rowsBetween(W.unboundedPreceding, -1)
-        edge = rows.where(on_edge).withColumn(n["at"], F.col(n["start"]) + F.coalesce(F.sum(n["tokens"]).over(order), F.lit(0).cast("long")))
-        edge = edge.withColumn(n["copies"], whole + (F.col(n["at"]) < F.col(n["rest"])).cast("long")).drop(n["at"])
-        return clear.unionByName(edge), n
+        order = W.partitionBy(*[n[k] for k in KEYS]).orderBy(n["hash"], n["id"], n["tokens"]).rowsBetween(W.unboundedPreceding, -1)
+        edge = rows.where(on_edge).withColumn(n["tokens"], tokens)
+        edge = edge.withColumn(n["at"], F.col(n["start"]) + F.coalesce(F.sum(n["tokens"]).over(order), F.lit(0).cast("long")))
+        edge = edge.withColumn(n["copies"], whole + (F.col(n["at"]) < F.col(n["rest"])).cast("long")).drop(n["at"], n["tokens"])
+        return clear.unionByName(edge)
 
 
 def mix(docs: DataFrame, settings: Mix | None = None) -> DataFrame:
@@ -153,14 +158,19 @@ def mix(docs: DataFrame, settings: Mix | None = None) -> DataFrame:
     leaf's whole epochs and prefix, at no cost, and never if its leaf has no tokens at all. Rows with equal
     doc_ids are taken one by one. A null doc_id is kept. An empty table gives no rows. Other columns are ignored.
     """
-    rows, n = (settings or Mix()).copies(docs.select("doc_id", "text", "lang", "source"))
-    return rows.select(F.col(n["id"]).alias("doc_id"), F.col(n["domain"]).alias("domain"), F.col(n["lang"]).alias("lang"), F.col(n["source"]).alias("source"), F.col(n["tokens"]).alias("tokens"), F.col(n["copies"]).alias("copies"), (F.col(n["copies"]) > 0).alias("kept"))
+    settings = settings or Mix()
+    counted = settings.counted(docs.select("doc_id", "text", "lang", "source"))
+    # what is counted already has a row for each, so the texts are read once
+    n = {k: k for k in (*KEYS, "id")} | {k: f"__{k}" for k in ("tokens", "full", "rest", "last", "start", "bucket", "hash", "at", "copies")}
+    rows = settings.copies(counted, n, counted, F.col("tokens"))
+    return rows.select(F.col("id").alias("doc_id"), *KEYS, "tokens", F.col(n["copies"]).alias("copies"), (F.col(n["copies"]) > 0).alias("kept"))
 
 
 def take(docs: DataFrame, settings: Mix | None = None) -> DataFrame:
     """The rows that the mix takes, each as often as it does; all columns as they were."""
     settings = settings or Mix()
-    rows, n = settings.copies(docs)
+    rows, n = settings.keyed(docs)
+    rows = settings.copies(rows, n, settings.counted(docs), words(F.col("text").cast("string")))
     rows = rows.where(F.col(n["copies"]) > 0)
     if settings.epochs > 1:
         rows = rows.withColumn(n["at"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(n["copies"]))))
