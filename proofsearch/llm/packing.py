@@ -1,7 +1,7 @@
 """Packing: lexical retrieval fills each window with a seed document's neighbours.
 
 Documents are dealt to shards by a hash of their id; shards have a bounded size, so neither a source nor
-a group of copies can swell one. A shard holds a BM25 inverted index of its own documents. The window's
+a group of copies can swell one. A shard holds a BM25 inverted index of its own documents, over their token ids. The window's
 seed asks the index for its unused neighbours, and they fill the window greedily, best score first; the
 document that does not fit is cut there, and its rest seeds the next window. All windows of a shard but
 the last are thus full, and the last is cut at powers of two, which need no padding.
@@ -31,22 +31,21 @@ K1, B = 1.5, 0.75
 
 
 class Bm25Shard:
-    """Inverted index over a shard's documents, each a list of terms."""
-
-    def __init__(self, docs: list[list]) -> None:
-        ids: dict = {}
-        term = np.fromiter((ids.setdefault(w, len(ids)) for d in docs for w in d), np.int64)
-        doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        pair, tf = np.unique(term * max(len(docs), 1) + doc, return_counts=True)
-        term, doc = pair // max(len(docs), 1), pair % max(len(docs), 1)
-        df = np.bincount(term, minlength=len(ids))
-        length = np.array([len(d) for d in docs], float)
+    """Inverted index over a shard's documents, each an array of token ids."""
+
+    def __init__(self, docs: list[np.ndarray]) -> None:
+        n = max(len(docs), 1)
+        length = np.array([len(d) for d in docs], np.int64)
+        term = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
+        pair, tf = np.unique(term * n + np.repeat(np.arange(len(docs)), length), return_counts=True)
+        term, doc = pair // n, pair % n
+        df = np.bincount(term, minlength=1)
         norm = K1 * (1 - B + B * length / max(length.mean() if len(docs) else 1, 1e-9))
         idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
         shared = df[term] > 1  # a term of one document leads to no neighbour
         term, doc, tf = term[shared], doc[shared], tf[shared]
         self.doc, self.weight = doc, idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        self.start = np.searchsorted(term, np.arange(len(ids) + 1))
+        self.start = np.searchsorted(term, np.arange(len(df) + 1))
         order = np.lexsort((df[term], doc))  # each document's terms, rarest first
         self.terms, self.terms_at = term[order], np.searchsorted(doc[order], np.arange(len(docs) + 1))
 
@@ -64,9 +63,9 @@ class Bm25Shard:
         return found[np.lexsort((found, -score))]
 
 
-def pack_shard(words: list[list], lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) of documents with the given numbers of tokens."""
-    n, index = len(words), Bm25Shard(words)
+def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+    """Pieces (document, start, length, sequence, offset) of documents, each the ids of its tokens with the end id."""
+    n, index, lengths = len(ids), Bm25Shard([x[:-1] for x in ids]), [len(x) for x in ids]
     used, pieces = np.zeros(n, bool), []
     sequence = offset = 0
     seed: int | None = None
@@ -133,13 +132,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     shards = max(1, math.ceil(size["n"] / SHARD_DOCS), math.ceil((size["chars"] or 0) / SHARD_CHARS))
 
     def pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tok = unit_tokenizer(tokenizer, False)
+        tok, end = unit_tokenizer(tokenizer, False), end_id.to_bytes(2, "little")
         pdf = pdf.fillna({"text": ""}).sort_values(["doc_id", "text"], kind="stable", na_position="first")
         texts = pdf["text"].tolist()
-        ids = [np.append(np.frombuffer(b, "<u2"), end_id).astype("<u4") for k in range(0, len(texts), 256) for b in tok.ids(texts[k : k + 256])]
-        words = [t.lower().split() for t in texts]
+        ids = [np.frombuffer(b + end, "<u2") for b in tok.ids(texts)]
         doc_ids = pdf["doc_id"].tolist()
-        out = [(doc_ids[d], start, k, zlib.crc32(cut := ids[d][start : start + k].tobytes()), len(ids[d]), (key[0] << 32) + sequence, offset, cut) for d, start, k, sequence, offset in pack_shard(words, [len(x) for x in ids], window)]
+        out = [(doc_ids[d], start, k, zlib.crc32(cut := ids[d][start : start + k].astype("<u4").tobytes()), len(ids[d]), (key[0] << 32) + sequence, offset, cut) for d, start, k, sequence, offset in pack_shard(ids, window)]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         return pd.DataFrame(out, columns=names)[names if with_ids else names[:-1]]
 

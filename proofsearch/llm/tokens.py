@@ -59,9 +59,12 @@ class Bpe:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def pieces(self, chunk: str, lower: bool) -> bytes:
-        parts = PARTS(chunk)
-        if len(chunk) > LONG or "".join(parts) != chunk:
-            return self.encode(chunk)
+        if chunk.isascii() and chunk.isalpha() and len(chunk) <= LONG:
+            parts = [chunk]
+        else:
+            parts = PARTS(chunk)
+            if len(chunk) > LONG or "".join(parts) != chunk:
+                return self.encode(chunk)
         if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
         out = b""
