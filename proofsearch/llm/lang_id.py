@@ -156,11 +156,12 @@ def fit(docs: DataFrame) -> BackoffModel:
                 for k in range(1, LONGEST_GRAM + 1):
                     for i in range(len(p) - k + 1):
                         found[f"{k}:{p[i : i + k]}"] += n
-            yield pd.DataFrame({"unit": list(found), "lang": lang, "n": list(found.values())})
+            if found:
+                yield pd.DataFrame({"unit": list(found), "lang": [lang] * len(found), "n": list(found.values())})
 
     counted = sample.mapInPandas(units, "unit string, lang string, n long").groupBy("unit", "lang").agg(F.sum("n").alias("n"))
     counted = materialise(counted, "unit-counts")
-    level = F.when(F.substring("unit", 2, 1) == ":", F.substring("unit", 1, 1).cast("int")).otherwise(0)
+    level = F.when(F.substring("unit", 2, 1) == ":", F.substring("unit", 1, 1).try_cast("int")).otherwise(0)
     total = counted.groupBy("unit").agg(F.sum("n").alias("total")).where("total > 1").withColumn("level", level)
     parts = [total.where(F.col("level") == k).orderBy(F.desc("total"), "unit").limit(MODEL_GRAMS if k else MODEL_WORDS).select("unit") for k in range(LONGEST_GRAM + 1)]
     top = reduce(DataFrame.unionByName, parts)
