@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .base import doc_columns
 
-CONTAINMENT = 0.8
+CONTAINMENT = 0.9
 #: Phrases of the base labels.
 PHRASES = {
     "mit license": "mit",
