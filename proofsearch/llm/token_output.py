@@ -90,28 +90,36 @@ def unpack_segment(raw: bytes, id_of: np.ndarray) -> tuple[int, int, list[int |
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (unsigned 16-bit bytes) of every row; a null or empty text has the end id alone."""
+    """doc_id and ids (unsigned 16-bit bytes) of every row; a null or empty text has the end id alone.
+
+    Each task adds a row with its counts of ids (in `counts`; ids is null there), so no second pass counts them.
+    """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok, end = unit_tokenizer(tokenizer, True), struct.pack("<H", end_id)
+        total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [x + end for x in tok.ids(b["text"])]})
+            ids = [x + end for x in tok.ids(b["text"])]
+            total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids, "counts": pd.Series([None] * len(ids), dtype=object)})
+        seen = np.flatnonzero(total)
+        packed = seen.astype("<u2").tobytes() + total[seen].astype("<i8").tobytes()
+        yield pd.DataFrame({"doc_id": pd.Series([None], dtype=object), "ids": pd.Series([None], dtype=object), "counts": [packed]})
 
     # doc_id travels as text, as pandas has no null among longs
-    return doc_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(encode, "doc_id string, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return doc_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(encode, "doc_id string, ids binary, counts binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
-    """How often each id occurs, summed within each task before the shuffle."""
+    """How often each id occurs, from the rows of counts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b["ids"]), "<u2"), minlength=1 << 16)
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"id": seen.astype(np.int32), "n": total[seen]})
+            for raw in b["counts"]:
+                n = len(raw) // 10
+                yield pd.DataFrame({"id": np.frombuffer(raw, "<u2", n).astype(np.int32), "n": np.frombuffer(raw, "<i8", n, 2 * n)})
 
-    return tokens.select("ids").mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.where("counts IS NOT NULL").select("counts").mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
@@ -143,7 +151,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             yield pd.DataFrame({"segment": [pack_segment(part, number, before, doc_ids, ids, rank_of)]})
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tokens.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = tokens.where("ids IS NOT NULL").select("doc_id", "ids").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     made = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(segments, "segment binary")
     one = {"maxRecordsPerFile": 1}
     made.select(F.col("segment").cast("string")).write.options(**one).text(f"{path}/segments")
