@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that carry no meaning of their own, French and English.
 STOPWORDS = sorted(set(
@@ -49,7 +51,7 @@ def normalize(text: Column) -> Column:
     return F.translate(F.lower(text), ACCENTED, BARE)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents_any(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
@@ -113,13 +115,20 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def _stems(text: Column) -> Column:
+def stems(text: Column) -> Column:
+    """All words' stems between single spaces."""
     return F.concat(F.lit(" "), F.array_join(F.transform(words(text), stem), " "), F.lit(" "))
 
 
+def stems_of(phrase: str) -> str:
+    """The same of a phrase that is known beforehand."""
+    plain = phrase.lower().translate(str.maketrans(ACCENTED, BARE))
+    return f" {' '.join(re.sub(STEM_PATTERN, r'\1', w) for w in re.findall(WORD_PATTERN, plain))} "
+
+
 def has_phrase(text: Column, phrase: Column) -> Column:
     """The phrase's words in a row, up to their endings; an empty phrase is nowhere."""
-    return (F.size(words(phrase)) > 0) & F.contains(_stems(text), _stems(phrase))
+    return (F.size(words(phrase)) > 0) & F.contains(stems(text), stems(phrase))
 
 
 def title_key(title: Column) -> Column:

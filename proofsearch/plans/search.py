@@ -1,6 +1,6 @@
 """The whole search as tables: screened questions, plans, evidence, claims, groups, candidates, answers.
 
-Each step is a DataFrame of all questions at once. Nothing is collected; a caller stores the tables it wants.
+Each step is a DataFrame of all questions at once. Nothing is collected; steps that several others read are stored, which also keeps plans short.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..operators import claims as C
 from ..operators import corpus, graph, guard, planner, reason, retrieval
 from ..sources.documents import reliability
+from ..sources.storage import stored
 
 
 @dataclass(frozen=True)
@@ -42,9 +43,10 @@ def evidence(queries: DataFrame, documents: DataFrame, top_k: int = 5) -> DataFr
 def search(queries: DataFrame, documents: DataFrame, priors: DataFrame | None = None, top_k: int = 8) -> SearchTables:
     """Questions (query_id, query) over documents (document_id, title, text, url, reliability, origin)."""
     spark = queries.sparkSession
-    screened = guard.screen(queries)
+    screened = stored(guard.screen(queries), "screened")
     plans = planner.plan(screened.where("NOT blocked").select("query_id", F.col("text").alias("query")))
-    readings = planner.interpretations(plans)
+    plans = stored(plans, "plans")
+    readings = stored(planner.interpretations(plans), "readings")
     subqueries = readings.select("query_id", "interp_id", F.posexplode("subqueries").alias("n", "query"))
     # each (question, reading, sub-query) is searched once, under a key of its own
     keyed = subqueries.withColumn("key", F.xxhash64("query_id", "interp_id", "n"))
@@ -54,17 +56,19 @@ def search(queries: DataFrame, documents: DataFrame, priors: DataFrame | None =
     order = W.partitionBy("query_id", "interp_id").orderBy(F.desc("score"), "document_id")
     found = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
     top = F.max("score").over(W.partitionBy("query_id", "interp_id"))
-    found = found.withColumn("relevance", F.round(F.col("score") / F.nullif(top, F.lit(0.0)), 6))
+    found = stored(found.withColumn("relevance", F.round(F.col("score") / F.nullif(top, F.lit(0.0)), 6)), "found")
 
     sources = documents.select("document_id", reliability(F.col("url"), F.col("reliability"), F.col("origin")).alias("reliability"))
     stated = C.extract(corpus.passages(documents.join(found.select("document_id").distinct(), "document_id", "left_semi"))).join(sources, "document_id")
     per_query = found.select("query_id", "document_id").distinct().join(stated, "document_id")
     ordinal = F.row_number().over(W.partitionBy("query_id").orderBy("document_id", "place", "claim_id")).cast("long")
-    per_query = per_query.dropDuplicates(["query_id", "claim_id"]).withColumn("ordinal", ordinal)
+    per_query = stored(per_query.dropDuplicates(["query_id", "claim_id"]).withColumn("ordinal", ordinal), "per-query")
     named = graph.resolve_entities(per_query.select("query_id", "ordinal", F.col("subject_key").alias("key")))
     facts = per_query.join(named.select("query_id", "ordinal", F.col("canonical").alias("entity")), ["query_id", "ordinal"]).withColumn("source_id", F.col("document_id").cast("string"))
+    facts = stored(facts, "facts")
     groups = graph.value_groups(facts.where("kind = 'fact' AND comparator = 'eq' AND value IS NOT NULL").select("query_id", "entity", "attribute", "value", "unit", "ordinal", "source_id", "reliability"))
-    settled = graph.resolve(groups)
+    groups = stored(groups, "groups")
+    settled = stored(graph.resolve(groups), "settled")
 
     bounds = plans.select("query_id", F.explode("constraints").alias("c")).select("query_id", "c.attribute", "c.comparator", F.col("c.value").alias("bound"))
     verdicts = graph.constraint_verdicts(groups, bounds)
@@ -76,8 +80,8 @@ def search(queries: DataFrame, documents: DataFrame, priors: DataFrame | None =
     case = case.withColumn("place", F.row_number().over(W.partitionBy("query_id", "interp_id").orderBy(F.desc("relevance"), "entity"))).where(F.col("place") <= reason.MOST_ENTITIES)
     case = case.join(readings.select("query_id", "interp_id", "facet", "facet_terms", "plausibility"), ["query_id", "interp_id"])
     siblings = F.array_except(F.flatten(F.collect_set("facet_terms").over(W.partitionBy("query_id"))), "facet_terms")
-    case = case.withColumn("siblings", siblings)
-    named_in = lambda terms: F.exists(terms, lambda t: T.has_phrase(F.col("said"), t))
+    case = stored(case.withColumn("siblings", siblings).withColumn("said", T.stems(F.col("said"))), "cases")
+    named_in = lambda terms: F.exists(terms, lambda t: F.contains(F.col("said"), T.stems(t)) & (F.size(T.words(t)) > 0))
     degree = reason.facet_degree(named_in("facet_terms"), named_in("siblings"), F.size("facet_terms") > 0)
     cand = ["query_id", "interp_id", "candidate_key"]
     conflicts = settled.where("state = 'open'").groupBy("query_id", "entity").agg(F.count(F.lit(1)).alias("n"))
@@ -89,11 +93,12 @@ def search(queries: DataFrame, documents: DataFrame, priors: DataFrame | None =
     premises = premises.unionByName(premise(case.withColumn("d", degree).where("d IS NOT NULL"), 2, "facet", F.lit("facet"), F.col("d")))
     premises = premises.unionByName(premise(case.join(verdicts.select("query_id", "entity", F.col("attribute").alias("on"), F.col("degree").alias("d")), ["query_id", "entity"]), 3, "constraint", F.col("on"), F.col("d")))
     premises = premises.unionByName(premise(case.join(conflicts, ["query_id", "entity"]), 4, "consistency", F.lit("consistency"), F.lit(0.5)))
-    gate = reason.godel_gate(premises)
+    gate = stored(reason.godel_gate(premises), "gate")
     statuses = case.join(reason.attribute_status(settled).select("query_id", "entity", "status"), ["query_id", "entity"]).select(*cand, "status")
     counted = case.join(conflicts, ["query_id", "entity"]).select(*cand, "n")
     scored = reason.tap_score(gate, statuses, counted, held.select(*cand, "source_id", "reliability"))
     scored = scored.join(case.select(*cand, "facet", "plausibility", F.col("place").alias("ordinal")), cand)
+    scored = stored(scored, "scored")
     if priors is None:
         priors = spark.createDataFrame([], "facet string, prior double")
     answers = reason.select_answers(scored, priors)
