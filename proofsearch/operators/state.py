@@ -33,15 +33,11 @@ def rls(p: Column, cov: Column, y: Column, forgetting: float = FORGETTING) -> tu
 def click_prior(clicks: DataFrame) -> DataFrame:
     """(facet, prior, n): clicks (facet, ts, id, y) folded in time order; y is 1 for the chosen facet, 0 for others shown.
 
-    Facets are few and their event lists long, so each facet is cut into chunks whose fold is a function of the state:
-    with y in {0, 1} a step is p -> (1-k) p + k y, and k depends on the number of steps alone. The fold is thus a
-    weighted sum, the weight of step i being k_i times the product of (1-k_j) after it; clamping never acts, as p stays
-    in [0, 1].
+    Forgetting makes what lies a thousand events back weigh less than 1e-8, so the fold reads the last thousand of a
+    facet; the window's limit keeps each task's last thousand before the shuffle, and no facet is gathered whole.
     """
-    # after i steps the gain is (1-f)/(1-f^i * c) for a c set by the start; it is within 1e-12 of its limit after some
-    # hundred steps, so the weights of old events vanish and a tail of each facet decides
     order = W.partitionBy("facet").orderBy(F.desc("ts"), F.desc("id"))
-    tail = clicks.withColumn("back", F.row_number().over(order)).where(F.col("back") <= 2000)
+    tail = clicks.withColumn("back", F.row_number().over(order)).where(F.col("back") <= 1000)
     total = clicks.groupBy("facet").agg(F.count(F.lit(1)).alias("n"))
     ordered = tail.groupBy("facet").agg(F.sort_array(F.collect_list(F.struct("ts", "id", "y"))).alias("e"))
     start = F.struct(F.lit(PRIOR).alias("p"), F.lit(COVARIANCE).alias("cov"))
