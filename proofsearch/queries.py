@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .functions import calc
 from .functions import text as T
 from .functions import units as U
 from .operators import claims as C
-from .operators import corpus, graph, guard, metrics, planner, reason, retrieval, state
+from .operators import corpus, graph, guard, metrics, planner, reason, retrieval, state, statements
 from .plans import search as plans
 from .sources import documents as sources
 
@@ -681,3 +682,21 @@ def entity_keys(spark, sf):
 def entity_resolution(spark, sf):
     p = table(spark, sf, "part").select(F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("long").alias("query_id"), F.col("p_partkey").alias("ordinal"), graph.entity_key(F.concat("p_name", F.lit(" "), "p_type")).alias("key"))
     return graph.resolve_entities(p)
+
+
+@query("""SELECT * FROM (VALUES (1, 14.0::DOUBLE), (2, 1024.0), (3, 2.5), (4, 5.0), (5, NULL), (6, NULL), (7, NULL), (8, -7.0)) t(id, value)""")
+def calculator(spark, sf):
+    rows = [(1, "2+3×4"), (2, "2^10"), (3, "1,5 + 1"), (4, "max(sqrt(25), 3)"), (5, "__import__('os')"), (6, "9**99"), (7, "1/0"), (8, "-(3+4)")]
+    return spark.createDataFrame(rows, "id int, t string").select("id", calc.calculate("t").alias("value"))
+
+
+@query()
+def statement_drafts(spark, sf):
+    d, b = docs(spark, sf), items(spark, sf)
+    found = retrieval.ranked(retrieval.bm25(b, d), "score", "rank", statements.PASSAGES)
+    return statements.drafts(b, found, d)
+
+
+@query("""SELECT p_partkey, CASE WHEN contains(lower(p_name), 'red') THEN 0.0 ELSE (contains(lower(p_name), 'small')::INT + contains(lower(p_name), 'ring')::INT) / 2.0 END::DOUBLE AS degree FROM part""")
+def lexical_constraints(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", statements.lexical_degree(F.col("p_name"), ["small", "ring"], ["red"]).alias("degree"))

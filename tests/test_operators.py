@@ -255,3 +255,24 @@ def test_whole_search(spark):
     assert {r.candidate_key for r in answers} == {"entity:orion x200"}
     assert s.conflicts.where("query_id = 0 AND entity = 'orion x200' AND attribute = 'price'").first().state == "resolved"
     assert s.candidates.where("candidate_key LIKE '%vega%'").first().rejected
+
+
+@pytest.mark.parametrize("text,value", [("2+3*4", 14), ("-2**2", -4), ("2**-1", 0.5), ("7//2%2", 1), ("(1+2)*3", 9), ("1,5*2", 3), ("min(3, 1, 2)", 1), ("2*pi", 2 * math.pi), ("√", None), ("", None), ("2**65", None), ("1e99*1e99", None), ("open('x')", None), ("sqrt(-1)", None), ("1 2", None), ("(1", None), ("a.b", None)])
+def test_calculator(text, value):
+    from proofsearch.functions import calc
+
+    if value is None:
+        with pytest.raises(calc.Refused):
+            calc.evaluate(text)
+    else:
+        assert calc.evaluate(text) == pytest.approx(value)
+
+
+def test_statement_drafts(spark, docs):
+    from proofsearch.operators import statements
+
+    q = questions(spark, "film that Mara Voss directed")
+    found = retrieval.ranked(retrieval.bm25(q, docs), "score", "rank", 6)
+    out = statements.drafts(q, found, docs).orderBy("place").collect()
+    assert out[0].sentence == "A film that Mara Voss directed in 1999." and out[0].degree == 1.0 and len(out) <= 3
+    assert all(0 < r.degree <= 1 for r in out)
