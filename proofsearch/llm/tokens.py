@@ -23,6 +23,8 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CACHE_CHUNKS, CACHE_PARTS = 700_000, 400_000
 #: What is longer is encoded and not kept.
 LONG = 100
+#: Marks that often end a word.
+ENDS = frozenset(".,;:!?")
 #: Runs that the pre-tokenizers of both vocabularies keep whole: letters, marks (no apostrophe), one line end.
 PARTS = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[!-&(-/:-@\\[-`{{-~]+|\n(?![{SPACE}])").findall
 
@@ -59,8 +61,11 @@ class Bpe:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def pieces(self, chunk: str, lower: bool) -> bytes:
-        if chunk.isascii() and chunk.isalpha() and len(chunk) <= LONG:
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isascii() and body.isalpha() and len(chunk) <= LONG:
             parts = [chunk]
+        elif body[-1:] in ENDS and body[:-1].isascii() and body[:-1].isalpha() and len(chunk) <= LONG:
+            parts = [chunk[:-1], chunk[-1]]
         else:
             parts = PARTS(chunk)
             if len(chunk) > LONG or "".join(parts) != chunk:
