@@ -36,32 +36,44 @@ HEADER = struct.Struct("<4sI5q")
 SEGMENT_TOKENS = 4_000_000
 END_ID = 2
 #: Sum of a control byte's data bytes, and where each of its eight values starts.
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-LENGTHS = (_BITS + 1).astype(np.uint8)
-STARTS = (np.cumsum(LENGTHS, axis=1) - LENGTHS).astype(np.uint8)
-TOTALS = LENGTHS.sum(axis=1).astype(np.int64)
+TWO = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(bool)
+LENGTHS = (TWO + 1).astype(np.int32)
+STARTS = np.cumsum(LENGTHS, axis=1, dtype=np.int32) - LENGTHS
+TOTALS = LENGTHS.sum(axis=1, dtype=np.int32)
+#: Values that are coded at once, a multiple of eight.
+PART = 1 << 16
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of ranks below 65,536."""
-    ranks = ranks.astype("<u2")
-    two = ranks > 255
-    control = np.packbits(two, bitorder="little")
-    pairs = ranks.view(np.uint8).reshape(-1, 2)
-    keep = np.ones((len(ranks), 2), bool)
-    keep[:, 1] = two
-    return control.tobytes(), pairs[keep].tobytes()
+    ranks = ranks.astype("<u2", copy=False)
+    control, data = [], []
+    for k in range(0, len(ranks), PART):  # parts that stay in the processor's cache
+        own = ranks[k : k + PART]
+        two = own > 255
+        control.append(np.packbits(two, bitorder="little").tobytes())
+        keep = np.ones((len(own), 2), bool)
+        keep[:, 1] = two
+        data.append(own.view(np.uint8).reshape(-1, 2)[keep].tobytes())
+    return b"".join(control), b"".join(data)
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ranks back, by table lookup of each control byte."""
-    c = np.frombuffer(control, np.uint8)
-    base = np.zeros(len(c), np.int64)
-    np.cumsum(TOTALS[c[:-1]], out=base[1:]) if len(c) else None
-    at = (base[:, None] + STARTS[c]).reshape(-1)[:n]
-    two = LENGTHS[c].reshape(-1)[:n] == 2
-    raw = np.frombuffer(data + b"\0\0", np.uint8).astype(np.uint16)
-    return raw[at] | np.where(two, raw[at + 1] << 8, 0).astype(np.uint16)
+    c, raw = np.frombuffer(control, np.uint8), np.frombuffer(data + b"\0\0", np.uint8)
+    out, start = np.empty(n, np.uint16), 0
+    for k in range(0, n, PART):
+        own = c[k // 8 : (k + PART) // 8]
+        size = min(PART, n - k)
+        ends = np.cumsum(TOTALS[own], dtype=np.int32)
+        at = ((ends - TOTALS[own])[:, None] + STARTS[own]).reshape(-1)[:size]
+        two = TWO[own].reshape(-1)[:size]
+        here = raw[start : start + int(ends[-1]) + 2] if len(ends) else raw[:0]
+        part = here[at].astype(np.uint16)
+        part[two] |= here[at[two] + 1].astype(np.uint16) << 8
+        out[k : k + size] = part
+        start += int(at[-1]) + 1 + int(two[-1])
+    return out
 
 
 def pack_segment(part: int, number: int, before: int, doc_ids: list[int | None], ids: list[np.ndarray], rank_of: np.ndarray) -> bytes:

@@ -31,7 +31,7 @@ def test_any_text(name, keeps, text):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(0, 65535), max_size=70))
+@given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 65535)), max_size=70))
 def test_code_round_trip(ranks):
     a = np.array(ranks, np.uint16)
     control, data = O.encode_ranks(a)
@@ -71,3 +71,11 @@ def test_edges(spark):
     assert [(r.doc_id, r.n_tokens) for r in out] == [(None, 1), (1, 1), (2, 2), (2, 2), (2, 2)]
     assert [r.start for r in out] == [0, 1, 2, 4, 6]
     assert O.token_output(spark.createDataFrame([], schema), tokenizer_path("byte_bpe_50k.json")).count() == 0
+
+
+def test_code_over_many_parts():
+    r = np.random.default_rng(0)
+    for n in (O.PART - 1, O.PART, O.PART + 1, 3 * O.PART + 5):
+        a = np.where(r.random(n) < 0.5, r.integers(0, 256, n), r.integers(0, 65536, n)).astype(np.uint16)
+        control, data = O.encode_ranks(a)
+        assert (O.decode_ranks(control, data, n) == a).all()
