@@ -1,9 +1,12 @@
 """Packing: lexical retrieval fills each window with a seed document's neighbours.
 
-Documents are dealt to shards by a hash of their id; shards have a bounded size, so neither a source nor
-a group of copies can swell one. A shard holds a BM25 inverted index of its own documents, over their token ids. The window's
-seed asks the index for its unused neighbours, and they fill the window greedily, best score first; the
-document that does not fit is cut there, and its rest seeds the next window. All windows of a shard but
+Documents are dealt to shards by what they say: the first key of a document is one of its terms, drawn by a
+weighted minimum hash (weights are powers of idf over all documents), so two documents have the same key as often as their
+terms' weights overlap. Small keys share a shard; a key beyond a shard is dealt by a second such term, and what
+is still too large (copies) by a hash of the row, so shards have a bounded size. A shard holds a BM25 inverted
+index of its own documents, over their token ids; df, number of documents and mean length are those of the
+whole table. The window's seed asks the index with all its terms for its unused neighbours, and they fill the
+window greedily, best score first; the document that does not fit is cut there, and its rest seeds the next window. All windows of a shard but
 the last are thus full, and the last is cut at powers of two, which need no padding.
 """
 
@@ -12,60 +15,123 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import doc_columns, tune
+from .base import doc_columns, materialise, tune
 from .tokens import unit_tokenizer
 
 WINDOW = 2048
 END_ID = 1
 #: A shard's share of the corpus: characters and documents it holds on average.
 SHARD_CHARS, SHARD_DOCS = 3_000_000, 1_500
-#: Terms with which a seed asks: its rarest in the shard. BM25's two constants.
-QUERY_TERMS = 24
+#: Terms with which a seed asks: all. BM25's two constants.
+QUERY_TERMS = None
 K1, B = 1.5, 0.75
+#: Token ids are below this; slots of a key for each shard that it fills; power of idf at which keys are drawn.
+IDS, SLOTS, KEY_POWER = 1 << 16, 8, 3
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What BM25 takes from all documents: their number, mean length, and each id's document frequency."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def draws(self) -> np.ndarray:
+        """Two exponential draws for each id, at the rate of its idf to KEY_POWER; an id of one document has none."""
+        r = np.random.default_rng(20240607).exponential(size=(2, IDS))
+        with np.errstate(divide="ignore"):
+            return np.where(self.df > 1, r / np.log1p((self.n - self.df + 0.5) / (self.df + 0.5)) ** KEY_POWER, np.inf)
+
+
+def keys(ids: list[np.ndarray], draws: np.ndarray) -> np.ndarray:
+    """Two ids of each document, the smallest of either draw; IDS for a document that shares no term."""
+    out = np.full((2, len(ids)), IDS, np.int64)
+    for k, d in enumerate(ids):
+        if len(d):
+            for j in (0, 1):
+                drawn = draws[j][d]
+                if np.isfinite(drawn[at := drawn.argmin()]):
+                    out[j, k] = d[at]
+    return out
+
+
+class Deal:
+    """Which shard a document goes to, from how many documents and characters each key and slot of it holds."""
+
+    def __init__(self, by_key: list[tuple[int, int, int]]) -> None:
+        self.slots = np.ones(IDS + 1, np.int64)
+        for key, n, chars in by_key:
+            if (load := self.load(n, chars)) > 1:
+                self.slots[key] = math.ceil(load) * SLOTS
+        self.start = np.concatenate([[0], np.cumsum(self.slots)])
+
+    @staticmethod
+    def load(n: int, chars: int) -> float:
+        return max(n / SHARD_DOCS, chars / SHARD_CHARS)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys[1].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+        return self.start[keys[0]] + (mixed % self.slots[keys[0]].astype(np.uint64)).astype(np.int64)
+
+    def fill(self, by_slot: list[tuple[int, int, int]]) -> None:
+        """Slots in order fill a shard up; a slot beyond one has shards of its own."""
+        self.first, self.shards = np.zeros(self.start[-1], np.int64), np.ones(self.start[-1], np.int64)
+        shard, held_n, held_chars = 0, 0, 0
+        for slot, n, chars in sorted(by_slot):
+            if held_n and self.load(held_n + n, held_chars + chars) > 1:
+                shard, held_n, held_chars = shard + 1, 0, 0
+            self.first[slot], self.shards[slot] = shard, max(1, math.ceil(self.load(n, chars)))
+            if self.shards[slot] > 1:
+                shard, held_n, held_chars = shard + self.shards[slot], 0, 0
+            else:
+                held_n, held_chars = held_n + n, held_chars + chars
+
+    def shard(self, slots: np.ndarray, salts: np.ndarray) -> np.ndarray:
+        return self.first[slots] + salts % self.shards[slots]
 
 
 class Bm25Shard:
-    """Inverted index over a shard's documents, each an array of token ids."""
+    """Inverted index over a shard's documents, each an array of token ids; `corpus` is of these alone if not given."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None) -> None:
         n = max(len(docs), 1)
         length = np.array([len(d) for d in docs], np.int64)
         term = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
         pair, tf = np.unique(term * n + np.repeat(np.arange(len(docs)), length), return_counts=True)
         term, doc = pair // n, pair % n
         df = np.bincount(term, minlength=1)
-        norm = K1 * (1 - B + B * length / max(length.mean() if len(docs) else 1, 1e-9))
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
+        whole = corpus or Corpus(len(docs), length.mean() if len(docs) else 1, df)
+        norm = K1 * (1 - B + B * length / max(whole.mean, 1e-9))
+        idf = np.log1p((whole.n - whole.df[: len(df)] + 0.5) / (whole.df[: len(df)] + 0.5))
         shared = df[term] > 1  # a term of one document leads to no neighbour
         term, doc, tf = term[shared], doc[shared], tf[shared]
-        self.doc, self.weight = doc, idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        self.n, self.doc, self.weight = len(docs), doc, idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         self.start = np.searchsorted(term, np.arange(len(df) + 1))
-        order = np.lexsort((df[term], doc))  # each document's terms, rarest first
+        order = np.argsort(doc, kind="stable")
         self.terms, self.terms_at = term[order], np.searchsorted(doc[order], np.arange(len(docs) + 1))
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed: best first, ties to the earlier document."""
-        terms = self.terms[self.terms_at[seed] : self.terms_at[seed + 1]][:QUERY_TERMS]
+        """Unused documents that share a term with the seed: best first, ties to the earlier document."""
+        terms = self.terms[self.terms_at[seed] : self.terms_at[seed + 1]]
         if not len(terms):
             return terms
-        spans = [slice(self.start[t], self.start[t + 1]) for t in terms]
-        doc = np.concatenate([self.doc[s] for s in spans])
-        weight = np.concatenate([self.weight[s] for s in spans])
-        free = ~used[doc]
-        found, at = np.unique(doc[free], return_inverse=True)
-        score = np.round(np.bincount(at, weight[free], len(found)), 9)
-        return found[np.lexsort((found, -score))]
+        spans = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist())]
+        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        found = np.flatnonzero((score > 0) & ~used)  # every weight is positive
+        return found[np.argsort(-np.round(score[found], 9), kind="stable")]
 
 
-def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(ids: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents, each the ids of its tokens with the end id."""
-    n, index, lengths = len(ids), Bm25Shard([x[:-1] for x in ids]), [len(x) for x in ids]
+    n, index, lengths = len(ids), Bm25Shard([x[:-1] for x in ids], corpus), [len(x) for x in ids]
     used, pieces = np.zeros(n, bool), []
     sequence = offset = 0
     seed: int | None = None
@@ -119,28 +185,84 @@ def _cut_last(pieces: list, sequence: int, filled: int) -> list:
     return out
 
 
+def _tokens(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id (a string), chars, ids (bytes) of every row."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tok = unit_tokenizer(tokenizer, False)
+        for b in batches:
+            texts = b["text"].fillna("").tolist()
+            yield pd.DataFrame({"doc_id": b["doc_id"], "chars": [len(t) for t in texts], "ids": tok.ids(texts)})
+
+    return rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(make, "doc_id string, chars long, ids binary")
+
+
+def _corpus(tokens: DataFrame) -> Corpus:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, n, length = np.zeros(IDS, np.int64), 0, 0
+        for b in batches:
+            ids = [np.frombuffer(x, "<u2") for x in b["ids"]]
+            sizes = [len(x) for x in ids]
+            n, length = n + len(ids), length + sum(sizes)
+            pairs = np.unique(np.repeat(np.arange(len(ids)), sizes) * IDS + np.concatenate([np.zeros(0, np.int64), *ids]))
+            df += np.bincount(pairs % IDS, minlength=IDS)
+        at = np.flatnonzero(df)
+        # beyond the ids: the number of documents, and of their tokens
+        yield pd.DataFrame({"id": np.append(at, [IDS, IDS + 1]), "n": np.append(df[at], [n, length])})
+
+    out = np.zeros(IDS + 2, np.int64)
+    # bounded by the vocabulary
+    for r in tokens.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r["id"]] = r["n"]
+    return Corpus(int(out[IDS]), float(out[IDS + 1] / max(out[IDS], 1)), out[:IDS])
+
+
+def _counted(tokens: DataFrame, place) -> list[tuple[int, int, int]]:
+    """(place, documents, characters); `place` makes an array of places from a batch's ids."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = place([np.frombuffer(x, "<u2") for x in b["ids"]])
+            yield pd.DataFrame({"at": at, "n": 1, "chars": b["chars"]}).groupby("at", as_index=False).sum()
+
+    found = tokens.select("chars", "ids").mapInPandas(count, "at long, n long, chars long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    # bounded by the vocabulary and the number of shards
+    return [tuple(r) for r in found.collect()]
+
+
+def dealt(tokens: DataFrame, corpus: Corpus) -> DataFrame:
+    """shard, doc_id, ids of every row."""
+    draws = corpus.draws()
+    deal = Deal(_counted(tokens, lambda ids: keys(ids, draws)[0]))
+    deal.fill(_counted(tokens, lambda ids: deal.slot(keys(ids, draws))))
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            slots = deal.slot(keys([np.frombuffer(x, "<u2") for x in b["ids"]], draws))
+            yield pd.DataFrame({"shard": deal.shard(slots, b["salt"].to_numpy()), "doc_id": b["doc_id"], "ids": b["ids"]})
+
+    salted = tokens.select("doc_id", "ids", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("salt"))
+    return salted.mapInPandas(put, "shard long, doc_id string, ids binary")
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
     A null or empty text is the end id alone; a null doc_id is kept; rows with equal doc_ids are packed
     each for itself; an empty table gives no rows. Other columns are ignored. Very long texts are cut over windows.
     """
-    spark = docs.sparkSession
-    tune(spark)
-    rows = doc_columns(docs, "doc_id", "text")
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
-    shards = max(1, math.ceil(size["n"] / SHARD_DOCS), math.ceil((size["chars"] or 0) / SHARD_CHARS))
+    tune(docs.sparkSession)
+    tokens = materialise(_tokens(doc_columns(docs, "doc_id", "text"), tokenizer), "token-ids")
+    corpus = _corpus(tokens)
+    end = np.array([end_id], "<u2")
 
     def pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tok, end = unit_tokenizer(tokenizer, False), end_id.to_bytes(2, "little")
-        pdf = pdf.fillna({"text": ""}).sort_values(["doc_id", "text"], kind="stable", na_position="first")
-        texts = pdf["text"].tolist()
-        ids = [np.frombuffer(b + end, "<u2") for b in tok.ids(texts)]
+        pdf = pdf.sort_values(["doc_id", "ids"], kind="stable", na_position="first")
+        ids = [np.append(np.frombuffer(b, "<u2"), end) for b in pdf["ids"]]
         doc_ids = pdf["doc_id"].tolist()
-        out = [(doc_ids[d], start, k, zlib.crc32(cut := ids[d][start : start + k].astype("<u4").tobytes()), len(ids[d]), (key[0] << 32) + sequence, offset, cut) for d, start, k, sequence, offset in pack_shard(ids, window)]
+        out = [(doc_ids[d], start, k, zlib.crc32(cut := ids[d][start : start + k].astype("<u4").tobytes()), len(ids[d]), (key[0] << 32) + sequence, offset, cut) for d, start, k, sequence, offset in pack_shard(ids, window, corpus)]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         return pd.DataFrame(out, columns=names)[names if with_ids else names[:-1]]
 
     schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    keyed = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long").alias("shard"))
-    return keyed.groupBy("shard").applyInPandas(pack_group, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return dealt(tokens, corpus).groupBy("shard").applyInPandas(pack_group, schema).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -94,3 +94,43 @@ def test_edges(spark):
     assert packing.pack(spark.createDataFrame([], schema), tokenizer_path("word_bpe_49k.json")).count() == 0
     with pytest.raises(Exception, match="(?i)no such file|not found|os error"):
         packing.pack(spark.createDataFrame(rows, schema), "/nowhere.json").count()
+
+
+def related(groups, size, seed=0):
+    """Documents of `size` to a group, each of words of the group's own and of common ones."""
+    r = np.random.default_rng(seed)
+    common = np.arange(10, 400)
+    own = [np.arange(1000 + 20 * g, 1020 + 20 * g) for g in range(groups)]
+    docs = [np.concatenate([r.choice(own[g], 12, False), r.choice(common, 30)]).astype("<u2") for g in range(groups) for _ in range(size)]
+    return docs, np.repeat(np.arange(groups), size)
+
+
+def test_related_documents_meet_in_whatever_shards(spark, monkeypatch):
+    """Recall of each document's best neighbour over the whole table, within its shard."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 40)
+    docs, _ = related(100, 4)
+    docs += docs[:200]  # copies
+    rows = [(str(k), 1, d.tobytes()) for k, d in enumerate(docs)]
+    tokens = spark.createDataFrame(rows, "doc_id string, chars long, ids binary").repartition(3)
+    corpus = packing._corpus(tokens)
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    assert (corpus.n, corpus.mean) == (600, 42.0) and (corpus.df == df).all()
+    shard = {int(r.doc_id): r.shard for r in packing.dealt(tokens, corpus).collect()}
+    sizes = np.bincount(list(shard.values()))
+    assert len(shard) == 600 and len(sizes) >= 15 and sizes.max() <= 60
+    # a copy is always where the text is
+    assert all(shard[k] == shard[400 + k] for k in range(200))
+    whole = packing.Bm25Shard(docs[:400], corpus)
+    best = [whole.neighbours(k, np.arange(400) == k)[0] for k in range(400)]
+    # by a hash of the id it would be 1 of 15
+    assert np.mean([shard[k] == shard[b] for k, b in enumerate(best)]) > 0.3
+
+
+def test_seed_asks_with_all_its_terms_and_whole_table_weights():
+    r = np.random.default_rng(1)
+    docs = [np.arange(60), np.arange(30, 61), *[np.append(np.arange(30), 60 + k) for k in range(1, 4)]]
+    corpus = packing.Corpus(1000, 40.0, np.append(r.integers(2, 500, 70), np.zeros(10, int)))
+    got = packing.Bm25Shard(docs, corpus).neighbours(0, np.arange(5) == 0)
+    idf = np.log1p((1000 - corpus.df + 0.5) / (corpus.df + 0.5))
+    score = {n: sum(idf[t] * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(d) / 40)) for t in d if t < 60) for n, d in enumerate(docs) if n}
+    assert got.tolist() == sorted(score, key=lambda n: (-round(score[n], 9), n))
