@@ -116,10 +116,15 @@ def weighted(scores: DataFrame, weight: float, batch: int) -> DataFrame:
 
 
 def multi_query(first: DataFrame, others: DataFrame, documents: DataFrame, top_k: int, params: RetrievalParams = PARAMS) -> DataFrame:
-    """The question at full weight and its fragments at `secondary`, merged into a pool of three times top_k."""
+    """The question at full weight and its fragments at `secondary`, merged into a pool of three times top_k.
+
+    `others` has any number of fragments (query_id, query) to a question; each is searched on its own, equal ones once.
+    """
     pool = 3 * top_k
+    keyed = others.select("query_id", "query").distinct().withColumn("key", F.xxhash64("query_id", "query"))
+    each = hybrid(keyed.select(F.col("key").alias("query_id"), "query"), documents, pool, params).withColumnRenamed("query_id", "key")
     main = weighted(hybrid(first, documents, pool, params), 1.0, 0)
-    more = weighted(hybrid(others, documents, pool, params), params.secondary, 1)
+    more = weighted(each.join(keyed.select("key", "query_id"), "key"), params.secondary, 1)
     return merge(main.unionByName(more), pool)
 
 

@@ -183,9 +183,7 @@ def merge_keep_max(spark, sf):
 def multi_query(spark, sf):
     b = items(spark, sf)
     parts = b.select("query_id", F.explode(T.split_sentences(F.col("query"))).alias("query"))
-    # a question's sentences are searched together: terms of all of them
-    joined = parts.groupBy("query_id").agg(F.first("query").alias("query"))
-    return retrieval.multi_query(b, joined, docs(spark, sf), 5)
+    return retrieval.multi_query(b, parts, docs(spark, sf), 5)
 
 
 @query(f"""WITH t AS (SELECT page_id, {T.sql.words("regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\\s*\\([^()]*\\)\\s*$', '')")} AS key FROM pages),

@@ -276,3 +276,19 @@ def test_statement_drafts(spark, docs):
     out = statements.drafts(q, found, docs).orderBy("place").collect()
     assert out[0].sentence == "A film that Mara Voss directed in 1999." and out[0].degree == 1.0 and len(out) <= 3
     assert all(0 < r.degree <= 1 for r in out)
+
+
+def test_multi_query_searches_each_fragment(spark):
+    texts = ["copper melts in the furnace", "tin melts slowly", "the harbour holds many ships", "ships carry copper", "nothing of note", "a furnace near the harbour"]
+    d = spark.createDataFrame(list(enumerate(texts)), "document_id long, text string")
+    first = spark.createDataFrame([(1, "copper furnace"), (2, "tin")], "query_id long, query string")
+    fragments = [(1, "harbour ships"), (1, "tin"), (1, "tin"), (1, "copper"), (2, "copper furnace")]
+    want = {}
+    for weight, batch, searches in ((1.0, 0, [(1, "copper furnace"), (2, "tin")]), (0.5, 1, fragments)):
+        for q, text in searches:
+            for r in retrieval.hybrid(spark.createDataFrame([(q, text)], "query_id long, query string"), d, 6).collect():
+                new = (-round(r.score * weight, 6), batch)
+                want[q, r.document_id] = min(want.get((q, r.document_id), new), new)
+    got = retrieval.multi_query(first, spark.createDataFrame(fragments, "query_id long, query string"), d, 2).collect()
+    assert {(r.query_id, r.document_id): (r.score, r.batch) for r in got} == {k: (pytest.approx(-s, abs=2e-6), b) for k, (s, b) in want.items()}
+    assert {r.document_id for r in got if r.query_id == 1} >= {1, 2}
