@@ -114,7 +114,7 @@ def infer(premises: DataFrame, keys: list[str]) -> DataFrame:
 def suppress_near_duplicates(ranked: DataFrame, words: str = "words", keep: int = MOST_STATEMENTS, most: float = 0.7) -> DataFrame:
     """(query_id, kept): in rank order, items (rank, id, words) without those too like one kept before; `keep` of them.
 
-    The pool of a question is cut to its best passages before, so the fold's array is short.
+    A question's items are one array, in the fold of which no more than `keep` are held.
     """
     items = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", F.col(words).alias("words")))).alias("items"))
     kind = dict(items.dtypes)["items"]

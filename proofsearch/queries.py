@@ -475,8 +475,7 @@ def search_answers(spark, sf):
 def near_duplicate_sentences(spark, sf):
     s = docs(spark, sf).select(F.col("document_id").alias("query_id"), F.posexplode(T.split_sentences(F.col("text"))).alias("rank", "s"))
     r = s.withColumn("words", F.array_distinct(T.content_words(F.col("s")))).withColumn("id", F.col("rank").cast("long"))
-    pool = r.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where("n <= 40")  # the operator's own pool
-    return reason.suppress_near_duplicates(pool)
+    return reason.suppress_near_duplicates(r)
 
 
 @query()

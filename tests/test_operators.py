@@ -292,3 +292,12 @@ def test_multi_query_searches_each_fragment(spark):
     got = retrieval.multi_query(first, spark.createDataFrame(fragments, "query_id long, query string"), d, 2).collect()
     assert {(r.query_id, r.document_id): (r.score, r.batch) for r in got} == {k: (pytest.approx(-s, abs=2e-6), b) for k, (s, b) in want.items()}
     assert {r.document_id for r in got if r.query_id == 1} >= {1, 2}
+
+
+def test_distinct_sentences_after_many_copies_stay(spark, tmp_path):
+    from proofsearch import queries
+
+    text = "The same line stands here again. " * 60 + "Copper melts in a furnace. Ships lie in the harbour."
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.near_duplicate_sentences(spark, str(tmp_path)).orderBy("place").collect()
+    assert [(r.place, r.id) for r in got] == [(1, 0), (2, 60), (3, 61)]
