@@ -6,7 +6,7 @@ buckets borrow from a filled one, chosen by a fixed random table, so that regist
 with the probability of their sets' Jaccard similarity, whatever the sets' sizes. Bands of registers give
 candidates; the number of bands is what misses one link in a million at the threshold.
 
-Texts of equal words are one vertex from the start. Within a band's bucket no pairs are made: the heaviest
+Texts of equal sets are one vertex from the start. Within a band's bucket no pairs are made: the heaviest
 member of a round is compared with those that are not of its component yet, and a bucket whose members are
 all of one component is done. Then every member goes that provably links to no other component, as too many
 of its shingles occur in its own only. What two rounds leave is joined by the rarest shingles of each set,
@@ -137,8 +137,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def digest(hashes: np.ndarray) -> bytes:
+    """A digest of a set of shingles, whatever their order."""
+    return blake2b(np.sort(hashes).tobytes(), digest_size=16).digest()
+
+
 def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, content (digest of the words; null without words), registers, bands."""
+    """doc_id, n_shingles, content (digest of the full set; null without words), registers, bands."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(width)
@@ -151,7 +156,7 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     continue
                 h = shingler.hashes(words)
                 regs = registers(h, bands * rows)
-                out.append((doc_id, len(h), blake2b(b" ".join(words), digest_size=16).digest(), regs.astype("<u2").tobytes(), band_keys(regs, bands, rows)))
+                out.append((doc_id, len(h), digest(h), regs.astype("<u2").tobytes(), band_keys(regs, bands, rows)))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "content", "registers", "bands"])
 
     made = doc_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(make, "doc_id string, n_shingles long, content binary, registers binary, bands array<long>")
@@ -169,8 +174,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(width)
         for batch in batches:
-            split = [w for w in map(shingler.words, batch["text"]) if w]
-            yield pd.DataFrame([(blake2b(b" ".join(w), digest_size=16).digest(), shingler.hashes(w).tobytes()) for w in split], columns=["content", "shingles"])
+            held = [shingler.hashes(w) for w in map(shingler.words, batch["text"]) if w]
+            yield pd.DataFrame([(digest(h), h.tobytes()) for h in held], columns=["content", "shingles"])
 
     ids = wanted.where(F.col("vertex") < NO_ID).select(F.col("vertex").alias("doc_id")).distinct()
     rows = doc_columns(docs, "doc_id", "text")
@@ -217,8 +222,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     own = some.groupBy("content").agg(F.min("doc_id").alias("vertex"))
     own = materialise(own.select("content", F.coalesce("vertex", F.lit(NO_ID) + F.pmod(F.xxhash64("content"), F.lit(NO_ID - 1))).alias("vertex")), "vertices")
 
-    # sets of under six shingles reach no threshold from 80 up with a different set
-    keyed = some.where("n_shingles >= 4").select(F.explode("bands").alias("key"), _short("content").alias("short"))
+    # equal sets are one vertex; with a different set, one of n shingles reaches n / (n + 1) at most
+    keyed = some.where(F.col("n_shingles") * 100 >= (F.col("n_shingles") + 1) * percent).select(F.explode("bands").alias("key"), _short("content").alias("short"))
     shared = keyed.groupBy("key").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo < hi").select("key")
     buckets = materialise(keyed.join(shared, "key").distinct(), "buckets")
 

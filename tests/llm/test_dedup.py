@@ -122,3 +122,13 @@ def test_long_text_and_bands():
     assert (1 - 0.85**rows) ** bands <= 1e-6
     regs = N.registers(np.arange(1, 50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), bands * rows)
     assert len(set(N.band_keys(regs, bands, rows).tolist())) == bands
+
+
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_equal_sets_of_different_words(spark, width, percent):
+    texts = ["spam " * 4, "spam " * 5, "egg " * 1000, "egg " * 1001, "a b c " * 2, "a b c " * 3, "a b c " * 9, "a b c", "b c a " * 4, "p q r s " * 40, "p q r s " * 41 + "p", "spam", "spam spam", "other text of its own words"]
+    rows = list(enumerate(texts))
+    want = brute(rows, width, percent)
+    got = N.near_groups(spark.createDataFrame([(i, t, "z") for i, t in rows], SCHEMA), width, percent).orderBy("doc_id").collect()
+    assert [(g.n_shingles, g.component_id) for g in got] == want
+    assert got[2].component_id == got[3].component_id == 2
