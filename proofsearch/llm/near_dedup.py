@@ -344,10 +344,25 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one row of each group, all columns as they were; of rows with equal doc_ids one stays."""
-    found = near_groups(docs, width, percent)
-    n = found.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"), F.count("doc_id").alias("full")).first()
-    name = fresh(docs, "kept_id")
-    kept = found.where("kept").select(F.col("doc_id").alias(name)).distinct()
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if n["full"] > n["ids"] else out
+    """`docs` with one row of each group, all columns as they were: the row of the smallest doc_id.
+
+    Of rows with equal doc_ids and equal texts one stays; equal doc_ids, or null ones, with other texts stay both.
+    Rows without words are near copies of nothing and all stay.
+    """
+    n = docs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids")).first()
+    if n["n"] == n["ids"]:
+        name = fresh(docs, "kept_id")
+        kept = near_groups(docs, width, percent).where("kept").select(F.col("doc_id").alias(name))
+        return docs.join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi")
+    # a key of each row's own: a digest of id and text, under NO_ID
+    name, more = fresh(docs, "key"), fresh(docs, "more")
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text")]
+    own = [F.col("doc_id").isNull(), own[0], own[1]]
+    keyed = docs.withColumn(name, F.shiftrightunsigned(F.xxhash64(*own), 2)).withColumn(more, F.xxhash64(F.lit(1), *own))
+    found = near_groups(keyed.select(F.col(name).alias("doc_id"), "text"), width, percent)
+    found = materialise(found.select(F.col("doc_id").alias(name), "n_shingles", F.col("component_id").alias("root")).distinct(), "row-groups")
+    ids = keyed.select(name, F.col("doc_id").cast("long").alias("id")).distinct()
+    best = found.where("n_shingles > 0").join(ids, name).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", name)).alias("best"))
+    kept = keyed.join(best.select(F.col(f"best.{name}").alias(name)), name, "left_semi").dropDuplicates([name, more])
+    wordless = keyed.join(found.where("n_shingles = 0").select(name), name, "left_semi")
+    return kept.unionByName(wordless).select(docs.columns)

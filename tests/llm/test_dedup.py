@@ -132,3 +132,11 @@ def test_equal_sets_of_different_words(spark, width, percent):
     got = N.near_groups(spark.createDataFrame([(i, t, "z") for i, t in rows], SCHEMA), width, percent).orderBy("doc_id").collect()
     assert [(g.n_shingles, g.component_id) for g in got] == want
     assert got[2].component_id == got[3].component_id == 2
+
+
+def test_only_near_copies_go(spark):
+    rows = [(None, "one text of nobody", "a"), (None, "quite another text here", "b"), (None, "one text of nobody", "c"), (None, None, "d"), (None, " ", "e"), (7, "first words of seven", "f"), (7, "second and other words", "g"), (7, "second and other words", "h"), (9, "first words of SEVEN", "i"), (3, "One text of nobody", "j")]
+    kept = N.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, (r.text or "").strip()) for r in kept) == Counter({(3, "One text of nobody"): 1, (None, "quite another text here"): 1, (None, ""): 2, (7, "first words of seven"): 1, (7, "second and other words"): 1})
+    one = N.drop_near_copies(spark.createDataFrame([(None, "x y z", "a"), (None, "x y z", "b"), (1, "p q r", "c")], SCHEMA)).collect()
+    assert sorted(r.text for r in one) == ["p q r", "x y z"]
