@@ -24,7 +24,9 @@ from .base import tune
 #: Standard deviation of the smoothing, in blocks; share of the mean ratio that a block must reach.
 SMOOTH, SHARE = 1.0, 0.35
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute: a name and, if it has one, its value, which is passed over as a whole; an open quote ends with the tag.
+ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
+READ = {"class", "id", "role", "style", "hidden", "aria-hidden"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 #: Elements of the HTML standard by how they are laid out or what they hold.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -67,7 +69,11 @@ class Block:
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw.strip() else {}
+    out: dict[str, str] = {}
+    for name, double, single, bare in ATTRIBUTE.findall(raw):
+        if (name := name.lower()) in READ:
+            out.setdefault(name, double or single or bare)  # the first of a name counts
+    return out
 
 
 def _is_furniture(tag: str, a: dict[str, str], inside_holder: bool) -> bool:

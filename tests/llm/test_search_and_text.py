@@ -92,6 +92,18 @@ def test_article_holds_its_blocks():
     assert html_text.main_text(page) == "T\nOne.\nTwo, three."
 
 
+@pytest.mark.parametrize("tag", ['<p title="The hidden valley">', "<p data-hidden=false>", "<p data-id='sidebar'>", '<p data-x = "a > b" title=\'class="menu"\'>', "<p data-class=menu/>", '<p class="text" class="menu">', "<p title = hidden>"])
+def test_only_whole_attribute_names_count(tag):
+    page = f'<article><p>First words, of many; and so on.</p>{tag}See <a href="/hidden-lake">the lake</a>, which is there.</p></article>'
+    assert html_text.main_text(page) == "First words, of many; and so on.\nSee the lake, which is there."
+
+
+@pytest.mark.parametrize("tag", ['<div id="sidebar" width="3">', "<div width=3 id=sidebar>", "<div HIDDEN>", '<div class="x"id="menu">', "<div hidden=''>", '<div style="display: none" title="a">', "<div aria-hidden = true>"])
+def test_furniture_is_known_by_its_attributes(tag):
+    page = f"<article><p>First words, of many; and so on.</p>{tag}<p>Other words, of many; and so on.</p></div></article>"
+    assert html_text.main_text(page) == "First words, of many; and so on."
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/pbdiv=\"' a&;!-[]", max_size=60))
 def test_any_markup_gives_lines_of_text(page):
