@@ -3,7 +3,7 @@
 A word that the model knows is scored by its log frequency in each language; an unseen one by its
 character n-grams, the longest known first: at each place of the word the longest n-gram that the model
 knows gives the score, down to single letters. A text's score is the mean over its words, and the
-languages' posterior at that mean decides.
+languages' posterior at that mean decides. A run of letters too long for a word counts by its n-grams.
 
 The model is fitted on a bounded sample of rows with a language (SAMPLE_DOCS for each, chosen by a hash
 of doc_id), and is itself bounded: the most frequent words and n-grams of that sample.
@@ -34,6 +34,8 @@ MODEL_WORDS, MODEL_GRAMS, LONGEST_GRAM = 30_000, 20_000, 4
 BACKOFF = 0.4
 #: Words of a text that weigh as independent evidence, at most, in the posterior.
 EVIDENCE = 12.0
+#: An unseen run of more letters is no word: each of its n-grams weighs as a word does, and its score is not kept.
+RUN = 40
 #: Scores of unseen words kept by a worker.
 CACHE_WORDS = 300_000
 UNKNOWN = "und"
@@ -86,11 +88,9 @@ class Scores(dict):
         self.table = np.zeros((len(self.known) + CACHE_WORDS, len(self.model.langs)))
         self.table[: len(self.known)] = self.known
 
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        if row >= len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        padded = f"<{word[:40]}>"
+    def backed_off(self, word: str) -> list[int]:
+        """Rows of the longest known n-gram at each place of a word."""
+        padded = f"<{word}>"
         found, at, end = [], 0, len(padded)
         while at < end:
             for n in range(min(LONGEST_GRAM, end - at), 0, -1):
@@ -100,7 +100,13 @@ class Scores(dict):
                     break
             else:
                 at += 1
-        if found:
+        return found
+
+    def __missing__(self, word: str) -> int:
+        row = len(self)
+        if row >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        if found := self.backed_off(word):
             self.table[row] = self.gram_scores.take(found, axis=0).sum(axis=0) / len(found)
         self[word] = row
         return row
@@ -112,11 +118,19 @@ class Scores(dict):
         words = LETTERS(text.lower())
         if len(self) > len(self.known) + CACHE_WORDS:
             self.empty()
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if not len(rows):
+        if not words:
             return UNKNOWN, 0.0
-        mean = self.table.take(rows, axis=0).sum(axis=0) / len(rows)
-        p = np.exp((mean - mean.max()) * min(len(rows), EVIDENCE))
+        runs: list[str] = []
+        if max(map(len, words)) > RUN:
+            runs = [w for w in words if len(w) > RUN and w not in self]
+            words = [w for w in words if len(w) <= RUN or w in self]
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        total, n = self.table.take(rows, axis=0).sum(axis=0), len(rows)
+        for run in runs:
+            found = self.backed_off(run)
+            total, n = total + self.gram_scores.take(found, axis=0).sum(axis=0) if found else total, n + max(1, len(found))
+        mean = total / n
+        p = np.exp((mean - mean.max()) * min(n, EVIDENCE))
         p /= p.sum()
         best = int(np.argmax(p))  # ties to the first of the sorted languages
         return self.model.langs[best], float(p[best])
@@ -152,7 +166,7 @@ def fit(docs: DataFrame) -> BackoffModel:
         for lang, words in by_lang.items():
             found = Counter(words)
             for w, n in words.items():
-                p = f"<{w[:40]}>"
+                p = f"<{w}>"
                 for k in range(1, LONGEST_GRAM + 1):
                     for i in range(len(p) - k + 1):
                         found[f"{k}:{p[i : i + k]}"] += n

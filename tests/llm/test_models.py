@@ -134,3 +134,17 @@ def test_result_does_not_depend_on_partitions(spark, operator):
     rows, labels = labelled(200, 3)
     d, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)
     assert sorted(operator(d, lab).collect()) == sorted(operator(d.repartition(5), lab.repartition(3)).collect())
+
+
+def test_long_runs_count_whole():
+    model = lang_id.BackoffModel.fit([(f"1:{c}", lang, n) for c, a, b in (("p", 50, 50), ("x", 50, 2), ("y", 2, 50)) for lang, n in (("aa", a), ("bb", b))], ["aa", "bb"])
+    own = lang_id.Scores(model)
+    lang, score = own.predict("p" * 40 + "y" * 400)
+    assert lang == "bb" and score > 0.9
+    assert own.predict("p" * 40 + "x" * 400)[0] == "aa" and not any(len(w) > lang_id.RUN for w in own)
+
+
+def test_long_runs_are_learned_whole(spark):
+    rows = [(i, "m" * 45 + ("tuktuk" if i % 2 else "zorzor") * 5, "aa" if i % 2 else "bb") for i in range(60)]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {"tukt", "zorz"} <= set(model.grams[4])
