@@ -19,11 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import doc_columns, materialise, tune
-from .tokens import unit_tokenizer
+from .tokens import batched, binary_rows, one_array, unit_tokenizer, values_of
 
 WINDOW = 2048
 END_ID = 1
@@ -188,13 +190,13 @@ def _cut_last(pieces: list, sequence: int, filled: int) -> list:
 def _tokens(rows: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id (a string), chars, ids (bytes) of every row."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = unit_tokenizer(tokenizer, False)
-        for b in batches:
-            texts = b["text"].fillna("").tolist()
-            yield pd.DataFrame({"doc_id": b["doc_id"], "chars": [len(t) for t in texts], "ids": tok.ids(texts)})
+        for b in batched(batches):
+            texts = one_array(b["text"]).fill_null("")
+            yield pa.record_batch({"doc_id": one_array(b["doc_id"]), "chars": pc.utf8_length(texts).cast(pa.int64()), "ids": binary_rows(*tok.flat(texts))})
 
-    return rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(make, "doc_id string, chars long, ids binary")
+    return rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(make, "doc_id string, chars long, ids binary")
 
 
 def _corpus(tokens: DataFrame) -> Corpus:
