@@ -35,10 +35,8 @@ MANTISSA_BITS = 10
 ROUNDS = 2
 #: Standard errors below the threshold at which the estimate still lets a candidate through.
 MARGIN = 8.0
-#: Texts to be compared are found by a broadcast of their ids up to this many (8 MB), by a shuffle beyond.
-BROADCAST_KEYS = 1_000_000
-#: Vertices without any doc_id are numbered from here on.
-NO_ID = 1 << 62
+#: Ids of texts to be compared, and keys of buckets, are broadcast up to this many (8 to 32 MB), and shuffled beyond.
+BROADCAST_KEYS = 500_000
 
 
 def band_plan(percent: int) -> tuple[int, int]:
@@ -177,13 +175,18 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             held = [shingler.hashes(w) for w in map(shingler.words, batch["text"]) if w]
             yield pd.DataFrame([(digest(h), h.tobytes()) for h in held], columns=["content", "shingles"])
 
-    ids = wanted.where(F.col("vertex") < NO_ID).select(F.col("vertex").alias("doc_id")).distinct()
+    ids = wanted.where("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct()
     rows = doc_columns(docs, "doc_id", "text")
     here = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, "doc_id").unionByName(rows.where("doc_id is null"))
     found = here.select("text").mapInPandas(make, "content binary, shingles binary").groupBy("content").agg(F.first("shingles").alias("shingles"))
     return found.join(wanted, "content")
 
 
+def _near(table: DataFrame) -> DataFrame:
+    """A stored table of keys, broadcast if it is small: then the hot key of the other side is never dealt to one task."""
+    return F.broadcast(table) if table.count() <= BROADCAST_KEYS else table
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (u, v: contents' vertices) among candidate pairs (a, b: contents)."""
 
@@ -213,21 +216,24 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Links join rows whose sets reach `percent` of Jaccard similarity; component_id is the smallest doc_id
     that links reach, and kept says that it is the row's own. A null or wordless text has no shingle, no
     link, and is kept. Rows with equal doc_ids are judged each by its text. A null doc_id takes part in
-    links; its component_id is null if no linked row has an id. Other columns are ignored.
+    links; its component_id is null if no linked row has an id. Ties do not arise: ids order the rows. Texts of
+    any length are read whole, any long is an id, an empty table gives no rows, other columns are ignored.
     """
     tune(docs.sparkSession)
     bands, rows = band_plan(percent)
     made = materialise(sketch(docs, width, bands, rows), "sketches")
     some = made.where("content is not null")
-    own = some.groupBy("content").agg(F.min("doc_id").alias("vertex"))
-    own = materialise(own.select("content", F.coalesce("vertex", F.lit(NO_ID) + F.pmod(F.xxhash64("content"), F.lit(NO_ID - 1))).alias("vertex")), "vertices")
+    # vertices are numbered apart from the ids, which may be any long; once written, the numbers stand
+    own = some.groupBy("content").agg(F.min("doc_id").alias("first_id"))
+    own = materialise(own.withColumn("vertex", F.monotonically_increasing_id()), "vertices")
 
     # equal sets are one vertex; with a different set, one of n shingles reaches n / (n + 1) at most
     keyed = some.where(F.col("n_shingles") * 100 >= (F.col("n_shingles") + 1) * percent).select(F.explode("bands").alias("key"), _short("content").alias("short"))
-    shared = keyed.groupBy("key").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo < hi").select("key")
-    buckets = materialise(keyed.join(shared, "key").distinct(), "buckets")
+    shared = materialise(keyed.groupBy("key").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo < hi").select("key"), "shared-keys")
+    # a bucket's members are dealt by both columns, so that no task holds a hot bucket
+    buckets = materialise(keyed.join(_near(shared), "key").repartition("short", "key").distinct(), "buckets")
 
-    wanted = some.select("content", "registers", _short("content").alias("short")).join(buckets.select("short").distinct(), "short", "left_semi")
+    wanted = some.select("content", "registers", _short("content").alias("short")).join(_near(materialise(buckets.select("short").distinct(), "shorts")), "short", "left_semi")
     wanted = wanted.groupBy("content").agg(F.first("registers").alias("registers"), F.first("short").alias("short")).join(own, "content")
     wanted = materialise(wanted, "wanted")
     sets = materialise(_full_sets(docs, wanted, width), "full-sets")
@@ -247,17 +253,25 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         forest = _grown(forest, _verified(_prefix_pairs(rest, sets, percent), sets, percent))
 
     out = made.select("doc_id", "n_shingles", "content").join(own, "content", "left")
-    if forest is not None:
-        out = out.join(forest.withColumnRenamed("v", "vertex"), "vertex", "left")
-        out = out.withColumn("vertex", F.coalesce("root", "vertex"))
-    group = F.when(F.col("content").isNull(), F.col("doc_id")).when(F.col("vertex") < NO_ID, F.col("vertex"))
+    if forest is None:
+        out = out.withColumn("smallest", F.col("first_id"))
+    else:
+        out = out.join(_smallest(forest, own), "vertex", "left").withColumn("smallest", F.coalesce("smallest", "first_id"))
+    group = F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
     return out.select("doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"))
 
 
+def _smallest(forest: DataFrame, own: DataFrame) -> DataFrame:
+    """vertex, smallest: the smallest doc_id of the component, for each vertex that has a link."""
+    labelled = forest.select(F.col("v").alias("vertex"), "root").unionByName(forest.select(F.col("root").alias("vertex"), "root").distinct())
+    ids = labelled.join(own.select("vertex", "first_id"), "vertex")
+    return labelled.join(ids.groupBy("root").agg(F.min("first_id").alias("smallest")), "root").select("vertex", "smallest")
+
+
 def _weighed(members: DataFrame) -> DataFrame:
     """Members of buckets with a weight: how many members the vertex meets in all its buckets."""
     members = materialise(members, "members")
-    sized = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
+    sized = members.join(_near(materialise(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "sizes")), "key")
     weight = sized.groupBy("vertex").agg(F.sum("size").alias("weight"))
     return materialise(members.join(weight, "vertex"), "weighed")
 
@@ -272,7 +286,8 @@ def _labelled(members: DataFrame, forest: DataFrame | None) -> DataFrame:
 def _open(labelled: DataFrame, least: int) -> DataFrame:
     """Members of buckets with `least` members or more, of two components or more."""
     open_ = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.max(F.struct("weight", "vertex", "root")).alias("lead")).where(F.col("lo") < F.col("hi")).where(F.col("size") >= least)
-    return materialise(labelled.join(open_.select("key", "size", F.col("lead.vertex").alias("lead"), F.col("lead.root").alias("lead_root")), "key"), "open")
+    leads = materialise(open_.select("key", "size", F.col("lead.vertex").alias("lead"), F.col("lead.root").alias("lead_root")), "leads")
+    return materialise(labelled.join(_near(leads), "key"), "open")
 
 
 def _star_pairs(open_: DataFrame) -> DataFrame:
@@ -299,8 +314,9 @@ def _may_link(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     able = each.join(wide, "shingle").groupBy("vertex").agg(F.count(F.lit(1)).alias("wide")).join(size, "vertex").where(F.col("wide") * 100 >= F.col("n") * percent)
     able = able.select("vertex", "n", (F.col("wide") * (100 + percent) / percent - F.col("n")).alias("most"))
     kept = open_.select("key", "vertex", "weight").join(able, "vertex")
-    least = kept.groupBy("key").agg(F.min("n").alias("least"))
-    return kept.join(least, "key").where(F.col("most") >= F.col("least")).drop("least")
+    kept = materialise(kept, "able")
+    least = materialise(kept.groupBy("key").agg(F.min("n").alias("least")), "least")
+    return kept.join(_near(least), "key").where(F.col("most") >= F.col("least")).drop("least")
 
 
 def _grown(forest: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -320,7 +336,7 @@ def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     the member's buckets. Shingles are dropped whose holders are all of one component, and of the others the rows of the
     component that holds most meet only those of other components.
     """
-    least = open_.join(open_.groupBy("key").agg(F.min("n").alias("least")), "key")
+    least = open_.join(_near(materialise(open_.groupBy("key").agg(F.min("n").alias("least")), "least")), "key")
     each = least.groupBy("vertex", "root", "n", "most").agg(F.min("least").alias("least")).join(sets.select("vertex", "shingles"), "vertex")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -347,18 +363,18 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     """`docs` with one row of each group, all columns as they were: the row of the smallest doc_id.
 
     Of rows with equal doc_ids and equal texts one stays; equal doc_ids, or null ones, with other texts stay both.
-    Rows without words are near copies of nothing and all stay.
+    Rows without words are near copies of nothing and all stay. An empty table gives no rows.
     """
     n = docs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids")).first()
     if n["n"] == n["ids"]:
         name = fresh(docs, "kept_id")
         kept = near_groups(docs, width, percent).where("kept").select(F.col("doc_id").alias(name))
         return docs.join(kept, F.col("doc_id").cast("long") == F.col(name), "left_semi")
-    # a key of each row's own: a digest of id and text, under NO_ID
+    # a key of each row's own: a digest of id and text
     name, more = fresh(docs, "key"), fresh(docs, "more")
     own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text")]
     own = [F.col("doc_id").isNull(), own[0], own[1]]
-    keyed = docs.withColumn(name, F.shiftrightunsigned(F.xxhash64(*own), 2)).withColumn(more, F.xxhash64(F.lit(1), *own))
+    keyed = docs.withColumn(name, F.xxhash64(*own)).withColumn(more, F.xxhash64(F.lit(1), *own))
     found = near_groups(keyed.select(F.col(name).alias("doc_id"), "text"), width, percent)
     found = materialise(found.select(F.col("doc_id").alias(name), "n_shingles", F.col("component_id").alias("root")).distinct(), "row-groups")
     ids = keyed.select(name, F.col("doc_id").cast("long").alias("id")).distinct()
@@ -366,3 +382,20 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     kept = keyed.join(best.select(F.col(f"best.{name}").alias(name)), name, "left_semi").dropDuplicates([name, more])
     wordless = keyed.join(found.where("n_shingles = 0").select(name), name, "left_semi")
     return kept.unionByName(wordless).select(docs.columns)
+
+
+def oracle(width: int = 3, percent: int = 85) -> str:
+    """The same by brute force: every pair of texts with a common shingle is counted in full."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - {width} + 2), lambda i: array_to_string(ws[i : i + {width - 1}], ' ')) END) AS sh FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(sh) AS n, hash(x) AS h FROM (SELECT doc_id, sh, unnest(sh) AS x FROM s)),
+l AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+edge AS MATERIALIZED (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r(u, v) AS (SELECT u, v FROM edge UNION SELECT r.u, edge.v FROM r JOIN edge ON r.v = edge.u),
+c AS (SELECT u, min(v) AS least FROM r GROUP BY u)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(c.least, s.doc_id))::BIGINT AS component_id,
+  s.doc_id <= coalesce(c.least, s.doc_id) AS kept FROM s LEFT JOIN c ON c.u = s.doc_id"""

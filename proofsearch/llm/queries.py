@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mtree
+from . import license_scan, mtree, near_dedup
 from .base import table
 
 
 def tokenizer_path(name: str) -> str:
-    """Where a public vocabulary file is; any other file of the same format will do."""
+    """Where a public vocabulary file is. Others of its kind will do: byte-level BPE that keeps spaces, or lower-case BPE that drops them."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -68,9 +68,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .near_dedup import near_groups
-
-    return near_groups(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -86,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
-SQL: dict[str, str] = {"op2_mtree_topk": mtree.oracle(), "op9_license_scan": license_scan.oracle()}
+SQL: dict[str, str] = {"op2_mtree_topk": mtree.oracle(), "op9_license_scan": license_scan.oracle(), "op10_minhash_dedup": near_dedup.oracle()}

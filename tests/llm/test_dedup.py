@@ -140,3 +140,21 @@ def test_only_near_copies_go(spark):
     assert Counter((r.doc_id, (r.text or "").strip()) for r in kept) == Counter({(3, "One text of nobody"): 1, (None, "quite another text here"): 1, (None, ""): 2, (7, "first words of seven"): 1, (7, "second and other words"): 1})
     one = N.drop_near_copies(spark.createDataFrame([(None, "x y z", "a"), (None, "x y z", "b"), (1, "p q r", "c")], SCHEMA)).collect()
     assert sorted(r.text for r in one) == ["p q r", "x y z"]
+
+
+def test_any_long_is_an_id(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    texts = {high: "one two three four five six", high - 1: "one two three four five six", low: "red green blue black white grey", 1 << 62: "Red green blue black white grey", (1 << 62) + 1: "all by itself it stands here", -5: "alone as well this one is", 0: "", None: "one two three four five six"}
+    d = spark.createDataFrame([(i, t, "z") for i, t in texts.items()], SCHEMA)
+    got = {r.doc_id: (r.component_id, r.kept) for r in N.near_groups(d).collect()}
+    assert got == {high: (high - 1, False), high - 1: (high - 1, True), low: (low, True), 1 << 62: (low, False), (1 << 62) + 1: ((1 << 62) + 1, True), -5: (-5, True), 0: (0, True), None: (high - 1, False)}
+    assert {r.doc_id for r in N.drop_near_copies(d).collect()} == {high - 1, low, (1 << 62) + 1, -5, 0}
+
+
+def test_sql_agrees(spark, sf):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = db.execute(f"SELECT doc_id, n_shingles, component_id, kept FROM ({N.oracle()}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in N.near_groups(table(spark, sf, "documents"), 3, 85).orderBy("doc_id").collect()] == want
