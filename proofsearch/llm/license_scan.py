@@ -1,12 +1,14 @@
 """License scans: an exact set-similarity join of text blocks and notice templates, in DataFrame functions alone.
 
-A block is a line of a text, as the set of its words; a template is found in it if the block holds at least
-CONTAINMENT of the template's words. Tokens are ordered by their document frequency over the whole table,
-rarest first. A block that holds o of a template's s words must hold one of the template's first s - o + 1
-(prefix filter), must have o of the templates' words itself (length filter), and from the first shared word
-on there must be o left on both sides (positional filter); what passes is counted in full. No block that
-reaches the threshold is missed. Templates are fixed, so they travel as literals and nothing is shuffled
-but the templates' token counts.
+A block is BLOCK consecutive words of a text, and a new one begins every STEP words, so that a notice of up to
+STEP words lies whole in a block however its lines are broken. As sets of words, a template is found in a block
+that holds at least CONTAINMENT of its words. Tokens are ordered by their document frequency over the whole
+table, rarest first. A block that holds o of a template's s words must hold one of the template's first
+s - o + 1 (prefix filter), must have o of the templates' words itself (length filter), and from a shared word on
+there must be enough left on both sides (positional filter). So blocks meet templates in an equi-join on prefix
+tokens, and what passes the filters is counted in full: no block that reaches the threshold is missed. Of the
+templates found in a block, one goes if another accounts for the same words and more, or for the same words more
+wholly: a notice of CC BY-NC is not one of CC BY as well, nor the other way round.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ import math
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import doc_columns
+from .base import doc_columns, materialise
 
 CONTAINMENT = 0.9
+BLOCK, STEP = 64, 32
+#: Texts with a notice are broadcast to the documents up to this many, and joined by a shuffle beyond.
+BROADCAST_TEXTS = 200_000
 #: Phrases of the base labels.
 PHRASES = {
     "mit license": "mit",
@@ -60,8 +65,8 @@ def needed(size: int) -> int:
 
 def word_line(text: Column) -> Column:
     """The words, lower-cased in A-Z, with one space between."""
-    # the two letters whose lower case is, or begins with, an ASCII letter
-    plain = F.replace(F.replace(text, F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ı"))
+    # the two letters (Kelvin sign, capital I with a dot) whose lower case is, or begins with, an ASCII letter
+    plain = F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131"))
     return F.trim(F.regexp_replace(F.lower(plain), BETWEEN, " "))
 
 
@@ -74,19 +79,6 @@ def _holds(line: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(padded, F.lit(f" {w} ")) for w in words])
 
 
-def _share(template: list[int], least: int, prefix: list[int]):
-    """A block's share of a template where it passes the filters and reaches the threshold, else null."""
-    t, p, s = F.array(*map(F.lit, template)), F.array(*map(F.lit, prefix)), len(template)
-
-    def share(b: Column) -> Column:
-        first = F.array_min(F.array_intersect(b, p))
-        left = F.least(F.lit(s) - F.array_position(t, first), F.size(b) - F.array_position(b, first)) + 1
-        held = F.size(F.array_intersect(b, t))
-        return F.when((F.size(b) >= least) & F.arrays_overlap(b, p) & (left >= least) & (held >= least), held / F.lit(float(s)))
-
-    return share
-
-
 def token_order(lines: DataFrame, column: str) -> dict[str, int]:
     """Rank of each template word by the number of documents that hold it, rarest first, ties by the word."""
     vocabulary = sorted(frozenset().union(*(template_words(t) for _, t in TEMPLATES)))
@@ -96,39 +88,62 @@ def token_order(lines: DataFrame, column: str) -> dict[str, int]:
     return {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (found.get(w, 0), w)))}
 
 
+def _literal_rows(spark: SparkSession, rows: list[Column]) -> DataFrame:
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
+def found_notices(texts: DataFrame, rank: dict[str, int]) -> DataFrame:
+    """labels, best (share) and n_links of each text (key, more: its digest; line: its words) that holds a notice."""
+    spark = texts.sparkSession
+    rows, index = [], []
+    for k, (label, text) in enumerate(TEMPLATES):
+        ranks = sorted(rank[w] for w in template_words(text))
+        o = needed(len(ranks))
+        rows.append((k, label, ranks, o))
+        index += [(token, k, at) for at, token in enumerate(ranks[: len(ranks) - o + 1])]
+    least = min(o for *_, o in rows)
+    # both tables are bounded by the templates
+    templates = F.broadcast(_literal_rows(spark, [F.struct(F.lit(k).alias("template"), F.lit(label).alias("label"), F.array(*map(F.lit, own)).alias("own"), F.lit(o).alias("o")) for k, label, own, o in rows]))
+    prefixes = F.broadcast(_literal_rows(spark, [F.struct(F.lit(token).alias("token"), F.lit(k).alias("template"), F.lit(at).alias("t_at")) for token, k, at in index]))
+    word_of = {k: w for w, k in rank.items()}
+    ranks = F.create_map(*[x for w, k in rank.items() for x in (F.lit(w), F.lit(k))])
+    vocabulary = F.array(*map(F.lit, rank))
+
+    ws = F.split("line", " ")
+    held = lambda i: F.array_sort(F.transform(F.array_intersect(F.slice(ws, i + 1, BLOCK), vocabulary), lambda w: ranks[w]))
+    blocks = texts.where(_holds(F.col("line"), sorted({word_of[token] for token, _, _ in index}))).select("key", "more", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(ws) - 1, F.lit(STEP)), held)).alias("block", "b")).where(F.size("b") >= least)
+    probes = blocks.select("*", F.posexplode(F.slice("b", F.lit(1), F.size("b") - least + 1)).alias("b_at", "token"))
+    met = probes.join(prefixes, "token").join(templates, "template")
+    # shared words before this one, itself, and those after it
+    most = F.least("b_at", "t_at") + 1 + F.least(F.size("own") - F.col("t_at") - 1, F.size("b") - F.col("b_at") - 1)
+    met = met.where(most >= F.col("o")).withColumn("held", F.array_intersect("b", "own")).where(F.size("held") >= F.col("o"))
+    # a group is bounded by the number of templates; repeated texts and tokens fall together
+    match = F.struct("template", "label", "held", (F.size("held") / F.size("own").cast("double")).alias("share"))
+    each = met.groupBy("key", "more", "block").agg(F.collect_set(match).alias("all"))
+    better = lambda a, b: (F.size(F.array_except(a["held"], b["held"])) == 0) & ((F.size(b["held"]) > F.size(a["held"])) | (b["share"] > a["share"]))
+    kept = each.select("key", "more", F.filter("all", lambda a: ~F.exists("all", lambda b: better(a, b))).alias("kept"))
+    per = kept.select("key", "more", F.array_distinct(F.transform("kept", lambda m: m["label"])).alias("labels"), F.array_max(F.transform("kept", lambda m: m["share"])).alias("best"), F.size("kept").alias("n"))
+    labels = per.select("key", "more", F.explode("labels").alias("label")).groupBy("key", "more").agg(F.collect_set("label").alias("found"))
+    return per.groupBy("key", "more").agg(F.max("best").alias("best"), F.sum("n").alias("n_links")).join(labels, ["key", "more"])
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_links of every row.
 
-    n_links counts the pairs of a block and a template that reach the threshold; score is the largest share
-    of a template that a block holds, 1 with a base label, 0 without any label. A null or wordless text has
-    no words, no labels and score 0. Each row is scanned for itself, so repeated rows agree; a null doc_id is
-    kept. An empty table gives no rows. Other columns are ignored.
+    n_links counts the pairs of a block and a template that stay; score is the largest share of a template that
+    a block holds, 1 with a base label, 0 without any label. A null or wordless text has no words, no labels and
+    score 0. Each row is scanned for itself, so repeated rows agree; a null doc_id is kept. Texts of any length
+    are read whole. An empty table gives no rows. Other columns are ignored.
     """
     rows = doc_columns(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    lined = rows.withColumn("line", word_line(F.col("text")))
-    rank = token_order(lined, "line")
-    templates = []
-    for label, text in TEMPLATES:
-        ranks = sorted(rank[w] for w in template_words(text))
-        o = needed(len(ranks))
-        templates.append((label, ranks, o, ranks[: len(ranks) - o + 1]))
-    word_of = {k: w for w, k in rank.items()}
-    probes = sorted({word_of[k] for _, _, _, prefix in templates for k in prefix})
+    lined = rows.select("doc_id", word_line(F.col("text")).alias("line"))
+    lined = lined.select("*", F.xxhash64("line").alias("key"), F.xxhash64(F.lit(1), "line").alias("more"))
+    notices = materialise(found_notices(lined, token_order(lined, "line")), "notices")
 
-    n_words = F.when(F.col("line") == "", 0).otherwise(_spaces(F.col("line")) + 1)
+    out = lined.withColumn("n_words", F.when(F.col("line") == "", 0).otherwise(_spaces(F.col("line")) + 1))
     base = _holds(F.col("line"), list(PHRASES))
-    out = lined.withColumn("n_words", n_words)
     # each word between two spaces of its own, so that phrases next to each other count apart
-    out = out.withColumn("apart", F.when(base, F.concat(F.lit(" "), F.replace(F.col("line"), F.lit(" "), F.lit("  ")), F.lit(" "))).otherwise(F.lit("")))
-    # blocks as sorted ranks of the template words they hold, where the text has a word of a prefix at all
-    ranks = F.create_map(*[x for w, k in rank.items() for x in (F.lit(w), F.lit(k))])
-    words = lambda block: F.split(word_line(block), " ")
-    least = min(o for _, _, o, _ in templates)
-    block_ranks = F.transform(F.split(F.col("text"), "\n"), lambda b: F.array_sort(F.array_compact(F.transform(F.array_intersect(words(b), F.array(*map(F.lit, rank))), lambda w: ranks[w]))))
-    out = out.withColumn("blocks", F.when(_holds(F.col("line"), probes), F.filter(block_ranks, lambda b: F.size(b) >= least)).otherwise(F.array().cast("array<array<int>>")))
-    out = out.drop("text", "line")
-
-    cols = ["doc_id", "n_words"]
+    out = out.withColumn("apart", F.when(base, F.concat(F.lit(" "), F.replace(F.col("line"), F.lit(" "), F.lit("  ")), F.lit(" "))).otherwise(F.lit(""))).drop("line")
     for k, phrase in enumerate(PHRASES):
         token = F.lit(f" {phrase.replace(' ', '  ')} ")
         size = len(phrase) + 2 + phrase.count(" ")
@@ -137,29 +152,25 @@ def license_scan(docs: DataFrame) -> DataFrame:
         out = out.withColumn(f"n{k}", n)
         out = out.withColumn(f"first{k}", F.when(F.col(f"n{k}") > 0, (_spaces(before) / 2).cast("long")))
         out = out.withColumn(f"last{k}", F.when(F.col(f"n{k}") > 0, F.col("n_words") - (_spaces(after) / 2).cast("long") - (phrase.count(" ") + 1)))
-    for k, (_, t, o, prefix) in enumerate(templates):
-        out = out.withColumn(f"t{k}", F.array_compact(F.transform("blocks", _share(t, o, prefix))))
-    every = range(len(templates))
+    out = out.drop("apart").join(F.broadcast(notices) if notices.count() <= BROADCAST_TEXTS else notices, ["key", "more"], "left")
     n_base = sum((F.col(f"n{k}") for k in range(1, len(PHRASES))), F.col("n0"))
-    own = [F.when(F.col(f"n{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]
-    more = [F.when(F.size(f"t{k}") > 0, F.lit(templates[k][0])) for k in every]
-    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))), ",")
-    best = F.greatest(*[F.coalesce(F.array_max(f"t{k}"), F.lit(0.0)) for k in every])
+    own = F.array_compact(F.array(*[F.when(F.col(f"n{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]))
+    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return out.select(
-        *cols[:1],
+        "doc_id",
         F.col("n_words").cast("long").alias("n_words"),
         n_base.cast("long").alias("n_base"),
         F.least(*[F.col(f"first{k}") for k in range(len(PHRASES))]).alias("first_word"),
         F.greatest(*[F.col(f"last{k}") for k in range(len(PHRASES))]).cast("long").alias("last_word"),
         listed(own).alias("base_labels"),
-        listed(own + more).alias("labels"),
-        F.round(F.when(n_base > 0, 1.0).otherwise(best), 6).alias("score"),
-        sum((F.size(f"t{k}") for k in every[1:]), F.size("t0")).cast("long").alias("n_links"),
+        listed(F.concat(own, F.coalesce("found", F.array().cast("array<string>")))).alias("labels"),
+        F.round(F.when(n_base > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))), 6).alias("score"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
 def oracle() -> str:
-    """The same by brute force: every line against every template."""
+    """The same by brute force: every block against every template."""
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     lower = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     places = []
@@ -171,9 +182,10 @@ def oracle() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all({lower.format('text')}, {word}) AS ws FROM documents),
 p AS (SELECT r, doc_id, len(ws) AS n_words, list_concat({places[0]}, list_concat({places[1]}, {places[2]})) AS places FROM d),
 t(k, label, words, o) AS (VALUES {values}),
-b AS (SELECT r, list_distinct(regexp_extract_all({lower.format('block')}, {word})) AS ws FROM (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS block FROM d)),
-m AS (SELECT r, label, len(list_intersect(ws, words)) / len(words)::DOUBLE AS share FROM b, t WHERE len(list_intersect(ws, words)) >= o),
-g AS (SELECT r, list_distinct(list(label)) AS labels, max(share) AS best, count(*) AS n FROM m GROUP BY r)
+b AS (SELECT r, i, list_distinct(ws[i + 1 : i + {BLOCK}]) AS ws FROM (SELECT r, ws, unnest(range(0, len(ws), {STEP})) AS i FROM d)),
+m AS MATERIALIZED (SELECT r, i, k, label, list_intersect(ws, words) AS held, len(list_intersect(ws, words)) / len(words)::DOUBLE AS share FROM b, t WHERE len(list_intersect(ws, words)) >= o),
+kept AS (SELECT * FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE a.r = b.r AND a.i = b.i AND len(list_intersect(a.held, b.held)) = len(a.held) AND (len(b.held) > len(a.held) OR b.share > a.share))),
+g AS (SELECT r, list_distinct(list(label)) AS labels, max(share) AS best, count(*) AS n FROM kept GROUP BY r)
 SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base,
   list_min(list_transform(places, lambda x: x.at))::BIGINT AS first_word, list_max(list_transform(places, lambda x: x.at))::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(list_distinct(list_transform(places, lambda x: x.label))), ','), '') AS base_labels,

@@ -138,6 +138,29 @@ def test_license_edges(spark):
     assert license_scan.license_scan(d.limit(0)).count() == 0
 
 
+def test_license_notices(spark):
+    """Notices in capitals, over several lines or in comments, and ones that share most words."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining\n// a copy of this software and associated documentation\n// files"
+    texts = {
+        "THIS WORK IS LICENSED UNDER A CREATIVE COMMONS ATTRIBUTION 4.0 INTERNATIONAL LICENSE. KKK": "cc-by",
+        "This work is licensed under a Creative Commons\n Attribution-NonCommercial 4.0\n International License.": "cc-by-nc",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        f"/*\n * {mit}": "mit",
+        "word " * 1000 + mit + " word" * 1000: "mit",
+        "word " * 61 + mit: "mit",
+        "Licensed under the GNU Lesser\n\nGeneral Public License, version 2.1.": "gpl,lgpl",
+        "BSD: redistribution and use in source and binary forms": "",
+        "work work work this is licensed": "",
+        "Licensed under CC B\u212a-SA 4.0": "",
+    }
+    d = spark.createDataFrame([(k, t, "") for k, t in enumerate([*texts, *texts])], "doc_id long, text string, key string")
+    got = license_scan.license_scan(d).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == [*texts.values()] * 2
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(k, t) for k, t in enumerate([*texts, *texts])], columns=["doc_id", "text"]))
+    same(license_scan.license_scan(d).toPandas(), con.sql(license_scan.oracle()).df())
+
+
 def test_license_plan_has_no_python(spark):
     plan = license_scan.license_scan(table(spark, SMALL, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
