@@ -109,9 +109,15 @@ def found_notices(texts: DataFrame, rank: dict[str, int]) -> DataFrame:
     ranks = F.create_map(*[x for w, k in rank.items() for x in (F.lit(w), F.lit(k))])
     vocabulary = F.array(*map(F.lit, rank))
 
-    ws = F.split("line", " ")
-    held = lambda i: F.array_sort(F.transform(F.array_intersect(F.slice(ws, i + 1, BLOCK), vocabulary), lambda w: ranks[w]))
-    blocks = texts.where(_holds(F.col("line"), sorted({word_of[token] for token, _, _ in index}))).select("key", "more", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(ws) - 1, F.lit(STEP)), held)).alias("block", "b")).where(F.size("b") >= least)
+    # a lambda's variable is worked out once a text, what it stands for would be once a block
+    once = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
+    known = F.array(*[F.struct(F.array(*map(F.lit, sorted(template_words(text)))).alias("own"), F.lit(needed(len(template_words(text)))).alias("o")) for _, text in TEMPLATES])
+    # a text that doesn't hold o words of a template has no block that does
+    able = once(F.array_intersect(F.split("line", " "), vocabulary), lambda held: F.exists(known, lambda t: F.size(F.array_intersect(held, t["own"])) >= t["o"]))
+    able = F.when(_holds(F.col("line"), sorted({word_of[token] for token, _, _ in index})), able).otherwise(False)
+    held = lambda ws, i: F.array_sort(F.transform(F.array_intersect(F.slice(ws, i + 1, BLOCK), vocabulary), lambda w: ranks[w]))
+    every = once(F.split("line", " "), lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - 1, F.lit(STEP)), lambda i: held(ws, i)))
+    blocks = texts.where(able).select("key", "more", F.posexplode(every).alias("block", "b")).where(F.size("b") >= least)
     probes = blocks.select("*", F.posexplode(F.slice("b", F.lit(1), F.size("b") - least + 1)).alias("b_at", "token"))
     met = probes.join(prefixes, "token").join(templates, "template")
     # shared words before this one, itself, and those after it
