@@ -2,16 +2,18 @@
 
 A page is cut into blocks at block-level tags; a block's tag path is its open block-level tags from the root,
 with their classes. For each path, text length and punctuation are summed and taken per block; the two ratios
-are fused, smoothed over the blocks in page order, and cut at a threshold that the page's own spread sets.
-Paths that pass are content. What the markup itself names as furniture (navigation, footers, adverts, forms,
-comments ...) never enters the ratios. The element that holds the content then gives its other blocks, such as
-headings and short lists, which have little text of their own.
+are fused, averaged with their smoothed values in page order, and weighed by the share of the path's text that is no link.
+Paths whose score reaches a share of the page's mean are content. The element that holds the content then also
+gives its other blocks, such as headings and short lists, which have little text of their own; there markup is a
+prior that lowers the threshold, and paths of links still fall below it. What the markup itself names as
+furniture (navigation, footers, adverts, forms, comments ...) has no part in the ratios.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,13 +23,13 @@ from pyspark.sql import functions as F
 
 from .base import tune
 
-#: Standard deviation of the smoothing, in blocks; share of the mean ratio that a block must reach.
-SMOOTH, SHARE = 1.0, 0.35
+#: Standard deviation of the smoothing, in blocks; share of the mean score that a path must reach, and within the element that holds the content.
+SMOOTH, SHARE, WITHIN = 1.0, 0.35, 0.05
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 #: One attribute: a name and, if it has one, its value, which is passed over as a whole; an open quote ends with the tag.
 ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
-READ = {"class", "id", "role", "style", "hidden", "aria-hidden"}
-PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
+READ = {"class", "id", "role", "style", "hidden", "aria-hidden", "href"}
+PUNCTUATION = re.compile("[.,;:!?\u2026\u3002\uff0c\u3001\uff01\uff1f]")
 #: Elements of the HTML standard by how they are laid out or what they hold.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -36,36 +38,48 @@ FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "select", "opti
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}}
-#: Words of classes and ids that name what is not the article.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay|menu\w*|nav\w*|breadcrumb\w*|sidebar\w*|side|widget\w*|related\w*|recommend\w*|share\w*|sharing|social\w*|comments?|comment-?list|respond|repl(?:y|ies)|disqus\w*|footer\w*|header\w*|masthead|topbar|toolbar|subscribe\w*|newsletter\w*|sign-?up|login|search\w*|pagination|pager|tag-?list|skip\w*|copyright|legal|disclaimer)(?:$|[\s_-])",
-    re.I,
-)
+#: Words of classes and ids that name what is not the article, anywhere and outside of an article element.
+ANYWHERE = r"ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|popup\w*|modal\w*|overlay|menu\w*|nav\w*|breadcrumb\w*|sidebar\w*|widget\w*|related\w*|recommend\w*|share\w*|sharing|social\w*|comments?|comment-?list|respond|repl(?:y|ies)|disqus\w*|subscribe\w*|newsletter\w*|sign-?up|login|pagination|pager|skip\w*"
+OUTSIDE = r"side|alert\w*|footer\w*|header\w*|masthead|topbar|toolbar|search\w*|tag-?list|copyright|legal|disclaimer"
+NAMES, OUTSIDE_NAMES = (re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I) for words in (ANYWHERE, f"{ANYWHERE}|{OUTSIDE}"))
+#: A class or id that begins so names a part of the article.
+PART_OF_ARTICLE = re.compile(r"(?:^|\s)(?:entry|article|post|story)[_-](?:header|title|legal|disclaimer)\S*", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 #: Elements that a class or id name cannot make furniture: a page may be styled as a whole.
 WHOLE = {"html", "body", "main", "article"}
 HOLDERS = {"article", "main"}
+HEADING = re.compile("h[1-6]")
 
 
 @dataclass
 class Element:
     tag: str
-    step: str
     number: int
+    path: int
+    holder: int | None
     furniture: bool
+    link: bool = False
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
-    chain: tuple[int, ...]
+    path: int
+    element: int
     holder: int | None
+    heading: bool
     furniture: bool
     parts: list[str] = field(default_factory=list)
+    linked: int = 0
+    text: str = ""
+
 
-    @property
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+@dataclass
+class Page:
+    """Blocks with text in order; of each block-level element, its parent (-1: none) and how deep it is."""
+
+    blocks: list[Block]
+    parent: list[int]
+    depth: list[int]
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -81,60 +95,118 @@ def _is_furniture(tag: str, a: dict[str, str], inside_holder: bool) -> bool:
         return True
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
         return True
-    return a.get("role", "").lower() in ROLES or tag not in WHOLE and bool(NAMES.search(a.get("class", "")) or NAMES.search(a.get("id", "")))
+    names = NAMES if inside_holder else OUTSIDE_NAMES
+    return a.get("role", "").lower() in ROLES or tag not in WHOLE and any(names.search(PART_OF_ARTICLE.sub(" ", a.get(k, ""))) for k in ("class", "id"))
+
 
+class Reader:
+    """Open elements and blocks so far. Inline elements are kept only where they matter: links, and furniture with what is in it."""
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks with text, in order."""
-    stack: list[Element] = []
-    out: list[Block] = []
-    open_block: Block | None = None
-    count = 0
+    def __init__(self) -> None:
+        self.stack: list[Element] = []
+        self.laid: list[Element] = []
+        self.open: Counter[str] = Counter()
+        self.furniture = self.links = 0
+        self.paths: dict[tuple[int, str], int] = {}
+        self.page = Page([], [], [])
+        self.block: Block | None = None
 
-    def add(text: str) -> None:
-        nonlocal open_block
-        if open_block is None:
+    def add(self, text: str) -> None:
+        """Text of the open block, or of a new one."""
+        if self.block is None:
             if not text.strip():
                 return
-            laid = [e for e in stack if e.tag not in INLINE]
-            holder = next((e.number for e in reversed(laid) if e.tag in HOLDERS), None)
-            open_block = Block(tuple(e.step for e in laid), tuple(e.number for e in laid), holder, any(e.furniture for e in stack))
-            out.append(open_block)
-        elif open_block.furniture != any(e.furniture for e in stack):
+            top = self.laid[-1] if self.laid else None
+            self.block = Block(top.path if top else -1, top.number if top else -1, top.holder if top else None, bool(top) and HEADING.fullmatch(top.tag) is not None, self.furniture > 0)
+            self.page.blocks.append(self.block)
+        elif self.block.furniture != (self.furniture > 0):
             # an inline element that is furniture within a block, or the text after it
             if text.strip():
-                side = Block(open_block.path, open_block.chain, open_block.holder, not open_block.furniture, [text])
-                out.append(side)
+                b = self.block
+                self.page.blocks.append(Block(b.path, b.element, b.holder, b.heading, not b.furniture, [text]))
             return
-        open_block.parts.append(text)
+        self.block.parts.append(text)
+        if self.links:
+            self.block.linked += len(text.strip())
 
-    def close(tags: set[str], within: set[str]) -> None:
-        """Ends open elements of these tags that stand above any of `within`."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag in within:
+    def push(self, tag: str, a: dict[str, str]) -> None:
+        top = self.laid[-1] if self.laid else None
+        furniture = _is_furniture(tag, a, top is not None and top.holder is not None)
+        if tag in INLINE:
+            if not furniture and not self.furniture and not (tag == "a" and "href" in a):
                 return
-            if stack[k].tag in tags:
-                # formatting elements outlive the block that they were opened in
-                stack[k:] = [e for e in stack[k:] if e.tag in INLINE and e.tag != "a" and not e.furniture]
-                return close(tags, within)
+            e = Element(tag, -1, -1, None, furniture, tag == "a" and "href" in a)
+        else:
+            step = tag + "".join(f".{c}" for c in sorted(a.get("class", "").split())[:3] if not any(x.isdigit() for x in c))
+            path = self.paths.setdefault((top.path if top else -1, step), len(self.paths))
+            number = len(self.page.parent)
+            self.page.parent.append(top.number if top else -1)
+            self.page.depth.append(len(self.laid))
+            e = Element(tag, number, path, number if tag in HOLDERS else top.holder if top else None, furniture)
+            self.laid.append(e)
+        self.stack.append(e)
+        self.open[tag] += 1
+        self.furniture += e.furniture
+        self.links += e.link
+
+    def cut(self, k: int) -> None:
+        """Ends all elements from the k-th on."""
+        for e in self.stack[k:]:
+            self.open[e.tag] -= 1
+            self.furniture -= e.furniture
+            self.links -= e.link
+            if e.number >= 0:
+                self.laid.pop()
+        del self.stack[k:]
+
+    def close(self, tags: set[str], within: set[str]) -> None:
+        """Ends open elements of these tags that stand above any of `within`."""
+        while any(self.open[t] for t in tags):
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k].tag in within:
+                    return
+                if self.stack[k].tag in tags:
+                    self.cut(k)
+                    break
 
+    def end(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
+        k = len(self.stack) - 1
+        while self.stack[k].tag != tag:
+            k -= 1
+        if tag in INLINE:  # blocks within it stay open
+            if all(e.number < 0 for e in self.stack[k + 1 :]):
+                self.cut(k)
+            else:
+                e = self.stack.pop(k)
+                self.open[tag] -= 1
+                self.furniture -= e.furniture
+                self.links -= e.link
+        else:
+            self.cut(k)
+
+
+def read(page: str) -> Page:
+    """The page's blocks and elements."""
+    r = Reader()
     at = 0
     while at < len(page):
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            add(html.unescape(text))
+            r.add(html.unescape(text))
         if not m:
             break
         at = m.end()
         end, tag, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"))
+                r.add(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if tag == "br":
-            add(" ")
+            r.add(" ")
             continue
         if not end and tag in RAW:
             stop = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, at)
@@ -145,85 +217,90 @@ def blocks(page: str) -> list[Block]:
                 at = len(page)
             continue
         if tag not in INLINE:
-            open_block = None
+            r.block = None
         if end:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    kept = [e for e in stack[k + 1 :] if e.tag in INLINE and tag not in INLINE and e.tag != "a" and not e.furniture]
-                    stack[k:] = kept if tag not in INLINE else stack[k + 1 :]
-                    break
+            r.end(tag)
             continue
         if tag in VOID or raw.endswith("/") and tag in {"path", "circle", "rect", "use"}:
             continue
         if tag in CLOSES_P:
-            close({"p"}, {"table", "td", "th", "button", "object"})
+            r.close({"p"}, {"table", "td", "th", "button", "object"})
         if tag in SIBLINGS:
-            close(SIBLINGS[tag], SCOPES[tag])
+            r.close(SIBLINGS[tag], SCOPES[tag])
+        if tag == "a":
+            r.close({"a"}, set(CLOSES_P))
         if tag == "body":
-            stack[:] = [e for e in stack if e.tag == "html"]
-        a = _attributes(raw)
-        inside = any(e.tag in HOLDERS for e in stack)
-        name = a.get("class", "").split()
-        count += 1
-        stack.append(Element(tag, tag + "".join(f".{c}" for c in sorted(name)[:3] if not any(x.isdigit() for x in c)), count, _is_furniture(tag, a, inside)))
-    return [b for b in out if b.text]
-
-
-def ratios(found: list[Block]) -> np.ndarray:
-    """Each block's fused ratio: of its tag path, smoothed over the page's order."""
-    paths: dict[tuple[str, ...], int] = {}
-    at = np.array([paths.setdefault(b.path, len(paths)) for b in found])
+            r.cut(1 if r.stack and r.stack[0].tag == "html" else 0)
+        r.push(tag, _attributes(raw))
+    for b in r.page.blocks:
+        b.text = " ".join("".join(b.parts).split())
+    r.page.blocks = [b for b in r.page.blocks if b.text]
+    return r.page
+
+
+def path_scores(found: list[Block]) -> np.ndarray:
+    """The score of each block's tag path: fused ratios and their smoothed values (geometric mean), by the share that is no link."""
+    at = np.unique([b.path for b in found], return_inverse=True)[1]
     length = np.array([len(b.text) for b in found], float)
     marks = np.array([len(PUNCTUATION.findall(b.text)) for b in found], float)
+    linked = np.minimum([float(b.linked) for b in found], length)
     n = np.bincount(at)
     fused = np.sqrt(np.bincount(at, length) / n * (1 + np.bincount(at, marks) / n))[at]
     reach = np.arange(-3, 4)
     kernel = np.exp(-(reach**2) / (2 * SMOOTH**2))
     ones = np.convolve(np.ones(len(found)), kernel, "full")[3:-3]
-    return np.convolve(fused, kernel, "full")[3:-3] / ones
+    smooth = np.convolve(fused, kernel, "full")[3:-3] / ones
+    return (np.sqrt(np.bincount(at, smooth) / n * (np.bincount(at, fused) / n)) * (1 - np.bincount(at, linked) / np.bincount(at, length)))[at]
 
 
-def content(found: list[Block]) -> list[bool]:
+def content(page: Page) -> list[bool]:
     """Which blocks are the article."""
+    found = page.blocks
     inner = [k for k, b in enumerate(found) if not b.furniture]
     if not inner:
         return [False] * len(found)
-    score = ratios([found[k] for k in inner])
+    own = path_scores([found[k] for k in inner])
     size = np.array([len(found[k].text) for k in inner], float)
-    cut = SHARE * float((score * size).sum() / size.sum())
-    total: dict[tuple[str, ...], list[float]] = {}
-    for k, s in zip(inner, score):
-        total.setdefault(found[k].path, []).append(s)
-    passed = {p for p, s in total.items() if np.mean(s) >= cut}
-    chosen = {k for k in inner if found[k].path in passed}
-    # the element that holds most of the chosen text, as deep as may be
-    weight: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    for k in chosen:
-        for d, e in enumerate(found[k].chain):
-            weight[e] = weight.get(e, 0) + len(found[k].text)
-            depth[e] = d
-    whole = sum(len(found[k].text) for k in chosen)
-    holders = {found[k].holder for k in chosen if found[k].holder is not None}
-    holding = [e for e in holders if weight.get(e, 0) >= 0.5 * whole]
+    mean = float((own * size).sum() / size.sum())
+    score = np.full(len(found), -1.0)
+    score[inner] = own
+    chosen = score >= SHARE * mean
+    # a block in the element that holds the content needs less; a heading and a page of links alone need nothing
+    allowed = [s >= 0 and (s >= WITHIN * mean or b.heading) for s, b in zip(score, found)]
+    # how much of the chosen text each element holds; children are numbered after their parents
+    weight = [0] * len(page.parent)
+    for k in np.flatnonzero(chosen):
+        if found[k].element >= 0:
+            weight[found[k].element] += len(found[k].text)
+    for e in range(len(weight) - 1, -1, -1):
+        if page.parent[e] >= 0:
+            weight[page.parent[e]] += weight[e]
+    whole = sum(len(found[k].text) for k in np.flatnonzero(chosen))
+
+    def within(main: int) -> list[bool]:
+        inside = [False] * len(page.parent)
+        for e, up in enumerate(page.parent):
+            inside[e] = e == main or up >= 0 and inside[up]
+        return [b.element >= 0 and inside[b.element] for b in found]
+
+    holding = [e for e in {found[k].holder for k in np.flatnonzero(chosen)} if e is not None and weight[e] >= 0.5 * whole]
     if holding:
-        main = max(holding, key=lambda e: depth[e])
-        return [not b.furniture and main in b.chain for b in found]
-    most = [e for e, w in weight.items() if w >= 0.9 * whole]
-    main = max(most, key=lambda e: depth[e]) if most else None
-    first, last = min(chosen), max(chosen)
-    heading = lambda b: bool(b.path) and re.match(r"h[1-6]\b", b.path[-1]) is not None
-    while first and heading(found[first - 1]) and not found[first - 1].furniture:
+        here = within(max(holding, key=lambda e: (page.depth[e], -e)))
+        return [h and a for h, a in zip(here, allowed)]
+    most = [e for e, w in enumerate(weight) if w >= 0.9 * whole]
+    here = within(max(most, key=lambda e: (page.depth[e], -e))) if most else [True] * len(found)
+    first, last = int(np.flatnonzero(chosen)[0]), int(np.flatnonzero(chosen)[-1])
+    while first and found[first - 1].heading and not found[first - 1].furniture:
         first -= 1
-    return [not b.furniture and (k in chosen or first <= k <= last and (main is None or main in b.chain)) for k, b in enumerate(found)]
+    return [bool(c) or first <= k <= last and h and a for k, (c, h, a) in enumerate(zip(chosen, here, allowed))]
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line."""
     if not page:
         return ""
-    found = blocks(page)
-    return "\n".join(b.text for b, keep in zip(found, content(found)) if keep)
+    found = read(page)
+    return "\n".join(b.text for b, keep in zip(found.blocks, content(found)) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """M-tree search, HTML extraction, license scans, the queries' SQL, and the pipeline."""
 
 import glob
+import math
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -111,6 +113,48 @@ def test_any_markup_gives_lines_of_text(page):
     assert all(x and x == " ".join(x.split()) for x in out.split("\n")) or out == ""
 
 
+SOUP = """<div><div class="x"><a href=1>Home</a></div><div class="x"><a href=2>News of today</a></div></div><div class="y"><b>Tiny</b></div>
+<div><p>Long text, with marks; and so on. It goes on, and on, for quite a while, as texts do.</p><p>More of it, here. And words; many.</p>
+<div class="z"><a href=3>Another story</a></div><p>And the end, which is long as well; or nearly so, at least.</p></div><div class="y">Odds</div><div class="y">Ends</div>"""
+FARM = """<article><h1>Title</h1><div class="entry-header"><h2>Under it</h2></div><p>Some text, long enough; with <a href=x>a link</a> in it, and marks.</p>
+<ul><li>one</li><li>two</li></ul><ul class="more"><li><a href=a>Link one</a></li><li><a href=b>Link two</a></li><li><a href=c>Link three</a></li></ul>
+<p class="legal">A paragraph on law, between two others.</p><p>Some more text, long enough; with marks.</p></article>"""
+
+
+def test_ratios_decide(monkeypatch):
+    soup = "Long text, with marks; and so on. It goes on, and on, for quite a while, as texts do.\nMore of it, here. And words; many.\nAnd the end, which is long as well; or nearly so, at least."
+    farm = "Title\nUnder it\nSome text, long enough; with a link in it, and marks.\none\ntwo\nA paragraph on law, between two others.\nSome more text, long enough; with marks."
+    assert (html_text.main_text(SOUP), html_text.main_text(FARM)) == (soup, farm)
+    monkeypatch.setattr(html_text, "path_scores", lambda found: np.ones(len(found)))
+    assert "Home" in html_text.main_text(SOUP) and "Odds" in html_text.main_text(SOUP) and "Link two" in html_text.main_text(FARM)
+
+
+def test_path_scores_match_brute_force():
+    for page in (SOUP, FARM, PAGE, "<p>a", "<a href=x>only</a>"):
+        found = [b for b in html_text.read(page).blocks if not b.furniture]
+        fused = []
+        for b in found:
+            path = [c for c in found if c.path == b.path]
+            fused.append(math.sqrt(sum(len(c.text) for c in path) / len(path) * (1 + sum(sum(x in ".,;:!?" for x in c.text) for c in path) / len(path))))
+        smooth = []
+        for k in range(len(found)):
+            w = {j: math.exp(-((j - k) ** 2) / 2) for j in range(max(0, k - 3), min(len(found), k + 4))}
+            smooth.append(sum(w[j] * fused[j] for j in w) / sum(w.values()))
+        want = []
+        for b in found:
+            path = [j for j, c in enumerate(found) if c.path == b.path]
+            linked, length = sum(min(found[j].linked, len(found[j].text)) for j in path), sum(len(found[j].text) for j in path)
+            want.append(math.sqrt(sum(smooth[j] for j in path) / len(path) * sum(fused[j] for j in path) / len(path)) * (1 - linked / length))
+        assert np.allclose(html_text.path_scores(found), want)
+
+
+def test_deep_pages_take_time_in_proportion():
+    for step in ("<div>x, y.", "<p><b>x, y.", "<span class=ad>x", "<ul><li>x", "<a href=x>", "</b></div>"):
+        began = time.process_time()
+        html_text.main_text(step * 20_000)
+        assert time.process_time() - began < 5
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, None), (None, "v", "", 1), (3, "w", "<p>" + "long text, and more. " * 20_000, 2)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
