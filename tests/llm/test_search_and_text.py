@@ -67,12 +67,52 @@ def test_tree_leaves_out_what_bounds_exclude(monkeypatch):
     assert tree.computed < 3000
 
 
+def test_pages_and_levels():
+    """A block is a tree of many small pages, whose balls hold what is below them."""
+    r = np.random.default_rng(3)
+    v = r.integers(-200, 200, (mtree.BLOCK_ROWS, 16))
+    tree = mtree.Tree(mtree.build(np.arange(len(v)), v))
+    leaves = [p for p in tree.pages if isinstance(p, mtree.Leaf)]
+    assert len(leaves) >= len(v) / mtree.LEAF_ROWS and max(len(p.ids) for p in leaves) <= mtree.LEAF_ROWS and sum(len(p.ids) for p in leaves) == len(v)
+
+    def below(number):
+        page = tree.pages[number]
+        if isinstance(page, mtree.Leaf):
+            return 1, mtree.lift(page.vectors, page.norm)
+        levels, points = [], []
+        for child, pivot, radius in zip(page.children, page.pivots, page.radius):
+            depth, held = below(int(child))
+            assert (np.sqrt(((held - pivot) ** 2).sum(axis=1)) <= radius + 1e-6).all()
+            levels.append(depth)
+            points.append(held)
+        return 1 + max(levels), np.concatenate(points)
+
+    assert below(0)[0] >= 3
+
+
+def test_many_blocks_match_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    v = np.concatenate([r.normal(size=(900, 6)), np.tile(r.normal(size=6), (300, 1))]).astype(np.float32)
+    ids = r.permutation(3000)[: len(v)]
+    d = spark.createDataFrame([(int(i), [float(c) for c in x]) for i, x in zip(ids, v)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(mtree, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(mtree, "LEAF_ROWS", 16)
+    monkeypatch.setattr(mtree, "QUERY_ROWS", 10)
+    whole = np.floor(256.0 * v.astype(float)).astype(int)
+    want = []
+    for i, x in zip(ids, whole):
+        if i % 50 == 0:
+            best = sorted((-int(s), int(j)) for s, j in zip(whole @ x, ids) if j != i)[:5]
+            want += [(int(i), n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(tuple(r) for r in mtree.top_k(d).collect()) == sorted(want)
+
+
 def test_search_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (50, [0.5, 0.5]), (50, [0.5, 0.5]), (1, [0.5, None]), (2, [nan, 1.0]), (3, None), (None, [1.0, 1.0]), (4, []), (5, [1.0, 0.0]), (6, [1.0]), (7, [1.0, 0.0])]
     d = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
     out = sorted(tuple(r) for r in mtree.top_k(d).collect())
-    assert out == [(0, 1, 5, 65536), (0, 2, 7, 65536), (0, 3, 50, 32768), (50, 1, 0, 32768), (50, 2, 5, 32768), (50, 3, 7, 32768)]
+    assert out == [(0, 1, 5, 65536), (0, 2, 7, 65536), (0, 3, 50, 32768), (0, 4, 50, 32768), (50, 1, 0, 32768), (50, 2, 5, 32768), (50, 3, 7, 32768)]
     assert mtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
