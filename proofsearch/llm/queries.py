@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mtree, near_dedup
+from . import license_scan, mixing, mtree, near_dedup
 from .base import table
 
 
@@ -34,9 +34,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix
-
-    return mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +82,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
-SQL: dict[str, str] = {"op2_mtree_topk": mtree.oracle(), "op9_license_scan": license_scan.oracle(), "op10_minhash_dedup": near_dedup.oracle()}
+SQL: dict[str, str] = {"op2_mtree_topk": mtree.oracle(), "op4_source_mixing": mixing.oracle(), "op9_license_scan": license_scan.oracle(), "op10_minhash_dedup": near_dedup.oracle()}

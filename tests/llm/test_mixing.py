@@ -1,4 +1,4 @@
-import hashlib  # noqa: F401
+import hashlib
 import random
 
 from proofsearch.llm import mixing
@@ -34,8 +34,7 @@ def corpus(n=300, seed=1):
 
 
 def leaf_of(row):
-    source = row[3] or "(none)"
-    return mixing._default_domains().get(source, "(none)"), row[2] or "(none)", source
+    return mixing._default_domains().get(row[3], mixing.NONE), row[2] or mixing.NONE, row[3] or mixing.NONE
 
 
 def expected_budgets(rows, tree, share, epochs):
@@ -75,7 +74,7 @@ def test_prefix_reaches_the_budget_and_no_more(spark):
     taken = mixing.mix(d, settings).collect()
     assert len(taken) == len(rows)
     for leaf, b in budgets.items():
-        own = [r for r in taken if (r.domain, r.lang, r.source) == leaf]
+        own = [r for r in taken if tuple(x or mixing.NONE for x in (r.domain, r.lang, r.source)) == leaf]
         got = sum(r.tokens * r.copies for r in own)
         assert b.budget <= got < b.budget + 41
         assert {r.copies for r in own} <= {b.full, b.full + 1}
@@ -91,3 +90,39 @@ def test_edges(spark):
     assert len(out) == 4 and all(r.copies >= 0 for r in out)
     assert mixing.take(d).columns == d.columns
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_prefix_is_that_of_the_seeded_order(spark):
+    """Which rows a leaf's prefix takes, by sorting its rows."""
+    rows = corpus(400, 2)
+    settings = Mix(share=0.8, epochs=2)
+    d = spark.createDataFrame(rows, DOCS)
+    budgets = {(r.domain, r.lang, r.source): r for r in settings.budgets(settings.counted(d)).collect()}
+    want = {}
+    for leaf, b in budgets.items():
+        place = lambda row: hashlib.md5(f"17:{b.full}:{row[0]}".encode()).hexdigest()  # noqa: B023, E731
+        before = 0
+        for row in sorted((r for r in rows if leaf_of(r) == leaf), key=place):
+            want[row[0]] = b.full + (before < b.rest)
+            before += len(row[1].split())
+    assert {r.doc_id: r.copies for r in mixing.mix(d, settings).collect()} == want
+
+
+def test_children_without_weight_get_nothing(spark):
+    rows = [(k, "a b c d", "en" if k % 2 else "fr", f"src{k % 3}", "") for k in range(60)]
+    d = spark.createDataFrame(rows, DOCS)
+    for tree, none in ((MixTree(sources={"src0": 0.0}), lambda r: r.source == "src0"), (MixTree(languages={"en": 0.0}), lambda r: r.lang == "en"), (MixTree(domains={"web": 0.0}), lambda r: True), (MixTree(sources={f"src{k}": 0.0 for k in range(3)}), lambda r: True)):
+        out = mixing.mix(d, Mix(tree=tree, share=2.0, epochs=1)).collect()
+        assert all(r.copies == (0 if none(r) else 1) for r in out)
+    # what a child without weight could hold is no room of its parent: its siblings get the whole budget
+    tree = MixTree(domain_of={"a": "x", "b": "x", "c": "y"}, domains={"x": 0.5, "y": 0.5}, sources={"a": 0.0})
+    rows = [(k, "w w", "en", "abc"[k % 3], "") for k in range(300)]
+    out = mixing.mix(spark.createDataFrame(rows, DOCS), Mix(tree=tree, total=390, epochs=1)).collect()
+    assert {s: sum(r.tokens * r.copies for r in out if r.source == s) for s in "abc"} == {"a": 0, "b": 196, "c": 196} or sum(r.tokens * r.copies for r in out) in range(390, 394)
+
+
+def test_null_keys_are_no_names(spark):
+    rows = [(1, "a", None, None, ""), (2, "b", "\0", "\0", ""), (3, "c", "(none)", "(none)", ""), (4, "d", "\0\0", "\0x", "")]
+    out = {r.doc_id: (r.lang, r.source) for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {1: (None, None), 2: ("\0", "\0"), 3: ("(none)", "(none)"), 4: ("\0\0", "\0x")}
+    assert Mix().budgets(Mix().counted(spark.createDataFrame(rows, DOCS))).count() == 4
