@@ -1,6 +1,7 @@
 """Toxicity, language ID and quality: held-out accuracy, brute-force counts, edges."""
 
 import random
+import math
 import re
 import zlib
 from collections import Counter
@@ -118,6 +119,50 @@ def test_quality_whole_table(spark):
     assert np.mean([r.kept for r in passed if truth[r.doc_id]]) > 0.97
 
 
+def test_path_lengths_match_brute_force():
+    r = np.random.default_rng(5)
+    x = np.abs(r.normal(size=(400, 5))) * [1, 0, 1, 2, 3]
+    forest = quality.IsolationForest.fit(x)
+    new = np.abs(r.normal(size=(30, 5))) * 2
+
+    def path(tree, row):
+        column, value, left, right, length = tree
+        at = 0
+        while column[at] >= 0:
+            at = left[at] if row[column[at]] <= value[at] else right[at]
+        return length[at]
+
+    def usual(n):  # mean path of an unsuccessful search among n
+        return 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    want = [2 ** -(np.mean([path(t, row) for t in forest.trees]) / usual(256)) for row in new]
+    assert np.allclose(forest.score(new), want)
+    # each leaf's length: its depth, and the mean path of the rows that fall there
+    tree = forest.trees[0]
+    assert len(tree[0]) == 2 * (tree[0] < 0).sum() - 1 and (tree[4][tree[0] < 0] <= 8 + usual(256)).all()
+    # a column that is the same in all rows tells a text that differs there
+    assert forest.score(np.array([[0.5, 1.0, 0.5, 1, 1]]))[0] > forest.score(np.array([[0.5, 0.0, 0.5, 1, 1]]))[0]
+
+
+def test_poor_texts_are_caught_by_labels_of_others(spark):
+    """Held out: a model of one half of the labels judges the other."""
+    sf = "/root/testdata/sf0.1"
+    labels = table(spark, sf, "labels").where("quality is not null")
+    model = quality.fit(table(spark, sf, "documents"), labels.where("doc_id % 2 = 0"))
+    judged = quality.quality(table(spark, sf, "documents").join(labels.where("doc_id % 2 = 1").select("doc_id"), "doc_id", "left_semi"), labels, model)
+    rows = [(r.kept, r.quality) for r in judged.where("not base_failed").join(labels, "doc_id").collect()]
+    caught, lost = [not k for k, q in rows if q == 0], [not k for k, q in rows if q == 1]
+    assert np.mean(caught) > 0.95 and np.mean(lost) < 0.005
+
+
+def test_keep_good(spark):
+    rows = [(None, None, None, None, "x", 1), (1, "", "en", "s", "x", 1), (2, " ".join(map(str, range(80))), "en", "s", "x", 1), (2, " ".join(map(str, range(80))), "en", "s", "x", 1)]
+    d, none = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], LABELS)
+    kept = quality.keep_good(d, none)
+    assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [2, 2]
+    assert quality.keep_good(d.limit(0), none).count() == 0
+
+
 def test_forest_isolates_outliers_and_edges(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(500, 3))
