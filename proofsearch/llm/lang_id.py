@@ -6,7 +6,7 @@ knows gives the score, down to single letters. A text's score is the mean over i
 languages' posterior at that mean decides. A run of letters too long for a word counts by its n-grams.
 
 The model is fitted on a bounded sample of rows with a language (SAMPLE_DOCS for each, chosen by a hash
-of doc_id), and is itself bounded: the most frequent words and n-grams of that sample.
+of the row), and is itself bounded: each language's most frequent words and n-grams in that sample.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .base import doc_columns, fresh, hash01, materialise, tune
@@ -28,8 +28,8 @@ from .base import doc_columns, fresh, hash01, materialise, tune
 SAMPLE_DOCS = 2_000
 #: The table of languages is broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_LANGS = 10_000
-#: The model's size: known words, and known n-grams of each length.
-MODEL_WORDS, MODEL_GRAMS, LONGEST_GRAM = 30_000, 20_000, 4
+#: The model's size for each language: known words, and known n-grams of each length.
+MODEL_WORDS, MODEL_GRAMS, LONGEST_GRAM = 15_000, 10_000, 4
 #: What a score of a whole word or n-gram weighs less at each step of backoff.
 BACKOFF = 0.4
 #: Words of a text that weigh as independent evidence, at most, in the posterior.
@@ -156,7 +156,7 @@ def fit(docs: DataFrame) -> BackoffModel:
     rows = doc_columns(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(SAMPLE_DOCS)) / F.count(F.lit(1))).alias("share"))
     few = share.count() <= BROADCAST_LANGS
-    sample = rows.join(F.broadcast(share) if few else share, "lang").where(hash01(F.lit("lang-id"), "doc_id") < F.col("share")).select("lang", "text")
+    sample = rows.join(F.broadcast(share) if few else share, "lang").where(hash01(F.lit("lang-id"), "doc_id", "text") < F.col("share")).select("lang", "text")
 
     def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_lang: dict[str, Counter] = {}
@@ -176,9 +176,10 @@ def fit(docs: DataFrame) -> BackoffModel:
     counted = sample.mapInPandas(units, "unit string, lang string, n long").groupBy("unit", "lang").agg(F.sum("n").alias("n"))
     counted = materialise(counted, "unit-counts")
     level = F.when(F.substring("unit", 2, 1) == ":", F.substring("unit", 1, 1).try_cast("int")).otherwise(0)
-    total = counted.groupBy("unit").agg(F.sum("n").alias("total")).where("total > 1").withColumn("level", level)
-    parts = [total.where(F.col("level") == k).orderBy(F.desc("total"), "unit").limit(MODEL_GRAMS if k else MODEL_WORDS).select("unit") for k in range(LONGEST_GRAM + 1)]
-    top = reduce(DataFrame.unionByName, parts)
+    # a language's units are bounded by its sample
+    rank = F.row_number().over(W.partitionBy("level", "lang").orderBy(F.desc("n"), "unit"))
+    ranked = counted.withColumn("level", level).withColumn("rank", rank)
+    top = ranked.where(F.col("rank") <= F.when(F.col("level") == 0, MODEL_WORDS).otherwise(MODEL_GRAMS)).where(F.col("rank") <= max(MODEL_WORDS, MODEL_GRAMS)).select("unit").distinct()
     # bounded by the model's size times the languages
     found = [(r["unit"], r["lang"], r["n"]) for r in counted.join(top, "unit").select("unit", "lang", "n").collect()]
     return BackoffModel.fit(sorted(found), sorted({lang for _, lang, _ in found}))
@@ -202,7 +203,8 @@ def identify(docs: DataFrame, model: BackoffModel | None = None) -> DataFrame:
 
     A null text, or one without a letter, is `und` with score 0; so is every text where no row has a
     language to learn from. Ties go to the first language in order. Each row is predicted for itself, so
-    repeated rows agree; a null doc_id is kept. An empty table gives no rows. Other columns are ignored.
+    repeated rows agree; a null doc_id is kept. Texts of any length are read whole. An empty table gives no rows.
+    Other columns are ignored.
     """
     tune(docs.sparkSession)
     model = model or fit(docs)
@@ -212,7 +214,11 @@ def identify(docs: DataFrame, model: BackoffModel | None = None) -> DataFrame:
 
 
 def keep_known_languages(docs: DataFrame, least: float = 0.5, model: BackoffModel | None = None) -> DataFrame:
-    """`docs` without rows of no language (`und`) or of a posterior under `least`; all columns as they were."""
+    """`docs` without rows of no language (`und`) or of a posterior under `least`; all columns as they were.
+
+    Null and letterless texts go, as `und`; equal rows fare alike; an empty table gives no rows. Ties of languages go to
+    the first in order, which does not matter here. Texts of any length are read whole.
+    """
     tune(docs.sparkSession)
     model = model or fit(docs)
     name = fresh(docs, "lang")
