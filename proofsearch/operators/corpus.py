@@ -1,14 +1,17 @@
-"""From documents to what retrieval reads: passages, postings, lengths, hashed features, titles."""
+"""From documents to what retrieval reads: passages, an index of postings and hashed vectors, titles."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.storage import stored
 
-#: Buckets of the hashed vectors; weights of a word and of a character trigram in them.
-BUCKETS, WORD_WEIGHT, CHAR_WEIGHT = 2048, 1.0, 0.25
+#: Buckets of the hashed vectors; weights of a word, of a character trigram and (if asked for) of a pair of words in them.
+BUCKETS, WORD_WEIGHT, CHAR_WEIGHT, BIGRAM_WEIGHT = 2048, 1.0, 0.25, 0.7
 
 
 def passages(documents: DataFrame, max_tokens: int = 120) -> DataFrame:
@@ -19,24 +22,51 @@ def passages(documents: DataFrame, max_tokens: int = 120) -> DataFrame:
     return out.select("document_id", "ordinal", F.concat(F.col("document_id").cast("string"), F.lit("#"), F.col("ordinal").cast("string")).alias("passage_id"), "text")
 
 
-def lengths(documents: DataFrame) -> DataFrame:
-    """(document_id, n_terms): content words of each row, computed in its row."""
-    return documents.select("document_id", F.size(F.filter(T.words(F.col("text")), T.is_content)).cast("long").alias("n_terms"))
-
-
 def term_rows(documents: DataFrame, *keep: str) -> DataFrame:
     """A row for each content word."""
     raw = documents.select(*keep, F.explode(T.words(F.col("text"))).alias("w")).where(T.is_content(F.col("w")))
     return raw.select(*keep, T.stem(F.col("w")).alias("term"))
 
 
-def postings(documents: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(term, document_id, n_terms, tf). With `terms`, only of those: the semi-join comes before the shuffle."""
-    sized = documents.select("document_id", "text", F.size(F.filter(T.words(F.col("text")), T.is_content)).cast("long").alias("n_terms"))
-    rows = term_rows(sized, "document_id", "n_terms")
-    if terms is not None:
-        rows = rows.join(terms, "term", "left_semi")
-    return rows.groupBy("term", "document_id", "n_terms").agg(F.count(F.lit(1)).alias("tf"))
+@dataclass(frozen=True)
+class Index:
+    """What searches read of a corpus; each table is stored once, and a search reads only the terms that it asks for."""
+
+    postings: DataFrame
+    vectors: DataFrame
+    stats: DataFrame
+
+    @property
+    def spark(self):
+        return self.postings.sparkSession
+
+
+def counted_terms(documents: DataFrame) -> DataFrame:
+    """(document_id, term, n): content words of each document, counted. Words are counted before they are stemmed."""
+    raw = documents.select("document_id", F.explode(T.words(F.col("text"))).alias("w")).groupBy("document_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    kept = raw.where(T.is_content(F.col("w"))).select("document_id", T.stem(F.col("w")).alias("term"), "n")
+    return kept.groupBy("document_id", "term").agg(F.sum("n").alias("n"))
+
+
+def build_index(documents: DataFrame, name: str = "index") -> Index:
+    """Postings (term, document_id, n_terms, tf), vectors (document_id, buckets, weights) and the corpus' size and mean length.
+
+    Texts are dealt by document once; words, terms and buckets are then counted where the document is.
+    """
+    counts = stored(counted_terms(documents.select("document_id", "text").repartition("document_id")), f"{name}-terms")
+    sized = counts.groupBy("document_id").agg(F.sum("n").alias("n_terms"))
+    postings = stored(counts.join(sized, "document_id").select("term", "document_id", "n_terms", F.col("n").alias("tf")), f"{name}-postings")
+    held = weighed(counts).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "w"))).alias("v"))  # at most BUCKETS a document
+    vectors = stored(held.select("document_id", F.col("v.bucket").alias("buckets"), F.col("v.w").alias("weights")), f"{name}-vectors")
+    n = documents.agg(F.count(F.lit(1)).alias("n_docs"))
+    total = sized.agg(F.coalesce(F.sum("n_terms"), F.lit(0)).alias("total"))
+    stats = n.crossJoin(total).select("n_docs", (F.col("total") / F.greatest(F.col("n_docs"), F.lit(1))).alias("mean"))  # one row each
+    return Index(postings, vectors, stored(stats, f"{name}-stats"))
+
+
+def as_index(corpus: DataFrame | Index) -> Index:
+    """An index as it is; one is built of documents."""
+    return corpus if isinstance(corpus, Index) else build_index(corpus)
 
 
 def bucket(feature: Column) -> Column:
@@ -50,17 +80,30 @@ def hashed_features(documents: DataFrame) -> DataFrame:
     A feature weighs its base times 1 + ln of its weighted count where that is one or more, else the count;
     features that share a bucket add up.
     """
-    rows = term_rows(documents, "document_id")
-    return vector(rows)
+    return weighed(counted_terms(documents))
 
 
 def vector(rows: DataFrame) -> DataFrame:
-    """Hashed vectors of (document_id, term) rows: one shuffle for the counts, one for the buckets."""
-    counts = rows.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    """Hashed vectors of (document_id, term) rows."""
+    return weighed(rows.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("n")))
+
+
+def weighed(counts: DataFrame, bigrams: DataFrame | None = None) -> DataFrame:
+    """Hashed vectors of counted terms (document_id, term, n), and of counted pairs of words where such are given."""
     words = counts.select("document_id", F.concat(F.lit("w:"), "term").alias("feature"), (F.col("n") * WORD_WEIGHT).alias("tf"))
     chars = counts.select("document_id", F.explode(T.char_features(F.col("term"))).alias("c"), "n").groupBy("document_id", F.concat(F.lit("c:"), "c").alias("feature")).agg((F.sum("n") * CHAR_WEIGHT).alias("tf"))
+    rows = words.unionByName(chars)
+    if bigrams is not None:
+        rows = rows.unionByName(bigrams.select("document_id", F.concat(F.lit("b:"), "term").alias("feature"), (F.col("n") * BIGRAM_WEIGHT).alias("tf")))
     weight = F.when(F.col("tf") >= 1, 1 + F.ln("tf")).otherwise(F.col("tf"))
-    return words.unionByName(chars).select("document_id", bucket(F.col("feature")).alias("bucket"), weight.alias("w")).groupBy("document_id", "bucket").agg(F.sum("w").alias("w"))
+    return rows.select("document_id", bucket(F.col("feature")).alias("bucket"), weight.alias("w")).groupBy("document_id", "bucket").agg(F.sum("w").alias("w"))
+
+
+def counted_bigrams(documents: DataFrame) -> DataFrame:
+    """(document_id, term, n): pairs of content words in a row."""
+    w = documents.select("document_id", T.content_words(F.col("text")).alias("w")).where(F.size("w") > 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
+    return w.select("document_id", F.explode(pairs).alias("term")).groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def titles(documents: DataFrame) -> DataFrame:

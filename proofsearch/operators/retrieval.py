@@ -6,14 +6,24 @@ crossed with the questions.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.storage import stored
 from . import corpus
+from .planner import entities
+
+#: Questions that travel to a scan at once; documents that a scan holds as dense vectors at once.
+QUERY_BLOCK, SCAN_ROWS = 4_096, 64
 
 
 @dataclass(frozen=True)
@@ -38,29 +48,93 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.content_words(F.col("query")))).alias("term"))
 
 
-def bm25(queries: DataFrame, documents: DataFrame, params: RetrievalParams = PARAMS) -> DataFrame:
+def bm25(queries: DataFrame, documents: DataFrame | corpus.Index, params: RetrievalParams = PARAMS) -> DataFrame:
     """(query_id, document_id, score) of all documents that share a term with the question.
 
     Terms meet postings in an equi-join; postings of other terms are dropped before they are shuffled.
     """
+    index = corpus.as_index(documents)
     asked = query_terms(queries)
-    held = corpus.postings(documents, asked.select("term").distinct())
+    held = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    whole = corpus.lengths(documents).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("mean"))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1 - params.b + params.b * F.col("n_terms") / F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
     weight = idf * F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * norm)
-    weighed = held.join(df, "term").crossJoin(F.broadcast(whole)).select("term", "document_id", weight.alias("w"))  # one row
+    weighed = held.join(df, "term").crossJoin(F.broadcast(index.stats)).select("term", "document_id", weight.alias("w"))  # one row
     return asked.join(weighed, "term").groupBy("query_id", "document_id").agg(F.round(F.sum("w"), 6).alias("score"))
 
 
-def reach(queries: DataFrame, documents: DataFrame) -> DataFrame:
+def query_vectors(queries: DataFrame) -> DataFrame:
+    """(query_id, bucket, w): content words only; the raw words of a question without any."""
+    return corpus.vector(query_terms_all(queries)).withColumnRenamed("document_id", "query_id")
+
+
+def reach(queries: DataFrame, documents: DataFrame | corpus.Index, least: float | None = None, k: int | None = None) -> DataFrame:
     """(query_id, document_id, reach): how much of the question's vector the document covers.
 
-    Vectors are non-negative, so the uncovered part differs from the question's own vector only in shared
-    buckets: an equi-join on the bucket replaces the dense product.
+    Vectors are non-negative, so the uncovered part differs from the question's own vector only in the question's
+    buckets. The stored vectors are scanned once for each QUERY_BLOCK of questions, which travel to the scan as
+    one sparse matrix; a task gives out only what reaches `least`, and the `k` best of each question (ties to the
+    smaller document) where k is given: nothing but those is shuffled.
     """
-    return reach_of(corpus.vector(query_terms_all(queries)).withColumnRenamed("document_id", "query_id"), corpus.hashed_features(documents))
+    index = corpus.as_index(documents)
+    asked = query_vectors(queries)
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        return _reach_scan(asked, index, least, k)
+    # the stated set of questions in blocks, each of a size that a task can hold
+    blocks = math.ceil(n / QUERY_BLOCK)
+    asked = stored(asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "query-vectors")
+    return reduce(DataFrame.unionByName, [_reach_scan(asked.where(F.col("part") == i).drop("part"), index, least, k) for i in range(blocks)])
+
+
+def _reach_scan(asked: DataFrame, index: corpus.Index, least: float | None, k: int | None) -> DataFrame:
+    # QUERY_BLOCK questions of at most BUCKETS numbers, in fact some hundred each
+    rows = asked.orderBy("query_id", "bucket").toPandas()
+    kinds = dict(asked.dtypes)["query_id"], dict(index.vectors.dtypes)["document_id"]
+    schema = f"query_id {kinds[0]}, document_id {kinds[1]}, reach double"
+    names, first = np.unique(rows["query_id"].to_numpy(), return_index=True)
+    bucket, weight = rows["bucket"].to_numpy(), rows["w"].to_numpy()
+    norm = np.add.reduceat(weight**2, first) if len(first) else np.zeros(0)
+    id_type = pa.string() if kinds[1] == "string" else pa.int64()
+    query_type = pa.string() if kinds[0] == "string" else pa.int64()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple]] = [[] for _ in names]
+
+        def given(q: np.ndarray, ids: list, r: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(names[q].tolist(), query_type), pa.array(ids, id_type), pa.array(r)], names=["query_id", "document_id", "reach"])
+
+        for b in batches:
+            ids = b["document_id"].to_pylist()
+            sizes = np.diff(b["buckets"].offsets.to_numpy())
+            at, w = b["buckets"].flatten().to_numpy(), b["weights"].flatten().to_numpy()
+            row = np.repeat(np.arange(len(ids)), sizes)
+            for start in range(0, len(ids), SCAN_ROWS):
+                own = (row >= start) & (row < start + SCAN_ROWS)
+                x = np.zeros((min(SCAN_ROWS, len(ids) - start), corpus.BUCKETS))
+                x[row[own] - start, at[own]] = w[own]
+                left = np.maximum(weight - x[:, bucket], 0)
+                rest = np.sqrt(np.add.reduceat(left**2, first, axis=1)) / np.sqrt(norm)
+                r = np.round(np.clip(1 - rest, 0, 1), 6)
+                # without a limit, whatever shares a bucket
+                hit = r >= least if least is not None else np.add.reduceat(x[:, bucket], first, axis=1) > 0
+                d, q = np.nonzero(hit)
+                if k is None:
+                    yield given(q, [ids[start + i] for i in d], r[d, q])
+                    continue
+                for i, j in zip(d.tolist(), q.tolist()):
+                    best[j].append((-r[i, j], ids[start + i]))
+                for j in np.unique(q).tolist():
+                    if len(best[j]) > 4 * k:
+                        best[j] = sorted(best[j])[:k]
+        if k is not None:
+            kept = [(j, i, -r) for j, found in enumerate(best) for r, i in sorted(found)[:k]]
+            yield given(np.array([j for j, _, _ in kept], int), [i for _, i, _ in kept], np.array([r for _, _, r in kept], float))
+
+    if not len(names):
+        return index.spark.createDataFrame([], schema)
+    return index.vectors.mapInArrow(scan, schema)
 
 
 def query_terms_all(queries: DataFrame) -> DataFrame:
@@ -69,27 +143,19 @@ def query_terms_all(queries: DataFrame) -> DataFrame:
     return queries.select(F.col("query_id").alias("document_id"), F.explode(F.when(F.size(own) > 0, own).otherwise(T.words(F.col("query")))).alias("term"))
 
 
-def reach_of(asked: DataFrame, held: DataFrame) -> DataFrame:
-    q = asked.select("query_id", "bucket", F.col("w").alias("q"))
-    norm = q.groupBy("query_id").agg(F.sum(F.col("q") * F.col("q")).alias("norm"))
-    left = F.greatest(F.col("q") - F.col("w"), F.lit(0.0))
-    covered = q.join(held.select("document_id", "bucket", "w"), "bucket").groupBy("query_id", "document_id").agg(F.sum(F.col("q") * F.col("q") - left * left).alias("covered"))
-    rest = F.sqrt(F.greatest(F.col("norm") - F.col("covered"), F.lit(0.0))) / F.sqrt("norm")
-    return covered.join(norm, "query_id").select("query_id", "document_id", F.round(T.clamp01(1 - rest), 6).alias("reach"))
-
-
 def ranked(scores: DataFrame, score: str, rank: str, k: int) -> DataFrame:
     """The k best of each question, ties to the smaller document."""
     order = W.partitionBy("query_id").orderBy(F.desc(score), "document_id")
     return scores.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-def hybrid(queries: DataFrame, documents: DataFrame, top_k: int = 5, params: RetrievalParams = PARAMS) -> DataFrame:
+def hybrid(queries: DataFrame, documents: DataFrame | corpus.Index, top_k: int = 5, params: RetrievalParams = PARAMS) -> DataFrame:
     """(query_id, document_id, score, bm25_rank, vector_rank): both lists, cut to a pool, each over its best.
 
     A document of the vector list alone needs a reach of its own; the best possible score is 1.
     """
-    return fuse(bm25(queries, documents, params), reach(queries, documents), top_k, params)
+    index = corpus.as_index(documents)
+    return fuse(bm25(queries, index, params), reach(queries, index, params.least_reach, params.pool * top_k), top_k, params)
 
 
 def fuse(lexical: DataFrame, vectors: DataFrame, top_k: int, params: RetrievalParams = PARAMS) -> DataFrame:
@@ -115,12 +181,12 @@ def weighted(scores: DataFrame, weight: float, batch: int) -> DataFrame:
     return scores.select("query_id", "document_id", T.settled(F.col("score") * weight).alias("score"), F.lit(batch).alias("batch"))
 
 
-def multi_query(first: DataFrame, others: DataFrame, documents: DataFrame, top_k: int, params: RetrievalParams = PARAMS) -> DataFrame:
+def multi_query(first: DataFrame, others: DataFrame, documents: DataFrame | corpus.Index, top_k: int, params: RetrievalParams = PARAMS) -> DataFrame:
     """The question at full weight and its fragments at `secondary`, merged into a pool of three times top_k.
 
     `others` has any number of fragments (query_id, query) to a question; each is searched on its own, equal ones once.
     """
-    pool = 3 * top_k
+    pool, documents = 3 * top_k, corpus.as_index(documents)
     keyed = others.select("query_id", "query").distinct().withColumn("key", F.xxhash64("query_id", "query"))
     each = hybrid(keyed.select(F.col("key").alias("query_id"), "query"), documents, pool, params).withColumnRenamed("query_id", "key")
     main = weighted(hybrid(first, documents, pool, params), 1.0, 0)
@@ -131,14 +197,19 @@ def multi_query(first: DataFrame, others: DataFrame, documents: DataFrame, top_k
 def mentions(texts: DataFrame, titles: DataFrame) -> DataFrame:
     """(text_id, document_id, position): titles whose words stand in a row in a text, at their first place.
 
-    Windows of the lengths that titles have meet titles in an equi-join on the joined words.
+    Places meet titles in an equi-join on a title's first two words (its one word); only places that begin some
+    title are kept with it, and the rest of the title is looked up there.
     """
-    sizes = titles.agg(F.sort_array(F.collect_set("n")).alias("sizes"))  # one row: distinct lengths of titles
-    w = texts.select("text_id", T.words(F.col("text")).alias("w")).crossJoin(F.broadcast(sizes))
-    place = w.select("text_id", "w", F.explode("sizes").alias("n")).where(F.size("w") >= F.col("n")).select("text_id", "w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("position"))
-    grams = place.select("text_id", "position", F.array_join(F.slice("w", F.col("position"), F.col("n")), " ").alias("gram"))
-    named = titles.select("document_id", F.array_join("key", " ").alias("gram"))
-    return grams.join(named, "gram").groupBy("text_id", "document_id").agg(F.min("position").alias("position"))
+    w = texts.select("text_id", T.words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    begin = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.concat_ws(" ", F.slice("w", i, 2)))
+    named = titles.select("document_id", "key", "n", F.concat_ws(" ", F.slice("key", 1, 2)).alias("begin"))
+    places = w.select("text_id", F.posexplode(begin).alias("at", "begin"))
+    if titles.where("n = 1").take(1):  # a title of one word begins at each place of that word
+        places = places.unionByName(w.select("text_id", F.posexplode("w").alias("at", "begin")).where(F.col("at") >= 0)).distinct()
+    hits = places.join(named, "begin").select("text_id", "document_id", "key", "n", (F.col("at") + 1).alias("position"))
+    short = hits.where("n <= 2").select("text_id", "document_id", "position")
+    long_ = hits.where("n > 2").join(w, "text_id").where(F.slice("w", F.col("position"), F.col("n")) == F.col("key")).select("text_id", "document_id", "position")
+    return short.unionByName(long_).groupBy("text_id", "document_id").agg(F.min("position").cast("long").alias("position"))
 
 
 def link_hop(found: DataFrame, links: DataFrame, top_k: int, params: RetrievalParams = PARAMS) -> DataFrame:
@@ -152,33 +223,88 @@ def link_hop(found: DataFrame, links: DataFrame, top_k: int, params: RetrievalPa
     return merge(found.select("query_id", "document_id", "score", F.lit(0).alias("batch")).unionByName(boosted), top_k)
 
 
-def second_hop(found: DataFrame, bridges: DataFrame, documents: DataFrame, top_k: int, params: RetrievalParams = PARAMS) -> DataFrame:
+def bridges(queries: DataFrame, found: DataFrame, texts: DataFrame, key_terms: int = 4) -> DataFrame:
+    """(query_id, query): the first two entities of a question's three best documents that the question does not hold,
+    each with the question's first terms. `texts` has (document_id, text)."""
+    best = found.where("rank <= 3").select("query_id", "document_id", "rank").join(texts.select("document_id", "text"), "document_id")
+    named = best.select("query_id", "rank", F.posexplode(entities(F.col("text"))).alias("n", "entity"))
+    own = queries.select("query_id", T.content_words(F.col("query")).alias("stems"))
+    stems = T.content_words(F.col("entity"))
+    new = named.join(own, "query_id").where((F.size(stems) > 0) & (F.size(F.array_except(stems, "stems")) > 0))
+    once = new.groupBy("query_id", "entity").agg(F.min(F.struct("rank", "n")).alias("at"), F.first("stems").alias("stems"))
+    kept = once.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("at", "entity"))).where("r <= 2")
+    return kept.select("query_id", F.trim(F.concat_ws(" ", "entity", F.array_join(F.slice(F.array_distinct("stems"), 1, key_terms), " "))).alias("query"))
+
+
+def second_hop(found: DataFrame, bridges: DataFrame, documents: DataFrame | corpus.Index, top_k: int, params: RetrievalParams = PARAMS) -> DataFrame:
     """A second search with bridge queries (query_id, query), discounted and merged with the first."""
-    again = weighted(hybrid(bridges, documents, 3 * top_k, params), params.hop_discount, 1)
+    documents = corpus.as_index(documents)
+    keyed = bridges.select("query_id", "query").distinct().withColumn("key", F.xxhash64("query_id", "query"))
+    each = hybrid(keyed.select(F.col("key").alias("query_id"), "query"), documents, 3 * top_k, params).withColumnRenamed("query_id", "key")
+    again = weighted(each.join(keyed.select("key", "query_id"), "key"), params.hop_discount, 1)
     return merge(found.select("query_id", "document_id", "score", F.lit(0).alias("batch")).unionByName(again), top_k)
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): cosine similarity of a stated query set and all vectors of signed components.
 
-    Vectors are scaled once; each meets the queries, which are broadcast as one row of arrays up to 64 MB.
+    The queries travel to one scan of the vectors for each QUERY_BLOCK of them; a task multiplies its vectors with
+    them at once and gives out the k best of each query.
     """
-    unit = lambda c: F.transform(c.cast("array<double>"), lambda x: x / F.sqrt(F.aggregate(c.cast("array<double>"), F.lit(0.0), lambda a, y: a + y * y)))
-    q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"))
-    v = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
-    pairs = v.join(F.broadcast(q) if q.count() * 64 * 8 < 64 << 20 else q, F.col("query_id") != F.col("vec_id"))
-    dot = F.round(F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6)
+    n = queries.count()
+    parts = max(1, math.ceil(n / QUERY_BLOCK))
+    keyed = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    found = [_dense_scan(keyed.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == i), vectors, k) for i in range(parts)]
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.select("query_id", "vec_id", dot.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def top_sentences(queries: DataFrame, documents: DataFrame, top_k: int) -> DataFrame:
-    """Plain BM25, then the best sentence of the documents found, by BM25 over sentences with their document's lead."""
-    found = ranked(bm25(queries, documents), "score", "rank", top_k)
-    sentences = documents.select("document_id", F.posexplode(T.split_sentences(F.col("text"))).alias("ordinal", "sentence"))
-    asked = query_terms(queries)
-    hits = found.select("query_id", "document_id", "rank").join(sentences, "document_id")
-    terms = hits.select("query_id", "document_id", "rank", "ordinal", F.explode(F.array_distinct(T.content_words(F.col("sentence")))).alias("term"))
-    count = terms.join(asked, ["query_id", "term"]).groupBy("query_id", "document_id", "rank", "ordinal").agg(F.count(F.lit(1)).alias("shared"))
-    best = count.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("shared"), "rank", "ordinal"))).where("r = 1")
-    return best.join(sentences, ["document_id", "ordinal"]).select("query_id", "document_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("shared").cast("long").alias("shared"), "sentence")
+def _dense_scan(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    rows = queries.collect()  # QUERY_BLOCK vectors at most
+    names = np.array([r["vec_id"] for r in rows], np.int64)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    q = unit(np.array([r["v"] for r in rows], float)) if rows else None
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if q is None or not b.num_rows:
+                continue
+            ids = b["vec_id"].to_numpy()
+            v = unit(b["v"].flatten().to_numpy().reshape(len(ids), -1))
+            score = np.round(q @ v.T, 6)
+            score[names[:, None] == ids] = -np.inf
+            top = min(k, len(ids))
+            # ties to the smaller id
+            at = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :top]
+            row = np.repeat(np.arange(len(names)), top)
+            out = score[row, at.reshape(-1)]
+            yield pa.record_batch([pa.array(names[row][out > -np.inf]), pa.array(ids[at.reshape(-1)][out > -np.inf]), pa.array(out[out > -np.inf])], names=["query_id", "vec_id", "score"])
+
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(scan, "query_id long, vec_id long, score double")
+
+
+def sentence_rows(documents: DataFrame) -> DataFrame:
+    """(document_id, ordinal, item, sentence, title): sentences of each document but for one that only repeats its title."""
+    each = documents.select("document_id", "title", F.posexplode(T.split_sentences(F.col("text"))).alias("ordinal", "sentence"))
+    bare = lambda c: F.regexp_replace(T.flat(c), r"[ .!?;]+$", "")
+    return each.where(bare(F.col("sentence")) != bare(F.col("title"))).withColumn("item", F.concat_ws("#", F.col("document_id").cast("string"), F.col("ordinal").cast("string")))
+
+
+def top_sentences(queries: DataFrame, documents: DataFrame, top_k: int, index: corpus.Index | None = None) -> DataFrame:
+    """(query_id, document_id, ordinal, score, sentence): plain BM25 over documents (document_id, title, text), then the best
+    sentence of the `top_k` found, by BM25 over those questions' sentences, each read with its document's title.
+
+    Sentences of a question's documents are a corpus of their own: their df, number and mean length are counted for it.
+    """
+    found = ranked(bm25(queries, index or documents), "score", "place", top_k).select("query_id", "document_id", "place")
+    hits = found.join(sentence_rows(documents), "document_id")
+    raw = hits.select("query_id", "document_id", "place", "ordinal", "sentence", T.content_words(F.concat_ws(" ", "title", "sentence")).alias("w")).withColumn("n_terms", F.size("w"))
+    per = raw.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("mean"))
+    tf = raw.select("query_id", "document_id", "place", "ordinal", "n_terms", F.explode("w").alias("term")).join(query_terms(queries), ["query_id", "term"], "left_semi").groupBy("query_id", "document_id", "place", "ordinal", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (PARAMS.k1 + 1) / (F.col("tf") + PARAMS.k1 * (1 - PARAMS.b + PARAMS.b * F.col("n_terms") / F.greatest(F.col("mean"), F.lit(1e-9))))
+    scored = tf.join(df, ["query_id", "term"]).join(per, "query_id").groupBy("query_id", "document_id", "place", "ordinal").agg(F.round(F.sum(weight), 6).alias("score"))
+    best = scored.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "place", "ordinal"))).where("r = 1")
+    out = best.join(raw.select("query_id", "document_id", "ordinal", "sentence"), ["query_id", "document_id", "ordinal"])
+    return out.select("query_id", "document_id", F.col("ordinal").cast("long").alias("ordinal"), "score", "sentence")

@@ -45,6 +45,29 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_INDEXES: dict[tuple, corpus.Index] = {}
+
+
+def kept(spark, sf_dir, name, make) -> corpus.Index:
+    """The index of a table, built when it is first asked for in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _INDEXES:
+        _INDEXES[key] = corpus.build_index(make(spark, sf_dir), name)
+    return _INDEXES[key]
+
+
+def doc_index(spark, sf_dir) -> corpus.Index:
+    return kept(spark, sf_dir, "documents", docs)
+
+
+def passage_rows(spark, sf_dir) -> DataFrame:
+    return corpus.passages(docs(spark, sf_dir)).select(F.col("passage_id").alias("document_id"), "text")
+
+
+def passage_index(spark, sf_dir) -> corpus.Index:
+    return kept(spark, sf_dir, "passages", passage_rows)
+
+
 def long(c: str):
     return F.col(c).cast("long").alias(c)
 
@@ -150,19 +173,19 @@ hybrid AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 @query(f"""WITH {_BM25} SELECT query_id, doc_id, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25) WHERE rank <= 5""")
 def bm25_topk(spark, sf):
-    found = retrieval.ranked(retrieval.bm25(items(spark, sf), docs(spark, sf)), "score", "rank", 5)
+    found = retrieval.ranked(retrieval.bm25(items(spark, sf), doc_index(spark, sf)), "score", "rank", 5)
     return found.select("query_id", F.col("document_id").alias("doc_id"), "score", long("rank"))
 
 
 @query(f"""WITH {_REACH} SELECT query_id, doc_id, reach, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reach DESC, doc_id) AS rank FROM reach) WHERE rank <= 5""")
 def reach_topk(spark, sf):
-    found = retrieval.ranked(retrieval.reach(items(spark, sf), docs(spark, sf)), "reach", "rank", 5)
+    found = retrieval.ranked(retrieval.reach(items(spark, sf), doc_index(spark, sf), k=5), "reach", "rank", 5)
     return found.select("query_id", F.col("document_id").alias("doc_id"), "reach", long("rank"))
 
 
 @query(f"""WITH {_BM25}, {_REACH}, {_HYBRID} SELECT query_id, doc_id, score, bm25_rank::BIGINT AS bm25_rank, vector_rank::BIGINT AS vector_rank, rank::BIGINT AS rank FROM hybrid WHERE rank <= 5""")
 def hybrid_search(spark, sf):
-    found = retrieval.hybrid(items(spark, sf), docs(spark, sf), 5)
+    found = retrieval.hybrid(items(spark, sf), doc_index(spark, sf), 5)
     return found.select("query_id", F.col("document_id").alias("doc_id"), "score", long("bm25_rank"), long("vector_rank"), long("rank"))
 
 
@@ -183,7 +206,8 @@ def merge_keep_max(spark, sf):
 def multi_query(spark, sf):
     b = items(spark, sf)
     parts = b.select("query_id", F.explode(T.split_sentences(F.col("query"))).alias("query"))
-    return retrieval.multi_query(b, parts, docs(spark, sf), 5)
+    found = retrieval.multi_query(b, parts, doc_index(spark, sf), 5)
+    return found.select("query_id", "document_id", "score", long("batch"), long("rank"))
 
 
 @query(f"""WITH t AS (SELECT page_id, {T.sql.words("regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\\s*\\([^()]*\\)\\s*$', '')")} AS key FROM pages),
@@ -206,11 +230,9 @@ def link_hop(spark, sf):
 
 @query()
 def second_hop(spark, sf):
-    d, b = docs(spark, sf), items(spark, sf)
-    found = retrieval.hybrid(b, d, 3)
-    words = found.join(d, "document_id").select("query_id", "rank", F.slice(F.array_distinct(T.content_words(F.col("text"))), 1, 6).alias("w"))
-    bridge = words.where("rank = 1").select("query_id", F.array_join("w", " ").alias("query"))
-    return retrieval.second_hop(found, bridge, d, 5)
+    b, index = items(spark, sf), passage_index(spark, sf)
+    found = retrieval.hybrid(b, index, 3)
+    return retrieval.second_hop(found, retrieval.bridges(b, found, passage_rows(spark, sf)), index, 5)
 
 
 @query()
@@ -221,7 +243,8 @@ def evidence(spark, sf):
 
 @query()
 def rag_top_sentence(spark, sf):
-    return retrieval.top_sentences(items(spark, sf), docs(spark, sf), 5)
+    d = docs(spark, sf).withColumn("title", F.substring_index("text", ".", 1))
+    return retrieval.top_sentences(items(spark, sf), d, 5, doc_index(spark, sf))
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -576,7 +599,7 @@ m AS (SELECT g.query_id, count(*) AS n, sum((rank <= 5)::INT) AS h, min(rank) AS
 SELECT query_id, round(coalesce(h, 0) / n, 6) AS recall, coalesce(h, 0) = n AS all_found, round(CASE WHEN first <= 10 THEN 1.0 / first ELSE 0 END, 6)::DOUBLE AS mrr FROM m""")
 def ranking_metrics(spark, sf):
     d, b = docs(spark, sf), items(spark, sf)
-    found = retrieval.ranked(retrieval.bm25(b, d), "score", "rank", 1_000_000)
+    found = retrieval.ranked(retrieval.bm25(b, doc_index(spark, sf)), "score", "rank", 1_000_000)
     gold = d.join(b, F.contains(d.text, F.substring(b["query"], 1, 60))).select("query_id", "document_id")
     return metrics.ranking_metrics(found, gold, 5)
 
@@ -690,7 +713,7 @@ def calculator(spark, sf):
 @query()
 def statement_drafts(spark, sf):
     d, b = docs(spark, sf), items(spark, sf)
-    found = retrieval.ranked(retrieval.bm25(b, d), "score", "rank", statements.PASSAGES)
+    found = retrieval.ranked(retrieval.bm25(b, doc_index(spark, sf)), "score", "rank", statements.PASSAGES)
     return statements.drafts(b, found, d)
 
 
