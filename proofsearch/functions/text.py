@@ -181,8 +181,56 @@ def numbers_supported(answer: Column, evidence: Column) -> Column:
 
 
 def value_in_quote(value: Column, quote: Column) -> Column:
-    """All words of the value are words of the quote, and there is one."""
-    return (F.size(words(value)) > 0) & (F.size(F.array_except(words(value), words(quote))) == 0)
+    """All words of the value (single letters aside) are words of the quote, and there is one."""
+    own = F.filter(words(value), lambda w: (F.length(w) > 1) | w.rlike("^[0-9]$"))
+    return (F.size(own) > 0) & (F.size(F.array_except(own, words(quote))) == 0)
+
+
+#: Other names of attributes.
+ATTRIBUTE_ALIASES = {
+    "prix": "price",
+    "cost": "price",
+    "cout": "price",
+    "tarif": "price",
+    "memory": "ram",
+    "memoire_vive": "ram",
+    "memoire": "ram",
+    "stockage": "storage",
+    "disk": "storage",
+    "ssd": "storage",
+    "processor_cores": "cores",
+    "coeurs": "cores",
+    "cpu_cores": "cores",
+    "poids": "weight",
+    "ecran": "screen",
+    "screen_size": "screen",
+    "frequence": "frequency",
+    "puissance": "power",
+    "gpu_memory": "vram",
+    "memoire_graphique": "vram",
+}
+
+
+def attribute_name(raw: Column) -> Column:
+    """The slug of a name, or what it is another name of; `statement` if nothing is left."""
+    own = F.coalesce(F.nullif(slug(raw), F.lit("")), F.lit("statement"))
+    names = F.create_map(*[F.lit(x) for kv in ATTRIBUTE_ALIASES.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, own), own)
+
+
+def content_id(*parts: Column, length: int = 16) -> Column:
+    """A short digest of texts, the same on every engine."""
+    return F.substring(F.md5(F.concat_ws("|", *parts)), 1, length)
+
+
+def rounded(x: Column, places: int) -> Column:
+    """Halves to the even digit, as the shortest decimal of the double says; not a number is 0."""
+    return F.bround(F.nanvl(x, F.lit(0.0)), places)
+
+
+def json_block(text: Column) -> Column:
+    """From the first opening brace to the last closing one; null without."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
 def char_features(word: Column) -> Column:

@@ -531,21 +531,20 @@ def quota_minute(spark, sf):
     return state.quota(_requests(spark, sf), 60, 1).select("id", "key", "window_start", "n", "allowed", "retry_after")
 
 
-@query("""SELECT event_type AS key, count(*)::BIGINT AS n FROM events GROUP BY event_type""")
+@query("""SELECT event_type AS key, date_trunc('day', ts) AS window_start, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
 def quota_stream(spark, sf):
-    import tempfile
+    import uuid
 
+    from .sources.storage import shared_folder
     from .streaming import events as S
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    import uuid
-
+    where = shared_folder(spark)
     name = f"quota_{uuid.uuid4().hex}"
     schema = table(spark, sf, "events").schema
     # a stream reads folders; the table may be one file, so the glob names it
     stream = S.event_stream(spark, f"{sf}/events.parque[t]", schema).select(F.col("event_type").alias("key"), "ts")
     counts = S.run_once(S.quota_counts(stream, "1 day"), "complete", name, f"{where}/{name}")
-    return counts.groupBy("key").agg(F.sum("n").alias("n"))
+    return counts.select("key", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
 @query("""WITH RECURSIVE e AS (SELECT event_type AS facet, CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END::DOUBLE AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
