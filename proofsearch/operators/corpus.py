@@ -64,6 +64,24 @@ def build_index(documents: DataFrame, name: str = "index") -> Index:
     return Index(postings, vectors, stored(stats, f"{name}-stats"))
 
 
+def refreshed(index: Index, gone: DataFrame, new: DataFrame, name: str = "index") -> Index:
+    """An index without the documents `gone` (document_id) and with `new` ones, which replace those of their id: only the
+    new texts are read."""
+    added = build_index(new, f"{name}-new")
+    out = gone.select("document_id").unionByName(new.select("document_id")).distinct()
+    keep = lambda old, more: old.join(out, "document_id", "left_anti").unionByName(more)
+    postings = stored(keep(index.postings, added.postings), f"{name}-postings")
+    vectors = stored(keep(index.vectors, added.vectors), f"{name}-vectors")
+    left = index.postings.select("document_id", "n_terms").distinct().join(out, "document_id", "left_anti")
+    # documents without a word are in no posting; how many there are follows from the counts
+    worded = index.postings.select("document_id").distinct().agg(F.count(F.lit(1)).alias("worded"))
+    kept = left.agg(F.count(F.lit(1)).alias("kept"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("terms"))
+    both = index.stats.crossJoin(worded).crossJoin(kept).crossJoin(added.stats.select(F.col("n_docs").alias("more"), F.col("mean").alias("more_mean")))  # one row each
+    n = F.col("n_docs") - F.col("worded") + F.col("kept") + F.col("more")
+    total = F.col("terms") + F.col("more") * F.col("more_mean")
+    return Index(postings, vectors, stored(both.select(n.alias("n_docs"), (total / F.greatest(n, F.lit(1))).alias("mean")), f"{name}-stats"))
+
+
 def as_index(corpus: DataFrame | Index) -> Index:
     """An index as it is; one is built of documents."""
     return corpus if isinstance(corpus, Index) else build_index(corpus)

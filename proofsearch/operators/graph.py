@@ -18,10 +18,31 @@ from ..functions import text as T
 RESOLUTION_MARGIN, TOLERANCE = 0.25, 0.02
 #: Kinds that never conflict, and text attributes that have one value.
 NO_CONFLICT = ("type", "statement")
-SINGLE_VALUED = (
-    "capital date birth_date death_date birthplace founded founding_date release_date release_year author director founder"
-    " ceo headquarters nationality country inventor creator composer spouse height duration deadline"
-).split()
+SINGLE_VALUED = [
+    "capital",
+    "date",
+    "birth_date",
+    "death_date",
+    "birthplace",
+    "founded",
+    "founding_date",
+    "release_date",
+    "release_year",
+    "author",
+    "director",
+    "founder",
+    "ceo",
+    "headquarters",
+    "nationality",
+    "country",
+    "inventor",
+    "creator",
+    "composer",
+    "spouse",
+    "height",
+    "duration",
+    "deadline",
+]
 KEYS = ["query_id", "entity", "attribute"]
 
 
@@ -111,12 +132,39 @@ def exact_groups(claims: DataFrame) -> DataFrame:
     return by_source.groupBy(*KEYS, "value").agg(T.settled(noisy_or(F.col("r"))).alias("support"), F.count(F.lit(1)).alias("n_sources"), F.sum("n").alias("n_claims"))
 
 
+def text_groups(claims: DataFrame) -> DataFrame:
+    """(keys, value_text, support, n_sources, n_claims): claims whose texts are the same value as a group's first one, in order.
+
+    Distinct texts are grouped first, so a fold is over an attribute's texts and not over its claims.
+    """
+    first = claims.groupBy(*KEYS, "value_text").agg(F.min("ordinal").alias("ordinal"))
+    forms = F.struct("ordinal", "value_text", T.normalize(F.col("value_text")).alias("plain"), F.array_distinct(T.content_words(F.col("value_text"))).alias("words"))
+    ordered = first.groupBy(*KEYS).agg(F.sort_array(F.collect_list(forms)).alias("vs"))
+
+    def same(a: Column, b: Column) -> Column:
+        inside = (F.size(F.array_except(a["words"], b["words"])) == 0) | (F.size(F.array_except(b["words"], a["words"])) == 0)
+        return (a["plain"] == b["plain"]) | ((F.size(a["words"]) > 0) & (F.size(b["words"]) > 0) & inside)
+
+    kind = dict(ordered.dtypes)["vs"]
+    heads = ordered.withColumn("heads", F.aggregate("vs", F.array().cast(kind), lambda kept, v: F.when(F.exists(kept, lambda h: same(h, v)), kept).otherwise(F.array_append(kept, v))))
+    placed = heads.select(*KEYS, "heads", F.explode("vs").alias("v")).select(*KEYS, F.col("v.value_text").alias("value_text"), F.element_at(F.filter("heads", lambda h: same(h, F.col("v"))), 1)["value_text"].alias("head"))
+    by_source = claims.join(placed, [*KEYS, "value_text"]).groupBy(*KEYS, "head", "source_id").agg(F.max("reliability").alias("r"), F.count(F.lit(1)).alias("n"))
+    out = by_source.groupBy(*KEYS, "head").agg(T.settled(noisy_or(F.col("r"))).alias("support"), F.count(F.lit(1)).alias("n_sources"), F.sum("n").alias("n_claims"))
+    return out.withColumnRenamed("head", "value_text")
+
+
 def resolve(groups: DataFrame) -> DataFrame:
-    """(keys, n_groups, winner, support, margin, state): consistent, resolved or open."""
+    """(keys, n_groups, winner, support, margin, state): consistent, resolved or open.
+
+    Groups of text values (`value_text`, as `text_groups` has them) conflict only where an attribute has a single value.
+    """
+    plural = F.lit(False)
+    if "value" not in groups.columns:
+        groups, plural = groups.withColumn("value", F.col("value_text")), ~F.col("attribute").isin(SINGLE_VALUED)
     order = W.partitionBy(*KEYS).orderBy(F.desc("support"), F.desc("n_sources"), "value")
     top = groups.withColumn("r", F.row_number().over(order)).withColumn("next", F.lead("support").over(order)).withColumn("n_groups", F.count(F.lit(1)).over(W.partitionBy(*KEYS)))
     top = top.where("r = 1").withColumn("margin", T.settled(F.col("support") - F.coalesce("next", F.lit(0.0))))
-    state = F.when((F.col("n_groups") == 1) | F.col("attribute").isin(*NO_CONFLICT), "consistent").when(F.col("margin") >= RESOLUTION_MARGIN, "resolved").otherwise("open")
+    state = F.when((F.col("n_groups") == 1) | F.col("attribute").isin(*NO_CONFLICT) | plural, "consistent").when(F.col("margin") >= RESOLUTION_MARGIN, "resolved").otherwise("open")
     return top.select(*KEYS, "n_groups", F.when(state != "open", F.col("value")).alias("winner"), "support", "margin", state.alias("state"))
 
 
@@ -152,8 +200,43 @@ def requirements(claims: DataFrame) -> DataFrame:
     return kept.groupBy(*keys, "source_id").agg(F.max("reliability").alias("r")).groupBy(*keys).agg(T.settled(noisy_or(F.col("r"))).alias("confidence"))
 
 
-def property_graph(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Node and edge tables for a graph store."""
-    nodes = claims.select(F.lit("entity").alias("kind"), F.col("entity").cast("string").alias("id")).unionByName(claims.select(F.lit("source").alias("kind"), F.col("source_id").cast("string").alias("id"))).unionByName(claims.select(F.lit("claim").alias("kind"), F.col("claim_id").cast("string").alias("id"))).distinct()
-    edges = claims.select(F.col("claim_id").cast("string").alias("src"), F.lit("ABOUT").alias("kind"), F.col("entity").cast("string").alias("dst")).unionByName(claims.select(F.col("claim_id").cast("string").alias("src"), F.lit("FROM").alias("kind"), F.col("source_id").cast("string").alias("dst"))).distinct()
-    return nodes, edges
+def claims_for(facts: DataFrame, wanted: DataFrame, kinds: tuple[str, ...] = ("fact",)) -> DataFrame:
+    """Claims of wanted entities (query_id, entity and, if named there, attribute), of the given kinds."""
+    on = ["query_id", "entity"] + ["attribute"] * ("attribute" in wanted.columns)
+    return facts.where(F.col("kind").isin(*kinds)).join(wanted.select(*on).distinct(), on, "left_semi")
+
+
+def entity_labels(mentions: DataFrame) -> DataFrame:
+    """(query_id, entity, label): the longest label among an entity's mentions (query_id, entity, label, ordinal), the first of equal ones."""
+    return mentions.groupBy("query_id", "entity").agg(F.max_by("label", F.struct(F.length("label"), -F.col("ordinal"))).alias("label"))
+
+
+def holders(named: DataFrame, entities: DataFrame) -> DataFrame:
+    """Entities (query_id, entity) of the graph that a question names (query_id, key): what it asks about, not answers to it."""
+    return entities.alias("e").join(named.alias("n"), (F.col("e.query_id") == F.col("n.query_id")) & same_entity(F.col("e.entity"), F.col("n.key")), "left_semi")
+
+
+def exported(facts: DataFrame, settled: DataFrame, most: int = 300) -> DataFrame:
+    """(query_id, n_entities, n_claims, n_sources, n_conflicts, claims): a question's graph, with its first `most` claims."""
+    order = F.row_number().over(W.partitionBy("query_id").orderBy("ordinal", "claim_id"))
+    listed = facts.withColumn("r", order)
+    sums = listed.groupBy("query_id").agg(F.countDistinct("entity").alias("n_entities"), F.count(F.lit(1)).alias("n_claims"), F.countDistinct("source_id").alias("n_sources"))
+    first = listed.where(F.col("r") <= most).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "claim_id"))), lambda x: x["claim_id"]).alias("claims"))
+    conflicts = settled.where("state <> 'consistent'").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_conflicts"))
+    return sums.join(first, "query_id").join(conflicts, "query_id", "left").withColumn("n_conflicts", F.coalesce("n_conflicts", F.lit(0).cast("long")))
+
+
+def property_graph(claims: DataFrame, settled: DataFrame | None = None, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Node (kind, id) and edge (src, kind, dst) tables for a graph store: claims about entities, from sources; searches
+    and the entities that they found; attributes on which sources contradict each other."""
+    text = lambda c: F.col(c).cast("string")
+    node = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), text(c).alias("id"))
+    edge = lambda df, src, kind, dst: df.select(src.alias("src"), F.lit(kind).alias("kind"), dst.alias("dst"))
+    nodes = node(claims, "entity", "entity").unionByName(node(claims, "source", "source_id")).unionByName(node(claims, "claim", "claim_id"))
+    edges = edge(claims, text("claim_id"), "ABOUT", text("entity")).unionByName(edge(claims, text("claim_id"), "FROM", text("source_id")))
+    if queries is not None:
+        nodes = nodes.unionByName(node(queries, "search", "query_id"))
+        edges = edges.unionByName(edge(claims.join(queries.select("query_id").distinct(), "query_id", "left_semi"), text("query_id"), "FOUND", text("entity")))
+    if settled is not None:
+        edges = edges.unionByName(edge(settled.where("state <> 'consistent'"), text("entity"), "CONTRADICTION", F.concat_ws(":", text("attribute"), text("winner"))))
+    return nodes.distinct(), edges.distinct()

@@ -70,13 +70,49 @@ def fever_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def exact_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Exactly n rows (all, if fewer), those with the smallest seeded hash of their key."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """Exactly n rows (all, if fewer) in order of their key: those with the smallest seeded digest of it."""
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return rows.withColumn("__place", place).orderBy("__place", key).limit(n).drop("__place").orderBy(key)
+
+
+def tuning_sample(rows: DataFrame, key: str, test: DataFrame, n: int, seed: int) -> DataFrame:
+    """A sample of the rows that are not in the test sample."""
+    return exact_sample(rows.join(test.select(key), key, "left_anti"), key, n, seed)
+
+
+def file_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file of moderate size, read by Spark."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).first()["d"]
+
+
+def checked_jsonl(spark: SparkSession, path: str, schema: str, digest: str) -> DataFrame:
+    """`load_jsonl` of a file whose digest must be the expected one."""
+    found = file_digest(spark, path)
+    if found != digest:
+        raise ValueError(f"{path}: its digest is {found}, not {digest}")
+    return load_jsonl(spark, path, schema)
+
+
+#: Fixed value: how the id of a claim that was made from another one ends.
+GENERATED = "_gen"
 
 
 def evidence_pairs(pairs: DataFrame) -> DataFrame:
-    """One evidence row for each text; an original wins over a generated one."""
-    return pairs.groupBy(F.substring(F.md5("evidence"), 1, 16).alias("evidence_id")).agg(F.min("evidence").alias("text"), F.bool_and("synthetic").alias("synthetic"))
+    """One evidence row for each text of pairs (id, evidence); an original wins over one that was generated, as its id tells."""
+    made = F.endswith(F.col("id").cast("string"), F.lit(GENERATED)) if "synthetic" not in pairs.columns else F.col("synthetic")
+    return pairs.groupBy(F.substring(F.md5("evidence"), 1, 16).alias("evidence_id")).agg(F.min("evidence").alias("text"), F.bool_and(made).alias("synthetic"))
+
+
+def bundled_documents(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """A JSON list of documents that a package brings along; those whose id is known already are left out."""
+    rows = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
+    return rows if known is None else rows.join(known.select("id"), "id", "left_anti")
+
+
+def with_web(corpus: DataFrame, web: DataFrame) -> DataFrame:
+    """Corpus and web results as one table of documents (document_id as a string); a column that either lacks is null."""
+    text = lambda df: df.withColumn("document_id", F.col("document_id").cast("string"))
+    return text(corpus).unionByName(text(web), allowMissingColumns=True)
 
 
 def web_results(raw: DataFrame, limit: int = 6) -> DataFrame:
