@@ -34,6 +34,7 @@ class Index:
 
     postings: DataFrame
     vectors: DataFrame
+    sizes: DataFrame
     stats: DataFrame
 
     @property
@@ -49,7 +50,8 @@ def counted_terms(documents: DataFrame) -> DataFrame:
 
 
 def build_index(documents: DataFrame, name: str = "index") -> Index:
-    """Postings (term, document_id, n_terms, tf), vectors (document_id, buckets, weights) and the corpus' size and mean length.
+    """Postings (term, document_id, n_terms, tf), vectors (document_id, buckets, weights), sizes (document_id, n_terms) and the
+    corpus' number of documents and mean length.
 
     Texts are dealt by document once; words, terms and buckets are then counted where the document is.
     """
@@ -58,10 +60,13 @@ def build_index(documents: DataFrame, name: str = "index") -> Index:
     postings = stored(counts.join(sized, "document_id").select("term", "document_id", "n_terms", F.col("n").alias("tf")), f"{name}-postings")
     held = weighed(counts).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "w"))).alias("v"))  # at most BUCKETS a document
     vectors = stored(held.select("document_id", F.col("v.bucket").alias("buckets"), F.col("v.w").alias("weights")), f"{name}-vectors")
-    n = documents.agg(F.count(F.lit(1)).alias("n_docs"))
-    total = sized.agg(F.coalesce(F.sum("n_terms"), F.lit(0)).alias("total"))
-    stats = n.crossJoin(total).select("n_docs", (F.col("total") / F.greatest(F.col("n_docs"), F.lit(1))).alias("mean"))  # one row each
-    return Index(postings, vectors, stored(stats, f"{name}-stats"))
+    sizes = documents.select("document_id").join(sized, "document_id", "left").select("document_id", F.coalesce("n_terms", F.lit(0).cast("long")).alias("n_terms"))
+    return _with_stats(postings, vectors, stored(sizes, f"{name}-sizes"), name)
+
+
+def _with_stats(postings: DataFrame, vectors: DataFrame, sizes: DataFrame, name: str) -> Index:
+    stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("n_terms"), F.lit(0.0)).alias("mean"))
+    return Index(postings, vectors, sizes, stored(stats, f"{name}-stats"))
 
 
 def refreshed(index: Index, gone: DataFrame, new: DataFrame, name: str = "index") -> Index:
@@ -70,16 +75,8 @@ def refreshed(index: Index, gone: DataFrame, new: DataFrame, name: str = "index"
     added = build_index(new, f"{name}-new")
     out = gone.select("document_id").unionByName(new.select("document_id")).distinct()
     keep = lambda old, more: old.join(out, "document_id", "left_anti").unionByName(more)
-    postings = stored(keep(index.postings, added.postings), f"{name}-postings")
-    vectors = stored(keep(index.vectors, added.vectors), f"{name}-vectors")
-    left = index.postings.select("document_id", "n_terms").distinct().join(out, "document_id", "left_anti")
-    # documents without a word are in no posting; how many there are follows from the counts
-    worded = index.postings.select("document_id").distinct().agg(F.count(F.lit(1)).alias("worded"))
-    kept = left.agg(F.count(F.lit(1)).alias("kept"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("terms"))
-    both = index.stats.crossJoin(worded).crossJoin(kept).crossJoin(added.stats.select(F.col("n_docs").alias("more"), F.col("mean").alias("more_mean")))  # one row each
-    n = F.col("n_docs") - F.col("worded") + F.col("kept") + F.col("more")
-    total = F.col("terms") + F.col("more") * F.col("more_mean")
-    return Index(postings, vectors, stored(both.select(n.alias("n_docs"), (total / F.greatest(n, F.lit(1))).alias("mean")), f"{name}-stats"))
+    tables = [stored(keep(a, b), f"{name}-{n}") for n, a, b in (("postings", index.postings, added.postings), ("vectors", index.vectors, added.vectors), ("sizes", index.sizes, added.sizes))]
+    return _with_stats(*tables, name)
 
 
 def as_index(corpus: DataFrame | Index) -> Index:

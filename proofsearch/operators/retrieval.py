@@ -69,6 +69,14 @@ def query_vectors(queries: DataFrame) -> DataFrame:
     return corpus.vector(query_terms_all(queries)).withColumnRenamed("document_id", "query_id")
 
 
+def weighted_jaccard(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(query_id, other, similarity) of pairs of sparse vectors (query_id, bucket, w): sum of least weights over that of greatest."""
+    a = pairs.join(vectors.withColumnRenamed("w", "a"), "query_id")
+    b = pairs.join(vectors.select(F.col("query_id").alias("other"), "bucket", F.col("w").alias("b")), "other")
+    both = a.join(b, ["query_id", "other", "bucket"], "full_outer").na.fill(0.0, ["a", "b"])
+    return both.groupBy("query_id", "other").agg(F.round(F.sum(F.least("a", "b")) / F.sum(F.greatest("a", "b")), 6).alias("similarity"))
+
+
 def reach(queries: DataFrame, documents: DataFrame | corpus.Index, least: float | None = None, k: int | None = None) -> DataFrame:
     """(query_id, document_id, reach): how much of the question's vector the document covers.
 

@@ -156,5 +156,6 @@ def round_robin(rows: DataFrame, by: str, lists: str, rank: str, item: str) -> D
 
 def shown_answers(shown: DataFrame, clicks: DataFrame, ttl: int = 86400) -> DataFrame:
     """Clicks (key, interp_id, ts) with the facet that the last showing within `ttl` had; null for unknown ones."""
-    both = clicks.alias("c").join(shown.alias("s"), (F.col("c.key") == F.col("s.key")) & (F.col("c.interp_id") == F.col("s.interp_id")) & (F.col("s.ts") <= F.col("c.ts")) & (F.col("c.ts").cast("double") - F.col("s.ts").cast("double") < ttl), "left")
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    both = clicks.alias("c").join(shown.alias("s"), (F.col("c.key") == F.col("s.key")) & (F.col("c.interp_id") == F.col("s.interp_id")) & (F.col("s.ts") <= F.col("c.ts")) & (seconds("c.ts") - seconds("s.ts") < ttl), "left")
     return both.groupBy("c.key", "c.interp_id", "c.ts").agg(F.max_by("s.facet", "s.ts").alias("facet"))

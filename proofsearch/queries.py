@@ -139,13 +139,6 @@ def unit_normalise(spark, sf):
     return d.select("id", U.parse_number(F.col("raw")).alias("number"), q["value"].alias("value"), q["unit"].alias("unit"))
 
 
-@query()
-def quantities(spark, sf):
-    d = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(T.split_sentences(F.col("text"))).alias("s"))
-    r = d.withColumn("r", C.read_sentences("s")).select("conv_id", "turn", F.explode("r.facts").alias("f"))
-    return r.groupBy("f.attribute", "f.unit").agg(F.count(F.lit(1)).alias("n"))
-
-
 # ---- retrieval -----------------------------------------------------------------------------------
 
 _Q = f"q AS (SELECT item_id AS query_id, unnest(list_distinct({T.sql.content_words('text')})) AS term FROM benchmark)"
@@ -235,10 +228,41 @@ def second_hop(spark, sf):
     return retrieval.second_hop(found, retrieval.bridges(b, found, passage_rows(spark, sf)), index, 5)
 
 
+def searchable(spark, sf) -> DataFrame:
+    """Parts as documents that say what a part is, costs and weighs; the driver's own documents behind them."""
+    p = table(spark, sf, "part")
+    price = F.replace(F.col("p_retailprice").cast("string"), F.lit("."), F.lit(","))
+    kind = F.lower(F.element_at(F.split("p_type", " "), -1))
+    said = F.concat(F.initcap("p_name"), F.lit(" "), F.col("p_partkey").cast("string"))
+    text = F.concat(said, F.lit(" est un article en "), kind, F.lit(". "), said, F.lit(" co\xfbte "), price, F.lit(" EUR. "), said, F.lit(" p\xe8se "), F.col("p_size").cast("string"), F.lit(" kg."))
+    parts = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("document_id"), said.alias("title"), text.alias("text"), F.lit(None).cast("string").alias("url"), F.lit(0.8).alias("reliability"), F.lit("corpus").alias("origin"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.substring_index("text", ".", 1).alias("title"), "text", F.lit(None).cast("string").alias("url"), (0.35 + 0.03 * F.regexp_extract("source", "([0-9]+)", 1).try_cast("int")).alias("reliability"), F.lit("corpus").alias("origin"))
+    return parts.unionByName(d)
+
+
+_CORPORA: dict[tuple, plans.Corpus] = {}
+
+
+def whole_corpus(spark, sf) -> plans.Corpus:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CORPORA:
+        _CORPORA[key] = plans.prepare(searchable(spark, sf))
+    return _CORPORA[key]
+
+
+def questions(spark, sf) -> DataFrame:
+    """The benchmark's items, and questions on every hundredth part."""
+    p = table(spark, sf, "part").where("p_partkey % 100 = 0")
+    name = F.concat(F.initcap("p_name"), F.lit(" "), F.col("p_partkey").cast("string"))
+    price = F.concat(F.lit("Quel est le prix de "), name, F.lit(" ?"))
+    best = F.concat(F.lit("Quel est le meilleur article en "), F.lower(F.element_at(F.split("p_type", " "), -1)), F.lit(" \xe0 moins de "), F.col("p_retailprice").cast("int").cast("string"), F.lit(" euros ?"))
+    asked = p.select((1_000_000 + F.col("p_partkey")).alias("query_id"), F.when(F.col("p_partkey") % 200 == 0, price).otherwise(best).alias("query"))
+    return items(spark, sf).unionByName(asked)
+
+
 @query()
 def evidence(spark, sf):
-    d = docs(spark, sf).withColumn("title", F.substring_index("text", ".", 1))
-    return plans.evidence(items(spark, sf), d, 5)
+    return plans.evidence(questions(spark, sf), whole_corpus(spark, sf))
 
 
 @query()
@@ -490,8 +514,8 @@ def family_fallback(spark, sf):
 
 @query()
 def search_answers(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.substring_index("text", ".", 1).alias("title"), "text", F.lit(None).cast("string").alias("url"), (0.35 + 0.03 * F.regexp_extract("source", "([0-9]+)", 1).try_cast("int")).alias("reliability"), F.lit("corpus").alias("origin"))
-    return plans.search(items(spark, sf), d).answers
+    found = plans.search(questions(spark, sf), whole_corpus(spark, sf)).answers
+    return found.withColumn("sources", F.array_join("sources", ","))
 
 
 @query()
@@ -633,15 +657,6 @@ def paired_diff_ci(spark, sf):
     return metrics.paired_difference(per("click"), per("view"), "user_id", "v")
 
 
-@query("""SELECT k1, b, round(100 * avg(tf * (k1 + 1) / (tf + k1 * (1 - b + b * n_chars / 3000.0))), 1) AS mean FROM (SELECT n_chars, n_chars % 7 + 1 AS tf FROM documents),
-(VALUES (1.2::DOUBLE), (1.5), (2.0)) x(k1), (VALUES (0.5::DOUBLE), (0.75)) y(b) GROUP BY ALL""")
-def param_grid(spark, sf):
-    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k1"), F.lit(b).alias("b")) for k in (1.2, 1.5, 2.0) for b in (0.5, 0.75)]))
-    d = table(spark, sf, "documents").select("n_chars", (F.col("n_chars") % 7 + 1).alias("tf"), grid.alias("g")).select("n_chars", "tf", "g.*")
-    v = F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("n_chars") / 3000.0))
-    return d.groupBy("k1", "b").agg(F.round(100 * F.avg(v), 1).alias("mean"))
-
-
 @query("""WITH m AS (SELECT role AS model, ceil(length(text) / 4.0)::BIGINT AS tokens, conv_id FROM conversations), p AS (SELECT m.*, CASE WHEN starts_with(model, 'assistant') THEN 15.0 WHEN starts_with(model, 'a') THEN 1.0 WHEN starts_with(model, 'user') THEN 3.0 END AS price FROM m)
 SELECT model, count(*)::BIGINT AS calls, sum(tokens)::BIGINT AS tokens, CASE WHEN bool_and(price IS NOT NULL) THEN round(sum(tokens * price / 1e6), 6) END::DOUBLE AS cost FROM p GROUP BY model""")
 def token_cost(spark, sf):
@@ -681,13 +696,14 @@ def word_sets(spark, sf):
 
 @query()
 def property_graph(spark, sf):
-    nodes, edges = graph.property_graph(claims(spark, sf))
+    c = claims(spark, sf)
+    nodes, edges = graph.property_graph(c, graph.resolve(graph.exact_groups(c)), c.where("query_id % 2 = 0"))
     return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).unionByName(edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query()
 def event_frames(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("event"), F.struct("value", "ts").alias("data"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("event"), F.struct("value").alias("data"))
     return sources.event_rows(e)
 
 
