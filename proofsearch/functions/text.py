@@ -171,7 +171,7 @@ def slug(text: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """Distinct numbers of a text; `1 299` is 1299 and a comma is a point."""
-    joined = F.regexp_replace(text, "(?<=[0-9])[   ](?=[0-9]{3}(?![0-9]))", "")
+    joined = F.regexp_replace(text, "(?<=[0-9])[ \xa0\u202f](?=[0-9]{3}(?![0-9]))", "")
     return F.array_distinct(F.transform(F.regexp_extract_all(joined, F.lit("[0-9]+(?:[.,][0-9]+)?"), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit("."))))
 
 

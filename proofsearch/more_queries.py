@@ -98,7 +98,7 @@ def inference_sources(spark, sf):
     return verify.infer(s.join(o, "entity"), ["customer"]).select("customer", "status", "confidence", F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
 
 
-@query("""WITH d AS (SELECT conv_id, turn, text, regexp_extract_all(regexp_replace(text, '([0-9])[   ]([0-9]{3})(\\b)', '\\1\\2', 'g'), '[0-9]+(?:[.,][0-9]+)?') AS n FROM conversations),
+@query("""WITH d AS (SELECT conv_id, turn, text, regexp_extract_all(regexp_replace(text, '([0-9])[ \xa0\u202f]([0-9]{3})(\\b)', '\\1\\2', 'g'), '[0-9]+(?:[.,][0-9]+)?') AS n FROM conversations),
 k AS (SELECT conv_id, list_distinct(flatten(list(list_transform(n, lambda x: replace(x, ',', '.'))))) AS known FROM d WHERE turn % 2 = 0 GROUP BY conv_id)
 SELECT conv_id AS query_id, turn AS rank, len(list_filter(n, lambda x: NOT list_contains(coalesce(known, []), replace(x, ',', '.')))) = 0 AS supported FROM d LEFT JOIN k USING (conv_id) WHERE turn % 2 = 1""")
 def written_answers(spark, sf):
@@ -419,3 +419,39 @@ def shown_answers(spark, sf):
 def depth_names(spark, sf):
     b = table(spark, sf, "benchmark")
     return b.select("item_id", planner.depth_of(F.when(F.col("item_id") % 3 == 0, " DeeP ").otherwise("whatever")).alias("depth"))
+
+
+# ---- SQL of queries registered elsewhere -----------------------------------------------------------
+
+SQL["near_duplicate_sentences"] = f"""WITH RECURSIVE s AS (SELECT doc_id, i, list_distinct({T.sql.content_words('s')}) AS w FROM (SELECT doc_id, unnest({T.sql.sentences('text')}) AS s, generate_subscripts({T.sql.sentences('text')}, 1) AS i FROM documents)),
+r AS (SELECT doc_id, 0 AS i, []::STRUCT(id BIGINT, w VARCHAR[])[] AS kept FROM (SELECT DISTINCT doc_id FROM s) UNION ALL
+  SELECT r.doc_id, s.i, CASE WHEN len(list_filter(kept, lambda k: len(list_intersect(k.w, s.w)) / greatest(len(list_distinct(list_concat(k.w, s.w))), 1) >= 0.7)) > 0 THEN kept ELSE list_append(kept, {{'id': s.i - 1, 'w': s.w}}) END
+  FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1 WHERE len(kept) < 3),
+l AS (SELECT doc_id, arg_max(kept, i) AS kept FROM r GROUP BY doc_id)
+SELECT doc_id AS query_id, generate_subscripts(kept, 1)::BIGINT AS place, unnest(list_transform(kept, lambda k: k.id))::BIGINT AS id FROM l"""
+
+SQL["chain_support"] = f"""WITH cvw AS (SELECT conv_id * 1000 + turn AS id, unnest({T.sql.content_words('text')}) AS term FROM conversations), {_VECTOR.format('cv')},
+x AS (SELECT id // 1000 AS query_id, id % 1000 AS step, bucket, w, coalesce(max(w) OVER (PARTITION BY id // 1000, bucket ORDER BY id % 1000 RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cvv),
+s AS (SELECT query_id, step, round(1 - sqrt(sum(greatest(w - before, 0) ** 2)) / sqrt(sum(w * w)), 6) AS reach FROM x WHERE step > 0 GROUP BY query_id, step),
+m AS (SELECT query_id, min(struct_pack(reach := reach, step := step)) AS m FROM s GROUP BY query_id)
+SELECT query_id, m.reach AS weakest, m.step AS step, m.reach >= 0.35 AS admissible FROM m"""
+
+SQL["entity_resolution"] = f"""WITH RECURSIVE p AS (SELECT replace(p_brand, 'Brand#', '')::BIGINT AS query_id, p_partkey AS ordinal, array_to_string(list_transform(list_filter({T.sql.words("p_name || ' ' || p_type")}, lambda w: regexp_matches(w, '[0-9]') OR (length(w) > 1 AND NOT list_contains({T.sql.stop}, w))), lambda w: {T.sql.stem('w')}), ' ') AS key FROM part),
+d AS (SELECT query_id, key, list_distinct(string_split(key, ' ')) AS ws, row_number() OVER (PARTITION BY query_id ORDER BY min(ordinal)) AS i FROM p GROUP BY query_id, key),
+r AS (SELECT query_id, 0::BIGINT AS i, []::STRUCT(key VARCHAR, ws VARCHAR[])[] AS leaders, NULL::VARCHAR AS key, NULL::VARCHAR AS canonical FROM (SELECT DISTINCT query_id FROM d) UNION ALL
+  SELECT query_id, i, CASE WHEN hit IS NULL THEN list_append(leaders, {{'key': key, 'ws': ws}}) ELSE leaders END, key, coalesce(hit, key) FROM (SELECT r.query_id, d.i, leaders, d.key, ws, list_filter(leaders, lambda l:
+    list_sort(list_filter(l.ws, lambda w: regexp_matches(w, '[0-9]'))) = list_sort(list_filter(d.ws, lambda w: regexp_matches(w, '[0-9]'))) AND (len(list_intersect(l.ws, d.ws)) = least(len(l.ws), len(d.ws)) AND least(len(l.ws), len(d.ws)) >= 2
+      OR len(list_intersect(l.ws, d.ws)) / len(list_distinct(list_concat(l.ws, d.ws))) >= 0.6))[1].key AS hit FROM r JOIN d ON d.query_id = r.query_id AND d.i = r.i + 1))
+SELECT p.query_id, ordinal, p.key, canonical FROM p JOIN r ON r.query_id = p.query_id AND r.key = p.key"""
+
+SQL["rag_top_sentence"] = f"""WITH {_BM25}, top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM bm25 QUALIFY place <= 5),
+d AS (SELECT doc_id, string_split(text, '.')[1] AS title, text FROM documents),
+s AS (SELECT doc_id, title, unnest({T.sql.sentences('text')}) AS sentence, generate_subscripts({T.sql.sentences('text')}, 1) - 1 AS ordinal FROM d),
+k AS (SELECT * FROM s WHERE regexp_replace(trim(regexp_replace({T.sql.normalize('sentence')}, '\\s+', ' ', 'g')), '[ .!?;]+$', '') <> regexp_replace(trim(regexp_replace({T.sql.normalize('title')}, '\\s+', ' ', 'g')), '[ .!?;]+$', '')),
+x AS (SELECT query_id, doc_id, place, ordinal, sentence, {T.sql.content_words("(title || ' ' || sentence)")} AS ws FROM top JOIN k USING (doc_id)),
+per AS (SELECT query_id, count(*) AS n_docs, avg(len(ws)) AS mean FROM x GROUP BY query_id),
+tf AS (SELECT query_id, doc_id, place, ordinal, n_terms, term, count(*) AS tf FROM (SELECT query_id, doc_id, place, ordinal, len(ws) AS n_terms, unnest(ws) AS term FROM x) JOIN q USING (query_id, term) GROUP BY ALL),
+sdf AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
+sc AS (SELECT query_id, doc_id, place, ordinal, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_terms / mean))), 6) AS score FROM tf JOIN sdf USING (query_id, term) JOIN per USING (query_id) GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, ordinal) AS r FROM sc)
+SELECT b.query_id, b.doc_id AS document_id, b.ordinal::BIGINT AS ordinal, score, sentence FROM b JOIN x ON x.query_id = b.query_id AND x.doc_id = b.doc_id AND x.ordinal = b.ordinal WHERE r = 1"""
