@@ -209,7 +209,7 @@ def test_pages(spark):
 def test_license_edges(spark):
     long = "word " * 30_000
     rows = [
-        (1, "MIT License mit  license"), (2, "Licensed under the Apache\nLicense"), (3, "licensed under CC BY-NC 4.0!"), (4, None), (5, " - "), (None, long + "MIT LİCENSE mit license"),
+        (1, "MIT License mit  license"), (2, "Licensed under the Apache\nLicense"), (3, "licensed under CC BY-NC 4.0!"), (4, None), (5, " - "), (None, long + "MIT L\u0130CENSE mit license"),
         (6, "x\nThis work is licensed under the GNU General Public License, version 3 or so\ny"), (6, "general public licenses"), (7, "Redistribution and use in source or binary forms, with or without modification, are permitted provided that following conditions are met:"), (7, "mit licenſe Kmit license"),
     ]
     d = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, labels string")
