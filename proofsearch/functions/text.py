@@ -11,24 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Words that carry no meaning of their own, French and English.
-STOPWORDS = sorted(set(
-    """
-    a au aux avec ce ces cet cette dans de des du elle en et est etre il ils je la le les leur lui
-    ma mais me meme mes moi mon ne nos notre nous on ou par pas pour qu que quel quelle quels quelles
-    qui sa se ses son sont sur ta te tes toi ton tu un une vos votre vous y d l s n c j m t
-    comment combien quoi ou quand pourquoi sous peut peuvent lequel laquelle lesquels lesquelles
-    faire fait dire avoir plus moins tres aussi entre ainsi alors donc cela ceci ca chaque quelque
-    the a an and are as at be by for from has have in is it its of on or that the to was were what
-    which who whom why how with this these those do does did can could should would will about
-    into than then there their them they also more less very
-    """.split()
-))
+STOPWORDS = [
+    "a", "au", "aux", "avec", "ce", "ces", "cet", "cette", "dans", "de", "des", "du", "elle", "en", "et", "est", "etre", "il", "ils", "je", "la", "le", "les", "leur", "lui",
+    "ma", "mais", "me", "meme", "mes", "moi", "mon", "ne", "nos", "notre", "nous", "on", "ou", "par", "pas", "pour", "qu", "que", "quel", "quelle", "quels", "quelles",
+    "qui", "sa", "se", "ses", "son", "sont", "sur", "ta", "te", "tes", "toi", "ton", "tu", "un", "une", "vos", "votre", "vous", "y", "d", "l", "s", "n", "c", "j", "m", "t",
+    "comment", "combien", "quoi", "ou", "quand", "pourquoi", "sous", "peut", "peuvent", "lequel", "laquelle", "lesquels", "lesquelles",
+    "faire", "fait", "dire", "avoir", "plus", "moins", "tres", "aussi", "entre", "ainsi", "alors", "donc", "cela", "ceci", "ca", "chaque", "quelque",
+    "the", "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "were", "what",
+    "which", "who", "whom", "why", "how", "with", "this", "these", "those", "do", "does", "did", "can", "could", "should", "would", "will", "about",
+    "into", "than", "then", "there", "their", "them", "they", "also", "more", "less", "very",
+]
 #: Suffixes in the order in which they are tried.
-SUFFIXES = """
-    issements issement atrices ateurs ations ements ement atrice ateur
-    ation ances ences ance ence euses euse ites ite ives ive
-    ees ers ent ee er ez es e s x
-""".split()
+SUFFIXES = [
+    "issements", "issement", "atrices", "ateurs", "ations", "ements", "ement", "atrice", "ateur",
+    "ation", "ances", "ences", "ance", "ence", "euses", "euse", "ites", "ite", "ives", "ive",
+    "ees", "ers", "ent", "ee", "er", "ez", "es", "e", "s", "x",
+]
 STEM_PATTERN = f"^([^0-9]{{4,}}?)(?:{'|'.join(SUFFIXES)})$"
 WORD_PATTERN = "[a-z0-9]+(?:[.,][0-9]+)?"
 
