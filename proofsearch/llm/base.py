@@ -24,9 +24,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from `spark.checkpoint.dir`; a temporary one only where unset."""
+    """The folder that all executors share, from `spark.checkpoint.dir`; where unset, a temporary one in local mode, and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='proofsearch-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
