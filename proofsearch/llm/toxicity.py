@@ -148,7 +148,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: OrdinalModel | None = No
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, model: OrdinalModel | None = None) -> DataFrame:
-    """`docs` without rows whose expected severity reaches the model's cut; all columns as they were."""
+    """`docs` without rows whose expected severity reaches the model's cut; all columns as they were.
+
+    Null and empty texts have no features and stay; repeated rows, equal or null ids fare alike, as texts alone decide;
+    a severity of just the cut goes; an empty table gives no rows. Texts of any length are read whole.
+    """
     tune(docs.sparkSession)
     model = model or fit(docs, labels)
     name = fresh(docs, "toxicity")
