@@ -70,15 +70,27 @@ MASKED = [
 ]
 
 
-@pytest.mark.parametrize("text,tag", MASKED)
-def test_masks(text, tag):
-    out, counts = guard.masked(text)
-    assert tag in out and sum(counts.values()) == 1 and guard.masked(out)[0] == out
+def masked(spark, *texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", guard.mask_pii("text").alias("m"))
+    return [(r.m.text, r.m.counts) for r in d.orderBy("k").collect()]
+
+
+def test_masks(spark):
+    out = masked(spark, *[t for t, _ in MASKED])
+    for (_, tag), (text, counts) in zip(MASKED, out):
+        assert tag in text and sum(counts.values()) == 1
+    assert [t for t, _ in masked(spark, *[t for t, _ in out])] == [t for t, _ in out]
+
+
+def test_masks_of_many_runs(spark):
+    text = "a@b.example, 4539 1488 0343 6467 and 4539148803436467, not 14539148803436467; ::1 or fe80::1:2 or 1:2:3:4:5:6:7:8, not 12:30:45 or ::; 0.0.0.0 and 01.2.3.4"
+    out = "[EMAIL], [CARTE_BANCAIRE] and [CARTE_BANCAIRE], not 14539148803436467; [ADRESSE_IP] or [ADRESSE_IP] or [ADRESSE_IP], not 12:30:45 or ::; [ADRESSE_IP] and 01.2.3.4"
+    assert masked(spark, text, None, "") == [(out, {"email": 1, "card": 2, "ip": 4}), (None, None), ("", {})]
 
 
 def test_what_fails_its_check_stays(spark):
     text = "card 4539 1488 0343 6468, 479 €, 1920x1080, at 10:30, host 999.1.1.1"
-    assert guard.masked(text) == (text, {})
+    assert masked(spark, text) == [(text, {})]
     d = spark.createDataFrame([("4539148803436467", "FR7630006000011234567890189"), ("4539148803436468", "FR7630006000011234567890188")], "c string, i string")
     assert [tuple(r) for r in d.select(guard.luhn(F.col("c")), guard.iban_valid(F.col("i"))).collect()] == [(True, True), (False, False)]
 
