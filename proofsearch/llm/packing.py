@@ -34,6 +34,8 @@ SHARD_CHARS, SHARD_DOCS = 3_000_000, 1_500
 #: Terms with which a seed asks: all. BM25's two constants.
 QUERY_TERMS = None
 K1, B = 1.5, 0.75
+#: A term that more than one of so many documents of a shard hold has its weights in a row, with zeros.
+DENSE = 4
 #: Token ids are below this; slots of a key for each shard that it fills; power of idf at which keys are drawn.
 IDS, SLOTS, KEY_POWER = 1 << 16, 8, 3
 
@@ -46,25 +48,40 @@ class Corpus:
     mean: float
     df: np.ndarray
 
-    def draws(self) -> np.ndarray:
-        """Two exponential draws for each id, at the rate of its idf to KEY_POWER; an id of one document has none."""
+    def draws(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two exponential draws for each id, at the rate of its idf to KEY_POWER: the ids in their order, and their places in it.
+
+        An id of one document has no draw; its place is IDS, where IDS stands.
+        """
         r = np.random.default_rng(20240607).exponential(size=(2, IDS))
         with np.errstate(divide="ignore"):
-            return np.where(self.df > 1, r / np.log1p((self.n - self.df + 0.5) / (self.df + 0.5)) ** KEY_POWER, np.inf)
+            drawn = np.where(self.df > 1, r / np.log1p((self.n - self.df + 0.5) / (self.df + 0.5)) ** KEY_POWER, np.inf)
+        order = np.argsort(drawn, axis=1, kind="stable")
+        place = np.empty((2, IDS), np.int32)
+        np.put_along_axis(place, order, np.arange(IDS, dtype=np.int32)[None], axis=1)
+        place[~np.isfinite(drawn)] = IDS
+        return np.append(order, [[IDS], [IDS]], axis=1), place
 
 
-def keys(ids: list[np.ndarray], draws: np.ndarray) -> np.ndarray:
+def keys(flat: np.ndarray, size: np.ndarray, draws: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Two ids of each document, the smallest of either draw; IDS for a document that shares no term."""
-    out = np.full((2, len(ids)), IDS, np.int64)
-    for k, d in enumerate(ids):
-        if len(d):
-            for j in (0, 1):
-                drawn = draws[j][d]
-                if np.isfinite(drawn[at := drawn.argmin()]):
-                    out[j, k] = d[at]
+    out = np.full((2, len(size)), IDS, np.int64)
+    if len(flat):
+        some = np.flatnonzero(size)
+        start = (np.cumsum(size) - size)[some]
+        for j, (order, place) in enumerate(zip(*draws)):
+            out[j, some] = order[np.minimum.reduceat(place[flat], start)]
     return out
 
 
+def pairs_of(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The different ids of each document, one after another."""
+    kind = np.uint32 if len(size) <= IDS else np.uint64
+    pairs = np.repeat(np.arange(len(size), dtype=kind) * kind(IDS), size) | flat
+    pairs.sort()
+    return pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]] % kind(IDS)
+
+
 class Deal:
     """Which shard a document goes to, from how many documents and characters each key and slot of it holds."""
 
@@ -117,6 +134,12 @@ class Bm25Shard:
         term, doc, tf = term[shared], doc[shared], tf[shared]
         self.n, self.doc, self.weight = len(docs), doc, idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         self.start = np.searchsorted(term, np.arange(len(df) + 1))
+        # terms of many documents as rows of weights: at most DENSE values for each of their postings
+        self.row = np.full(len(df), -1, np.int64)
+        many = np.flatnonzero(np.diff(self.start) * DENSE > n)
+        self.row[many] = np.arange(len(many))
+        self.dense, at = np.zeros((len(many), n)), self.row[term]
+        self.dense[at[at >= 0], doc[at >= 0]] = self.weight[at >= 0]
         order = np.argsort(doc, kind="stable")
         self.terms, self.terms_at = term[order], np.searchsorted(doc[order], np.arange(len(docs) + 1))
 
@@ -125,8 +148,12 @@ class Bm25Shard:
         terms = self.terms[self.terms_at[seed] : self.terms_at[seed + 1]]
         if not len(terms):
             return terms
-        spans = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist())]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        row = self.row[terms]
+        score, terms = self.dense[row[row >= 0]].sum(axis=0), terms[row < 0]
+        if len(terms):
+            start, size = self.start[terms], self.start[terms + 1] - self.start[terms]
+            at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+            score += np.bincount(self.doc[at], self.weight[at], self.n)
         found = np.flatnonzero((score > 0) & ~used)  # every weight is positive
         return found[np.argsort(-np.round(score[found], 9), kind="stable")]
 
@@ -200,34 +227,34 @@ def _tokens(rows: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def _corpus(tokens: DataFrame) -> Corpus:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, length = np.zeros(IDS, np.int64), 0, 0
         for b in batches:
-            ids = [np.frombuffer(x, "<u2") for x in b["ids"]]
-            sizes = [len(x) for x in ids]
-            n, length = n + len(ids), length + sum(sizes)
-            pairs = np.unique(np.repeat(np.arange(len(ids)), sizes) * IDS + np.concatenate([np.zeros(0, np.int64), *ids]))
-            df += np.bincount(pairs % IDS, minlength=IDS)
+            flat, size = values_of(b["ids"], np.dtype("<u2"))
+            n, length = n + len(size), length + len(flat)
+            df += np.bincount(pairs_of(flat, size).astype(np.int64), minlength=IDS)
         at = np.flatnonzero(df)
         # beyond the ids: the number of documents, and of their tokens
-        yield pd.DataFrame({"id": np.append(at, [IDS, IDS + 1]), "n": np.append(df[at], [n, length])})
+        yield pa.record_batch({"id": np.append(at, [IDS, IDS + 1]), "n": np.append(df[at], [n, length])})
 
     out = np.zeros(IDS + 2, np.int64)
     # bounded by the vocabulary
-    for r in tokens.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return Corpus(int(out[IDS]), float(out[IDS + 1] / max(out[IDS], 1)), out[:IDS])
 
 
 def _counted(tokens: DataFrame, place) -> list[tuple[int, int, int]]:
-    """(place, documents, characters); `place` makes an array of places from a batch's ids."""
+    """(place, documents, characters); `place` makes an array of places from a batch's ids, and how many each document has."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = place([np.frombuffer(x, "<u2") for x in b["ids"]])
-            yield pd.DataFrame({"at": at, "n": 1, "chars": b["chars"]}).groupby("at", as_index=False).sum()
+            at, which = np.unique(place(*values_of(b["ids"], np.dtype("<u2"))), return_inverse=True)
+            chars = np.zeros(len(at), np.int64)
+            np.add.at(chars, which, b["chars"].to_numpy())
+            yield pa.record_batch({"at": at, "n": np.bincount(which, minlength=len(at)), "chars": chars})
 
-    found = tokens.select("chars", "ids").mapInPandas(count, "at long, n long, chars long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    found = tokens.select("chars", "ids").mapInArrow(count, "at long, n long, chars long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
     # bounded by the vocabulary and the number of shards
     return [tuple(r) for r in found.collect()]
 
@@ -235,16 +262,16 @@ def _counted(tokens: DataFrame, place) -> list[tuple[int, int, int]]:
 def dealt(tokens: DataFrame, corpus: Corpus) -> DataFrame:
     """shard, doc_id, ids of every row."""
     draws = corpus.draws()
-    deal = Deal(_counted(tokens, lambda ids: keys(ids, draws)[0]))
-    deal.fill(_counted(tokens, lambda ids: deal.slot(keys(ids, draws))))
+    deal = Deal(_counted(tokens, lambda flat, size: keys(flat, size, draws)[0]))
+    deal.fill(_counted(tokens, lambda flat, size: deal.slot(keys(flat, size, draws))))
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slots = deal.slot(keys([np.frombuffer(x, "<u2") for x in b["ids"]], draws))
-            yield pd.DataFrame({"shard": deal.shard(slots, b["salt"].to_numpy()), "doc_id": b["doc_id"], "ids": b["ids"]})
+            slots = deal.slot(keys(*values_of(b["ids"], np.dtype("<u2")), draws))
+            yield pa.record_batch({"shard": deal.shard(slots, b["salt"].to_numpy()), "doc_id": b["doc_id"], "ids": b["ids"]})
 
     salted = tokens.select("doc_id", "ids", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("salt"))
-    return salted.mapInPandas(put, "shard long, doc_id string, ids binary")
+    return salted.mapInArrow(put, "shard long, doc_id string, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -134,3 +134,28 @@ def test_seed_asks_with_all_its_terms_and_whole_table_weights():
     idf = np.log1p((1000 - corpus.df + 0.5) / (corpus.df + 0.5))
     score = {n: sum(idf[t] * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(d) / 40)) for t in d if t < 60) for n, d in enumerate(docs) if n}
     assert got.tolist() == sorted(score, key=lambda n: (-round(score[n], 9), n))
+
+
+def test_counts_and_keys_of_flat_ids():
+    r = np.random.default_rng(5)
+    docs = [r.integers(0, 90, k).astype("<u2") for k in (0, 7, 0, 0, 300, 1, 0)] + [np.array([65535, 65535, 0], "<u2")]
+    flat, size = np.concatenate(docs), np.array([len(d) for d in docs])
+    assert packing.pairs_of(flat, size).tolist() == [t for d in docs for t in np.unique(d)]
+    assert not len(packing.pairs_of(flat[:0], size[:0]))
+    df = np.zeros(packing.IDS, np.int64)
+    df[:60] = 3  # ids from 60 on are of one document
+    order, place = draws = packing.Corpus(40, 30.0, df).draws()
+    for j, got in enumerate(packing.keys(flat, size, draws)):
+        want = [min(d[d < 60].tolist(), key=order[j].tolist().index, default=packing.IDS) for d in docs]
+        assert got.tolist() == want
+        assert (place[j][60:] == packing.IDS).all() and sorted(place[j][:60]) == list(range(60))
+    assert packing.keys(flat[:0], size[:1], draws).tolist() == [[packing.IDS]] * 2
+
+
+@pytest.mark.parametrize("dense", [0, 4, 10**9])
+def test_rows_of_weights_give_the_same_neighbours(dense, monkeypatch):
+    r = np.random.default_rng(6)
+    docs = [(r.zipf(1.4, r.integers(0, 80)) % 200).astype("<u2") for _ in range(60)]
+    want = [packing.Bm25Shard(docs).neighbours(k, np.zeros(60, bool)).tolist() for k in range(60)]
+    monkeypatch.setattr(packing, "DENSE", dense)
+    assert [packing.Bm25Shard(docs).neighbours(k, np.zeros(60, bool)).tolist() for k in range(60)] == want
