@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, mtree, near_dedup
+from . import fill_middle, license_scan, mixing, mtree, near_dedup, spelling
 from .base import table
 
 
@@ -69,6 +69,14 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mtree_topk": op2_mtree_topk,
@@ -80,6 +88,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": op8_token_output,
     "op9_license_scan": op9_license_scan,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op13_fill_middle": op13_fill_middle,
 }
 
-SQL: dict[str, str] = {"op2_mtree_topk": mtree.oracle(), "op4_source_mixing": mixing.oracle(), "op9_license_scan": license_scan.oracle(), "op10_minhash_dedup": near_dedup.oracle()}
+SQL: dict[str, str] = {
+    "op2_mtree_topk": mtree.oracle(),
+    "op4_source_mixing": mixing.oracle(),
+    "op9_license_scan": license_scan.oracle(),
+    "op10_minhash_dedup": near_dedup.oracle(),
+    "op11_spelling_variants": spelling.oracle(),
+    "op13_fill_middle": fill_middle.oracle(),
+}
