@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fill_middle, license_scan, mixing, mtree, near_dedup, spelling
+from . import fill_middle, license_scan, mixing, mtree, near_dedup, personal_data, spelling
 from .base import table
 
 
@@ -73,6 +73,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.document_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.span_digests(personal_data.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_minhash_dedup": op10_minhash_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_personal_data": op12_personal_data,
     "op13_fill_middle": op13_fill_middle,
 }
 
@@ -98,5 +103,6 @@ SQL: dict[str, str] = {
     "op9_license_scan": license_scan.oracle(),
     "op10_minhash_dedup": near_dedup.oracle(),
     "op11_spelling_variants": spelling.oracle(),
+    "op12_personal_data": personal_data.oracle(),
     "op13_fill_middle": fill_middle.oracle(),
 }
