@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import units as U
-from .operators import answers, corpus, evaluation, graph, planner, reason, retrieval, state, verify
+from .operators import answers, corpus, evaluation, graph, planner, postings, reason, retrieval, state, verify
 from .queries import _BM25, _CLAIMS, _GROUPS, _HYBRID, _REACH, _RESOLVED, _VECTOR, SQL, _requests, claims, doc_index, docs, items, long, query, table
 from .sources import documents as sources
+from .sources.storage import shared_folder
 
 #: Passages in SQL: sentences packed one after another.
 _PASSAGES = f"""WITH RECURSIVE s AS (SELECT doc_id, i, s, {T.sql.tokens('s')} AS t FROM (SELECT doc_id, unnest({T.sql.sentences('text')}) AS s, generate_subscripts({T.sql.sentences('text')}, 1) AS i FROM documents)),
@@ -236,7 +239,7 @@ def _gold(spark, sf):
 
 def _rankings(spark, sf):
     b, index = items(spark, sf), doc_index(spark, sf)
-    lex = retrieval.ranked(retrieval.bm25(b, index), "score", "rank", 5).select(F.lit("bm25").alias("system"), "query_id", "document_id", "rank")
+    lex = retrieval.ranked(retrieval.bm25(b, index, k=5), "score", "rank", 5).select(F.lit("bm25").alias("system"), "query_id", "document_id", "rank")
     return lex.unionByName(retrieval.hybrid(b, index, 5).select(F.lit("hybrid").alias("system"), "query_id", "document_id", "rank"))
 
 
@@ -382,8 +385,29 @@ def corpus_and_web(spark, sf):
 w AS (SELECT doc_id, unnest({T.sql.content_words('text')}) AS term FROM d)
 SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_id, term FROM w))::BIGINT AS n_postings, (SELECT count(*) FROM w)::BIGINT AS n_terms, (SELECT count(*) FROM d)::BIGINT AS n_docs, round((SELECT count(*) FROM w) / (SELECT count(*) FROM d), 4) AS mean""")
 def index_refresh(spark, sf):
-    index = corpus.refreshed(doc_index(spark, sf), docs(spark, sf).where("document_id % 10 = 3"), items(spark, sf).select(F.col("query_id").alias("document_id"), F.col("query").alias("text")), "refreshed")
-    return index.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_terms")).crossJoin(index.stats.select(long("n_docs"), F.round("mean", 4).alias("mean")))  # one row each
+    new = items(spark, sf).select(F.col("query_id").alias("document_id"), F.col("query").alias("text"))
+    index = corpus.refreshed(doc_index(spark, sf), docs(spark, sf).where("document_id % 10 = 3"), new).held
+    return index.terms().agg(F.sum("df").alias("n_postings")).select("n_postings", *[F.lit(n).cast("long").alias(c) for c, n in (("n_terms", index.n_terms), ("n_docs", index.n_docs))], F.round(F.lit(index.mean), 4).alias("mean"))
+
+
+@query(f"""WITH kept AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 3 AND doc_id NOT IN (SELECT item_id FROM benchmark) UNION ALL SELECT item_id, text FROM benchmark),
+{_BM25.replace('FROM documents', 'FROM kept')} SELECT query_id, doc_id, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25) WHERE rank <= 3""")
+def index_stream(spark, sf):
+    """Documents come as a stream of additions; then every tenth goes and the items of the benchmark replace or join the others."""
+    base = f"{shared_folder(spark)}/index-stream-{uuid.uuid4().hex}"
+    path, inbox = f"{base}/index", f"{base}/inbox"
+    schema = "document_id long, text string, removed boolean"
+    postings.build(spark.createDataFrame([], "document_id long, text string"), path)
+    d = docs(spark, sf)
+    gone = d.where("document_id % 10 = 3").select("document_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("removed"))
+    new = items(spark, sf).select(F.col("query_id").alias("document_id"), F.col("query").alias("text"), F.lit(False).alias("removed"))
+    for part in (d.withColumn("removed", F.lit(False)), gone.join(new, "document_id", "left_anti").unionByName(new)):
+        part.write.mode("append").parquet(inbox)
+        stream = postings.follow(spark.readStream.schema(schema).parquet(inbox), path, f"{base}/progress")
+        stream.trigger(availableNow=True).start().awaitTermination()
+    found = postings.scores(retrieval.query_terms(items(spark, sf)), postings.latest(spark, path), 3)
+    ranked = retrieval.ranked(found, "score", "rank", 3)
+    return ranked.select("query_id", F.col("document_id").alias("doc_id"), "score", long("rank"))
 
 
 # ---- folds and stores ------------------------------------------------------------------------------

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.storage import stored
+from . import postings
+from .postings import BUCKETS, CHAR_WEIGHT, WORD_WEIGHT
 
-#: Buckets of the hashed vectors; weights of a word, of a character trigram and (if asked for) of a pair of words in them.
-BUCKETS, WORD_WEIGHT, CHAR_WEIGHT, BIGRAM_WEIGHT = 2048, 1.0, 0.25, 0.7
+#: Weight of a pair of words in the hashed vectors, if asked for.
+BIGRAM_WEIGHT = 0.7
 
 
 def passages(documents: DataFrame, max_tokens: int = 120) -> DataFrame:
@@ -30,16 +31,17 @@ def term_rows(documents: DataFrame, *keep: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """What searches read of a corpus; each table is stored once, and a search reads only the terms that it asks for."""
+    """What searches read of a corpus: a version of its postings, with the documents' hashed vectors."""
 
-    postings: DataFrame
-    vectors: DataFrame
-    sizes: DataFrame
-    stats: DataFrame
+    held: postings.Postings
 
     @property
     def spark(self):
-        return self.postings.sparkSession
+        return self.held.spark
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.held.vectors()
 
 
 def counted_terms(documents: DataFrame) -> DataFrame:
@@ -49,34 +51,15 @@ def counted_terms(documents: DataFrame) -> DataFrame:
     return kept.groupBy("document_id", "term").agg(F.sum("n").alias("n"))
 
 
-def build_index(documents: DataFrame, name: str = "index") -> Index:
-    """Postings (term, document_id, n_terms, tf), vectors (document_id, buckets, weights), sizes (document_id, n_terms) and the
-    corpus' number of documents and mean length.
+def build_index(documents: DataFrame) -> Index:
+    """Postings and vectors of documents (document_id, text), each read once."""
+    return Index(postings.build(documents.select("document_id", "text")))
 
-    Texts are dealt by document once; words, terms and buckets are then counted where the document is.
-    """
-    counts = stored(counted_terms(documents.select("document_id", "text").repartition("document_id")), f"{name}-terms")
-    sized = counts.groupBy("document_id").agg(F.sum("n").alias("n_terms"))
-    postings = stored(counts.join(sized, "document_id").select("term", "document_id", "n_terms", F.col("n").alias("tf")), f"{name}-postings")
-    held = weighed(counts).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "w"))).alias("v"))  # at most BUCKETS a document
-    vectors = stored(held.select("document_id", F.col("v.bucket").alias("buckets"), F.col("v.w").alias("weights")), f"{name}-vectors")
-    sizes = documents.select("document_id").join(sized, "document_id", "left").select("document_id", F.coalesce("n_terms", F.lit(0).cast("long")).alias("n_terms"))
-    return _with_stats(postings, vectors, stored(sizes, f"{name}-sizes"), name)
-
-
-def _with_stats(postings: DataFrame, vectors: DataFrame, sizes: DataFrame, name: str) -> Index:
-    stats = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("n_terms"), F.lit(0.0)).alias("mean"))
-    return Index(postings, vectors, sizes, stored(stats, f"{name}-stats"))
-
-
-def refreshed(index: Index, gone: DataFrame, new: DataFrame, name: str = "index") -> Index:
-    """An index without the documents `gone` (document_id) and with `new` ones, which replace those of their id: only the
-    new texts are read."""
-    added = build_index(new, f"{name}-new")
-    out = gone.select("document_id").unionByName(new.select("document_id")).distinct()
-    keep = lambda old, more: old.join(out, "document_id", "left_anti").unionByName(more)
-    tables = [stored(keep(a, b), f"{name}-{n}") for n, a, b in (("postings", index.postings, added.postings), ("vectors", index.vectors, added.vectors), ("sizes", index.sizes, added.sizes))]
-    return _with_stats(*tables, name)
+
+def refreshed(index: Index, gone: DataFrame | None, new: DataFrame | None) -> Index:
+    """The next version of an index: without the documents `gone` (document_id) and with `new` ones, which replace those of
+    their id. Only the new texts are read, and what is written grows with the change."""
+    return Index(postings.updated(index.held, gone, new))
 
 
 def as_index(corpus: DataFrame | Index) -> Index:

@@ -8,22 +8,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.storage import stored
-from . import corpus
+from . import corpus, postings
 from .planner import entities
 
 #: Questions that travel to a scan at once; documents that a scan holds as dense vectors at once.
-QUERY_BLOCK, SCAN_ROWS = 4_096, 64
+QUERY_BLOCK, SCAN_ROWS = 4_096, 512
 
 
 @dataclass(frozen=True)
@@ -48,20 +49,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.content_words(F.col("query")))).alias("term"))
 
 
-def bm25(queries: DataFrame, documents: DataFrame | corpus.Index, params: RetrievalParams = PARAMS) -> DataFrame:
-    """(query_id, document_id, score) of all documents that share a term with the question.
+def bm25(queries: DataFrame, documents: DataFrame | corpus.Index, params: RetrievalParams = PARAMS, k: int | None = None) -> DataFrame:
+    """(query_id, document_id, score) of the k best documents of each question, or of all that share a term with it.
 
-    Terms meet postings in an equi-join; postings of other terms are dropped before they are shuffled.
+    With k, blocks of postings that can't reach the k best stay closed; bounds hold for the parameters of the build,
+    so with others all blocks are opened.
     """
-    index = corpus.as_index(documents)
-    asked = query_terms(queries)
-    held = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = 1 - params.b + params.b * F.col("n_terms") / F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
-    weight = idf * F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * norm)
-    weighed = held.join(df, "term").crossJoin(F.broadcast(index.stats)).select("term", "document_id", weight.alias("w"))  # one row
-    return asked.join(weighed, "term").groupBy("query_id", "document_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    index = corpus.as_index(documents).held
+    own = postings.Bm25(params.k1, params.b)
+    if own == index.params:
+        return postings.scores(query_terms(queries), index, k)
+    found = postings.scores(query_terms(queries), replace(index, params=own))
+    return found if k is None else ranked(found, "score", "place", k).drop("place")
 
 
 def query_vectors(queries: DataFrame) -> DataFrame:
@@ -77,78 +76,122 @@ def weighted_jaccard(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.groupBy("query_id", "other").agg(F.round(F.sum(F.least("a", "b")) / F.sum(F.greatest("a", "b")), 6).alias("similarity"))
 
 
-def reach(queries: DataFrame, documents: DataFrame | corpus.Index, least: float | None = None, k: int | None = None) -> DataFrame:
+def reach(queries: DataFrame, documents: DataFrame | corpus.Index, least: float | None = None, k: int | None = None, meter: Accumulator | None = None) -> DataFrame:
     """(query_id, document_id, reach): how much of the question's vector the document covers.
 
     Vectors are non-negative, so the uncovered part differs from the question's own vector only in the question's
-    buckets. The stored vectors are scanned once for each QUERY_BLOCK of questions, which travel to the scan as
-    one sparse matrix; a task gives out only what reaches `least`, and the `k` best of each question (ties to the
-    smaller document) where k is given: nothing but those is shuffled.
+    buckets, and grows with each bucket looked at. A question's buckets are therefore taken in the order of what documents
+    leave uncovered of them, rare and heavy ones first; a document that has left more than `least` (or the k-th best so
+    far) allows is dropped, and the common buckets are only looked at for those that stay. The stored vectors are scanned
+    once for each QUERY_BLOCK of questions; a task gives out what reaches `least`, and the `k` best of each question (ties
+    to the smaller document) where k is given. `meter` counts the buckets that were looked at, and all of them, as pairs.
     """
     index = corpus.as_index(documents)
-    asked = query_vectors(queries)
+    asked = queries.select("query_id", query_stems(F.col("query")).alias("words"))
     n = queries.count()
-    if n <= QUERY_BLOCK:
-        return _reach_scan(asked, index, least, k)
     # the stated set of questions in blocks, each of a size that a task can hold
-    blocks = math.ceil(n / QUERY_BLOCK)
-    asked = stored(asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "query-vectors")
-    return reduce(DataFrame.unionByName, [_reach_scan(asked.where(F.col("part") == i).drop("part"), index, least, k) for i in range(blocks)])
-
-
-def _reach_scan(asked: DataFrame, index: corpus.Index, least: float | None, k: int | None) -> DataFrame:
+    blocks = max(1, math.ceil(n / QUERY_BLOCK))
+    parts = [asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, [_reach_scan(p, index, least, k, meter) for p in parts])
+
+
+def sparse_questions(asked: DataFrame) -> tuple[list, list[np.ndarray], list[np.ndarray]]:
+    """Ids, buckets and weights of questions (query_id, words); those without a word are left out."""
+    rows = asked.groupBy("query_id").agg(F.flatten(F.collect_list("words")).alias("words")).where(F.size("words") > 0).orderBy("query_id").collect()
+    names = sorted({w for r in rows for w in r["words"]})
+    number = {w: i for i, w in enumerate(names)}
+    flat = np.array([number[w] for r in rows for w in r["words"]], np.int64)
+    row = np.repeat(np.arange(len(rows)), [len(r["words"]) for r in rows])
+    pair, n = postings.grouped(row * max(len(names), 1) + flat, np.ones(len(flat), np.int64))
+    at, bucket, w = postings.hashed(pair // max(len(names), 1), pair % max(len(names), 1), n, names, len(rows))
+    cuts = np.searchsorted(at, np.arange(1, len(rows)))
+    return [r["query_id"] for r in rows], np.split(bucket, cuts), np.split(w, cuts)
+
+
+def _reach_scan(asked: DataFrame, index: corpus.Index, least: float | None, k: int | None, meter: Accumulator | None) -> DataFrame:
+    query_kind, id_kind = dict(asked.dtypes)["query_id"], index.held.id_type
+    schema = f"query_id {query_kind}, document_id {id_kind}, reach double"
     # QUERY_BLOCK questions of at most BUCKETS numbers, in fact some hundred each
-    rows = asked.orderBy("query_id", "bucket").toPandas()
-    kinds = dict(asked.dtypes)["query_id"], dict(index.vectors.dtypes)["document_id"]
-    schema = f"query_id {kinds[0]}, document_id {kinds[1]}, reach double"
-    names, first = np.unique(rows["query_id"].to_numpy(), return_index=True)
-    bucket, weight = rows["bucket"].to_numpy(), rows["w"].to_numpy()
-    norm = np.add.reduceat(weight**2, first) if len(first) else np.zeros(0)
-    id_type = pa.string() if kinds[1] == "string" else pa.int64()
-    query_type = pa.string() if kinds[0] == "string" else pa.int64()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple]] = [[] for _ in names]
-
-        def given(q: np.ndarray, ids: list, r: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(names[q].tolist(), query_type), pa.array(ids, id_type), pa.array(r)], names=["query_id", "document_id", "reach"])
+    names, buckets, weights = sparse_questions(asked)
+    if not names:
+        return index.spark.createDataFrame([], schema)
+    norms = np.sqrt([float((w**2).sum()) for w in weights])
+    id_type = pa.string() if id_kind == "string" else pa.int64()
+    query_type = pa.string() if query_kind == "string" else pa.int64()
+    held = index.spark.sparkContext.broadcast((names, buckets, weights))
 
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
         for b in batches:
-            ids = b["document_id"].to_pylist()
-            sizes = np.diff(b["buckets"].offsets.to_numpy())
-            at, w = b["buckets"].flatten().to_numpy(), b["weights"].flatten().to_numpy()
-            row = np.repeat(np.arange(len(ids)), sizes)
-            for start in range(0, len(ids), SCAN_ROWS):
-                own = (row >= start) & (row < start + SCAN_ROWS)
-                x = np.zeros((min(SCAN_ROWS, len(ids) - start), corpus.BUCKETS))
-                x[row[own] - start, at[own]] = w[own]
-                left = np.maximum(weight - x[:, bucket], 0)
-                rest = np.sqrt(np.add.reduceat(left**2, first, axis=1)) / np.sqrt(norm)
-                r = np.round(np.clip(1 - rest, 0, 1), 6)
+            for start in range(0, b.num_rows, SCAN_ROWS):
+                part = b.slice(start, SCAN_ROWS)
+                sizes = part["buckets"].value_lengths().to_numpy(zero_copy_only=False)
+                x = np.zeros((part.num_rows, corpus.BUCKETS))
+                x[np.repeat(np.arange(part.num_rows), sizes), part["buckets"].flatten().to_numpy()] = part["weights"].flatten().to_numpy()
+                yield part["document_id"], x
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, buckets, weights = held.value
+        best = [(np.zeros(0), [])] * len(names)
+        # what may be left uncovered; reach is rounded to six places
+        room = np.full(len(names), np.inf) if least is None else ((1 - least + 1e-6) * norms) ** 2
+        plans: list[tuple] = []
+        looked = of = 0
+
+        def given(q: list, ids: list, r: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([names[i] for i in q], query_type), pa.array(ids, id_type), pa.array(r)], names=["query_id", "document_id", "reach"])
+
+        for ids, x in dense(batches):
+            if not plans:
+                for b, w in zip(buckets, weights, strict=True):
+                    order = np.argsort(-(np.maximum(w - x[:64, b], 0) ** 2).mean(axis=0), kind="stable")
+                    cuts = [0, *sorted({max(1, len(b) * s // 16) for s in (1, 2, 4, 8)}), len(b)]
+                    plans.append((b[order], w[order], [(c, d) for c, d in zip(cuts, cuts[1:], strict=False) if d > c]))
+            for j, (b, w, parts) in enumerate(plans):
+                rows, left = np.arange(len(x)), np.zeros(len(x))
+                of += len(x) * len(b)
+                for c, d in parts:
+                    looked += len(rows) * (d - c)
+                    gap = w[c:d] - (x[:, b[c:d]] if len(rows) == len(x) else x[np.ix_(rows, b[c:d])])
+                    np.maximum(gap, 0, out=gap)
+                    left = left + np.einsum("ij,ij->i", gap, gap)
+                    stay = left <= room[j]
+                    rows, left = rows[stay], left[stay]
+                    if not len(rows):
+                        break
+                if not len(rows):
+                    continue
+                r = np.round(np.clip(1 - np.sqrt(left) / norms[j], 0, 1), 6)
                 # without a limit, whatever shares a bucket
-                hit = r >= least if least is not None else np.add.reduceat(x[:, bucket], first, axis=1) > 0
-                d, q = np.nonzero(hit)
+                hit = r >= least if least is not None else x[np.ix_(rows, b)].max(axis=1) > 0
+                rows, r = rows[hit], r[hit]
                 if k is None:
-                    yield given(q, [ids[start + i] for i in d], r[d, q])
+                    yield given([j] * len(rows), ids.take(pa.array(rows)).to_pylist(), r)
                     continue
-                for i, j in zip(d.tolist(), q.tolist()):
-                    best[j].append((-r[i, j], ids[start + i]))
-                for j in np.unique(q).tolist():
-                    if len(best[j]) > 4 * k:
-                        best[j] = sorted(best[j])[:k]
+                values, own = np.concatenate([best[j][0], r]), best[j][1] + ids.take(pa.array(rows)).to_pylist()
+                if len(values) > k:
+                    keep = sorted(range(len(values)), key=lambda i: (-values[i], own[i]))[:k]  # noqa: B023
+                    values, own = values[keep], [own[i] for i in keep]
+                best[j] = (values, own)
+                if len(values) == k:
+                    room[j] = min(room[j], ((1 - values.min() + 2e-6) * norms[j]) ** 2)
         if k is not None:
-            kept = [(j, i, -r) for j, found in enumerate(best) for r, i in sorted(found)[:k]]
-            yield given(np.array([j for j, _, _ in kept], int), [i for _, i, _ in kept], np.array([r for _, _, r in kept], float))
+            q = [j for j, (values, _) in enumerate(best) for _ in values]
+            yield given(q, [i for _, own in best for i in own], np.concatenate([values for values, _ in best]))
+        if meter is not None:
+            meter.add(np.array([looked, of]))
 
-    if not len(names):
-        return index.spark.createDataFrame([], schema)
     return index.vectors.mapInArrow(scan, schema)
 
 
+def query_stems(query: Column) -> Column:
+    """Content words with repeats; the raw words of a question that has none."""
+    own = T.content_words(query)
+    return F.when(F.size(own) > 0, own).otherwise(T.words(query))
+
+
 def query_terms_all(queries: DataFrame) -> DataFrame:
     """Content words with repeats, as (document_id, term) rows; the raw words of a question that has none."""
-    own = T.content_words(F.col("query"))
-    return queries.select(F.col("query_id").alias("document_id"), F.explode(F.when(F.size(own) > 0, own).otherwise(T.words(F.col("query")))).alias("term"))
+    return queries.select(F.col("query_id").alias("document_id"), F.explode(query_stems(F.col("query"))).alias("term"))
 
 
 def ranked(scores: DataFrame, score: str, rank: str, k: int) -> DataFrame:
@@ -163,7 +206,7 @@ def hybrid(queries: DataFrame, documents: DataFrame | corpus.Index, top_k: int =
     A document of the vector list alone needs a reach of its own; the best possible score is 1.
     """
     index = corpus.as_index(documents)
-    return fuse(bm25(queries, index, params), reach(queries, index, params.least_reach, params.pool * top_k), top_k, params)
+    return fuse(bm25(queries, index, params, params.pool * top_k), reach(queries, index, params.least_reach, params.pool * top_k), top_k, params)
 
 
 def fuse(lexical: DataFrame, vectors: DataFrame, top_k: int, params: RetrievalParams = PARAMS) -> DataFrame:
@@ -304,7 +347,7 @@ def top_sentences(queries: DataFrame, documents: DataFrame, top_k: int, index: c
 
     Sentences of a question's documents are a corpus of their own: their df, number and mean length are counted for it.
     """
-    found = ranked(bm25(queries, index or documents), "score", "place", top_k).select("query_id", "document_id", "place")
+    found = ranked(bm25(queries, index or documents, k=top_k), "score", "place", top_k).select("query_id", "document_id", "place")
     hits = found.join(sentence_rows(documents), "document_id")
     raw = hits.select("query_id", "document_id", "place", "ordinal", "sentence", T.content_words(F.concat_ws(" ", "title", "sentence")).alias("w")).withColumn("n_terms", F.size("w"))
     per = raw.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("mean"))

@@ -62,7 +62,7 @@ def prepare(documents: DataFrame, web: DataFrame | None = None, name: str = "cor
         documents = documents.unionByName(guard.safe_passages(web).withColumn("document_id", F.col("document_id").cast("string")), allowMissingColumns=True)
     trusted = documents.select("document_id", "title", reliability(F.col("url"), F.col("reliability"), F.col("origin")).alias("reliability"))
     passages = stored(corpus.passages(documents).join(trusted, "document_id"), f"{name}-passages")
-    index = corpus.build_index(passages.select(F.col("passage_id").alias("document_id"), "text"), name)
+    index = corpus.build_index(passages.select(F.col("passage_id").alias("document_id"), "text"))
     return Corpus(passages, index, stored(corpus.titles(documents), f"{name}-titles"))
 
 

@@ -52,7 +52,7 @@ def kept(spark, sf_dir, name, make) -> corpus.Index:
     """The index of a table, built when it is first asked for in a session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _INDEXES:
-        _INDEXES[key] = corpus.build_index(make(spark, sf_dir), name)
+        _INDEXES[key] = corpus.build_index(make(spark, sf_dir))
     return _INDEXES[key]
 
 
@@ -166,7 +166,7 @@ hybrid AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 @query(f"""WITH {_BM25} SELECT query_id, doc_id, score, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25) WHERE rank <= 5""")
 def bm25_topk(spark, sf):
-    found = retrieval.ranked(retrieval.bm25(items(spark, sf), doc_index(spark, sf)), "score", "rank", 5)
+    found = retrieval.ranked(retrieval.bm25(items(spark, sf), doc_index(spark, sf), k=5), "score", "rank", 5)
     return found.select("query_id", F.col("document_id").alias("doc_id"), "score", long("rank"))
 
 
@@ -217,7 +217,7 @@ def title_links(spark, sf):
 @query()
 def link_hop(spark, sf):
     p = table(spark, sf, "pages").select(F.col("page_id").alias("document_id"), corpus.html_title(F.col("html")).alias("title"), corpus.html_text(F.col("html")).alias("text"))
-    found = retrieval.ranked(retrieval.bm25(items(spark, sf), p), "score", "rank", 15)
+    found = retrieval.ranked(retrieval.bm25(items(spark, sf), p, k=15), "score", "rank", 15)
     return retrieval.link_hop(found, retrieval.mentions(p.select(F.col("document_id").alias("text_id"), "text"), corpus.titles(p)), 5)
 
 
@@ -733,7 +733,7 @@ def calculator(spark, sf):
 @query()
 def statement_drafts(spark, sf):
     d, b = docs(spark, sf), items(spark, sf)
-    found = retrieval.ranked(retrieval.bm25(b, doc_index(spark, sf)), "score", "rank", statements.PASSAGES)
+    found = retrieval.ranked(retrieval.bm25(b, doc_index(spark, sf), k=statements.PASSAGES), "score", "rank", statements.PASSAGES)
     return statements.drafts(b, found, d)
 
 
