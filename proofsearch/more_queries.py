@@ -13,6 +13,7 @@ from .operators import answers, corpus, evaluation, graph, planner, postings, re
 from .queries import _BM25, _CLAIMS, _GROUPS, _HYBRID, _REACH, _RESOLVED, _VECTOR, SQL, _requests, claims, doc_index, docs, items, long, query, table
 from .sources import documents as sources
 from .sources.storage import shared_folder
+from .streaming import answers as live
 
 #: Passages in SQL: sentences packed one after another.
 _PASSAGES = f"""WITH RECURSIVE s AS (SELECT doc_id, i, s, {T.sql.tokens('s')} AS t FROM (SELECT doc_id, unnest({T.sql.sentences('text')}) AS s, generate_subscripts({T.sql.sentences('text')}, 1) AS i FROM documents)),
@@ -439,6 +440,27 @@ def shown_answers(spark, sf):
     return state.shown_answers(shown, clicks)
 
 
+@query(SQL["shown_answers"].replace("arg_max(s.facet, s.ts) AS facet", "arg_max(s.facet, s.ts) AS facet, count(s.key) > 0 AS known"))
+def shown_answers_stream(spark, sf):
+    """The same as one stream of showings and clicks in keyed state; a last row moves the watermark past all others."""
+    base = f"{shared_folder(spark)}/shown-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").select(F.col("user_id").cast("long").alias("key"), F.col("event_id").alias("n"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("facet"))
+    name = lambda n: F.concat(F.lit("T"), n.cast("string"))
+    shown = e.where("n % 2 = 0").select("key", F.lit(0).alias("kind"), name(F.col("n") % 4).alias("interp_id"), "facet", "ts")
+    clicks = e.where("n % 2 = 1").select("key", F.lit(1).alias("kind"), name(F.col("n") % 4 - 1).alias("interp_id"), F.lit(None).cast("string").alias("facet"), "ts")
+    last = e.agg((F.max("ts") + F.expr("interval 2 days")).alias("ts")).select(F.lit(-1).cast("long").alias("key"), F.lit(0).alias("kind"), F.lit("end").alias("interp_id"), F.lit("end").alias("facet"), "ts")
+    shown.unionByName(clicks).unionByName(last).write.parquet(f"{base}/inbox")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    live.on_rocksdb(spark)
+    try:
+        stream = live.clicked(spark.readStream.schema(live.ROWS).parquet(f"{base}/inbox"))
+        stream.writeStream.format("parquet").option("path", f"{base}/clicks").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema(live.CLICKS).parquet(f"{base}/clicks").select("key", "interp_id", "ts", "facet", "known")
+
+
 @query("""SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'deep' ELSE 'auto' END AS depth FROM benchmark""")
 def depth_names(spark, sf):
     b = table(spark, sf, "benchmark")

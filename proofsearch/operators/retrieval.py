@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.storage import stored
 from . import corpus, postings
+from .links import mentions  # noqa: F401  searches take it from here
 from .planner import entities
 
 #: Questions that travel to a scan at once; documents that a scan holds as dense vectors at once.
@@ -245,24 +246,6 @@ def multi_query(first: DataFrame, others: DataFrame, documents: DataFrame | corp
     return merge(main.unionByName(more), pool)
 
 
-def mentions(texts: DataFrame, titles: DataFrame) -> DataFrame:
-    """(text_id, document_id, position): titles whose words stand in a row in a text, at their first place.
-
-    Places meet titles in an equi-join on a title's first two words (its one word); only places that begin some
-    title are kept with it, and the rest of the title is looked up there.
-    """
-    w = texts.select("text_id", T.words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    begin = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.concat_ws(" ", F.slice("w", i, 2)))
-    named = titles.select("document_id", "key", "n", F.concat_ws(" ", F.slice("key", 1, 2)).alias("begin"))
-    places = w.select("text_id", F.posexplode(begin).alias("at", "begin"))
-    if titles.where("n = 1").take(1):  # a title of one word begins at each place of that word
-        places = places.unionByName(w.select("text_id", F.posexplode("w").alias("at", "begin")).where(F.col("at") >= 0)).distinct()
-    hits = places.join(named, "begin").select("text_id", "document_id", "key", "n", (F.col("at") + 1).alias("position"))
-    short = hits.where("n <= 2").select("text_id", "document_id", "position")
-    long_ = hits.where("n > 2").join(w, "text_id").where(F.slice("w", F.col("position"), F.col("n")) == F.col("key")).select("text_id", "document_id", "position")
-    return short.unionByName(long_).groupBy("text_id", "document_id").agg(F.min("position").cast("long").alias("position"))
-
-
 def link_hop(found: DataFrame, links: DataFrame, top_k: int, params: RetrievalParams = PARAMS) -> DataFrame:
     """Adds the documents that the first `link_sources` documents of each question cite, at their own score plus
     half of the citing one's, and keeps the top_k. `links` has (text_id, document_id): citing and cited."""
