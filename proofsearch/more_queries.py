@@ -117,7 +117,23 @@ def written_answers(spark, sf):
 def free_quantities(spark, sf):
     p = table(spark, sf, "part")
     raw = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"))).when(F.col("p_size") % 3 == 1, F.concat(F.col("p_size").cast("string"), F.lit(",5"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(" or so")))
-    return p.select(F.col("p_partkey").alias("id"), verify.free_quantity(raw).alias("value"))
+    return p.select(F.col("p_partkey").alias("id"), verify.free_quantity(raw)["value"].alias("value"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1000 WHEN 2 THEN p_size + 0.5 END::DOUBLE AS value, CASE p_size % 4 WHEN 0 THEN 'GB' WHEN 1 THEN 'GB' WHEN 2 THEN '' END AS unit FROM part""")
+def free_quantities_with_units(spark, sf):
+    p = table(spark, sf, "part")
+    size, kind = F.col("p_size").cast("string"), F.col("p_size") % 4
+    raw = F.when(kind == 0, F.concat(size, F.lit(" Go"))).when(kind == 1, F.concat(F.lit("environ "), size, F.lit(" To"))).when(kind == 2, F.concat(size, F.lit(",5"))).otherwise(F.concat(size, F.lit(" or so")))
+    q = verify.free_quantity(raw)
+    return p.select(F.col("p_partkey").alias("id"), q["value"].alias("value"), q["unit"].alias("unit"))
+
+
+@query("""SELECT p_partkey AS id, p_name || '’s box – "' || p_type || '" isn''t [' || p_size || '], it''s (' || p_brand || ')?' AS text FROM part""".replace("’", "''"))
+def detokenised_marks(spark, sf):
+    """Dashes, shortened words and brackets as a tokenizer of treebanks writes them."""
+    raw = F.concat("p_name", F.lit(" 's box -- ``"), "p_type", F.lit("'' is n't -LSB- "), F.col("p_size").cast("string"), F.lit(" -RSB- , it 's -LRB- "), "p_brand", F.lit(" -RRB- ?"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), sources.detokenize(raw).alias("text"))
 
 
 @query("""SELECT event_id, user_id AS query_id, ((regexp_extract('so: ' || props || ' end', '(?s)\\{.*\\}')) ->> 'k')::BIGINT AS k FROM events""")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 RESAMPLES = 2000
+#: Groups whose sums a task holds before it hands them on.
+HELD_GROUPS = 256
 
 
 def ranking_metrics(ranked: DataFrame, gold: DataFrame, k: int, within: int = 10) -> DataFrame:
@@ -41,21 +46,59 @@ def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def bootstrap(rows: DataFrame, by: str, value: str, seed: int = 0, resamples: int = RESAMPLES) -> DataFrame:
-    """(by, mean, low, high): 95 % interval of the mean over seeded resamples.
+    """(key, mean, low, high): 95 % interval of the mean over seeded resamples.
 
-    A resample is a multinomial draw over distinct values with their counts, so a group travels as its histogram.
+    Each value weighs a Poisson number in each resample, drawn from a generator of its own (seed, group and value), so
+    tasks sum weights and weighted values on their own and the sums of all tasks add up: the draw doesn't depend on how
+    rows are dealt, and a task holds two numbers a resample and group, however many values there are. The interval's
+    ends differ from those of drawing n of n by a share of its width that falls with the root of the number of resamples,
+    under a twentieth for 2000 of them.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v")
-        v, n = pdf["v"].to_numpy(), pdf["n"].to_numpy()
-        rng = np.random.default_rng(seed)
-        means = rng.multinomial(n.sum(), n / n.sum(), resamples) @ v / n.sum()
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(by).cast("string").alias("key"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"key": list(sums), "sums": [s.tobytes() for s in sums.values()]})
+
+        for b in batches:
+            for key, v, n in zip(b["key"], b["v"], b["n"], strict=True):
+                digest = hashlib.blake2b(f"{seed}|{key}|{v!r}".encode(), digest_size=16).digest()
+                w = np.random.Generator(np.random.Philox(key=np.frombuffer(digest, np.uint64))).poisson(n, resamples).astype(np.float64)
+                held = sums.setdefault(key, np.zeros((3, resamples)))
+                # the third row has the plain sums, which no draw changes
+                held[0] += w
+                held[1] += w * v
+                held[2, :2] += (n, n * v)
+            if len(sums) >= HELD_GROUPS:
+                yield out()
+                sums.clear()
+        if sums:
+            yield out()
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total = None, None
+        for b in batches:
+            for k, raw in zip(b["key"], b["sums"], strict=True):
+                own = np.frombuffer(raw).reshape(3, resamples)
+                if k != key:
+                    if key is not None:
+                        yield interval(key, total)
+                    key, total = k, np.zeros((3, resamples))
+                total += own
+        if key is not None:
+            yield interval(key, total)
+
+    def interval(key: str, total: np.ndarray) -> pd.DataFrame:
+        drawn = total[0] > 0  # a resample of a few values may be empty
+        means = total[1][drawn] / total[0][drawn] if drawn.any() else np.array([total[2, 1] / total[2, 0]])
         low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame({"key": [str(pdf[by].iloc[0])], "mean": [float(v @ n / n.sum())], "low": [low], "high": [high]})
+        return pd.DataFrame({"key": [key], "mean": [total[2, 1] / total[2, 0]], "low": [round(low, 9)], "high": [round(high, 9)]})
 
-    return counted.groupBy(by).applyInPandas(draw, "key string, mean double, low double, high double")
+    partial = counted.mapInPandas(draw, "key string, sums binary")
+    # a row for each task and group; a task streams through them, sorted, with the sums of one group
+    return partial.repartition("key").sortWithinPartitions("key").mapInPandas(added, "key string, mean double, low double, high double")
 
 
 def paired_difference(a: DataFrame, b: DataFrame, key: str, value: str, seed: int = 0) -> DataFrame:

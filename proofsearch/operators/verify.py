@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from ..functions import text as T
+from ..functions import units as U
 from ..functions.units import format_quantity
 from . import reason
 
@@ -83,10 +89,15 @@ def accepted_claims(proposed: DataFrame, passages: DataFrame) -> DataFrame:
     return quotes_found(filled.where(T.value_in_quote(F.col("value"), F.col("quote"))), passages).where("quote_found").drop("quote_found")
 
 
-def free_quantity(value: Column) -> Column:
-    """The number of a bare value of up to nine digits; null otherwise."""
-    bare = F.trim(value)
-    return F.when(bare.rlike(r"^[0-9]{1,9}(?:[.,][0-9]+)?$"), F.replace(bare, F.lit(","), F.lit(".")).cast("double"))
+@F.pandas_udf(StructType().add("value", DoubleType()).add("unit", StringType()))
+def free_quantity(values: pd.Series) -> pd.DataFrame:
+    """struct(value, unit) of a free value: its first quantity with a unit, else a bare number of up to nine digits; null fields otherwise."""
+    out = []
+    for v in values:
+        found = next((q for q in U.quantities(v) if q.unit), None)
+        bare = re.fullmatch(r"[0-9]{1,9}(?:[.,][0-9]+)?", (v or "").strip())
+        out.append((found.value, found.unit) if found else (float(bare[0].replace(",", ".")), "") if bare else (None, None))
+    return pd.DataFrame(out, columns=["value", "unit"])
 
 
 def evidence_texts(answers: DataFrame, claims: DataFrame, passages: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import json
 import re
 
@@ -53,13 +55,16 @@ def hotpot_documents(rows: DataFrame) -> DataFrame:
     return each.select("query_id", F.concat_ws("#", F.col("query_id").cast("string"), F.col("n").cast("string")).alias("document_id"), F.col("c.title").alias("title"), F.concat(F.col("c.title"), F.lit(". "), body).alias("text"), F.lit(0.7).alias("reliability"))
 
 
+#: What the tokenizer wrote for brackets, dashes and quotes, before what it put a space, and after what.
+MARKS = [("-LRB-", "("), ("-RRB-", ")"), ("-LSB-", "["), ("-RSB-", "]"), ("-LCB-", "{"), ("-RCB-", "}"), ("--", "–"), ("``", '"'), ("''", '"')]
+SPACED_BEFORE = [",", ".", ";", ":", "?", "!", "'s", "'d", "n't", ")", "]"]
+SPACED_AFTER = ["(", "["]
+
+
 def detokenize(text: Column) -> Column:
-    """Brackets and quotes restored, no space before punctuation."""
-    #: What the tokenizer wrote for brackets and quotes.
-    for was, now in (("-LRB-", "("), ("-RRB-", ")"), ("-LSB-", "["), ("-RSB-", "]"), ("-LCB-", "{"), ("-RCB-", "}"), ("``", '"'), ("''", '"')):
-        text = F.replace(text, F.lit(was), F.lit(now))
-    text = F.regexp_replace(text, r"\s+([.,;:!?)\]])", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"([(\[])\s+", "$1"), r"\s+", " "))
+    """Brackets, dashes and quotes restored; one space less before closing marks and shortened words, and after opening ones."""
+    pairs = [*MARKS, *[(f" {m}", m) for m in SPACED_BEFORE], *[(f"{m} ", m) for m in SPACED_AFTER]]
+    return F.trim(reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text))
 
 
 def fever_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
