@@ -3,8 +3,8 @@
 Documents are dealt by a hash of their id into shards of bounded size. Within a shard, documents with like words are
 next to each other (halved again and again along the direction in which they differ most), and places are cut into
 slices of SLICE documents. A row of `lists` is one term of one shard: its postings by place, cut into a block for each slice that
-has any, and each block's greatest impact. Rows are dealt by range and sorted by term, so that a search reads the row
-groups of its terms; how many documents hold a term is stored, not counted again.
+has any, and each block's greatest impact. A shard's rows are sorted by term, so that a search for few terms skips the
+pages of others; how many documents hold a term is stored, not counted again.
 
 A search sums a question's block impacts to a bound for each slice of a shard, opens the few greatest, and goes
 through the terms, strongest first: a slice whose scores so far and bounds of the terms to come are below the
@@ -37,11 +37,11 @@ from ..functions import text as T
 from ..sources.storage import shared_folder
 
 #: Documents of a slice; documents and characters of a shard.
-SLICE, SHARD_DOCS, SHARD_CHARS = 16, 4_096, 24_000_000
+SLICE, SHARD_DOCS, SHARD_CHARS = 16, 4_096, 5_000_000
+#: Features of documents that are put into buckets at once.
+PAIRS = 1 << 20
 #: Dimensions in which documents are compared for their order, and steps towards the direction of a cut.
 DIMENSIONS, TURNS = 64, 6
-#: Postings of a range of terms, by which the lists are dealt.
-RANGE_ROWS = 200_000
 #: Questions that travel to the shards at once.
 QUERY_BLOCK = 4_096
 #: Terms up to which a search's filter is pushed into the scan as equalities.
@@ -89,19 +89,30 @@ def grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def hashed(row: np.ndarray, term: np.ndarray, tf: np.ndarray, terms: list[str], rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, buckets and weights of sparse vectors of counted terms."""
+    """Rows, buckets and weights of sparse vectors of counted terms, by row; PAIRS features at once."""
     features: dict[str, int] = {}
     grams = [[features.setdefault(f" {t} "[i : i + 3], len(features)) for i in range(max(len(t), 1))] for t in terms]
     sizes = np.array([len(g) for g in grams], np.int64)
-    flat = np.fromiter((g for own in grams for g in own), np.int64, int(sizes.sum()))
-    ends = np.cumsum(sizes)
-    at = spans((ends - sizes)[term], sizes[term])
-    pair, n = grouped(np.repeat(row, sizes[term]) * len(features) + flat[at], np.repeat(tf, sizes[term]).astype(np.float64) * CHAR_WEIGHT)
-    weight = lambda x: np.where(x >= 1, 1 + np.log(np.maximum(x, 1e-300)), x)
+    flat = np.fromiter((g for own in grams for g in own), np.int32, int(sizes.sum()))
+    first = np.cumsum(sizes) - sizes
     chars = np.array([bucket_of(f"c:{f}") for f in features], np.int64)
     words = np.array([bucket_of(f"w:{t}") for t in terms], np.int64)
-    where = np.concatenate([row * BUCKETS + words[term], pair // max(len(features), 1) * BUCKETS + chars[pair % max(len(features), 1)]]) if len(terms) else np.zeros(0, np.int64)
-    key, w = grouped(where, np.concatenate([weight(tf * WORD_WEIGHT), weight(n)]))
+    weight = lambda x: np.where(x >= 1, 1 + np.log(np.maximum(x, 1e-300)), x)
+    order = np.argsort(row, kind="stable")
+    row, term, tf = row[order], term[order], tf[order]
+    ends = np.searchsorted(row, np.arange(rows), "right")  # postings up to each row's last
+    filled = np.cumsum(sizes[term]) if len(term) else np.zeros(0, np.int64)
+    out, begin, low = [], 0, 0
+    while low < rows and len(term):
+        done = int(filled[begin - 1]) if begin else 0
+        high = max(low + 1, int(np.searchsorted(filled[np.maximum(ends, 1) - 1], done + PAIRS, "right")))
+        end = int(ends[min(high, rows) - 1])
+        r, t, n = row[begin:end], term[begin:end], tf[begin:end].astype(np.float64)
+        key, many = grouped(np.repeat(r, sizes[t]) * len(features) + flat[spans(first[t], sizes[t])], np.repeat(n, sizes[t]) * CHAR_WEIGHT)
+        where = np.concatenate([r * BUCKETS + words[t], key // len(features) * BUCKETS + chars[key % len(features)]])
+        out.append(grouped(where, np.concatenate([weight(n * WORD_WEIGHT), weight(many)])))
+        begin, low = end, high
+    key, w = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0))
     return key // BUCKETS, key % BUCKETS, w
 
 
@@ -161,8 +172,30 @@ def arrow_schema(id_type: str) -> pa.Schema:
     return pa.schema([*held, ("place", pa.int32()), ("document_id", ids), ("n_terms", pa.int64()), ("buckets", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64()))])
 
 
-def inverted(rows: DataFrame, id_type: str, params: Bm25, raw: bool) -> DataFrame:
-    """Lists and documents of each shard of (shard, document_id, words, counts); `raw` words are still to be stemmed."""
+def counted(rows: DataFrame, id_type: str) -> DataFrame:
+    """(shard, document_id, words: different stems, counts) of raw words, so that each term of a document is dealt once."""
+    ids = pa.string() if id_type == "string" else pa.int64()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pc.fill_null(pc.list_value_length(b["words"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = pc.dictionary_encode(b["words"].flatten())
+            own = stems_of(coded.dictionary.to_pylist())
+            names = sorted({t for t in own if t is not None})
+            number = {t: i for i, t in enumerate(names)}
+            lut = np.array([-1 if t is None else number[t] for t in own], np.int64)
+            term = lut[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
+            row, held = np.repeat(np.arange(b.num_rows), sizes)[term >= 0], term[term >= 0]
+            key, n = grouped(row * max(len(names), 1) + held, np.ones(len(held), np.int64))
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(key // max(len(names), 1), minlength=b.num_rows))]).astype(np.int32))
+            words = pa.array(names, pa.string()).take(pa.array(key % max(len(names), 1)))
+            yield pa.record_batch([b["shard"], b["document_id"].cast(ids), pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, pa.array(n, pa.int64()))], names=["shard", "document_id", "words", "counts"])
+
+    return rows.select("shard", "document_id", "words").mapInArrow(count, f"shard int, document_id {id_type}, words array<string>, counts array<bigint>")
+
+
+def inverted(rows: DataFrame, id_type: str, params: Bm25) -> DataFrame:
+    """Lists and documents of each shard of (shard, document_id, words: different terms, counts)."""
     schema = arrow_schema(id_type)
 
     def invert(key: tuple, table: pa.Table) -> pa.Table:
@@ -174,15 +207,12 @@ def inverted(rows: DataFrame, id_type: str, params: Bm25, raw: bool) -> DataFram
         sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(words.flatten())
         found = coded.dictionary.to_pylist()
-        own = stems_of(found) if raw else found
-        names = sorted({t for t in own if t is not None})
+        names = sorted(found)
         number = {t: i for i, t in enumerate(names)}
-        lut = np.array([-1 if t is None else number[t] for t in own], np.int64)
+        lut = np.array([number[t] for t in found], np.int64)
         term = lut[coded.indices.to_numpy()] if len(found) else np.zeros(0, np.int64)
         row = np.repeat(np.arange(total), sizes)
-        weight = np.ones(len(term), np.int64) if raw else table["counts"].combine_chunks().flatten().to_numpy().astype(np.int64)
-        keep = term >= 0
-        pair, tf = grouped(term[keep] * total + row[keep], weight[keep])
+        pair, tf = grouped(term * total + row, table["counts"].combine_chunks().flatten().to_numpy().astype(np.int64))
         term, row = pair // max(total, 1), pair % max(total, 1)
         length = np.bincount(row, tf, total).astype(np.int64)
         reference = float(length.mean()) if total else 0.0
@@ -246,7 +276,7 @@ class Postings:
         return reduce(DataFrame.unionByName, [read(k, s) for k, s in enumerate(self.segments)])
 
     def lists(self) -> DataFrame:
-        return self._all("lists", LIST)
+        return self._all("shards", f"{LIST}, kind string").where("kind = 'list'").drop("kind")
 
     def _documents(self) -> DataFrame:
         kept = f"shard int, place int, document_id {self.id_type}, n_terms long, buckets array<int>, weights array<double>, kind string"
@@ -313,17 +343,13 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def _segment(spark: SparkSession, path: str, rows: DataFrame, id_type: str, params: Bm25, raw: bool, less: DataFrame | None = None, dead: DataFrame | None = None) -> tuple[str, int, int]:
+def _segment(spark: SparkSession, path: str, rows: DataFrame, id_type: str, params: Bm25, less: DataFrame | None = None, dead: DataFrame | None = None) -> tuple[str, int, int]:
     """Writes a segment of (shard, document_id, words, counts) under a new name; the name, documents and terms of it."""
     name = f"segment-{uuid.uuid4().hex}"
     at = f"{path}/{name}"
-    _write(inverted(rows, id_type, params, raw), f"{at}/shards", "kind")
+    _write(inverted(rows, id_type, params), f"{at}/shards", "kind")
     mixed = spark.read.schema(mixed_schema(id_type)).parquet(f"{at}/shards")
-    names = [c.split()[0] for c in LIST.split(", ")]
-    fresh = mixed.where("kind = 'list'").select(*names)
-    _write(fresh.repartitionByRange(max(1, math.ceil(fresh.count() / RANGE_ROWS)), "term").sortWithinPartitions("term", "shard"), f"{at}/lists")
-    _remove(spark, f"{at}/shards/kind=list")
-    df = spark.read.schema(LIST).parquet(f"{at}/lists").groupBy("term").agg(F.sum("n").alias("df"))
+    df = mixed.where("kind = 'list'").groupBy("term").agg(F.sum("n").alias("df"))
     _write((df if less is None else df.unionByName(less)).sort("term"), f"{at}/terms")
     _write(dead if dead is not None else spark.createDataFrame([], "name string, shard int, place int"), f"{at}/dead")
     held = mixed.where("kind = 'doc'").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("t")).first()
@@ -342,11 +368,11 @@ def _dealt(rows: DataFrame, n: int, chars: int) -> DataFrame:
 
 
 def _texts(documents: DataFrame) -> tuple[DataFrame, str]:
-    """Raw words of documents, dealt into shards, and the type of their ids."""
+    """Counted terms of documents, dealt into shards, and the type of their ids."""
     id_type = "string" if dict(documents.dtypes)["document_id"] == "string" else "bigint"
     size = documents.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
-    rows = documents.select(F.col("document_id").cast(id_type).alias("document_id"), F.coalesce(T.words(F.col("text")), F.array().cast("array<string>")).alias("words"), F.array().cast("array<bigint>").alias("counts"))
-    return _dealt(rows, size["n"], size["c"]), id_type
+    rows = documents.select(F.col("document_id").cast(id_type).alias("document_id"), F.coalesce(T.words(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    return counted(_dealt(rows, size["n"], size["c"]), id_type), id_type
 
 
 def build(documents: DataFrame, path: str | None = None, params: Bm25 | None = None) -> Postings:
@@ -357,7 +383,7 @@ def build(documents: DataFrame, path: str | None = None, params: Bm25 | None = N
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     rows, id_type = _texts(documents)
-    name, n, terms = _segment(spark, path, rows, id_type, params, True)
+    name, n, terms = _segment(spark, path, rows, id_type, params)
     return _committed(Postings(spark, path, 0, (name,), n, terms, n, id_type, params))
 
 
@@ -391,7 +417,7 @@ def updated(index: Postings, gone: DataFrame | None, new: DataFrame | None, batc
     if lost["n"]:
         less = index.forward(leaving.select("segment", "shard", "place")).select(F.explode("words").alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
     rows, _ = _texts(fresh)
-    name, n, terms = _segment(spark, index.path, rows, id_type, index.params, True, less, dead)
+    name, n, terms = _segment(spark, index.path, rows, id_type, index.params, less, dead)
     after = replace(index, version=index.version + 1, segments=(*index.segments, name), n_docs=index.n_docs - lost["n"] + n, n_terms=index.n_terms - lost["t"] + terms, n_places=index.n_places + n, batch=batch)
     _remove(spark, scratch)
     if compacts and (len(after.segments) > MOST_SEGMENTS or after.n_docs < (1 - MOST_DEAD) * after.n_places):
@@ -402,7 +428,7 @@ def updated(index: Postings, gone: DataFrame | None, new: DataFrame | None, batc
 def compacted(index: Postings) -> Postings:
     """The same documents in one segment, from their postings; texts aren't read."""
     rows = _dealt(index.forward(), index.n_docs, 6 * index.n_terms)
-    name, n, terms = _segment(index.spark, index.path, rows, index.id_type, index.params, False)
+    name, n, terms = _segment(index.spark, index.path, rows, index.id_type, index.params)
     return _committed(replace(index, version=index.version + 1, segments=(name,), n_docs=n, n_terms=terms, n_places=n))
 
 
@@ -560,7 +586,8 @@ def _search(asked: DataFrame, index: Postings, k: int | None) -> DataFrame:
     if len(wanted) <= PUSHED:
         lists = lists.where(reduce(lambda a, b: a | b, [F.col("term") == t for t in wanted]))
     else:
-        lists = lists.join(spark.createDataFrame([(t,) for t in wanted], "term string"), "term", "left_semi")
+        # QUERY_BLOCK questions' terms; without the broadcast, all lists would be shuffled by term
+        lists = lists.join(F.broadcast(spark.createDataFrame([(t,) for t in wanted], "term string")), "term", "left_semi")
     return lists.groupBy("segment", "shard").cogroup(index.shards().groupBy("segment", "shard")).applyInArrow(meet, schema)
 
 
