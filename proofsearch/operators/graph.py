@@ -7,12 +7,12 @@ are taken per source before they meet, so a source that repeats itself counts on
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .aliases import resolve_entities  # noqa: F401  the graph's own names
 
 #: Margin of support from which a conflict is resolved; tolerance of equal values.
 RESOLUTION_MARGIN, TOLERANCE = 0.25, 0.02
@@ -67,36 +67,6 @@ def same_entity(a: Column, b: Column) -> Column:
     return (a == b) | (filled & (digits(wa) == digits(wb)) & (((both == low) & (low >= 2)) | (T.jaccard(wa, wb) >= 0.6)))
 
 
-def resolve_entities(mentions: DataFrame) -> DataFrame:
-    """(query_id, ordinal, key, canonical): each key's first known key that it equals by `same_entity`.
-
-    The rule depends on order and is not transitive, so each question's keys are folded in order; a question's
-    graph has some hundred claims, its distinct keys fewer.
-    """
-
-    def alike(a: str, b: str) -> bool:
-        if a == b:
-            return True
-        wa, wb = set(a.split()), set(b.split())
-        digits = lambda w: {x for x in w if any(c.isdigit() for c in x)}
-        if not wa or not wb or digits(wa) != digits(wb):
-            return False
-        return (wa <= wb or wb <= wa) and min(len(wa), len(wb)) >= 2 or len(wa & wb) / len(wa | wb) >= 0.6
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal", kind="stable")
-        leaders: list[str] = []
-        known: dict[str, str] = {}
-        for key in pdf["key"]:
-            if key not in known:
-                known[key] = next((x for x in leaders if alike(key, x)), key)
-                if known[key] == key:
-                    leaders.append(key)
-        return pdf.assign(canonical=pdf["key"].map(known))[["query_id", "ordinal", "key", "canonical"]]
-
-    return mentions.select("query_id", "ordinal", "key").groupBy("query_id").applyInPandas(fold, "query_id long, ordinal long, key string, canonical string")
-
-
 def value_groups(claims: DataFrame) -> DataFrame:
     """(keys, value, unit, support, n_sources, n_claims): claims of equal units whose values lie within the tolerance of
     a group's first value, in order.
