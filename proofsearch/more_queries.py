@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import units as U
-from .operators import answers, corpus, evaluation, graph, planner, postings, reason, retrieval, state, verify
+from .operators import answers, corpus, evaluation, graph, planner, postings, reason, retrieval, settings, state, verify
 from .queries import _BM25, _CLAIMS, _GROUPS, _HYBRID, _REACH, _RESOLVED, _VECTOR, SQL, _requests, claims, doc_index, docs, items, long, query, table
 from .sources import documents as sources
 from .sources.storage import shared_folder
@@ -285,6 +285,39 @@ def param_grid(spark, sf):
     return evaluation.grid(retrieval.bm25(b, index), retrieval.reach(b, index, retrieval.PARAMS.least_reach, 40), _gold(spark, sf))
 
 
+@query(f"""WITH parts AS (SELECT DISTINCT query_id, query FROM (SELECT item_id AS query_id, unnest({T.sql.sentences('text')}) AS query FROM benchmark)),
+keyed AS (SELECT query_id AS item, query, row_number() OVER () + 1000000 AS key FROM parts),
+asked AS MATERIALIZED (SELECT item_id AS item_id, text FROM benchmark UNION ALL SELECT key, query FROM keyed), {_BM25}, {_REACH},
+lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS bm25_rank FROM bm25) WHERE bm25_rank <= 60),
+vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reach DESC, doc_id) AS vector_rank FROM reach WHERE reach >= 0.12) WHERE vector_rank <= 60),
+c AS (SELECT query_id AS key, doc_id, bm25_rank, coalesce(score / nullif(max(score) OVER (PARTITION BY query_id), 0), 0) AS b, coalesce(reach / nullif(max(reach) OVER (PARTITION BY query_id), 0), 0) AS v
+  FROM (SELECT query_id, doc_id, score, bm25_rank, reach FROM lex FULL JOIN vec USING (query_id, doc_id) WHERE bm25_rank IS NOT NULL OR reach >= 0.3)),
+h AS (SELECT key, wt, doc_id, score FROM (SELECT key, wt, doc_id, score, row_number() OVER (PARTITION BY key, wt ORDER BY score DESC, bm25_rank NULLS LAST, doc_id) AS r
+  FROM (SELECT c.*, wt, round((b + wt * v) / (1 + wt), 6) AS score FROM c, (VALUES (1.0::DOUBLE), (0.25), (0.1), (0.0)) x(wt))) WHERE r <= 15),
+e AS (SELECT coalesce(k.item, h.key) AS query_id, wt, s, doc_id, round(score * CASE WHEN k.item IS NULL THEN 1.0::DOUBLE ELSE s END + 1e-9, 6) AS score, CASE WHEN k.item IS NULL THEN 0 ELSE 1 END AS batch FROM h LEFT JOIN keyed k ON k.key = h.key, (VALUES (1.0::DOUBLE), (0.5)) y(s)),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, wt, s, doc_id ORDER BY score DESC, batch) AS own FROM e) WHERE own = 1),
+m AS (SELECT * FROM (SELECT query_id, wt, s, doc_id, score, row_number() OVER (PARTITION BY query_id, wt, s ORDER BY score DESC, batch, doc_id) AS r FROM o) WHERE r <= 15),
+l AS (SELECT a.doc_id, b.doc_id AS cited FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+t AS (SELECT query_id, wt, s, doc_id, max(own) AS own, max(citing) AS citing FROM (SELECT query_id, wt, s, doc_id, score AS own, NULL::DOUBLE AS citing FROM m UNION ALL SELECT query_id, wt, s, cited, NULL, score FROM m JOIN l USING (doc_id) WHERE r <= 2) GROUP BY query_id, wt, s, doc_id),
+u AS (SELECT *, CASE WHEN citing IS NOT NULL THEN round(coalesce(own, 0) + g * citing + 1e-9, 6) END AS boosted FROM t, (VALUES (0.0::DOUBLE), (0.5), (1.0)) z(g)),
+f AS (SELECT * FROM (SELECT query_id, wt, s, g, doc_id, row_number() OVER (PARTITION BY query_id, wt, s, g ORDER BY greatest(coalesce(own, -1), coalesce(boosted, -1)) DESC, CASE WHEN own >= coalesce(boosted, -1) THEN 0 ELSE 1 END, doc_id) AS rank FROM u) WHERE rank <= 5),
+lines AS (SELECT doc_id, ' ' || array_to_string({T.sql.words('text')}, ' ') || ' ' AS line FROM documents), sought AS (SELECT item_id, ' ' || array_to_string({T.sql.words('text')}, ' ') || ' ' AS line FROM benchmark WHERE len({T.sql.words('text')}) > 0),
+gold AS (SELECT item_id AS query_id, doc_id FROM sought JOIN lines ON contains(lines.line, sought.line)),
+x AS (SELECT gold.query_id, p.wt, p.s, p.g, count(*) AS n, count(*) FILTER (rank <= 2) AS h2, count(*) FILTER (rank <= 5) AS h5, min(rank) AS first FROM gold CROSS JOIN (SELECT DISTINCT wt, s, g FROM f) p LEFT JOIN f ON f.query_id = gold.query_id AND f.doc_id = gold.doc_id AND f.wt = p.wt AND f.s = p.s AND f.g = p.g GROUP BY ALL),
+r AS (SELECT wt, s, g, unnest(['recall@2', 'recall@5', 'all@2', 'all@5', 'mrr@10']) AS metric, unnest([round(h2 / n, 6), round(h5 / n, 6), (h2 = n)::INT, (h5 = n)::INT, round(coalesce(1.0 / first, 0), 6)])::DOUBLE AS value FROM x)
+SELECT wt AS vector_weight, s AS secondary, g AS link_boost, metric, round(100 * avg(value), 1) AS mean FROM r GROUP BY ALL""".replace("FROM benchmark), n", "FROM asked), n").replace("AS term FROM benchmark", "AS term FROM asked"))
+def settings_grid(spark, sf):
+    """24 settings; each document cites the next one, and gold documents hold an item's words in a row."""
+    b, d = items(spark, sf), docs(spark, sf)
+    parts = b.select("query_id", F.explode(T.split_sentences(F.col("query"))).alias("query"))
+    links = d.select(F.col("document_id").alias("text_id"), (F.col("document_id") + 1).alias("document_id")).join(d.select("document_id"), "document_id", "left_semi")
+    words = T.words(F.col("query"))
+    held = retrieval.mentions(d.select(F.col("document_id").alias("text_id"), "text"), b.select(F.col("query_id").alias("document_id"), words.alias("key"), F.size(words).alias("n")))
+    gold = held.select(F.col("document_id").alias("query_id"), F.col("text_id").alias("document_id"))
+    lists = settings.candidates(b, parts, doc_index(spark, sf), 5)
+    return settings.report(settings.rankings(lists, links, 5), gold)
+
+
 @query("""WITH p AS (SELECT conv_id AS query_id, text AS gold, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS pred, turn FROM conversations),
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn DESC) AS r FROM p) WHERE r = 1)
 SELECT 'answered' AS metric, count(*)::BIGINT AS n, round(avg((pred IS NOT NULL)::INT), 6) AS mean FROM l""")
