@@ -38,6 +38,8 @@ from ..sources.storage import shared_folder
 
 #: Documents of a slice; documents and characters of a shard.
 SLICE, SHARD_DOCS, SHARD_CHARS = 16, 4_096, 5_000_000
+#: Words that are counted at once; a batch of rows is looked at in parts of so many, a longer document alone.
+PART_WORDS = 400_000
 #: Features of documents that are put into buckets at once.
 PAIRS = 1 << 20
 #: Dimensions in which documents are compared for their order, and steps towards the direction of a cut.
@@ -176,8 +178,16 @@ def counted(rows: DataFrame, id_type: str) -> DataFrame:
     """(shard, document_id, words: different stems, counts) of raw words, so that each term of a document is dealt once."""
     ids = pa.string() if id_type == "string" else pa.int64()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ends, low = np.cumsum(pc.fill_null(pc.list_value_length(b["words"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            while low < b.num_rows:
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PART_WORDS, "right")))
+                yield b.slice(low, high - low)
+                low = high
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
             sizes = pc.fill_null(pc.list_value_length(b["words"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             coded = pc.dictionary_encode(b["words"].flatten())
             own = stems_of(coded.dictionary.to_pylist())

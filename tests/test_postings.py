@@ -184,3 +184,13 @@ def test_reach_drops_documents_early(spark):
     assert looked < 0.6 * of
     assert retrieval.reach(q, index, 0.12).count() == sum(r >= 0.12 for r in everything.values())
     assert index.held.documents().where(F.size("buckets") == 0).count() == sum(not t for _, t in docs)
+
+
+def test_parts_of_a_batch(spark, monkeypatch):
+    """Counts don't depend on the parts in which batches are looked at; a document longer than a part is one."""
+    rows = spark.createDataFrame([(0, i, (["red", "cars", "the"] * (i % 7))[: 1 + i % 11]) for i in range(50)] + [(0, 99, ["long"] * 500), (0, 100, None), (0, 101, [])], "shard int, document_id long, words array<string>").coalesce(1)
+    show = lambda: sorted((r.document_id, sorted(zip(r.words, r.counts, strict=True))) for r in postings.counted(rows, "bigint").collect())
+    whole = show()
+    monkeypatch.setattr(postings, "PART_WORDS", 9)
+    assert show() == whole
+    assert dict(whole)[99] == [("long", 500)] and dict(whole)[100] == dict(whole)[101] == []
