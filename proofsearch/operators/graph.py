@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import units as U
 from .aliases import resolve_entities  # noqa: F401  the graph's own names
 
 #: Margin of support from which a conflict is resolved; tolerance of equal values.
@@ -145,28 +146,35 @@ def contradictions(groups: DataFrame) -> DataFrame:
     return found.join(each, KEYS)
 
 
-def constraint_verdicts(groups: DataFrame, constraints: DataFrame) -> DataFrame:
-    """(query_id, entity, attribute, comparator, bound, state, degree) of each entity and constraint of its question.
+def constraint_verdicts(groups: DataFrame, constraints: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """(query_id, entity, attribute, comparator, bound, unit, state, degree) of each entity and constraint of its question;
+    the unit only if both tables have units.
 
     What is observed is the winner of a settled attribute, or each group of an open one: all hold, satisfied 1;
-    none, violated 0; some, uncertain 0.5; nothing observed, unknown 0.5.
+    none, violated 0; some, uncertain 0.5; nothing observed, unknown 0.5. A value of another unit is not observed, and
+    a constraint on `unit:X` observes all of an entity's values of that unit. `entities` (query_id, entity) are by
+    default those of the groups.
     """
+    united = "unit" in groups.columns and "unit" in constraints.columns
+    keys = [*KEYS, "comparator", "bound", *["unit"] * united]
     settled = resolve(groups).select(*KEYS, "state", "winner")
-    seen = groups.join(settled, KEYS).where((F.col("state") == "open") | (F.col("value") == F.col("winner"))).select(*KEYS, "value")
-    entities = groups.select("query_id", "entity").distinct()
-    asked = entities.join(constraints, "query_id")
-    held = asked.join(seen, KEYS, "left")
-    ok = F.when(F.col("comparator") == "le", F.col("value") <= F.col("bound") + 1e-9).when(F.col("comparator") == "ge", F.col("value") >= F.col("bound") - 1e-9).otherwise(F.abs(F.col("value") - F.col("bound")) <= TOLERANCE * F.greatest(F.abs("value"), F.abs("bound"), F.lit(1e-9)))
-    out = held.groupBy(*KEYS, "comparator", "bound").agg(F.bool_and(ok).alias("all"), F.bool_or(ok).alias("any"))
+    seen = groups.join(settled, KEYS).where((F.col("state") == "open") | (F.col("value") == F.col("winner"))).select(*KEYS, "value", (F.col("unit") if united else F.lit("")).alias("own_unit"))
+    if united:
+        seen = seen.unionByName(seen.withColumn("attribute", F.concat(F.lit("unit:"), "own_unit")))
+    if entities is None:
+        entities = groups.select("query_id", "entity").distinct()
+    held = entities.join(constraints.select("query_id", *keys[2:]), "query_id").join(seen, KEYS, "left")
+    ok = U.satisfies(F.col("value"), F.col("own_unit"), F.col("comparator"), F.col("bound"), F.col("unit") if united else F.lit(""))
+    out = held.groupBy(*keys).agg(F.bool_and(ok).alias("all"), F.bool_or(ok).alias("any"))
     state = F.when(F.col("all").isNull(), "unknown").when(F.col("all"), "satisfied").when(~F.col("any"), "violated").otherwise("uncertain")
     degree = F.when(state == "satisfied", 1.0).when(state == "violated", 0.0).otherwise(0.5)
-    return out.select(*KEYS, "comparator", "bound", state.alias("state"), degree.alias("degree"))
+    return out.select(*keys, state.alias("state"), degree.alias("degree"))
 
 
 def requirements(claims: DataFrame) -> DataFrame:
     """Requirement claims merged by attribute, comparator, value and unit; confidence is the noisy-or over sources."""
     keys = ["query_id", "attribute", "comparator", "value", "unit"]
-    kept = claims.where((F.col("kind") == "requirement") & ~((F.col("comparator") == "eq") & F.col("attribute").isin("value", "capacity")))
+    kept = claims.where((F.col("kind") == "requirement") & F.col("value").isNotNull() & ~((F.col("comparator") == "eq") & F.col("attribute").isin("value", "capacity")))
     return kept.groupBy(*keys, "source_id").agg(F.max("reliability").alias("r")).groupBy(*keys).agg(T.settled(noisy_or(F.col("r"))).alias("confidence"))
 
 

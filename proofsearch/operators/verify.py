@@ -20,6 +20,7 @@ COMPARATOR_LABELS = {"eq": "=", "le": "\u2264", "lt": "<", "ge": "\u2265", "gt":
 ATTRIBUTE_LABELS = {"value": "valeur", "type": "type", "capacity": "capacit\xe9", "statement": "\xe9nonc\xe9"}
 #: What a claim on a constraint begins or ends with.
 VERBS = {"satisfied": "Respecte", "violated": "Ne respecte pas", "uncertain": "Respect incertain de"}
+REQUIRED_BY = "exigence"
 NOT_VERIFIABLE = " : non v\xe9rifiable"
 STATUS_TAGS = r"\[(?:FAIT|INF\xc9RENCE|INCERTAIN|NON V\xc9RIFI\xc9)\]"
 
@@ -49,19 +50,24 @@ def infer(premises: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def constraint_claims(verdicts: DataFrame, statuses: DataFrame, requirements: DataFrame | None = None) -> DataFrame:
-    """(query_id, entity, attribute, comparator, bound, text, status, confidence) for each verdict on a constraint.
+    """(query_id, entity, attribute, comparator, bound, text, status, confidence) for each verdict (with its unit) on a constraint.
 
     Unknown values are not verifiable. Else the claim is inferred from the attribute's status (query_id, entity,
-    attribute, status, confidence) and that of the documented requirement (query_id, attribute, status, confidence), if any.
+    attribute, status, confidence) and that of the documented requirement (query_id, attribute, status, confidence, and
+    comparator, bound and unit, if it has them), if any. Verdicts with a `holder` name the entity that requires it.
     """
     on = ["query_id", "entity", "attribute"]
-    keys = [*on, "comparator", "bound", "state"]
+    keys = [*on, "comparator", "bound", "unit", "state"]
     known = verdicts.where("state <> 'unknown'").select(*keys)
     premises = known.join(statuses.select(*on, "status", "confidence"), on)
     if requirements is not None:
-        premises = premises.unionByName(known.join(requirements.select("query_id", "attribute", "status", "confidence"), ["query_id", "attribute"]).select(premises.columns))
+        own = [c for c in keys if c in requirements.columns and c not in ("entity", "state")]
+        premises = premises.unionByName(known.join(requirements.select(*own, "status", "confidence"), own).select(premises.columns))
     inferred = reason.infer(premises, keys)
-    out = verdicts.withColumn("label", constraint_label(F.col("attribute"), F.col("comparator"), F.col("bound"), F.col("unit"))).join(inferred, keys, "left")
+    label = constraint_label(F.col("attribute"), F.col("comparator"), F.col("bound"), F.col("unit"))
+    if "holder" in verdicts.columns:
+        label = F.concat(F.lit(f"{REQUIRED_BY} "), "holder", F.lit(" : "), label)
+    out = verdicts.drop("confidence").withColumn("label", label).join(inferred, keys, "left")
     unknown = F.col("state") == "unknown"
     text = F.when(unknown, F.concat("label", F.lit(NOT_VERIFIABLE))).otherwise(F.concat_ws(" ", looked_up(VERBS, F.col("state")), "label"))
     return out.select(*on, "comparator", "bound", text.alias("text"), F.when(unknown, "unverified").otherwise(F.coalesce("status", F.lit("unverified"))).alias("status"), F.when(unknown, 0.0).otherwise(F.coalesce("confidence", F.lit(0.0))).alias("confidence"))

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import units as U
 from ..functions.units import format_quantity
 from ..operators import answers as A
 from ..operators import claims as C
@@ -152,7 +153,10 @@ class Found:
     facts: DataFrame
     groups: DataFrame
     settled: DataFrame
+    statuses: DataFrame
     verdicts: DataFrame
+    needs: DataFrame
+    checked: DataFrame
 
     def facet(self, said: Column, exclusive: bool) -> Column:
         """Degree to which a text is of a reading's facet; a candidate of a sibling's facet is off the point if `exclusive`."""
@@ -163,12 +167,40 @@ class Found:
         return F.when(F.col("state") == "open", 0.5).otherwise(1.0)
 
 
+def quoted(facts: DataFrame, settled: DataFrame) -> DataFrame:
+    """(query_id, entity, attribute, quote_found): whether all claims of the winning value, or of an open conflict, stand in their passages."""
+    stated = facts.where("kind = 'fact' AND comparator = 'eq' AND value IS NOT NULL").join(settled.select(*graph.KEYS, "winner"), graph.KEYS)
+    held = stated.where(F.col("winner").isNull() | U.same_value(F.col("value"), F.col("winner")))
+    return held.groupBy(*graph.KEYS).agg(F.bool_and("quote_found").alias("quote_found"))
+
+
+def documented(plans: DataFrame, facts: DataFrame) -> DataFrame:
+    """What entities that a question names require of others: (query_id, attribute, comparator, bound, unit, weight, holder,
+    status, confidence); the weight is the noisy-or of the sources, the status that of all extracts together."""
+    named = plans.select("query_id", F.explode("entities").alias("name")).select("query_id", graph.entity_key(F.col("name")).alias("key"))
+    own = facts.where("kind = 'requirement'").join(graph.holders(named, facts.select("query_id", "entity").distinct()), ["query_id", "entity"], "left_semi")
+    keys = ["query_id", "attribute", "comparator", "value", "unit"]
+    labels = graph.entity_labels(facts.select("query_id", "entity", F.col("subject").alias("label"), "ordinal")).withColumnRenamed("label", "holder")
+    first = own.groupBy(*keys).agg(F.min_by("entity", "ordinal").alias("entity")).join(labels, ["query_id", "entity"]).drop("entity")
+    status = verify.claim_set_status(own, keys)
+    needed = graph.requirements(own).withColumnRenamed("confidence", "weight").join(first, keys).join(status, keys)
+    return needed.withColumnRenamed("value", "bound")
+
+
+def required(verdicts: DataFrame, needed: DataFrame) -> DataFrame:
+    """Verdicts on documented requirements, each as far as it is certain that it holds: one that is not certain binds less."""
+    keys = ["query_id", "attribute", "comparator", "bound", "unit"]
+    held = verdicts.join(needed.select(*keys, "weight", "holder"), keys)
+    return held.withColumn("degree", F.round(reason.kleene_dienes(F.col("weight"), F.col("degree")), 4)).drop("weight")
+
+
 def entity_family(f: Found) -> Family:
     """Entities that facts of a reading's passages are about; the question's own subject is no answer to it."""
     pool = f.facts.where("kind IN ('fact', 'type')").join(f.passages.select("query_id", "interp_id", "passage_id", "relevance"), ["query_id", "passage_id"])
     key = F.concat(F.lit("entity:"), "entity").alias("candidate_key")
-    quotes = F.concat_ws(" ", F.slice(F.array_sort(F.collect_set("quote")), 1, 40))  # an entity's sentences in a reading's few passages
-    case = pool.groupBy("query_id", "interp_id", key, "entity").agg(F.max("relevance").alias("relevance"), F.sum((F.col("kind") == "fact").cast("int")).alias("n_facts"), quotes.alias("said"))
+    case = pool.groupBy("query_id", "interp_id", key, "entity").agg(F.max("relevance").alias("relevance"), F.sum((F.col("kind") == "fact").cast("int")).alias("n_facts"))
+    # all that is said of an entity in the question's passages
+    told = f.facts.where("kind IN ('fact', 'type')").groupBy("query_id", "entity").agg(F.concat_ws(" ", "entity", F.array_sort(F.collect_set("quote")), F.array_sort(F.collect_set("value_text"))).alias("said"))
     named = f.plans.select("query_id", F.explode("entities").alias("name")).select("query_id", graph.entity_key(F.col("name")).alias("key"))
     held = graph.holders(named, case.select("query_id", "entity").distinct()).withColumn("named", F.lit(True))
     case = case.join(f.plans.select("query_id", "key_terms", "question_type"), "query_id").join(held, ["query_id", "entity"], "left")
@@ -176,11 +208,11 @@ def entity_family(f: Found) -> Family:
     own_topic = F.col("named").isNotNull() | (F.size(F.array_except(F.split("entity", " "), "key_terms")) == 0)
     case = case.where(compared | (~own_topic & (F.col("n_facts") > 0)))
     case = case.withColumn("ordinal", F.row_number().over(W.partitionBy("query_id", "interp_id").orderBy(F.desc("relevance"), "entity"))).where(F.col("ordinal") <= reason.MOST_ENTITIES)
-    case = stored(case.join(f.readings, ["query_id", "interp_id"]).withColumn("said", T.stems(F.col("said"))), "entity-cases")
+    case = stored(case.join(told, ["query_id", "entity"]).join(f.readings, ["query_id", "interp_id"]).withColumn("said", T.stems(F.col("said"))), "entity-cases")
     source = case.join(f.facts.select("query_id", "entity", "source_id", "reliability").distinct(), ["query_id", "entity"])
     support = source.groupBy(*reason.CANDIDATE, "source_id").agg(F.max("reliability").alias("r")).groupBy(*reason.CANDIDATE).agg(F.round(graph.noisy_or(F.col("r")), 4).alias("support"))
     open_ = f.settled.where("state = 'open'").select("query_id", "entity").distinct()
-    asked = f.verdicts.select("query_id", "entity", F.col("attribute").alias("on"), F.col("degree").alias("d"))
+    asked = f.verdicts.unionByName(f.needs.select(f.verdicts.columns)).select("query_id", "entity", F.col("attribute").alias("on"), F.col("degree").alias("d"))
     premises = _all([
         _premise(case, 0, "relevance", F.lit("relevance"), F.col("relevance")),
         _premise(support, 1, "evidence", F.lit("support"), F.col("support")),
@@ -188,7 +220,8 @@ def entity_family(f: Found) -> Family:
         _premise(case.join(asked, ["query_id", "entity"]), 3, "constraint", F.col("on"), F.col("d")),
         _premise(case.join(open_, ["query_id", "entity"]), 4, "consistency", F.lit("consistency"), F.lit(0.5)),
     ])
-    statuses = case.join(reason.attribute_status(f.settled).select("query_id", "entity", "status"), ["query_id", "entity"]).select(*reason.CANDIDATE, "status")
+    claims = f.statuses.select("query_id", "entity", "status").unionByName(f.checked.select("query_id", "entity", "status"))
+    statuses = case.join(claims, ["query_id", "entity"]).select(*reason.CANDIDATE, "status")
     return Family(case.select(*reason.CANDIDATE, "entity", F.col("entity").alias("label"), "ordinal"), premises, statuses, source.select(*reason.CANDIDATE, "source_id", "reliability"))
 
 
@@ -197,26 +230,31 @@ def value_family(f: Found) -> Family:
     pool = f.facts.where("kind = 'fact'").join(f.passages.select("query_id", "interp_id", "passage_id", "relevance"), ["query_id", "passage_id"]).join(f.plans.select("query_id", "key_terms", "asked"), "query_id")
     topic = (F.col("entity") != "") & (F.size(F.array_except(F.split("entity", " "), "key_terms")) == 0)
     pool = pool.where(topic & ((F.size("asked") == 0) | F.array_contains("asked", F.col("attribute"))))
-    stated = pool.groupBy("query_id", "interp_id", "entity", "attribute").agg(F.max("relevance").alias("relevance"), F.min("ordinal").alias("first"), F.concat_ws(" ", F.slice(F.array_sort(F.collect_set("quote")), 1, 40)).alias("said"))
+    stated = pool.groupBy("query_id", "interp_id", "entity", "attribute").agg(F.max("relevance").alias("relevance"), F.min("ordinal").alias("first"))
     shown = F.when(F.coalesce("unit", F.lit("")) == "", F.col("value").cast("string")).otherwise(format_quantity(F.col("value"), F.col("unit")))
     case = stated.join(f.groups, ["query_id", "entity", "attribute"]).withColumn("shown", shown).join(f.settled.select("query_id", "entity", "attribute", "state", "winner"), ["query_id", "entity", "attribute"])
     case = case.withColumn("candidate_key", F.concat_ws(":", F.lit("value"), "entity", "attribute", "shown"))
     order = W.partitionBy("query_id", "interp_id").orderBy("first", "entity", "attribute", F.desc("support"), "value")
     case = case.withColumn("ordinal", F.row_number().over(order)).where(F.col("ordinal") <= reason.MOST_VALUES)
-    case = stored(case.join(f.readings, ["query_id", "interp_id"]).withColumn("said", T.stems(F.col("said"))), "value-cases")
+    # all sentences that state the value, with their documents' titles
+    near = U.same_value(F.col("v"), F.col("value")) & F.col("own_unit").eqNullSafe(F.col("unit"))
+    stating = f.facts.where("kind = 'fact' AND comparator = 'eq'").select("query_id", "entity", "attribute", F.col("value").alias("v"), F.col("unit").alias("own_unit"), "quote", "title")
+    told = case.select("query_id", "entity", "attribute", "value", "unit").distinct().join(stating, ["query_id", "entity", "attribute"]).where(near)
+    told = told.groupBy("query_id", "entity", "attribute", "value", "unit").agg(F.concat_ws(" ", F.array_sort(F.collect_set("quote")), F.array_sort(F.collect_set("title"))).alias("said"))
+    case = case.join(told, ["query_id", "entity", "attribute", "value", "unit"], "left")
+    case = stored(case.join(f.readings, ["query_id", "interp_id"]).withColumn("said", T.stems(F.coalesce("said", F.lit("")))), "value-cases")
     lost = (F.col("state") == "resolved") & (F.col("value") != F.col("winner"))
-    bound = f.plans.select("query_id", F.explode("constraints").alias("c")).select("query_id", "c.attribute", "c.comparator", F.col("c.value").alias("bound"))
-    ok = F.when(F.col("comparator") == "le", F.col("value") <= F.col("bound") + 1e-9).when(F.col("comparator") == "ge", F.col("value") >= F.col("bound") - 1e-9).otherwise(F.abs(F.col("value") - F.col("bound")) <= graph.TOLERANCE * F.greatest(F.abs("value"), F.abs("bound"), F.lit(1e-9)))
+    bound = f.plans.select("query_id", F.explode("constraints").alias("c")).select("query_id", "c.attribute", "c.comparator", F.col("c.value").alias("bound"), F.col("c.unit").alias("bound_unit"))
+    ok = U.satisfies(F.col("value"), F.col("unit"), F.col("comparator"), F.col("bound"), F.col("bound_unit"))
     premises = _all([
         _premise(case, 0, "relevance", F.lit("relevance"), F.col("relevance")),
         _premise(case, 1, "evidence", F.lit("support"), F.round("support", 4)),
         _premise(case, 2, "facet", F.lit("facet"), f.facet(F.col("said"), False)),
         _premise(case, 3, "consistency", F.lit("consistency"), F.when(lost, 0.0).otherwise(f.conflict_degree())),
-        _premise(case.join(bound, ["query_id", "attribute"]), 4, "constraint", F.col("attribute"), ok.cast("double")),
+        _premise(case.join(bound, ["query_id", "attribute"]), 4, "constraint", F.col("attribute"), F.coalesce(ok.cast("double"), F.lit(0.5))),
     ])
-    status = case.join(reason.attribute_status(f.settled).select("query_id", "entity", "attribute", "status"), ["query_id", "entity", "attribute"])
-    near = F.abs(F.col("v") - F.col("value")) <= graph.TOLERANCE * F.greatest(F.abs("v"), F.abs("value"), F.lit(1e-9))
-    held = case.join(f.facts.select("query_id", "entity", "attribute", F.col("value").alias("v"), "source_id", "reliability").distinct(), ["query_id", "entity", "attribute"]).where(near)
+    status = case.join(f.statuses.select("query_id", "entity", "attribute", "status"), ["query_id", "entity", "attribute"])
+    held = case.join(f.facts.select("query_id", "entity", "attribute", F.col("value").alias("v"), "source_id", "reliability").distinct(), ["query_id", "entity", "attribute"]).where(U.same_value(F.col("v"), F.col("value")))
     label = F.concat_ws(" : ", "entity", "shown").alias("label")
     return Family(case.select(*reason.CANDIDATE, "entity", label, "ordinal"), premises, status.select(*reason.CANDIDATE, F.when(lost, "unverified").otherwise(F.col("status")).alias("status")), held.select(*reason.CANDIDATE, "source_id", "reliability"))
 
@@ -272,7 +310,8 @@ def search(queries: DataFrame, documents: DataFrame | Corpus, priors: DataFrame
     # the focus of a document's sentences is carried over its passages, so whole documents are read
     cited = held.passages.join(found.select(F.col("source_id").alias("document_id")).distinct(), "document_id", "left_semi")
     stated = C.extract(cited.select("document_id", "ordinal", "passage_id", "text"))
-    own = found.select("query_id", "passage_id", "source_id", "reliability").distinct()
+    own = found.select("query_id", "passage_id", "source_id", "title", "reliability").distinct()
+    stated = verify.quotes_found(stated, cited)
     per_query = own.join(stated.drop("document_id", "reliability"), "passage_id").dropDuplicates(["query_id", "claim_id"]).where("subject_key <> ''")
     ordinal = F.row_number().over(W.partitionBy("query_id").orderBy("source_id", "place", "claim_id")).cast("long")
     per_query = stored(per_query.withColumn("ordinal", ordinal), "per-query")
@@ -281,41 +320,45 @@ def search(queries: DataFrame, documents: DataFrame | Corpus, priors: DataFrame
     groups = graph.value_groups(facts.where("kind = 'fact' AND comparator = 'eq' AND value IS NOT NULL").select("query_id", "entity", "attribute", "value", "unit", "ordinal", "source_id", "reliability"))
     groups = stored(groups, "groups")
     settled = stored(graph.resolve(groups), "settled")
-    bounds = plans.select("query_id", F.explode("constraints").alias("c")).select("query_id", "c.attribute", "c.comparator", F.col("c.value").alias("bound"))
-    verdicts = stored(graph.constraint_verdicts(groups, bounds), "verdicts")
-
-    made = Found(plans, readings, found.where("interp_id <> 'context'"), facts, groups, settled, verdicts)
+    statuses = stored(reason.attribute_status(settled, quoted(facts, settled)), "statuses")
+    bounds = plans.select("query_id", F.explode("constraints").alias("c")).select("query_id", "c.attribute", "c.comparator", F.col("c.value").alias("bound"), "c.unit")
+    entities = stored(facts.where("kind IN ('fact', 'type')").select("query_id", "entity").distinct(), "entities")
+    verdicts = stored(graph.constraint_verdicts(groups, bounds, entities), "verdicts")
+    needed = stored(documented(plans, facts), "needed")
+    needs = stored(required(graph.constraint_verdicts(groups, needed, entities), needed), "needs")
+    checked = verify.constraint_claims(verdicts, statuses).unionByName(verify.constraint_claims(needs, statuses, needed))
+
+    made = Found(plans, readings, found.where("interp_id <> 'context'"), facts, groups, settled, statuses, verdicts, needs, stored(checked, "checked"))
     families = [entity_family(made), value_family(made), statement_family(made, held.texts)]
     entity_first = F.col("question_type").isin("recommendation", "comparison") | (F.size("constraints") > 0)
     rank = lambda first, later: F.when(entity_first, first).otherwise(later)
     order = plans.select("query_id", F.array(rank(0, 1), rank(1, 0), rank(2, 0)).alias("order"))
     cases = _all([x.cases.withColumn("kind", F.lit(i)) for i, x in enumerate(families)]).join(order, "query_id").withColumn("family", F.element_at("order", F.col("kind") + 1)).drop("order")
     premises = stored(_all([x.premises for x in families]), "premises")
-    statuses, sources = _all([x.statuses for x in families]), stored(_all([x.sources for x in families]), "sources")
+    judged, sources = _all([x.statuses for x in families]), stored(_all([x.sources for x in families]), "sources")
     open_ = settled.where("state = 'open'").groupBy("query_id", "entity").agg(F.count(F.lit(1)).alias("n"))
-    disputed = statuses.where("candidate_key LIKE 'statement:%' AND status = 'uncertain'").select(*reason.CANDIDATE).distinct().withColumn("n", F.lit(1).cast("long"))
+    disputed = judged.where("candidate_key LIKE 'statement:%' AND status = 'uncertain'").select(*reason.CANDIDATE).distinct().withColumn("n", F.lit(1).cast("long"))
     conflicts = cases.where("entity IS NOT NULL").join(open_, ["query_id", "entity"]).select(*reason.CANDIDATE, "n").unionByName(disputed)
-    scored = reason.tap_score(stored(reason.godel_gate(premises), "gate"), statuses, conflicts, sources)
+    scored = reason.tap_score(stored(reason.godel_gate(premises), "gate"), judged, conflicts, sources)
     scored = scored.join(cases.select(*reason.CANDIDATE, "entity", "label", "family", "kind", (F.col("kind") * 100 + F.col("ordinal")).alias("ordinal")), reason.CANDIDATE)
     scored = scored.join(readings.select("query_id", "interp_id", "facet", "plausibility"), ["query_id", "interp_id"])
     scored = stored(reason.family_fallback(scored), "scored")
     if priors is None:
         priors = spark.createDataFrame([], "facet string, prior double")
     chosen = stored(reason.select_answers(scored, priors), "chosen")
-    return SearchTables(screened, plans, readings, found, facts, groups, settled, premises, scored, _told(chosen, scored, facts, settled, verdicts, sources, found))
+    return SearchTables(screened, plans, readings, found, facts, groups, settled, premises, scored, _told(chosen, scored, facts, statuses, made.checked, sources, found))
 
 
-def _told(chosen: DataFrame, scored: DataFrame, facts: DataFrame, settled: DataFrame, verdicts: DataFrame, sources: DataFrame, found: DataFrame) -> DataFrame:
+def _told(chosen: DataFrame, scored: DataFrame, facts: DataFrame, statuses: DataFrame, checked: DataFrame, sources: DataFrame, found: DataFrame) -> DataFrame:
     """Chosen answers with their texts and sources."""
     rows = chosen.join(scored.select(*reason.CANDIDATE, "entity", "label"), reason.CANDIDATE)
     titles = found.select("query_id", "source_id", "title").distinct()
     cited = sources.join(rows.select(*reason.CANDIDATE), reason.CANDIDATE, "left_semi").join(titles, ["query_id", "source_id"]).withColumn("ordinal", F.lit(0))
     named = A.ordered_sources(cited, reason.CANDIDATE)
-    status = reason.attribute_status(settled).select("query_id", "entity", "attribute", "status")
+    status = statuses.select("query_id", "entity", "attribute", "status")
     best = facts.where("kind IN ('fact', 'type')").groupBy("query_id", "entity", "attribute", "kind").agg(F.max_by("value_text", F.struct("reliability", -F.col("ordinal"))).alias("value_text"), F.min("ordinal").alias("at"))
     said = best.join(status, ["query_id", "entity", "attribute"], "left").withColumn("text", F.concat_ws(" : ", verify.attribute_label(F.col("attribute")), "value_text")).withColumn("status", F.coalesce("status", F.lit("fact"))).select("query_id", "entity", F.col("at"), "text", "status")
-    bound = verdicts.withColumn("unit", F.lit("")).withColumn("at", F.lit(1_000_000).cast("long"))
-    checked = verify.constraint_claims(bound, reason.attribute_status(settled)).select("query_id", "entity", F.lit(1_000_000).cast("long").alias("at"), "text", "status")
+    checked = checked.select("query_id", "entity", F.lit(1_000_000).cast("long").alias("at"), "text", "status")
     place = F.row_number().over(W.partitionBy("query_id", "entity").orderBy("at", "text"))
     listed = said.withColumn("place", place).where(F.col("place") <= MOST_CLAIMS).drop("place").unionByName(checked)
     claims = listed.groupBy("query_id", "entity").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "text", "status"))), lambda c: F.struct(c["text"].alias("text"), c["status"].alias("status"))).alias("claims"))

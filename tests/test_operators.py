@@ -270,6 +270,52 @@ def test_whole_search(spark):
     assert s.candidates.where("candidate_key LIKE '%vega%'").first().rejected
 
 
+def test_constraints_in_units(spark):
+    """Values of another unit are not observed; a constraint on a unit observes all attributes that have it."""
+    rows = [(1, "a", "ram", 16.0, "GB"), (1, "a", "storage", 512.0, "GB"), (1, "b", "ram", 8.0, "cores"), (1, "c", "ram", 16.0, "GB")]
+    groups = spark.createDataFrame([(*r, 0.9, 1) for r in rows], "query_id long, entity string, attribute string, value double, unit string, support double, n_sources long")
+    bounds = [(1, "ram", "gt", 8.0, "GB"), (1, "ram", "lt", 16.0, "GB"), (1, "unit:GB", "ge", 32.0, "GB")]
+    asked = spark.createDataFrame(bounds, "query_id long, attribute string, comparator string, bound double, unit string")
+    entities = spark.createDataFrame([(1, x) for x in "abcd"], "query_id long, entity string")
+    got = {(r.entity, r.attribute, r.comparator): r.state for r in graph.constraint_verdicts(groups, asked, entities).collect()}
+    assert len(got) == 12
+    assert [got[e, "ram", "gt"] for e in "abcd"] == ["satisfied", "unknown", "satisfied", "unknown"]
+    assert [got[e, "ram", "lt"] for e in "abcd"] == ["violated", "unknown", "violated", "unknown"]
+    assert [got[e, "unit:GB", "ge"] for e in "abcd"] == ["uncertain", "unknown", "violated", "unknown"]
+
+
+def test_documented_minimum_rejects_the_weaker_entity(spark):
+    """What a named entity requires binds the candidates as far as its sources make it certain, and the answer says so."""
+    rows = [
+        ("need", "Zephyr 12B", "Zephyr 12B nécessite au moins 16 Go de RAM.", 0.8),
+        ("need2", "Guide", "Zephyr 12B nécessite au moins 16 Go de RAM. Un guide.", 0.9),
+        ("orion", "Orion X200", "Orion X200 est un ordinateur portable. Orion X200 dispose de 8 Go de RAM.", 0.8),
+        ("vega", "Vega 5", "Vega 5 est un ordinateur portable. Vega 5 dispose de 32 Go de RAM.", 0.8),
+    ]
+    kind = "document_id string, title string, text string, url string, reliability double, origin string"
+    q = questions(spark, "Quel est le meilleur ordinateur portable pour Zephyr 12B ?")
+    s = plans.search(q, spark.createDataFrame([(i, t, x, None, r, "corpus") for i, t, x, r in rows], kind))
+    cases = s.candidates.where("kind = 0").collect()
+    orion, vega = ([r for r in cases if r.candidate_key == f"entity:{x}"] for x in ("orion x200", "vega 5"))
+    assert orion and all(r.rejected and r.admissibility == pytest.approx(0.02) and r.reason == "ram" for r in orion)
+    assert any(not r.rejected for r in vega) and {r.entity for r in cases} == {"orion x200", "vega 5"}
+    said = [r.answer for r in s.answers.collect() if r.candidate_key == "entity:vega 5"]
+    assert said and all("Respecte exigence Zephyr 12B : ram ≥ 16 Go" in x for x in said), said
+    assert all(r.quote_found for r in s.claims.collect())
+    # a single doubtful source binds less
+    one = spark.createDataFrame([(i, t, x, None, 0.4 if i == "need" else r, "corpus") for i, t, x, r in rows if i != "need2"], kind)
+    weak = plans.search(q, one).premises.where("candidate_key = 'entity:orion x200' AND kind = 'constraint'").collect()
+    assert weak and all(r.degree == pytest.approx(0.6) for r in weak)
+
+
+def test_a_quote_that_its_passage_lacks_is_no_fact(spark):
+    settled = spark.createDataFrame([(1, "a", "ram", 16.0, "consistent", 0.9, 0.9), (1, "b", "ram", 8.0, "consistent", 0.9, 0.9)], "query_id long, entity string, attribute string, winner double, state string, support double, margin double")
+    facts = [(1, "a", "ram", 16.0, True), (1, "a", "ram", 16.1, False), (1, "b", "ram", 8.0, True), (1, "b", "ram", 99.0, False)]
+    facts = spark.createDataFrame(facts, "query_id long, entity string, attribute string, value double, quote_found boolean").withColumns({"kind": F.lit("fact"), "comparator": F.lit("eq")})
+    got = {r.entity: (r.status, r.confidence) for r in reason.attribute_status(settled, plans.quoted(facts, settled)).collect()}
+    assert got == {"a": ("unverified", 0.0), "b": ("fact", 0.9)}
+
+
 def test_families_and_answers(spark):
     """A factual question is answered by a value, which loses if more reliable sources say otherwise; unsafe web pages go."""
     rows = [
