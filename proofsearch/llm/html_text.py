@@ -39,9 +39,15 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "d
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}}
 #: Words of classes and ids that name what is not the article, anywhere and outside of an article element.
-ANYWHERE = r"ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|popup\w*|modal\w*|overlay|menu\w*|nav\w*|breadcrumb\w*|sidebar\w*|widget\w*|related\w*|recommend\w*|share\w*|sharing|social\w*|comments?|comment-?list|respond|repl(?:y|ies)|disqus\w*|subscribe\w*|newsletter\w*|sign-?up|login|pagination|pager|skip\w*"
+ANYWHERE = r"ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|popup\w*|modal\w*|overlay|menu\w*|nav|nav(?:bar|igation|links?|list|menu)|breadcrumb\w*|sidebar\w*|widget\w*|related\w*|recommend\w*|share\w*|sharing|social\w*|comments?|comment-?list|respond|repl(?:y|ies)|disqus\w*|subscribe\w*|newsletter\w*|sign-?up|login|pagination|pager|skip\w*"
 OUTSIDE = r"side|alert\w*|footer\w*|header\w*|masthead|topbar|toolbar|search\w*|tag-?list|copyright|legal|disclaimer"
-NAMES, OUTSIDE_NAMES = (re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I) for words in (ANYWHERE, f"{ANYWHERE}|{OUTSIDE}"))
+#: Words that say nothing of what a part holds, and words whose compounds name the same as they do.
+NEUTRAL = re.compile(r"box|bar|list|links?|buttons?|btn|icons?|section|block|area|panel|form|container|wrapper|wrap|inner|outer|holder|group|row|col|column|items?|posts?|articles?|entry|story|stories|topics?|page|site|main|inline|in|top|bottom|left|right|first|last|floating|sticky|fixed|unit|slot|js|wp|us|this|on|and|more|tools?|thread|body|content|count|meta|user|follow|email|header|footer|title|message|[0-9]+(?:x[0-9]+)?", re.I)
+COMPOUNDS = re.compile(r"comments?|advert\w*|sponsored|disqus\w*", re.I)
+NAMES = re.compile(rf"(?:^|[\s_-])(?:{ANYWHERE}|{OUTSIDE})(?:$|[\s_-])", re.I)
+INSIDE_WORD, WORD = (re.compile(words, re.I) for words in (ANYWHERE, f"{ANYWHERE}|{OUTSIDE}"))
+#: Elements that hold running text: as within an article, each word of a name counts.
+TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dt", "dd", "td", "th", "figcaption", "span", "b", "i", "em", "strong", "a"}
 #: A class or id that begins so names a part of the article.
 PART_OF_ARTICLE = re.compile(r"(?:^|\s)(?:entry|article|post|story)[_-](?:header|title|legal|disclaimer)\S*", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
@@ -90,13 +96,29 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _is_named(names: str, word: re.Pattern[str]) -> bool:
+    """Whether one of the names is such a word, or made of such words and of neutral ones alone: `share-buttons`, not `share-price`."""
+    for name in names.split():
+        parts = [p for p in re.split("[_-]+", name) if p]
+        own = [word.fullmatch(p) is not None for p in parts]
+        if word.fullmatch(name) or any(own) and (COMPOUNDS.fullmatch(parts[0]) or all(o or NEUTRAL.fullmatch(p) for o, p in zip(own, parts))):
+            return True
+    return False
+
+
 def _is_furniture(tag: str, a: dict[str, str], inside_holder: bool) -> bool:
     if tag in FURNITURE or tag == "header" and not inside_holder:
         return True
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
         return True
-    names = NAMES if inside_holder else OUTSIDE_NAMES
-    return a.get("role", "").lower() in ROLES or tag not in WHOLE and any(names.search(PART_OF_ARTICLE.sub(" ", a.get(k, ""))) for k in ("class", "id"))
+    if a.get("role", "").lower() in ROLES:
+        return True
+    if tag in WHOLE:
+        return False
+    names = [PART_OF_ARTICLE.sub(" ", a[k]) for k in ("class", "id") if a.get(k)]
+    if inside_holder or tag in TEXT:
+        return any(_is_named(x, INSIDE_WORD if inside_holder else WORD) for x in names)
+    return any(NAMES.search(x) for x in names)
 
 
 class Reader:
@@ -307,7 +329,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     A null or empty html gives an empty text, as does one without content. Each page is read for itself, so
-    repeated rows agree; null ids and urls are kept. An empty table gives no rows. Other columns are ignored.
+    repeated rows agree; null ids and urls are kept. An empty table gives no rows. Other columns are ignored, whatever
+    their names. A very long page is read whole, in time proportional to its length, and must fit in a worker's memory.
+    Equally heavy elements are settled by depth, then by page order.
     """
     tune(pages.sparkSession)
 

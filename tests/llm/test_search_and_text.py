@@ -153,6 +153,20 @@ def test_any_markup_gives_lines_of_text(page):
     assert all(x and x == " ".join(x.split()) for x in out.split("\n")) or out == ""
 
 
+@pytest.mark.parametrize("name", ['class="text-navy"', 'class="share-price"', 'class="related-work"', 'class="menu-prices"', 'class="promo-code-explained"', 'id="overlay-text"', 'class="socket navy_blue"'])
+@pytest.mark.parametrize("around", ["article", "div"])
+def test_a_name_that_holds_more_than_furniture_keeps_its_text(name, around):
+    page = f"<nav><a href=/>Home</a></nav><{around}><p>Some text before, long enough; with marks.</p><p {name}>This one stays, as all its words say; with marks.</p><p>Some text after, long enough; with marks.</p></{around}>"
+    assert html_text.main_text(page).split("\n")[1:2] == ["This one stays, as all its words say; with marks."]
+
+
+@pytest.mark.parametrize("name", ['class="ad"', 'class="ad-728x90"', 'class="share-buttons"', 'class="related_posts"', 'class="x cookie-notice"', 'id="comment-17"', 'class="comment-text"', 'class="sign-up"', 'class="post-comments"', 'class="newsletter-box"'])
+@pytest.mark.parametrize("tag", ["p", "div"])
+def test_a_name_of_furniture_alone_takes_its_text(name, tag):
+    page = f"<article><p>Some text before, long enough; with marks.</p><{tag} {name}>This one goes, as its name says; with marks.</{tag}><p>Some text after, long enough; with marks.</p></article>"
+    assert "goes" not in html_text.main_text(page)
+
+
 SOUP = """<div><div class="x"><a href=1>Home</a></div><div class="x"><a href=2>News of today</a></div></div><div class="y"><b>Tiny</b></div>
 <div><p>Long text, with marks; and so on. It goes on, and on, for quite a while, as texts do.</p><p>More of it, here. And words; many.</p>
 <div class="z"><a href=3>Another story</a></div><p>And the end, which is long as well; or nearly so, at least.</p></div><div class="y">Odds</div><div class="y">Ends</div>"""
