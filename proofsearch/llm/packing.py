@@ -219,6 +219,8 @@ def _tokens(rows: DataFrame, tokenizer: str) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = unit_tokenizer(tokenizer, False)
+        if tok.bpe.size > IDS:
+            raise ValueError(f"packing keeps token ids in two bytes, and this vocabulary has {tok.bpe.size}")
         for b in batched(batches):
             texts = one_array(b["text"]).fill_null("")
             yield pa.record_batch({"doc_id": one_array(b["doc_id"]), "chars": pc.utf8_length(texts).cast(pa.int64()), "ids": binary_rows(*tok.flat(texts))})
@@ -270,7 +272,8 @@ def dealt(tokens: DataFrame, corpus: Corpus) -> DataFrame:
             slots = deal.slot(keys(*values_of(b["ids"], np.dtype("<u2")), draws))
             yield pa.record_batch({"shard": deal.shard(slots, b["salt"].to_numpy()), "doc_id": b["doc_id"], "ids": b["ids"]})
 
-    salted = tokens.select("doc_id", "ids", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("salt"))
+    # rows of one doc_id, or of none, are dealt apart: tokens are stored, so a row's number is the same in every attempt
+    salted = tokens.select("doc_id", "ids", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 40)).alias("salt"))
     return salted.mapInArrow(put, "shard long, doc_id string, ids binary")
 
 
@@ -278,7 +281,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
     A null or empty text is the end id alone; a null doc_id is kept; rows with equal doc_ids are packed
-    each for itself; an empty table gives no rows. Other columns are ignored. Very long texts are cut over windows.
+    each for itself, and are dealt over shards where they are many; an empty table gives no rows. Other columns are
+    ignored. Very long texts are cut over windows. Neighbours of equal score come in the order of doc_id (as text), then
+    of their ids. A vocabulary of more than 65,536 tokens is refused.
     """
     tune(docs.sparkSession)
     tokens = materialise(_tokens(doc_columns(docs, "doc_id", "text"), tokenizer), "token-ids")

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -96,6 +97,26 @@ def test_edges(spark):
         packing.pack(spark.createDataFrame(rows, schema), "/nowhere.json").count()
 
 
+@pytest.mark.parametrize("doc_id", [None, "7"])
+def test_rows_of_one_id_are_dealt_over_shards(spark, monkeypatch, doc_id):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 100)
+    rows = [(doc_id, 1, np.arange(20, dtype="<u2").tobytes())] * 2000
+    tokens = spark.createDataFrame(rows, "doc_id string, chars long, ids binary").repartition(3)
+    sizes = [r["count"] for r in packing.dealt(tokens, packing._corpus(tokens)).groupBy("shard").count().collect()]
+    assert sum(sizes) == 2000 and len(sizes) >= 20 and max(sizes) <= 200
+
+
+def test_wide_vocabulary_is_refused(spark, tmp_path):
+    with open(tokenizer_path("word_bpe_49k.json")) as f:
+        wide = json.load(f)
+    at = max(wide["model"]["vocab"].values()) + 1
+    wide["model"]["vocab"].update({f"\u2460{k}": at + k for k in range(20_000)})
+    (tmp_path / "wide.json").write_text(json.dumps(wide))
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(Exception, match="two bytes"):
+        packing.pack(docs, str(tmp_path / "wide.json")).count()
+
+
 def related(groups, size, seed=0):
     """Documents of `size` to a group, each of words of the group's own and of common ones."""
     r = np.random.default_rng(seed)
