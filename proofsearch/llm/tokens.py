@@ -3,7 +3,7 @@
 A byte-pair tokenizer never merges across the places where its pre-tokenizer splits, and the public
 vocabularies split at white space. So a text is cut into chunks at spaces, and its ids are its chunks'
 ids in order. Arrow cuts a batch of texts and numbers its different chunks; Python looks each of those up
-once a batch, and numpy puts the ids together. A chunk that is new is cut into runs of letters and runs of
+once a batch (of a vocabulary without spaces, the different words and marks in them), and numpy puts the ids together. A chunk that is new is cut into runs of letters and runs of
 marks, again as the pre-tokenizer cuts, whose ids come from the library's merges and are cached too; a chunk
 of anything else goes through the whole tokenizer, and so does a text whose white space the cut would change.
 """
@@ -31,8 +31,12 @@ LONG = 100
 CUT_BYTES = 24 << 20
 #: Marks that often end a word.
 ENDS = frozenset(".,;:!?")
+#: The ASCII marks, but for the apostrophe.
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 #: Runs that the pre-tokenizers of both vocabularies keep whole: Latin letters, marks (no apostrophe), one line end.
-PARTS = re.compile(f" ?[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+| ?[!-&(-/:-@\\[-`{{-~]+|\\n(?![{SPACE}])").findall
+LATIN = "[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]"
+LETTERS = "".join(re.findall(LATIN, "".join(map(chr, range(256)))))
+PARTS = re.compile(f" ?{LATIN}+| ?[!-&(-/:-@\\[-`{{-~]+|\\n(?![{SPACE}])").findall
 
 
 def _byte_chars() -> dict[int, int]:
@@ -108,11 +112,30 @@ class SpacedChunks(dict):
         return out
 
 
+class PlainParts(dict):
+    """Ids of runs of Latin letters in lower case, and of ASCII marks."""
+
+    def __init__(self, bpe: Bpe) -> None:
+        self.merge, self.code = bpe.merge, bpe.code
+
+    def __missing__(self, part: str) -> bytes:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS)
+        if not part:
+            return b""
+        out = self[part] = array(self.code, [t.id for t in self.merge(shown)]).tobytes()
+        return out
+
+
 class BareChunks(dict):
-    """Ids of chunks between white space that the vocabulary drops, in lower case."""
+    """Ids of chunks between white space that the vocabulary drops, in lower case.
+
+    Most chunks are Latin letters with or without marks after them. Arrow takes these apart, so Python sees each
+    different run of letters or marks once a batch, and not each chunk; an added token that could be in them forbids that.
+    """
 
     def __init__(self, bpe: Bpe) -> None:
-        self.bpe = bpe
+        self.bpe, self.parts = bpe, PlainParts(bpe)
+        self.simple = not any(re.fullmatch(f"{LATIN}*[{re.escape(MARKS)}]*", t) for t in bpe.added)
 
     def __missing__(self, chunk: str) -> bytes:
         out = self.bpe.pieces(chunk, True)
@@ -120,6 +143,28 @@ class BareChunks(dict):
             self[chunk] = out
         return out
 
+    def known(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of different chunks, in some order, and the place of each chunk there."""
+        stems = pc.ascii_rtrim(chunks, MARKS)
+        short = pc.less_equal(pc.utf8_length(chunks), LONG if self.simple else -1)
+        plain = pc.and_(pc.match_substring_regex(stems, f"^{LATIN}+$"), short)
+        ids = pc.binary_join_element_wise(
+            self._of_parts(pc.utf8_lower(stems.filter(plain))),
+            self._of_parts(pc.utf8_ltrim(chunks.filter(plain), LETTERS)),
+            pa.scalar(b"", pa.large_binary()),
+        )
+        others = list(map(self.__getitem__, chunks.filter(pc.invert(plain)).to_pylist()))
+        is_plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+        place = np.where(is_plain, np.cumsum(is_plain) - 1, len(ids) + np.cumsum(~is_plain) - 1)
+        return pa.concat_arrays([ids, pa.array(others, pa.large_binary())]), place
+
+    def _of_parts(self, parts: pa.Array) -> pa.Array:
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        coded = parts.dictionary_encode()
+        ids = list(map(self.parts.__getitem__, coded.dictionary.to_pylist()))
+        return pa.array(ids, pa.large_binary()).take(coded.indices)
+
 
 class UnitTokenizer:
     """Ids of whole texts; `keeps_space` says whether a space belongs to the token after it."""
@@ -139,13 +184,16 @@ class UnitTokenizer:
         at = cut.offsets.to_numpy().astype(np.int64)
         at -= at[0]
         which = coded.indices.to_numpy()
-        known = list(map(self.chunks.__getitem__, coded.dictionary.to_pylist()))
         if self.keeps_space:
-            known, which = self._first_and_odd(texts, known, which, at)
+            known, which = self._first_and_odd(texts, list(map(self.chunks.__getitem__, coded.dictionary.to_pylist())), which, at)
+            known = pa.array(known, pa.large_binary())
+        else:
+            known, place = self.chunks.known(coded.dictionary)
+            which = place[which]
         if end_id is not None:
-            known.append(np.array([end_id], self.kind).tobytes())
+            known = pa.concat_arrays([known, pa.array([np.array([end_id], self.kind).tobytes()], pa.large_binary())])
             which, at = np.insert(which, at[1:], len(known) - 1), at + np.arange(len(at))
-        got = pa.array(known, pa.large_binary()).take(pa.array(which))
+        got = known.take(pa.array(which))
         flat, size = values_of(got, self.kind)
         ends = np.concatenate([[0], np.cumsum(size)])
         return flat, np.diff(ends[at])

@@ -39,6 +39,16 @@ def test_any_text(name, keeps, specials):
             assert got.tolist() == e.ids, ascii(text)
 
 
+def test_words_with_marks_after_them():
+    """50,000 texts of Latin words, marks and what looks like them, in one call, against the plain library."""
+    t, r = unit_tokenizer(tokenizer_path("word_bpe_49k.json"), False), random.Random(3)
+    words = ["The", "\xc9t\xe9", "stra\xdfe", "\xd7", "\xf7x", "na\xefve", "\u212aelvin", "\u0130", "it's", "a1", "x" * 99, "y" * 100, "z" * 101, "", "\u0153uvre", "\xffa", "A\u0301"]
+    marks = ["", "", "%%%", "...", "'", "!?", "###", "\u2026", "$", "-", "<", "1", "\\"]
+    texts = [r.choice([" ", "\n", "  "]).join(r.choice(words) + r.choice(marks) for _ in range(r.randint(0, 6))) for _ in range(50_000)]
+    for text, got, e in zip(texts, t.ids(texts), t.bpe.whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert got.tolist() == e.ids, ascii(text)
+
+
 def test_special_tokens_are_text_unless_asked_for():
     path = tokenizer_path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
