@@ -1,10 +1,10 @@
 """Quality rules with an isolation forest on rule statistics.
 
 Each text's rule statistics (word, symbol, line and repetition counts) are computed over the whole text.
-An isolation forest, fitted on a bounded sample of good rows, isolates texts by random splits of those
+An isolation forest, each of whose trees draws its few rows from all good ones, isolates texts by random splits of those
 statistics; a short mean path marks an anomaly. Splits are drawn from a box somewhat wider than the rows', so
 that a statistic which is the same in all good rows (no symbols) isolates a text that differs in it. The score
-from which a text is rejected is calibrated on the labelled rows of the sample: the highest catch of rows
+from which a text is rejected is calibrated on all labelled rows: the highest catch of rows
 labelled as poor that loses at most GOOD_LOSS of the others.
 """
 
@@ -17,12 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .base import doc_columns, fresh, tune
+from .base import discard, doc_columns, fresh, materialise, tune
 
-#: Labelled rows read for calibration, those with the smallest hash of doc_id; the trees draw from them too.
-SAMPLE_DOCS = 10_000
 TREES, TREE_ROWS = 100, 256
 GOOD_LOSS = 0.002
 #: How far a tree's box reaches beyond its rows: a share of the sample's range, and this much at least.
@@ -102,6 +101,15 @@ class IsolationForest:
         pad = np.maximum(PAD * (x.max(axis=0) - x.min(axis=0)), LEAST_PAD)
         return cls([cls._tree(x[r.choice(len(x), size, replace=False)], pad, r) for _ in range(TREES)], size)
 
+    @classmethod
+    def grown(cls, drawn: np.ndarray, extent: np.ndarray, seed: int = 11) -> IsolationForest:
+        """Of each tree's own rows; `extent` is the range of each statistic over all rows."""
+        r = np.random.default_rng(seed)
+        if drawn.shape[1] < 2:
+            return cls([], drawn.shape[1])
+        pad = np.maximum(PAD * extent, LEAST_PAD)
+        return cls([cls._tree(x, pad, r) for x in drawn], drawn.shape[1])
+
     @staticmethod
     def _tree(x: np.ndarray, pad: np.ndarray, r: np.random.Generator) -> tuple[np.ndarray, ...]:
         limit, nodes = int(np.ceil(np.log2(len(x)))), []
@@ -146,39 +154,98 @@ class QualityModel:
         return failed, score, ~failed & (score < self.cut)
 
 
-def fit_counts(c: np.ndarray, good: np.ndarray) -> QualityModel:
-    """A forest over good rows that pass the base rules, and the cut that the labels of all such rows give."""
-    passed = ~base_failed(c) if len(c) else np.zeros(0, bool)
-    x, good = rule_statistics(c[passed]) if passed.any() else np.zeros((0, 5)), good[passed]
-    forest = IsolationForest.fit(x[good])
-    score = forest.score(x)
-    if not good.any() or good.all():
+def _drawn(rows: DataFrame) -> np.ndarray:
+    """TREE_ROWS rows of (doc_id, COUNTS) for each tree, those of the smallest hash of tree and doc_id: trees by rows by
+    statistics. A task hands on its own smallest, and what is collected is as large for any table."""
+    seeds = np.random.default_rng(11).integers(1, 1 << 62, TREES).astype(np.uint64)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rank, kept = np.zeros((0, TREES), np.uint64), np.zeros((0, 1 + len(COUNTS)), np.int64)
+        for b in batches:
+            if not len(b):
+                continue
+            rank = np.concatenate([rank, np.stack([pd.util.hash_array(b["doc_id"].to_numpy().view(np.uint64) ^ s) for s in seeds], axis=1)])
+            kept = np.concatenate([kept, b[["doc_id", *COUNTS]].to_numpy(np.int64)])
+            if len(kept) > TREE_ROWS:
+                own = np.unique(np.argpartition(rank, TREE_ROWS - 1, axis=0)[:TREE_ROWS])
+                rank, kept = rank[own], kept[own]
+        if len(kept):
+            size = min(TREE_ROWS, len(kept))
+            at = np.argpartition(rank, size - 1, axis=0)[:size].T
+            tree = np.repeat(np.arange(TREES), size)
+            yield pd.DataFrame(dict(zip(["doc_id", *COUNTS], kept[at.reshape(-1)].T)) | {"tree": tree, "rank": rank[at.reshape(-1), tree].view(np.int64)})
+
+    each = rows.mapInPandas(draw, ", ".join(f"{n} long" for n in ("doc_id", *COUNTS, "tree", "rank")))
+    place = F.row_number().over(W.partitionBy("tree").orderBy("rank", "doc_id"))
+    found = each.withColumn("place", place).where(F.col("place") <= TREE_ROWS).orderBy("tree", "place").toPandas()  # TREES times TREE_ROWS rows
+    return rule_statistics(found[COUNTS].to_numpy(np.int64)).reshape(TREES, -1, 5) if len(found) else np.zeros((TREES, 0, 5))
+
+
+def _nth(scores: DataFrame, n: int) -> float:
+    """The n-th smallest (from 0) of positive doubles, exactly: their bits are as ordered as they are, and are counted 16 at a time."""
+    bits = 0
+    for shift in (48, 32, 16, 0):
+        own = scores if shift == 48 else scores.where(F.shiftrightunsigned("bits", shift + 16) == bits)
+        counted = own.groupBy(F.shiftrightunsigned("bits", shift).alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("b").toPandas()  # 65,536 rows at most
+        k = int(np.searchsorted(np.cumsum(counted["n"].to_numpy()), n, "right"))
+        n -= int(counted["n"].to_numpy()[:k].sum())
+        bits = int(counted["b"].to_numpy()[k])
+    return float(np.array([bits], np.int64).view(np.float64)[0])
+
+
+def fit_rows(rows: DataFrame) -> QualityModel:
+    """A forest whose trees draw from all good rows of (doc_id, good, COUNTS), and the cut that all rows' labels give."""
+    kinds = {r["good"]: r["n"] for r in rows.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
+    good = rows.where("good")
+
+    def box(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = rule_statistics(b[COUNTS].to_numpy(np.int64))
+            if len(x):
+                yield pd.DataFrame(np.stack([x.min(axis=0), x.max(axis=0)]).reshape(1, -1), columns=[f"{e}{i}" for e in ("low", "high") for i in range(5)])
+
+    ends = good.select(*COUNTS).mapInPandas(box, ", ".join(f"{e}{i} double" for e in ("low", "high") for i in range(5)))
+    r = ends.agg(*[F.min(f"low{i}") for i in range(5)], *[F.max(f"high{i}") for i in range(5)]).first()
+    if r[0] is None:
+        return QualityModel(IsolationForest([], 0), 1.0)
+    forest = IsolationForest.grown(_drawn(good), np.array(r[5:]) - np.array(r[:5]))
+    if len(kinds) < 2 or not forest.trees:
         return QualityModel(forest, 1.0)
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            s = shared.value.score(rule_statistics(b[COUNTS].to_numpy(np.int64)))
+            yield pd.DataFrame({"good": b["good"].to_numpy(bool), "score": s, "bits": s.view(np.int64)})
+
+    scores = materialise(rows.select("good", *COUNTS).mapInPandas(score, "good boolean, score double, bits long"), "scores")
     # a row is rejected from the cut on; what is lost of good rows decides how low it may be
-    floor = float(np.quantile(score[good], 1 - GOOD_LOSS, method="higher"))
-    poor = score[~good]
-    above = poor[poor > floor]
-    return QualityModel(forest, float((floor + above.min()) / 2) if len(above) else 1.0)
+    floor = _nth(scores.where("good").select("bits"), int(np.ceil((kinds[True] - 1) * (1 - GOOD_LOSS))))
+    least = scores.where(~F.col("good") & (F.col("score") > F.lit(floor))).agg(F.min("score")).first()[0]
+    discard(scores)
+    return QualityModel(forest, 1.0 if least is None else (floor + least) / 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    """A model of the labelled rows; a row with several labels counts as good if one says so."""
+    """A model of all labelled rows that pass the base rules; a row with several labels counts as good if one says so, of rows of
+    one id the one of the smallest counts is taken."""
+    tune(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
-    marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    # the sample is bounded, so it may be broadcast
-    sample = marks.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    rows = doc_columns(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = rows.select("doc_id", "quality", counter()("text").alias("c")).select("doc_id", "quality", *[F.col(f"c.{n}").alias(n) for n in COUNTS]).toPandas()
-    found = found.sort_values(["doc_id", *COUNTS]).drop_duplicates("doc_id")
-    return fit_counts(found[COUNTS].to_numpy(np.int64).reshape(-1, 5), found["quality"].to_numpy() > 0)
-
+    marks = marks.groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
 
-def counter():
-    @F.pandas_udf(", ".join(f"{n} long" for n in COUNTS))
-    def count(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([counts(t) for t in texts], columns=COUNTS)
-
-    return count
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            c = np.array([counts(t) for t in b["text"]], np.int64).reshape(-1, 5)
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(np.int64)} | dict(zip(COUNTS, c.T)))
+
+    # counts travel to the labels, texts stay where they are
+    counted = doc_columns(docs, "doc_id", "text").where("doc_id is not null").mapInPandas(count, ", ".join(f"{n} long" for n in ("doc_id", *COUNTS)))
+    first = counted.groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("c")).select("doc_id", "c.*")
+    passed = (F.col("n_words") >= LEAST_WORDS) & (100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words"))
+    rows = materialise(first.where(passed).join(marks, "doc_id"), "labelled")
+    model = fit_rows(rows)
+    discard(rows)
+    return model
 
 
 def quality(docs: DataFrame, labels: DataFrame, model: QualityModel | None = None) -> DataFrame:

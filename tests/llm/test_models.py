@@ -193,3 +193,22 @@ def test_long_runs_are_learned_whole(spark):
     rows = [(i, "m" * 45 + ("tuktuk" if i % 2 else "zorzor") * 5, "aa" if i % 2 else "bb") for i in range(60)]
     model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert {"tukt", "zorz"} <= set(model.grams[4])
+
+
+def test_quality_is_fitted_on_all_labelled_rows(spark, monkeypatch):
+    """Every tree draws its own rows from all good ones, and the cut is the exact quantile of all of them."""
+    r = np.random.default_rng(4)
+    data = [(i, bool(i % 9), int(r.integers(60, 900)), int(r.integers(300, 4000)), int(r.integers(0, 30)), int(r.integers(0, 9)), int(r.integers(0, 20))) for i in range(12_000)]
+    rows = spark.createDataFrame(data, "doc_id long, good boolean, " + ", ".join(f"{n} long" for n in quality.COUNTS)).repartition(5)
+    drawn = quality._drawn(rows)
+    assert drawn.shape == (quality.TREES, quality.TREE_ROWS, 5)
+    x = quality.rule_statistics(np.array([d[2:] for d in data]))
+    assert len({tuple(v) for v in drawn.reshape(-1, 5)}) > 10_000  # more than any one sample of the rows that was read before
+    model = quality.fit_rows(rows)
+    good = np.array([d[1] for d in data])
+    score = model.forest.score(x)
+    floor = float(np.quantile(score[good], 1 - quality.GOOD_LOSS, method="higher"))
+    above = score[~good][score[~good] > floor]
+    assert model.cut == pytest.approx((floor + above.min()) / 2 if len(above) else 1.0)
+    again = quality.fit_rows(rows.repartition(3))
+    assert again.cut == pytest.approx(model.cut)
