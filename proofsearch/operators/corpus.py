@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +55,14 @@ def counted_terms(documents: DataFrame) -> DataFrame:
     return kept.groupBy("document_id", "term").agg(F.sum("n").alias("n"))
 
 
+def counted_words(documents: DataFrame) -> DataFrame:
+    """(document_id, words, counts): different content words of each document, whose rows meet once; words never become rows."""
+    id_type = "string" if dict(documents.dtypes)["document_id"] == "string" else "bigint"
+    own = documents.select(F.col("document_id").cast(id_type).alias("document_id"), T.words(F.col("text")).alias("words"))
+    own = own.groupBy("document_id").agg(F.flatten(F.collect_list("words")).alias("words")).withColumn("shard", F.lit(0))
+    return postings.counted(own, id_type).drop("shard")
+
+
 def build_index(documents: DataFrame) -> Index:
     """Postings and vectors of documents (document_id, text), each read once."""
     return Index(postings.build(documents.select("document_id", "text")))
@@ -78,7 +90,18 @@ def hashed_features(documents: DataFrame) -> DataFrame:
     A feature weighs its base times 1 + ln of its weighted count where that is one or more, else the count;
     features that share a bucket add up.
     """
-    return weighed(counted_terms(documents))
+    counted = counted_words(documents)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            coded = pc.dictionary_encode(b["words"].flatten())
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b["words"]).to_numpy().astype(np.int64))
+            at, held, w = postings.hashed(row, coded.indices.to_numpy().astype(np.int64), b["counts"].flatten().to_numpy(), coded.dictionary.to_pylist(), b.num_rows)
+            yield pa.record_batch([b["document_id"].take(pa.array(at)), pa.array(held.astype(np.int32)), pa.array(w)], names=["document_id", "bucket", "w"])
+
+    kind = dict(documents.dtypes)["document_id"]
+    found = counted.mapInArrow(weigh, f"document_id {dict(counted.dtypes)['document_id']}, bucket int, w double")
+    return found.withColumn("document_id", F.col("document_id").cast(kind))
 
 
 def vector(rows: DataFrame) -> DataFrame:

@@ -71,3 +71,15 @@ def test_satisfies_and_format(spark):
     assert [r.x for r in d.select(U.satisfies(*[F.col(c) for c in "vucbw"]).alias("x")).collect()] == [True, False, None]
     n = spark.createDataFrame([(1299.5, "EUR"), (16.0, "GB"), (0.25, "")], "v double, u string")
     assert [r.x for r in n.select(U.format_quantity(F.col("v"), F.col("u")).alias("x")).collect()] == ["1 299,5 €", "16 Go", "0,25"]
+
+
+def test_hashed_features_of_rows_that_share_an_id(spark):
+    from proofsearch.operators import corpus
+
+    texts = [(1, "Red foxes run, red foxes jump 3,5 times"), (1, "red foxes again"), (2, "the"), (3, None), (4, "écoles écoles ordinateurs")]
+    d = spark.createDataFrame(texts, "document_id long, text string")
+    want = {(r.document_id, r.bucket): r.w for r in corpus.weighed(corpus.counted_terms(d)).collect()}
+    got = {(r.document_id, r.bucket): r.w for r in corpus.hashed_features(d).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    plan = corpus.hashed_features(d)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
