@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import units as U
 from .operators import answers, corpus, evaluation, graph, planner, postings, reason, retrieval, settings, state, verify
-from .queries import _BM25, _CLAIMS, _GROUPS, _HYBRID, _REACH, _RESOLVED, _VECTOR, SQL, _requests, claims, doc_index, docs, items, long, query, table
+from .queries import _BM25, _CLAIMS, _GROUPS, _HYBRID, _REACH, _RESOLVED, _VECTOR, SQL, _requests, claims, doc_index, docs, gold_documents, items, long, query, table
 from .sources import documents as sources
-from .sources.storage import shared_folder
+from .sources.storage import shared_folder, stored
 from .streaming import answers as live
 
 #: Passages in SQL: sentences packed one after another.
@@ -249,15 +249,13 @@ m AS (SELECT system, query_id, unnest(['recall@2', 'recall@5', 'all@2', 'all@5',
 
 
 def _gold(spark, sf):
-    """Documents that hold the beginning of an item; the few items travel to the documents."""
-    b, d = items(spark, sf), docs(spark, sf)
-    return d.join(F.broadcast(b) if b.count() <= 10_000 else b, F.contains(d.text, F.substring(b["query"], 1, 60))).select("query_id", "document_id")
+    return gold_documents(items(spark, sf), docs(spark, sf))
 
 
 def _rankings(spark, sf):
     b, index = items(spark, sf), doc_index(spark, sf)
     lex = retrieval.ranked(retrieval.bm25(b, index, k=5), "score", "rank", 5).select(F.lit("bm25").alias("system"), "query_id", "document_id", "rank")
-    return lex.unionByName(retrieval.hybrid(b, index, 5).select(F.lit("hybrid").alias("system"), "query_id", "document_id", "rank"))
+    return stored(lex.unionByName(retrieval.hybrid(b, index, 5).select(F.lit("hybrid").alias("system"), "query_id", "document_id", "rank")), "rankings")
 
 
 @query(f"WITH {_RANKINGS} SELECT * FROM m")
@@ -282,7 +280,8 @@ m AS (SELECT w, unnest(['recall@2', 'recall@5', 'all@2', 'all@5', 'mrr@10']) AS
 SELECT w::VARCHAR AS vector_weight, metric, round(100 * avg(value), 1) AS mean FROM m GROUP BY ALL""")
 def param_grid(spark, sf):
     b, index = items(spark, sf), doc_index(spark, sf)
-    return evaluation.grid(retrieval.bm25(b, index), retrieval.reach(b, index, retrieval.PARAMS.least_reach, 40), _gold(spark, sf))
+    # fusion reads 40 of each list, once for each weight
+    return evaluation.grid(stored(retrieval.bm25(b, index, k=40), "lexical"), stored(retrieval.reach(b, index, retrieval.PARAMS.least_reach, 40), "vectors"), _gold(spark, sf))
 
 
 @query(f"""WITH parts AS (SELECT DISTINCT query_id, query FROM (SELECT item_id AS query_id, unnest({T.sql.sentences('text')}) AS query FROM benchmark)),
@@ -313,9 +312,9 @@ def settings_grid(spark, sf):
     links = d.select(F.col("document_id").alias("text_id"), (F.col("document_id") + 1).alias("document_id")).join(d.select("document_id"), "document_id", "left_semi")
     words = T.words(F.col("query"))
     held = retrieval.mentions(d.select(F.col("document_id").alias("text_id"), "text"), b.select(F.col("query_id").alias("document_id"), words.alias("key"), F.size(words).alias("n")))
-    gold = held.select(F.col("document_id").alias("query_id"), F.col("text_id").alias("document_id"))
+    gold = stored(held.select(F.col("document_id").alias("query_id"), F.col("text_id").alias("document_id")), "gold")
     lists = settings.candidates(b, parts, doc_index(spark, sf), 5)
-    return settings.report(settings.rankings(lists, links, 5), gold)
+    return settings.report(stored(settings.rankings(lists, links, 5), "rankings"), gold)
 
 
 @query("""WITH p AS (SELECT conv_id AS query_id, text AS gold, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS pred, turn FROM conversations),
