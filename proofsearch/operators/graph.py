@@ -7,6 +7,8 @@ are taken per source before they meet, so a source that repeats itself counts on
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from .aliases import resolve_entities  # noqa: F401  the graph's own names
 
 #: Margin of support from which a conflict is resolved; tolerance of equal values.
 RESOLUTION_MARGIN, TOLERANCE = 0.25, 0.02
+#: Claims that a task groups, about.
+TASK_ROWS = 200_000
 #: Kinds that never conflict, and text attributes that have one value.
 NO_CONFLICT = ("type", "statement")
 SINGLE_VALUED = [
@@ -73,9 +77,14 @@ def value_groups(claims: DataFrame) -> DataFrame:
     a group's first value, in order.
 
     Distinct values are grouped first, so a group's fold is over values and not over claims. Support is the noisy-or
-    of each source's best reliability.
+    of each source's best reliability. The number of tasks follows the number of claims, so that what one holds doesn't grow.
     """
-    first = claims.groupBy(*KEYS, "unit", "value").agg(F.min("ordinal").alias("ordinal"))
+    parts = max(1, math.ceil(claims.count() / TASK_ROWS))
+    each = claims.select(*KEYS, "unit", "value", "source_id", "reliability", "ordinal").repartition(parts, "query_id", "entity", "value", "source_id")
+    each = each.groupBy(*KEYS, "unit", "value", "source_id").agg(F.max("reliability").alias("r"), F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("ordinal"))
+    # what follows groups by these columns and more, and so stays in these partitions; a constant attribute or unit here would undo that
+    each = each.repartition(parts, "query_id", "entity")
+    first = each.groupBy(*KEYS, "unit", "value").agg(F.min("ordinal").alias("ordinal"))
     ordered = first.groupBy(*KEYS, "unit").agg(F.sort_array(F.collect_list(F.struct("ordinal", "value"))).alias("vs"))
 
     def step(heads: Column, v: Column) -> Column:
@@ -84,8 +93,8 @@ def value_groups(claims: DataFrame) -> DataFrame:
 
     heads = ordered.select(*KEYS, "unit", F.aggregate("vs", F.array().cast("array<double>"), step).alias("heads"))
     head = F.element_at(F.filter("heads", lambda h: F.abs(h - F.col("value")) <= TOLERANCE * F.greatest(F.abs(h), F.abs(F.col("value")), F.lit(1e-9))), 1)
-    placed = claims.join(heads, [*KEYS, "unit"]).withColumn("head", head)
-    by_source = placed.groupBy(*KEYS, "unit", "head", "source_id").agg(F.max("reliability").alias("r"), F.count(F.lit(1)).alias("n"))
+    placed = each.join(heads, [*KEYS, "unit"]).withColumn("head", head)
+    by_source = placed.groupBy(*KEYS, "unit", "head", "source_id").agg(F.max("r").alias("r"), F.sum("n").alias("n"))
     out = by_source.groupBy(*KEYS, "unit", "head").agg(T.settled(noisy_or(F.col("r"))).alias("support"), F.count(F.lit(1)).alias("n_sources"), F.sum("n").alias("n_claims"))
     return out.withColumnRenamed("head", "value")
 
