@@ -289,8 +289,8 @@ def second_hop(found: DataFrame, bridges: DataFrame, documents: DataFrame | corp
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): cosine similarity of a stated query set and all vectors of signed components.
 
-    The queries travel to one scan of the vectors for each QUERY_BLOCK of them; a task multiplies its vectors with
-    them at once and gives out the k best of each query.
+    The queries travel to one scan of the vectors for each QUERY_BLOCK of them; a task multiplies SCAN_ROWS vectors with
+    them at once, keeps the k best of each query as it goes and gives those out at its end.
     """
     n = queries.count()
     parts = max(1, math.ceil(n / QUERY_BLOCK))
@@ -307,19 +307,26 @@ def _dense_scan(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     q = unit(np.array([r["v"] for r in rows], float)) if rows else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if q is None or not b.num_rows:
-                continue
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # rows of queries, ids and scores
+        floor = np.full(len(names), -np.inf)
+        for b in (b.slice(start, SCAN_ROWS) for b in batches if q is not None for start in range(0, b.num_rows, SCAN_ROWS)):
             ids = b["vec_id"].to_numpy()
             v = unit(b["v"].flatten().to_numpy().reshape(len(ids), -1))
             score = np.round(q @ v.T, 6)
             score[names[:, None] == ids] = -np.inf
-            top = min(k, len(ids))
+            if len(ids) >= k and np.isneginf(floor).any():
+                floor = np.maximum(floor, np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k])
+            row, at = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+            row, own, value = (np.concatenate(x) for x in zip(best, (row, ids[at], score[row, at]), strict=True))
             # ties to the smaller id
-            at = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :top]
-            row = np.repeat(np.arange(len(names)), top)
-            out = score[row, at.reshape(-1)]
-            yield pa.record_batch([pa.array(names[row][out > -np.inf]), pa.array(ids[at.reshape(-1)][out > -np.inf]), pa.array(out[out > -np.inf])], names=["query_id", "vec_id", "score"])
+            order = np.lexsort((own, -value, row))
+            row, own, value = row[order], own[order], value[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best = (row[place < k], own[place < k], value[place < k])
+            full = place == k - 1
+            floor[row[full]] = value[full]
+        row, own, value = best
+        yield pa.record_batch([pa.array(names[row]), pa.array(own), pa.array(value)], names=["query_id", "vec_id", "score"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(scan, "query_id long, vec_id long, score double")
 
