@@ -142,7 +142,12 @@ def flat(text: Column) -> Column:
 
 def quote_in_source(quote: Column, source: Column) -> Column:
     """Whether the quote stands in the source, white space and accents aside; an empty one does not."""
-    return (flat(quote) != "") & F.contains(flat(source), flat(quote))
+    return quote_in_flat(quote, flat(source))
+
+
+def quote_in_flat(quote: Column, plain: Column) -> Column:
+    """The same for a source that is flat already."""
+    return (flat(quote) != "") & F.contains(plain, flat(quote))
 
 
 def domain_of(url: Column) -> Column:

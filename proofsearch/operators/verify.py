@@ -84,8 +84,9 @@ def sentence_consistency(claims: DataFrame, settled: DataFrame) -> DataFrame:
 
 def quotes_found(claims: DataFrame, passages: DataFrame) -> DataFrame:
     """Claims (passage_id, quote) with quote_found: whether the quote stands in its passage; a missing passage has none."""
-    held = claims.join(passages.select("passage_id", F.col("text").alias("__text")), "passage_id", "left")
-    return held.withColumn("quote_found", F.coalesce(T.quote_in_source(F.col("quote"), F.col("__text")), F.lit(False))).drop("__text")
+    # a passage is made plain once, before it meets its quotes
+    held = claims.join(passages.select("passage_id", T.flat(F.col("text")).alias("__flat")), "passage_id", "left")
+    return held.withColumn("quote_found", F.coalesce(T.quote_in_flat(F.col("quote"), F.col("__flat")), F.lit(False))).drop("__flat")
 
 
 def accepted_claims(proposed: DataFrame, passages: DataFrame) -> DataFrame:
