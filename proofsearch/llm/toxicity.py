@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import doc_columns, fresh, tune
+from .base import discard, doc_columns, fresh, materialise, tune
 
 SAMPLE_DOCS = 16_000
 HASH_BITS = 20
@@ -63,26 +63,18 @@ class OrdinalModel:
         return int(np.argmax(mass)), float(above.sum())
 
 
-def telling(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """The log odds, in standard errors, of each feature between toxic and clean rows."""
-    size = 1 << HASH_BITS
-    docs = lambda keep: np.bincount(np.concatenate([r for r, k in zip(rows, keep) if k]), minlength=size)
-    t, c, n = docs(toxic == 1), docs(toxic == 0), np.bincount(toxic, minlength=2)
+def telling(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The log odds, in standard errors, of each feature between toxic and clean rows; `seen` counts it in the `n` clean and `n` toxic rows."""
+    c, t = seen
     odds = np.log((t + 0.5) / (n[1] - t + 0.5)) - np.log((c + 0.5) / (n[0] - c + 0.5))
     return np.where(t + c > 2, odds / np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)), 0.0)
 
 
-def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, epochs: int = 200, l2: float = 1e-4) -> OrdinalModel:
-    """Maximum likelihood by full-batch steps with per-weight rates, over the features that tell the labels apart."""
-    size = 1 << HASH_BITS
-    if not len(rows) or not toxic.any() or toxic.all():
-        return OrdinalModel(np.zeros(size, np.float32), np.arange(GRADES) + 20.0, float(GRADES) / 2)
-    z = telling(rows, toxic)
-    hits = np.array([(z[r] > LEAST_Z).sum() for r in rows])
+def fit_weights(kept: list[np.ndarray], hits: np.ndarray, toxic: np.ndarray, epochs: int = 200, l2: float = 1e-4) -> OrdinalModel:
+    """Maximum likelihood by full-batch steps with per-weight rates, over the telling features `kept` of each row; `hits` of them mark it as toxic."""
     cuts = np.quantile(hits[toxic == 1], [k / GRADES for k in range(1, GRADES)])
     y = np.where(toxic == 1, 1 + np.searchsorted(cuts, hits, side="left"), 0)
-    n = len(rows)
-    kept = [r[np.abs(z[r]) > LEAST_Z] for r in rows]
+    n = len(kept)
     used, column = np.unique(np.concatenate(kept), return_inverse=True)
     row = np.repeat(np.arange(n), [len(r) for r in kept])
     w, theta = np.zeros(len(used)), np.linspace(1.5, 4.0, GRADES)
@@ -96,18 +88,25 @@ def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, epochs: int = 200, l2: f
         seen, seen_t = seen + g * g, seen_t + g_t * g_t
         w -= 0.1 * g / np.sqrt(seen)
         theta = np.sort(theta - 0.1 * g_t / np.sqrt(seen_t))
-    weights = np.zeros(size, np.float32)
+    weights = np.zeros(1 << HASH_BITS, np.float32)
     weights[used] = w
-    model = OrdinalModel(weights, theta, 0.0)
-    severity = np.array([model.severity(r)[1] for r in rows])
-    clean = float(np.quantile(severity[y == 0], 1 - CLEAN_LOSS, method="higher"))
-    low = float(np.quantile(severity[y > 0], CLEAN_LOSS, method="lower"))
+    return OrdinalModel(weights, theta, 0.0)
+
+
+def set_cut(model: OrdinalModel, severity: np.ndarray, toxic: np.ndarray) -> OrdinalModel:
+    """Between clean and toxic rows, or as low as CLEAN_LOSS allows."""
+    clean = float(np.quantile(severity[toxic == 0], 1 - CLEAN_LOSS, method="higher"))
+    low = float(np.quantile(severity[toxic == 1], CLEAN_LOSS, method="lower"))
     model.cut = (clean + low) / 2 if low > clean else clean + 1e-6
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
-    """A model of the labelled rows; a row with several labels counts as toxic if one says so."""
+    """A model of the labelled rows; a row with several labels counts as toxic if one says so.
+
+    Features of the sample stay on the executors: how often each occurs comes to the driver, then the telling ones of each row
+    and last each row's severity.
+    """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # the sample is bounded, so it may be broadcast
@@ -116,11 +115,50 @@ def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [features(t).astype("<i4").tobytes() for t in b["text"]], "toxic": b["toxic"]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [features(t).astype("<i4").tobytes() for t in b["text"]], "toxic": (b["toxic"] > 0).astype(int)})
+
+    found = rows.mapInPandas(extract, "doc_id long, x binary, toxic int").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("toxic").alias("toxic"))
+    found = materialise(found, "toxicity-sample")
+    size = 1 << HASH_BITS
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((2, size), np.int32)
+        for b in batches:
+            for x, y in zip(b["x"], b["toxic"], strict=True):
+                seen[y, np.frombuffer(x, "<i4")] += 1  # a row has each feature once
+        at = np.flatnonzero(seen.any(axis=0))
+        yield pd.DataFrame({"feature": at.astype(np.int32), "clean": seen[0, at], "toxic": seen[1, at]})
+
+    n = np.zeros(2, np.int64)
+    for r in found.groupBy("toxic").count().collect():
+        n[r["toxic"]] = r["count"]
+    if not n.all():
+        discard(found)
+        return OrdinalModel(np.zeros(size, np.float32), np.arange(GRADES) + 20.0, float(GRADES) / 2)
+    counted = found.mapInPandas(count, "feature int, clean int, toxic int").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    # at most a row for each of 2^HASH_BITS features
+    counted = counted.where("clean + toxic > 2").toPandas()
+    z = telling(counted[["clean", "toxic"]].to_numpy().T, n)
+    sign = np.zeros(size, np.int8)
+    sign[counted["feature"].to_numpy()] = np.where(z > LEAST_Z, 1, np.where(z < -LEAST_Z, -1, 0))
+    shared_sign = docs.sparkSession.sparkContext.broadcast(sign)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [(x, shared_sign.value[x]) for x in (np.frombuffer(x, "<i4") for x in b["x"])]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [x[s != 0].tobytes() for x, s in own], "hits": [int((s > 0).sum()) for _, s in own], "toxic": b["toxic"]})
+
+    kept = found.mapInPandas(keep, "doc_id long, x binary, hits int, toxic int").toPandas().sort_values("doc_id")
+    model = fit_weights([np.frombuffer(x, "<i4") for x in kept["x"]], kept["hits"].to_numpy(), kept["toxic"].to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"severity": [shared.value.severity(np.frombuffer(x, "<i4"))[1] for x in b["x"]], "toxic": b["toxic"]})
 
-    found = rows.mapInPandas(extract, "doc_id long, x binary, toxic int").toPandas()
-    found = found.sort_values(["doc_id", "x"]).drop_duplicates("doc_id").head(SAMPLE_DOCS)
-    return fit_rows([np.frombuffer(x, "<i4") for x in found["x"]], (found["toxic"].to_numpy() > 0).astype(int))
+    judged = found.mapInPandas(judge, "severity double, toxic int").toPandas()
+    discard(found)
+    return set_cut(model, judged["severity"].to_numpy(), judged["toxic"].to_numpy())
 
 
 def grader(docs: DataFrame, model: OrdinalModel):

@@ -52,6 +52,29 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == d.columns and kept.count() == sum(r.kept for r in out.values())
 
 
+def test_toxicity_fit_sends_no_features_to_the_driver(spark, monkeypatch):
+    rows, labels = labelled(1000)
+    rows = [(i, text + " " + " ".join(f"w{''.join(chr(97 + int(c)) for c in str(j * 1000 + i))}" for j in range(100)), *rest) for i, text, *rest in rows]
+    d, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)
+    held = sum(toxicity.features(r[1]).nbytes for r in rows)
+    kind, sent = type(d), []
+    whole = kind.toPandas
+
+    def spied(self):
+        out = whole(self)
+        sent.append(int(sum(len(v) if isinstance(v, bytes) else 8 for c in out for v in out[c])))
+        return out
+
+    monkeypatch.setattr(kind, "toPandas", spied)
+    model = toxicity.fit(d, marks)
+    assert sent and max(sent) < held / 4
+    # the cut is that of the rows' own severities
+    truth = {i: t for i, t, _ in labels}
+    severity = {t: [model.severity(toxicity.features(r[1]))[1] for r in rows if truth[r[0]] == t] for t in (0, 1)}
+    clean, low = np.quantile(severity[0], 1 - toxicity.CLEAN_LOSS, method="higher"), np.quantile(severity[1], toxicity.CLEAN_LOSS, method="lower")
+    assert model.cut == ((clean + low) / 2 if low > clean else clean + 1e-6)
+
+
 def test_toxicity_edges(spark):
     rows = [(None, None, None, None, None, None), (1, "", "en", "s", "x", 0), (1, "fine " * 30_000, "en", "s", "x", 1)]
     d = spark.createDataFrame(rows, SCHEMA)
