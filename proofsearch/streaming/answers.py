@@ -29,14 +29,15 @@ class ShownAnswers(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "kind int, interp_id string, facet string, at long")
+        self.waiting = handle.getListState("waiting", "kinds array<int>, names array<string>, facets array<string>, at array<long>")
         self.shown = handle.getMapState("shown", "interp_id string", "facet string, at long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         latest = None
         for chunk in rows:
             at = micros(chunk["ts"])
-            self.waiting.appendList(list(zip(chunk["kind"].tolist(), chunk["interp_id"].tolist(), [f if isinstance(f, str) else None for f in chunk["facet"]], at, strict=True)))
+            facets = [f if isinstance(f, str) else None for f in chunk["facet"]]
+            self.waiting.appendValue((chunk["kind"].tolist(), chunk["interp_id"].tolist(), facets, at))  # every call is a message to Spark
             latest = max(at) if latest is None else max(latest, max(at))
         if latest is not None:
             self.handle.registerTimer(-(-latest // 1000))
@@ -45,28 +46,36 @@ class ShownAnswers(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = 1000 * expiredTimerInfo.getExpiryTimeInMs()
         ready, later = [], []
-        for row in self.waiting.get() if self.waiting.exists() else ():
-            (ready if row[3] <= now else later).append(tuple(row))
+        for part in self.waiting.get() if self.waiting.exists() else ():
+            for row in zip(*part, strict=True):
+                (ready if row[3] <= now else later).append(row)
         ready.sort(key=lambda r: (r[3], r[0], r[1], r[2] or ""))
-        clicks, due = [], None
+        # the showings of a key are read once and written as they are in the end
+        stored = {name: tuple(last) for (name,), last in self.shown.iterator()} if self.shown.exists() else {}
+        shown, clicks, due = dict(stored), set(), None
         for kind, name, facet, at in ready:
             if kind == 0:
-                self.shown.updateValue((name,), (facet, at))
+                shown[name] = (facet, at)
                 due = at + self.ttl
                 continue
-            last = self.shown.getValue((name,)) if self.shown.containsKey((name,)) else None
+            last = shown.get(name)
             known = last is not None and at - last[1] < self.ttl
-            clicks.append((key[0], name, pd.Timestamp(at, unit="us"), last[0] if known else None, known))
+            clicks.add((at, name, last[0] if known else None, known))
         if due is not None:
             self.handle.registerTimer(-(-due // 1000))
         if later:
-            self.waiting.put(later)
-        elif self.waiting.exists():
+            self.waiting.put([tuple(map(list, zip(*later, strict=True)))])
+        elif ready:
             self.waiting.clear()
-        for (name,) in [k for k, (_, at) in list(self.shown.iterator()) if now - at >= self.ttl] if self.shown.exists() else ():
-            self.shown.removeKey((name,))
+        for name, last in shown.items():
+            if now - last[1] < self.ttl:
+                if stored.get(name) != last:
+                    self.shown.updateValue((name,), last)
+            elif name in stored:
+                self.shown.removeKey((name,))
         if clicks:
-            yield pd.DataFrame(sorted(set(clicks), key=lambda c: (c[2], c[1])), columns=["key", "interp_id", "ts", "facet", "known"])
+            at, names, facets, known = zip(*sorted(clicks, key=lambda c: c[:2]), strict=True)
+            yield pd.DataFrame({"key": [key[0]] * len(at), "interp_id": names, "ts": pd.to_datetime(at, unit="us"), "facet": pd.Series(facets, dtype=object), "known": known})
 
     def close(self) -> None:
         pass

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,45 @@ def test_many_documents_of_one_title_and_long_titles(spark, monkeypatch):
             monkeypatch.setattr(links, "PART_WORDS", part)
             found = links.mentions(spark.createDataFrame(texts, "text_id long, text string"), held).collect()
             assert len(found) == len(want) and {(r.text_id, r.document_id): r.position for r in found} == want
+
+
+class Calls:
+    """State of one key in memory that counts the messages to it."""
+
+    def __init__(self):
+        self.n, self.rows, self.held = 0, [], {}
+
+    def getListState(self, *a):
+        return self
+
+    getMapState = getListState
+
+    def __getattr__(self, name):
+        def call(*a):
+            self.n += 1
+            return {
+                "appendValue": lambda r: self.rows.append(r), "appendList": lambda r: self.rows.extend(r), "put": lambda r: self.rows.__setitem__(slice(None), r), "get": lambda: list(self.rows), "clear": self.rows.clear,
+                "exists": lambda: True, "iterator": lambda: iter([(k, v) for k, v in self.held.items()]), "containsKey": lambda k: k in self.held, "getValue": lambda k: self.held[k],
+                "updateValue": self.held.__setitem__, "removeKey": self.held.pop, "registerTimer": lambda t: None,
+            }[name](*a)
+
+        return call
+
+
+def test_messages_to_the_state_grow_with_names_and_not_with_rows():
+    class At:
+        def getExpiryTimeInMs(self):
+            return int((START + dt.timedelta(hours=1)).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+
+    calls = {}
+    for n in (20, 2000):
+        own, p = Calls(), answers.ShownAnswers(86400)
+        p.init(own)
+        # two names whose showings and clicks take turns, and one row that comes after the timer's time
+        rows = pd.DataFrame([(1, i // 2 % 2, f"T{i % 2}", None if i // 2 % 2 else "abc"[i % 3], pd.Timestamp(START) + pd.Timedelta(microseconds=i)) for i in range(n)] + [(1, 1, "T0", None, pd.Timestamp(START) + pd.Timedelta(hours=10))], columns=["key", "kind", "interp_id", "facet", "ts"])
+        assert list(p.handleInputRows((1,), iter([rows]), None)) == []
+        out = pd.concat(p.handleExpiredTimer((1,), None, At()))
+        assert len(out) == n // 2 and out["known"].all() and out["facet"].tolist() == ["abc"[(i - 2) % 3] for i in range(n) if i // 2 % 2]
+        assert len(own.rows) == 1 and set(own.held) == {("T0",), ("T1",)}
+        calls[n] = own.n
+    assert calls[2000] == calls[20] < 20
