@@ -11,6 +11,8 @@ through the terms, strongest first: a slice whose scores so far and bounds of th
 k-th best score is left, with all its blocks that are still closed. What is left can't be among the k best.
 A shard's rows for the questions' terms meet in one task, whose size is bounded by the shard's.
 
+Sparse vectors of a segment's documents are made from its lists when a search first asks for them.
+
 Changes are segments of their own: an update writes the new documents' shards, the places that are gone, and how
 document frequencies change, so bytes written grow with the change. Each version is one row that names its
 segments; compaction inverts all that is live again.
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -38,8 +39,8 @@ from ..sources.storage import shared_folder, stored
 
 #: Documents of a slice; documents and characters of a shard.
 SLICE, SHARD_DOCS, SHARD_CHARS = 16, 4_096, 5_000_000
-#: Words that are counted at once; a batch of rows is looked at in parts of so many, a longer document alone.
-PART_WORDS = 400_000
+#: Words, and bytes of texts, that are counted at once; a batch of rows is looked at in parts of so many, a longer document alone.
+PART_WORDS, PART_BYTES = 400_000, 2_500_000
 #: Features of documents that are put into buckets at once.
 PAIRS = 1 << 20
 #: Dimensions in which documents are compared for their order, and steps towards the direction of a cut.
@@ -123,10 +124,58 @@ def hashed(row: np.ndarray, term: np.ndarray, tf: np.ndarray, terms: list[str],
 # Shards
 
 
-def stems_of(words: list[str]) -> list[str | None]:
-    """The stem of each word, None for those without a meaning of their own."""
-    stem, stop = re.compile(T.STEM_PATTERN), frozenset(T.STOPWORDS)
-    return [None if len(w) < 2 or w in stop else stem.sub(r"\1", w) for w in words]
+def stemmed(words: pa.Array) -> pa.Array:
+    """The stem of each word, null for those without a meaning of their own."""
+    idle = pc.or_(pc.less(pc.utf8_length(words), 2), pc.is_in(words, pa.array(T.STOPWORDS)))
+    return pc.if_else(idle, pa.scalar(None, pa.string()), pc.replace_substring_regex(words, T.STEM_PATTERN, r"\1"))
+
+
+#: What a byte of a normalised text is to `T.WORD_PATTERN`: a letter, a digit, a mark that can stand before digits, or none.
+LETTER, DIGIT, MARK = 1, 2, 4
+KINDS = np.zeros(256, np.uint8)
+KINDS[ord("a") : ord("z") + 1], KINDS[ord("0") : ord("9") + 1], KINDS[[ord("."), ord(",")]] = LETTER, DIGIT, MARK
+#: The letter that is left of an accented one (`T.normalize`), by code point; their UTF-8 has two bytes.
+BARE = np.zeros(0x800, np.uint8)
+for _from, _to in zip(T.ACCENTED, T.BARE, strict=True):
+    BARE[ord(_from)] = ord(_to) if _to.isascii() else 0
+
+
+def cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each lower-case text has, and all words in a row: those of `T.WORD_PATTERN` without accents."""
+    texts = pc.binary_join_element_wise(pc.fill_null(texts, "").cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(texts) else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    two = np.flatnonzero((data >= 0xC3) & (data < 0xCA))
+    if len(two):
+        bare = BARE[(data[two] & 0x1F).astype(np.int64) << 6 | data[two + 1] & 0x3F]
+        two, bare = two[bare > 0], bare[bare > 0]
+        data = data.copy()
+        data[two] = bare
+        data, ends = np.delete(data, two + 1), ends - np.searchsorted(two, ends)
+    kind = KINDS[data]
+    inside = (kind & (LETTER | DIGIT)) > 0
+    # every text ends in a space, so a neighbour is always there and of the same text
+    marks = np.flatnonzero(kind == MARK)
+    marks = marks[(marks > 0) & inside[marks - 1] & (kind[marks + 1] == DIGIT)] if len(marks) else marks
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    if len(marks):
+        stop, going = marks + 2, np.arange(len(marks))
+        while len(going := going[kind[stop[going]] == DIGIT]):
+            stop[going] += 1
+        # digits after a mark end the word, so that of marks with digits alone between them every second one counts
+        turn = np.arange(len(marks))
+        fresh = np.append(True, stop[:-1] != marks[1:])
+        used = (turn - np.maximum.accumulate(np.where(fresh, turn, 0))) % 2 == 0
+        begins[marks[used] + 1] = False
+        inside[marks[used]] = True
+        after = stop[used]
+        begins[after] = inside[after] & ~np.isin(after, marks[used])
+    at = np.flatnonzero(begins)
+    offsets = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside)).astype(np.int32)
+    held = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside])))
+    return np.diff(np.searchsorted(at, ends)), held
 
 
 def alike(row: np.ndarray, term: np.ndarray, impact: np.ndarray, names: list[str], total: int) -> np.ndarray:
@@ -166,44 +215,60 @@ def listed(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def mixed_schema(id_type: str) -> str:
-    return f"kind string, {LIST}, place int, document_id {id_type}, n_terms long, buckets array<int>, weights array<double>"
+    return f"kind string, {LIST}, place int, document_id {id_type}, n_terms long"
+
+
+def vector_schema(id_type: str) -> str:
+    return f"shard int, place int, document_id {id_type}, n_terms long, buckets array<int>, weights array<double>"
 
 
 def arrow_schema(id_type: str) -> pa.Schema:
     ids = pa.string() if id_type == "string" else pa.int64()
     held = [("kind", pa.string()), ("shard", pa.int32()), ("term", pa.string()), ("n", pa.int64()), ("reference", pa.float64())]
     held += [(c, pa.binary()) for c in ("places", "tfs", "slices", "starts", "tops")]
-    return pa.schema([*held, ("place", pa.int32()), ("document_id", ids), ("n_terms", pa.int64()), ("buckets", pa.list_(pa.int32())), ("weights", pa.list_(pa.float64()))])
+    return pa.schema([*held, ("place", pa.int32()), ("document_id", ids), ("n_terms", pa.int64())])
+
+
+def parted(batches: Iterator[pa.RecordBatch], sizes, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most `most` by the sizes of their rows; a row of more is a part alone."""
+    for b in batches:
+        ends, low = np.cumsum(sizes(b)), 0
+        while low < b.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right")))
+            yield b.slice(low, high - low)
+            low = high
+
+
+def tallied(b: pa.RecordBatch, sizes: np.ndarray, words: pa.Array, id_kind: pa.DataType) -> pa.RecordBatch:
+    """(shard, document_id, words: different stems, counts) of a batch whose rows have `sizes` of the `words`."""
+    coded = pc.dictionary_encode(words)
+    stems = pc.dictionary_encode(stemmed(coded.dictionary))
+    lut = pc.fill_null(stems.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    term = lut[coded.indices.to_numpy()] if len(lut) else np.zeros(0, np.int64)
+    row, many = np.repeat(np.arange(b.num_rows), sizes)[term >= 0], max(len(stems.dictionary), 1)
+    key = np.sort(row * many + term[term >= 0])
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    key, n = key[first], np.diff(np.append(first, len(key)))
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(key // many, minlength=b.num_rows))]).astype(np.int32))
+    held = stems.dictionary.take(pa.array(key % many))
+    return pa.record_batch([b["shard"], b["document_id"].cast(id_kind), pa.ListArray.from_arrays(ends, held), pa.ListArray.from_arrays(ends, pa.array(n, pa.int64()))], names=["shard", "document_id", "words", "counts"])
 
 
 def counted(rows: DataFrame, id_type: str) -> DataFrame:
-    """(shard, document_id, words: different stems, counts) of raw words, so that each term of a document is dealt once."""
-    ids = pa.string() if id_type == "string" else pa.int64()
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ends, low = np.cumsum(pc.fill_null(pc.list_value_length(b["words"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
-            while low < b.num_rows:
-                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PART_WORDS, "right")))
-                yield b.slice(low, high - low)
-                low = high
+    """(shard, document_id, words: different stems, counts) of raw words, or of lower-case texts where rows have `low`, so that each
+    term of a document is dealt once."""
+    ids, cuts = pa.string() if id_type == "string" else pa.int64(), "low" in rows.columns
+    held = lambda f, c: pc.fill_null(f(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches):
-            sizes = pc.fill_null(pc.list_value_length(b["words"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            coded = pc.dictionary_encode(b["words"].flatten())
-            own = stems_of(coded.dictionary.to_pylist())
-            names = sorted({t for t in own if t is not None})
-            number = {t: i for i, t in enumerate(names)}
-            lut = np.array([-1 if t is None else number[t] for t in own], np.int64)
-            term = lut[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.int64)
-            row, held = np.repeat(np.arange(b.num_rows), sizes)[term >= 0], term[term >= 0]
-            key, n = grouped(row * max(len(names), 1) + held, np.ones(len(held), np.int64))
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(key // max(len(names), 1), minlength=b.num_rows))]).astype(np.int32))
-            words = pa.array(names, pa.string()).take(pa.array(key % max(len(names), 1)))
-            yield pa.record_batch([b["shard"], b["document_id"].cast(ids), pa.ListArray.from_arrays(ends, words), pa.ListArray.from_arrays(ends, pa.array(n, pa.int64()))], names=["shard", "document_id", "words", "counts"])
-
-    return rows.select("shard", "document_id", "words").mapInArrow(count, f"shard int, document_id {id_type}, words array<string>, counts array<bigint>")
+        if cuts:
+            for b in parted(batches, lambda b: held(pc.binary_length, b["low"]), PART_BYTES):
+                yield tallied(b, *cut(b["low"]), ids)
+            return
+        for b in parted(batches, lambda b: held(pc.list_value_length, b["words"]), PART_WORDS):
+            yield tallied(b, held(pc.list_value_length, b["words"]), b["words"].flatten(), ids)
+
+    return rows.select("shard", "document_id", "low" if cuts else "words").mapInArrow(count, f"shard int, document_id {id_type}, words array<string>, counts array<bigint>")
 
 
 def inverted(rows: DataFrame, id_type: str, params: Bm25) -> DataFrame:
@@ -218,14 +283,12 @@ def inverted(rows: DataFrame, id_type: str, params: Bm25) -> DataFrame:
             words = words.chunk(0)
         sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(words.flatten())
-        found = coded.dictionary.to_pylist()
-        names = sorted(found)
-        number = {t: i for i, t in enumerate(names)}
-        lut = np.array([number[t] for t in found], np.int64)
-        term = lut[coded.indices.to_numpy()] if len(found) else np.zeros(0, np.int64)
+        up = pc.sort_indices(coded.dictionary)
+        names, lut = coded.dictionary.take(up).to_pylist(), np.empty(len(up), np.int64)
+        lut[up.to_numpy()] = np.arange(len(up))
+        term = lut[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
         row = np.repeat(np.arange(total), sizes)
-        pair, tf = grouped(term * total + row, table["counts"].combine_chunks().flatten().to_numpy().astype(np.int64))
-        term, row = pair // max(total, 1), pair % max(total, 1)
+        tf = table["counts"].combine_chunks().flatten().to_numpy().astype(np.int64)
         length = np.bincount(row, tf, total).astype(np.int64)
         reference = float(length.mean()) if total else 0.0
         impact = params.impact(tf.astype(np.float64), length[row].astype(np.float64), reference)
@@ -233,7 +296,7 @@ def inverted(rows: DataFrame, id_type: str, params: Bm25) -> DataFrame:
         place = np.empty(total, np.int64)
         place[order] = np.arange(total)
         moved = np.argsort(term * total + place[row], kind="stable")
-        row, tf, impact, length, ids = place[row][moved], tf[moved], impact[moved], length[order], table["document_id"].combine_chunks().take(pa.array(order))
+        term, row, tf, impact, length, ids = term[moved], place[row][moved], tf[moved], impact[moved], length[order], table["document_id"].combine_chunks().take(pa.array(order))
         ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
         part = row // SLICE
         first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
@@ -248,9 +311,7 @@ def inverted(rows: DataFrame, id_type: str, params: Bm25) -> DataFrame:
             "places": packed(row.astype(np.int32), many), "tfs": packed(tf.astype(np.int32), many), "slices": packed(part[first].astype(np.int32), blocks),
             "starts": packed((first - began[term[first]]).astype(np.int32), blocks), "tops": packed(np.maximum.reduceat(impact, first) if len(first) else impact, blocks),
         }
-        at, bucket, w = hashed(row, term, tf, names, total)
-        held = np.bincount(at, minlength=total)
-        documents = {"place": pa.array(np.arange(total, dtype=np.int32)), "document_id": ids, "n_terms": pa.array(length), "buckets": listed(bucket.astype(np.int32), held), "weights": listed(w, held)}
+        documents = {"place": pa.array(np.arange(total, dtype=np.int32)), "document_id": ids, "n_terms": pa.array(length)}
         for f in schema:
             if f.name not in columns:
                 a, b = lists.get(f.name, pa.nulls(len(names), f.type)), documents.get(f.name, pa.nulls(total, f.type))
@@ -261,6 +322,29 @@ def inverted(rows: DataFrame, id_type: str, params: Bm25) -> DataFrame:
     return rows.groupBy("shard").applyInArrow(invert, mixed_schema(id_type))
 
 
+def opened(lists: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of `lists`, place and count of each posting."""
+    flat = lambda c: np.frombuffer(b"".join(v.as_buffer() for v in lists[c].combine_chunks()), np.int32)
+    places = flat("places")
+    return np.repeat(np.arange(lists.num_rows), pc.binary_length(lists["places"]).to_numpy() // 4), places, flat("tfs") if "tfs" in lists.column_names else places
+
+
+def hashed_shards(lists: DataFrame, documents: DataFrame, id_type: str) -> DataFrame:
+    """The sparse vectors of each shard's documents, from its lists."""
+    ids = pa.string() if id_type == "string" else pa.int64()
+
+    def weigh(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("place")
+        term, place, tf = opened(left)
+        at, bucket, w = hashed(place.astype(np.int64), term, tf.astype(np.int64), left["term"].to_pylist(), right.num_rows)
+        held = np.bincount(at, minlength=right.num_rows)
+        columns = [pa.array(np.full(right.num_rows, key[0].as_py(), np.int32)), right["place"], right["document_id"].cast(ids), right["n_terms"], listed(bucket.astype(np.int32), held), listed(w, held)]
+        return pa.table(columns, names=["shard", "place", "document_id", "n_terms", "buckets", "weights"])
+
+    own = lists.select("shard", "term", "places", "tfs").groupBy("shard")
+    return own.cogroup(documents.select("shard", "place", "document_id", "n_terms").groupBy("shard")).applyInArrow(weigh, vector_schema(id_type))
+
+
 # Versions
 
 
@@ -291,19 +375,34 @@ class Postings:
         return self._all("shards", f"{LIST}, kind string").where("kind = 'list'").drop("kind")
 
     def _documents(self) -> DataFrame:
-        kept = f"shard int, place int, document_id {self.id_type}, n_terms long, buckets array<int>, weights array<double>, kind string"
+        kept = f"shard int, place int, document_id {self.id_type}, n_terms long, kind string"
         return self._all("shards", kept).where("kind = 'doc'").drop("kind")
 
+    def _vectors(self) -> DataFrame:
+        """All documents with their vectors, which a segment gets when they are first asked for."""
+        for name in self.segments:
+            at = f"{self.path}/{name}/vectors"
+            if not _exists(self.spark, f"{at}/_SUCCESS"):
+                one = replace(self, segments=(name,))
+                _write(hashed_shards(one.lists(), one._documents(), self.id_type), at)
+        return self._all("vectors", vector_schema(self.id_type))
+
     def dead(self) -> DataFrame:
         """(segment, shard, place) of documents that are gone; `segment` counts within this version."""
         names = F.array(*map(F.lit, self.segments))
         rows = self._all("dead", "name string, shard int, place int").drop("segment")
         return rows.select((F.array_position(names, F.col("name")) - 1).cast("int").alias("segment"), "shard", "place")
 
+    def _live(self, all_: DataFrame) -> DataFrame:
+        return all_ if len(self.segments) == 1 else all_.join(self.dead(), ["segment", "shard", "place"], "left_anti")
+
+    def places(self) -> DataFrame:
+        """(segment, shard, place, document_id, n_terms) of live documents."""
+        return self._live(self._documents())
+
     def documents(self) -> DataFrame:
         """(segment, shard, place, document_id, n_terms, buckets, weights) of live documents."""
-        live = self._documents()
-        return live if len(self.segments) == 1 else live.join(self.dead(), ["segment", "shard", "place"], "left_anti")
+        return self._live(self._vectors())
 
     def vectors(self) -> DataFrame:
         return self.documents().select("document_id", "buckets", "weights")
@@ -324,7 +423,7 @@ class Postings:
 
     def forward(self, only: DataFrame | None = None) -> DataFrame:
         """(document_id, words, counts) of live documents, or of the places `only` (segment, shard, place), from their postings."""
-        chosen = self.documents().select("segment", "shard", "place", "document_id")
+        chosen = self.places().select("segment", "shard", "place", "document_id")
         if only is not None:
             chosen = chosen.join(only, ["segment", "shard", "place"], "left_semi")
 
@@ -350,6 +449,16 @@ def _write(df: DataFrame, path: str, *by: str) -> None:
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows, without a Python worker to make them."""
+    return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in schema.split(", "))])
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -363,7 +472,7 @@ def _segment(spark: SparkSession, path: str, rows: DataFrame, id_type: str, para
     mixed = spark.read.schema(mixed_schema(id_type)).parquet(f"{at}/shards")
     df = mixed.where("kind = 'list'").groupBy("term").agg(F.sum("n").alias("df"))
     _write((df if less is None else df.unionByName(less)).sort("term"), f"{at}/terms")
-    _write(dead if dead is not None else spark.createDataFrame([], "name string, shard int, place int"), f"{at}/dead")
+    _write(dead if dead is not None else _empty(spark, "name string, shard int, place int"), f"{at}/dead")
     held = mixed.where("kind = 'doc'").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("t")).first()
     return name, held["n"], held["t"]
 
@@ -383,7 +492,7 @@ def _texts(documents: DataFrame) -> tuple[DataFrame, str]:
     """Counted terms of documents, dealt into shards, and the type of their ids."""
     id_type = "string" if dict(documents.dtypes)["document_id"] == "string" else "bigint"
     size = documents.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
-    rows = documents.select(F.col("document_id").cast(id_type).alias("document_id"), F.coalesce(T.words(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    rows = documents.select(F.col("document_id").cast(id_type).alias("document_id"), F.lower("text").alias("low"))
     return counted(_dealt(rows, size["n"], size["c"]), id_type), id_type
 
 
@@ -412,13 +521,13 @@ def updated(index: Postings, gone: DataFrame | None, new: DataFrame | None, batc
     documents' segment, the places that are gone and the terms whose frequency changes.
     """
     spark, id_type = index.spark, index.id_type
-    fresh = spark.createDataFrame([], f"document_id {id_type}, text string")
+    fresh = _empty(spark, f"document_id {id_type}, text string")
     if new is not None:
         fresh = new.select(F.col("document_id").cast(id_type).alias("document_id"), "text").groupBy("document_id").agg(F.max("text").alias("text"))
     out = fresh.select("document_id")
     if gone is not None:
         out = out.unionByName(gone.select(F.col("document_id").cast(id_type).alias("document_id"))).distinct()
-    leaving = index.documents().join(out, "document_id", "left_semi").select("segment", "shard", "place", "n_terms")
+    leaving = index.places().join(out, "document_id", "left_semi").select("segment", "shard", "place", "n_terms")
     scratch = f"{index.path}/scratch-{uuid.uuid4().hex}"
     _write(leaving, scratch)
     leaving = spark.read.schema("segment int, shard int, place int, n_terms long").parquet(scratch)

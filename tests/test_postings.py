@@ -2,12 +2,15 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from proofsearch.functions import text as T
 from proofsearch.operators import corpus, postings, retrieval
 
 WORDS = [a + b for a in ("mar", "lin", "tor", "ved", "kos", "pal") for b in ("ka", "bo", "dun", "fex", "gil", "hup", "jor")]
@@ -194,3 +197,25 @@ def test_parts_of_a_batch(spark, monkeypatch):
     monkeypatch.setattr(postings, "PART_WORDS", 9)
     assert show() == whole
     assert dict(whole)[99] == [("long", 500)] and dict(whole)[100] == dict(whole)[101] == []
+
+
+def test_words_are_cut_as_by_the_pattern():
+    """Marks between digits, accents, texts that touch: the words of the pattern, whatever the parts."""
+    r, plain = random.Random(7), str.maketrans(T.ACCENTED, T.BARE)
+    for n in range(300):
+        own = [None if r.random() < 0.05 else "".join(r.choices("ab12345.,. é’Éßǯàx€", k=r.randint(0, 16))) for _ in range(n % 9)]
+        want = [re.findall(T.WORD_PATTERN, (t or "").translate(plain)) for t in own]
+        sizes, words = postings.cut(pa.array(["12"] + own, pa.string()).slice(1))
+        assert (sizes.tolist(), words.to_pylist()) == ([len(w) for w in want], [w for ws in want for w in ws])
+
+
+def test_vectors_are_made_when_they_are_asked_for(spark, small, tmp_path):
+    """A build and a search for words write none; an update adds none to what is there; all documents have one in the end."""
+    index = postings.build(spark.createDataFrame(texts(90, 3), "document_id long, text string"), f"file://{tmp_path}/index")
+    assert postings.scores(asked(spark), index, 5).count() and not list(tmp_path.rglob("vectors"))
+    assert "buckets" not in spark.read.parquet(f"{index.path}/{index.segments[0]}/shards").columns
+    assert index.documents().count() == 90 and len(list(tmp_path.rglob("vectors"))) == 1
+    after = postings.updated(index, spark.createDataFrame([(3,)], "document_id long"), spark.createDataFrame([(900, "marka torbo")], "document_id long, text string"))
+    assert len(list(tmp_path.rglob("vectors"))) == 1
+    held = {d.document_id: d.buckets for d in after.documents().collect()}
+    assert len(held) == 90 and held[900] and len(list(tmp_path.rglob("vectors"))) == 2
