@@ -421,11 +421,23 @@ class Postings:
         gone = self.dead().groupBy("segment", "shard").agg(F.collect_list("place").alias("gone"))
         return own.join(gone, ["segment", "shard"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
 
-    def forward(self, only: DataFrame | None = None) -> DataFrame:
-        """(document_id, words, counts) of live documents, or of the places `only` (segment, shard, place), from their postings."""
+    def held_by(self, only: DataFrame) -> DataFrame:
+        """(term, df): how many of the places `only` (segment, shard, place) hold each term; no posting becomes a row."""
+
+        def count(left: pa.Table, right: pa.Table) -> pa.Table:
+            row, place, _ = opened(left)
+            among = np.zeros(max(int(place.max(initial=-1)), int(pc.max(right["place"]).as_py())) + 1 if right.num_rows else 0, bool)
+            among[right["place"].to_numpy()] = True
+            df = np.bincount(row[among[place]] if len(among) else row[:0], minlength=left.num_rows)
+            return pa.table([left["term"].combine_chunks().filter(pa.array(df > 0)), pa.array(df[df > 0].astype(np.int64))], names=["term", "df"])
+
+        own = self.lists().join(F.broadcast(only.select("segment", "shard").distinct()), ["segment", "shard"], "left_semi").select("segment", "shard", "term", "places")
+        by = ("segment", "shard")
+        return own.groupBy(*by).cogroup(only.select("segment", "shard", "place").groupBy(*by)).applyInArrow(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+    def forward(self) -> DataFrame:
+        """(document_id, words, counts) of live documents, from their postings."""
         chosen = self.places().select("segment", "shard", "place", "document_id")
-        if only is not None:
-            chosen = chosen.join(only, ["segment", "shard", "place"], "left_semi")
 
         def open_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -434,10 +446,7 @@ class Postings:
                 flat = lambda c: np.frombuffer(b"".join(v.as_py() for v in b[c]), np.int32)  # noqa: B023, E731
                 yield pa.record_batch([*[b[c].take(pa.array(rows)) for c in ("segment", "shard", "term")], pa.array(flat("places")), pa.array(flat("tfs"))], names=["segment", "shard", "term", "place", "tf"])
 
-        lists = self.lists()
-        if only is not None:
-            lists = lists.join(only.select("segment", "shard").distinct(), ["segment", "shard"], "left_semi")
-        opened = lists.select("segment", "shard", "term", "places", "tfs").mapInArrow(open_lists, "segment int, shard int, term string, place int, tf int")
+        opened = self.lists().select("segment", "shard", "term", "places", "tfs").mapInArrow(open_lists, "segment int, shard int, term string, place int, tf int")
         # at most a document's different words a group
         held = opened.join(chosen, ["segment", "shard", "place"]).groupBy("document_id").agg(F.collect_list(F.struct("term", "tf")).alias("t"))
         full = chosen.select("document_id").join(held, "document_id", "left")
@@ -536,7 +545,7 @@ def updated(index: Postings, gone: DataFrame | None, new: DataFrame | None, batc
     dead = leaving.select(F.element_at(names, F.col("segment") + 1).alias("name"), "shard", "place")
     less = None
     if lost["n"]:
-        less = index.forward(leaving.select("segment", "shard", "place")).select(F.explode("words").alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
+        less = index.held_by(leaving).select("term", (-F.col("df")).alias("df"))
     rows, _ = _texts(fresh)
     name, n, terms = _segment(spark, index.path, rows, id_type, index.params, less, dead)
     after = replace(index, version=index.version + 1, segments=(*index.segments, name), n_docs=index.n_docs - lost["n"] + n, n_terms=index.n_terms - lost["t"] + terms, n_places=index.n_places + n, batch=batch)

@@ -219,3 +219,13 @@ def test_vectors_are_made_when_they_are_asked_for(spark, small, tmp_path):
     assert len(list(tmp_path.rglob("vectors"))) == 1
     held = {d.document_id: d.buckets for d in after.documents().collect()}
     assert len(held) == 90 and held[900] and len(list(tmp_path.rglob("vectors"))) == 2
+
+
+def test_an_update_makes_no_row_of_a_posting(spark, small, monkeypatch):
+    """How many of the leaving documents hold a term is counted within the shards."""
+    docs = texts(400, 9)
+    index = postings.build(spark.createDataFrame(docs, "document_id long, text string"))
+    monkeypatch.setattr(postings.Postings, "forward", lambda *a: pytest.fail("postings became rows"))
+    after = postings.updated(index, spark.createDataFrame([(d,) for d, _ in docs if d % 3 == 0], "document_id long"), None)
+    want = Counter(re.sub(T.STEM_PATTERN, r"\1", w) for d, t in docs if d % 3 for w in set(t.split()))
+    assert {r.term: r.df for r in after.terms().collect()} == dict(want)
