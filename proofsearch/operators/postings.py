@@ -497,12 +497,17 @@ def _dealt(rows: DataFrame, n: int, chars: int) -> DataFrame:
     return rows.withColumn("shard", F.pmod(F.xxhash64("document_id"), F.lit(shards)).cast("int"))
 
 
-def _texts(documents: DataFrame) -> tuple[DataFrame, str]:
-    """Counted terms of documents, dealt into shards, and the type of their ids."""
+def _size(documents: DataFrame) -> tuple[int, int]:
+    """Number of texts, and their characters."""
+    r = documents.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
+    return r["n"], r["c"]
+
+
+def _texts(documents: DataFrame, size: tuple[int, int]) -> tuple[DataFrame, str]:
+    """Counted terms of documents, of that size at most, dealt into shards, and the type of their ids."""
     id_type = "string" if dict(documents.dtypes)["document_id"] == "string" else "bigint"
-    size = documents.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
     rows = documents.select(F.col("document_id").cast(id_type).alias("document_id"), F.lower("text").alias("low"))
-    return counted(_dealt(rows, size["n"], size["c"]), id_type), id_type
+    return counted(_dealt(rows, *size), id_type), id_type
 
 
 def build(documents: DataFrame, path: str | None = None, params: Bm25 | None = None) -> Postings:
@@ -512,7 +517,7 @@ def build(documents: DataFrame, path: str | None = None, params: Bm25 | None = N
         path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    rows, id_type = _texts(documents)
+    rows, id_type = _texts(documents, _size(documents))
     name, n, terms = _segment(spark, path, rows, id_type, params)
     return _committed(Postings(spark, path, 0, (name,), n, terms, n, id_type, params))
 
@@ -523,11 +528,12 @@ def latest(spark: SparkSession, path: str, params: Bm25 | None = None) -> Postin
     return Postings(spark, path, r["version"], tuple(r["segments"]), r["n_docs"], r["n_terms"], r["n_places"], r["id_type"], params or Bm25(), r["batch"])
 
 
-def updated(index: Postings, gone: DataFrame | None, new: DataFrame | None, batch: int = -1, compacts: bool = True) -> Postings:
+def updated(index: Postings, gone: DataFrame | None, new: DataFrame | None, batch: int = -1, compacts: bool = True, size: tuple[int, int] | None = None) -> Postings:
     """The next version: without the documents `gone` (document_id), and with `new` ones (document_id, text), which replace those of their id.
 
     Of new rows of one id the greatest text stays. Ids that aren't there are passed over. What is written is the new
-    documents' segment, the places that are gone and the terms whose frequency changes.
+    documents' segment, the places that are gone and the terms whose frequency changes. `size` is that of `new` or more,
+    where it is known.
     """
     spark, id_type = index.spark, index.id_type
     fresh = _empty(spark, f"document_id {id_type}, text string")
@@ -546,7 +552,7 @@ def updated(index: Postings, gone: DataFrame | None, new: DataFrame | None, batc
     less = None
     if lost["n"]:
         less = index.held_by(leaving).select("term", (-F.col("df")).alias("df"))
-    rows, _ = _texts(fresh)
+    rows, _ = _texts(fresh, size or ((0, 0) if new is None else _size(new)))
     name, n, terms = _segment(spark, index.path, rows, id_type, index.params, less, dead)
     after = replace(index, version=index.version + 1, segments=(*index.segments, name), n_docs=index.n_docs - lost["n"] + n, n_terms=index.n_terms - lost["t"] + terms, n_places=index.n_places + n, batch=batch)
     _remove(spark, scratch)
@@ -575,7 +581,8 @@ def follow(changes: DataFrame, path: str, checkpoint: str):
             return
         removed = batch.where("removed").select("document_id").distinct()
         added = batch.where("not removed").select("document_id", "text").join(removed, "document_id", "left_anti")
-        updated(index, removed, added, number)
+        # the size is read off the batch, so that its texts move once, with their removals
+        updated(index, removed, added, number, size=_size(batch.where("not removed")))
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 

@@ -229,3 +229,16 @@ def test_an_update_makes_no_row_of_a_posting(spark, small, monkeypatch):
     after = postings.updated(index, spark.createDataFrame([(d,) for d, _ in docs if d % 3 == 0], "document_id long"), None)
     want = Counter(re.sub(T.STEM_PATTERN, r"\1", w) for d, t in docs if d % 3 for w in set(t.split()))
     assert {r.term: r.df for r in after.terms().collect()} == dict(want)
+
+
+def test_sizes_of_updates_are_read_off_what_comes(spark, small, monkeypatch, tmp_path):
+    """Shards are dealt by the size of the rows as they come: no removal or repeat is looked up for it."""
+    seen, dealt = [], postings._dealt
+    monkeypatch.setattr(postings, "_dealt", lambda rows, n, chars: (seen.append((n, chars)), dealt(rows, n, chars))[1])
+    index = postings.build(spark.createDataFrame([], "document_id long, text string"), f"file://{tmp_path}/index")
+    after = postings.updated(index, None, spark.createDataFrame([(1, "marka"), (1, "torbo"), (2, None)], "document_id long, text string"))
+    assert seen == [(0, 0), (3, 10)] and after.n_docs == 2
+    schema = "document_id long, text string, removed boolean"
+    spark.createDataFrame([(3, "marka", False), (3, None, True), (4, "kosgil", False)], schema).write.parquet(f"{tmp_path}/in")
+    postings.follow(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), index.path, f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination(120)
+    assert seen[-1] == (2, 11) and postings.latest(spark, index.path).n_docs == 3
