@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.storage import stored
 from . import corpus, reason, retrieval
 
 #: Passages of a question that are read, words a sentence has, and the least admissibility.
@@ -67,11 +68,14 @@ def drafts(queries: DataFrame, found: DataFrame, passages: DataFrame) -> DataFra
     `found` has (query_id, document_id, rank); sentences of the first passages that are neither short nor long are
     ranked by admissibility, near copies of one kept before go, and degrees are taken over the best.
     """
-    read = found.where(F.col("rank") <= PASSAGES).join(passages.select("document_id", "text"), "document_id")
+    # stored, so that Spark knows how few they are and sends them to the texts; what many steps read is made once
+    found = stored(found.where(F.col("rank") <= PASSAGES), "found")
+    read = found.join(passages.select("document_id", "text"), "document_id")
     s = read.select("query_id", "document_id", "rank", F.posexplode(T.split_sentences(F.col("text"))).alias("n", "sentence"))
     s = s.where(F.size(F.split(F.trim("sentence"), r"\s+")).between(*WORDS))
-    s = s.withColumn("item", F.row_number().over(W.partitionBy("query_id").orderBy("rank", "n")).cast("long"))
+    s = stored(s.withColumn("item", F.row_number().over(W.partitionBy("query_id").orderBy("rank", "n")).cast("long")), "sentences")
     judged = admissibility(queries, s).join(s.select("query_id", "item", "document_id"), ["query_id", "item"]).where(F.col("degree") >= STATEMENT_FLOOR)
+    judged = stored(judged, "judged")
     order = W.partitionBy("query_id").orderBy(F.desc("degree"), "item")
     ranked = judged.withColumn("rank", F.row_number().over(order)).withColumn("id", F.col("item")).withColumn("words", F.array_distinct(T.content_words(F.col("sentence"))))
     kept = reason.suppress_near_duplicates(ranked.select("query_id", "rank", "id", "words")).withColumnRenamed("id", "item")

@@ -412,6 +412,23 @@ def test_statement_drafts(spark, docs):
     assert all(0 < r.degree <= 1 for r in out)
 
 
+def test_statement_drafts_search_once(spark, docs):
+    """What the drafts are made of is asked for once, however many steps read it."""
+    from proofsearch.operators import statements
+
+    q = questions(spark, "film that Mara Voss directed")
+    found, runs = retrieval.ranked(retrieval.bm25(q, docs), "score", "rank", 6), spark.sparkContext.accumulator(0)
+    rows = found.select("query_id", "document_id", "rank").collect()
+
+    def searched(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b
+
+    found = spark.createDataFrame(rows, found.select("query_id", "document_id", "rank").schema).mapInPandas(searched, found.select("query_id", "document_id", "rank").schema)
+    assert statements.drafts(q, found, docs).count() and runs.value == len(rows)
+
+
 def test_multi_query_searches_each_fragment(spark):
     texts = ["copper melts in the furnace", "tin melts slowly", "the harbour holds many ships", "ships carry copper", "nothing of note", "a furnace near the harbour"]
     d = spark.createDataFrame(list(enumerate(texts)), "document_id long, text string")
