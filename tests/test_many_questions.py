@@ -72,3 +72,18 @@ def test_equal_queries_are_searched_once_and_only_what_is_read_is_cut(spark, mon
     assert seen == [2, False]
     per = {q: {(x["document_id"], x["score"]) for x in found if x["query_id"] == q} for q in range(6)}
     assert per[0] and all(per[q] == per[0] for q in range(6))
+
+
+def test_trigrams_and_order_are_those_of_plain_loops():
+    r = random.Random(2)
+    for letters in ("ab1.", "abé1"):
+        for n in (0, 1, 40):
+            terms = ["".join(r.choices(letters, k=r.randint(n < 40, 6))) for _ in range(n)]
+            want: dict[str, int] = {}
+            flat = [want.setdefault(f" {t} "[i : i + 3], len(want)) for t in terms for i in range(max(len(t), 1))]
+            features, sizes, own = postings.trigrams(terms)
+            assert (features, own.tolist(), sizes.tolist()) == (list(want), flat, [max(len(t), 1) for t in terms])
+    for high in (5, 1 << 61):
+        keys = np.array([r.randrange(high) for _ in range(200)] + [3, 3], np.int64)
+        got, order = postings.in_order(keys)
+        assert got.tolist() == sorted(keys.tolist()) and order.tolist() == np.argsort(keys, kind="stable").tolist()
